@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate
+from . import decontaminate, langid
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_language": langid.op3_language,
 }
 
 ORACLES = {
