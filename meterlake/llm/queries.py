@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid
+from . import decontaminate, langid, quality
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language": langid.op3_language,
+    "op6_quality": quality.op6_quality,
 }
 
 ORACLES = {
