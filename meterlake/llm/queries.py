@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, quality
+from . import decontaminate, langid, quality, secrets
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language": langid.op3_language,
+    "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
 }
 
