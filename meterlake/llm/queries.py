@@ -1,14 +1,18 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, quality, secrets
+from . import decontaminate, langid, linededup, quality, secrets, topk
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language": langid.op3_language,
     "op4_secrets": secrets.op4_secrets,
+    "op5_linededup": linededup.op5_linededup,
     "op6_quality": quality.op6_quality,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLES = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op5_linededup": linededup.OP5_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
