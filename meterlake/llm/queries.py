@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, linededup, quality, secrets, topk
+from . import decontaminate, langid, linededup, quality, secrets, topk, urlfilter
 
 QUERIES = {
+    "op1_urlfilter": urlfilter.op1_urlfilter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language": langid.op3_language,
     "op4_secrets": secrets.op4_secrets,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_urlfilter": urlfilter.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_linededup": linededup.OP5_SQL,
     "op10_topk": topk.OP10_SQL,
