@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, linededup, quality, secrets, topk, urlfilter
+from . import decontaminate, langid, linededup, quality, secrets, suffixdedup, topk, urlfilter
 
 QUERIES = {
     "op1_urlfilter": urlfilter.op1_urlfilter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_linededup": linededup.op5_linededup,
     "op6_quality": quality.op6_quality,
+    "op8_suffixdedup": suffixdedup.op8_suffixdedup,
     "op10_topk": topk.op10_topk,
 }
 
@@ -16,5 +17,6 @@ ORACLES = {
     "op1_urlfilter": urlfilter.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_linededup": linededup.OP5_SQL,
+    "op8_suffixdedup": suffixdedup.OP8_SQL,
     "op10_topk": topk.OP10_SQL,
 }
