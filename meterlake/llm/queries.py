@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, linededup, quality, secrets, suffixdedup, topk, urlfilter
+from . import decontaminate, jaccardjoin, langid, linededup, quality, secrets, suffixdedup, topk, urlfilter
 
 QUERIES = {
     "op1_urlfilter": urlfilter.op1_urlfilter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_linededup": linededup.op5_linededup,
     "op6_quality": quality.op6_quality,
     "op8_suffixdedup": suffixdedup.op8_suffixdedup,
+    "op9_jaccardjoin": jaccardjoin.op9_jaccardjoin,
     "op10_topk": topk.op10_topk,
 }
 
@@ -18,5 +19,6 @@ ORACLES = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op5_linededup": linededup.OP5_SQL,
     "op8_suffixdedup": suffixdedup.OP8_SQL,
+    "op9_jaccardjoin": jaccardjoin.OP9_SQL,
     "op10_topk": topk.OP10_SQL,
 }
