@@ -3,8 +3,10 @@
 Two documents link when their sets of word shingles overlap by Jaccard >= NUM/100. With sizes m and n
 that means an overlap of at least T = ceil(NUM * (m + n) / (100 + NUM)).
 
-1. A document's set becomes sorted 64-bit hashes, a parity bitmap of them, and its prefix: any two
-   sets that link share one of their n - ceil(NUM * n / 100) + 1 smallest hashes (prefix filter).
+1. A document's set becomes 64-bit hashes, a parity bitmap of them, and its prefix: any two sets
+   that link share one of their first n - ceil(NUM * n / 100) + 1 hashes, in any order common to all
+   (prefix filter). The order is by hash, except that hashes found in very many prefixes of a first
+   pass come last, so that a shingle that is everywhere brings no documents together.
 2. Documents with equal sets are one class; the smallest id stands for it from here on.
 3. Candidates: first each class meets the smallest class of its groups by the ANCHORS smallest
    hashes; the links found join classes to components. Then prefix hashes that still lie in several
@@ -48,7 +50,11 @@ NUM = 90
 #: Smallest hashes by which classes meet in the first round.
 ANCHORS = 4
 #: Classes in a block of an open group.
-BLOCK = 256
+BLOCK = 512
+#: Hashes in more prefixes than this are common. At most MOST_COMMON hashes are: with more rows the
+#: bound rises, and any bound gives the same result.
+COMMON = 64
+MOST_COMMON = 1_000_000
 #: Inverted lists longer than this share of the candidates are set aside, if there are so many.
 LONG_SHARE = 0.5
 BATCH_BYTES = 2 << 20
@@ -94,28 +100,32 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(raw: bytes, size: int) -> np.ndarray:
-    """A bitmap of `size` bytes out of a larger or equal one: parities of what shares a place."""
-    x = np.frombuffer(raw, np.uint8)
-    while len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
-
-
 def needed(m, n, num: int = NUM):
     """Overlap from which two sets of sizes m and n link."""
     return -(-num * (m + n) // (100 + num))
 
 
-def may_link(n: np.ndarray, maps: list[bytes], i: int, js: np.ndarray, num: int = NUM) -> np.ndarray:
-    """Which of js may link with i, by size and bitmap."""
-    js = js[(100 * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
-    if not len(js):
-        return js
-    size = min(len(maps[i]), min(len(maps[j]) for j in js))
-    own = folded(maps[i], size)
-    apart = np.bitwise_count(np.stack([folded(maps[j], size) for j in js]) ^ own).sum(axis=1)
-    return js[apart <= n[js] + n[i] - 2 * needed(n[i], n[js], num)]
+def may_link(n: np.ndarray, maps: list[bytes], num: int = NUM) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): sets i and those no smaller that may link with it by size and bitmap; each pair once."""
+    width = np.array([len(x) for x in maps])
+    order = np.lexsort((width, n))
+    size, wide = n[order], width[order]
+    matrices = {}
+    for w in np.unique(wide):
+        m = np.zeros((len(order), w), np.uint8)
+        for v in np.unique(wide[wide >= w]):
+            at = np.flatnonzero(wide == v)
+            x = np.stack([np.frombuffer(maps[k], np.uint8) for k in order[at]])
+            m[at] = np.bitwise_xor.reduce(x.reshape(len(at), v // w, w), axis=1)
+        matrices[w] = m
+    ends = np.searchsorted(size, 100 * size // num, "right")
+    for at, end in enumerate(ends.tolist()):
+        if end > at + 1:
+            m = matrices[wide[at]]
+            apart = np.bitwise_count(m[at + 1 : end] ^ m[at]).sum(axis=1, dtype=np.int64)
+            ok = apart <= size[at + 1 : end] + size[at] - 2 * needed(size[at], size[at + 1 : end], num)
+            if ok.any():
+                yield int(order[at]), order[at + 1 : end][ok]
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], num: int = NUM) -> list[int]:
@@ -159,8 +169,40 @@ def t_occurrence(query: np.ndarray, sets: list[np.ndarray], num: int = NUM) -> l
     return sorted(out)
 
 
-def profiles(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarray = _IS_WORD) -> DataFrame:
+def prefix_of(x: np.ndarray, common: np.ndarray, num: int = NUM) -> np.ndarray:
+    """The first hashes of a sorted set in the common order: those of `common` (sorted) come last."""
+    size = prefix_size(len(x), num)
+    if not len(common) or not size:
+        return x[:size]
+    for reach in (2 * size, len(x)):
+        part = x[:reach]
+        rare = part[common[np.minimum(np.searchsorted(common, part), len(common) - 1)] != part]
+        if len(rare) >= size:
+            return rare[:size]
+    return np.concatenate([rare, x[common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x]])[:size]
+
+
+def common_hashes(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarray = _IS_WORD) -> np.ndarray:
+    """Sorted hashes found in very many prefixes in plain order of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat_bytes(batch.column("text"))
+            for lo, hi in slices(offsets, BATCH_BYTES):
+                sets = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, is_word)
+                keys, counts = np.unique(np.concatenate([x[: prefix_size(len(x), num)] for x in sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "c"])
+
+    counted = docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    counted = stored(counted.where(F.col("c") > COMMON), "jaccard-common")
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    rows = counted.where(F.col("c") > max(COMMON, total // MOST_COMMON)).select("key").toPandas()
+    return np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def profiles(docs: DataFrame, common: np.ndarray, words: int = WORDS, num: int = NUM, is_word: np.ndarray = _IS_WORD) -> DataFrame:
     """id, n, s1, s2 (a 128-bit fingerprint of the set), bits, prefix: a row per document."""
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +212,7 @@ def profiles(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.nd
                 with np.errstate(over="ignore"):
                     s1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                     s2 = np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                prefix = pa.array([x[: prefix_size(len(x), num)].view(np.int64) for x in sets], pa.list_(pa.int64()))
+                prefix = pa.array([prefix_of(x, held.value, num).view(np.int64) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array([len(x) for x in sets], pa.int32()), pa.array(s1), pa.array(s2), pa.array([bitmap(x) for x in sets], pa.binary()), prefix], names=["id", "n", "s1", "s2", "bits", "prefix"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n int, s1 long, s2 long, bits binary, prefix array<long>")
@@ -222,15 +264,11 @@ def _open_pairs(opened: DataFrame, num: int) -> DataFrame:
             out_a, out_b = [], []
             for i, j, g in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("g")):
                 v = g.values
-                ids, comp, n, own, bits = (v.field(k) for k in range(5))
-                ids, comp, n, own, bits = ids.to_numpy(), comp.to_numpy(), n.to_numpy().astype(np.int64), own.to_numpy(), bits.to_pylist()
-                order = np.argsort(n, kind="stable")
-                for at, k in enumerate(order):
-                    js = order[at + 1 :]
-                    js = js[(comp[js] != comp[k]) & ((own[js] != own[k]) if i != j else True)]
-                    for m in may_link(n, bits, k, js, num) if len(js) else ():
-                        out_a.append(max(ids[k], ids[m]))
-                        out_b.append(min(ids[k], ids[m]))
+                ids, comp, n, own = (v.field(k).to_numpy() for k in range(4))
+                for k, js in may_link(n.astype(np.int64), v.field(4).to_pylist(), num):
+                    js = js[(comp[js] != comp[k]) & ((own[js] != own[k]) | (i == j))]
+                    out_a += np.maximum(ids[js], ids[k]).tolist()
+                    out_b += np.minimum(ids[js], ids[k]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return groups.select("i", "j", "g").mapInArrow(run, "a long, b long").distinct()
@@ -238,38 +276,37 @@ def _open_pairs(opened: DataFrame, num: int) -> DataFrame:
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarray = _IS_WORD) -> DataFrame:
     """id, n_shingles, component_id for docs (id long, text): a row per row of docs."""
-    known = stored(profiles(docs.where("id is not null"), words, num, is_word), "jaccard-profiles")
-    classes = known.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    classes = stored(classes, "jaccard-classes")
-    sized = known.where("n > 0").select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
-    member = stored(sized.select("id", "n", "s1", "s2", "rep"), "jaccard-members")
-    reps = known.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
-    reps = stored(reps.select("id", "n", "bits", "prefix"), "jaccard-reps")
     texts = docs.where("id is not null").select("id", "text")
-
-    # Round 1: by the smallest hashes, each class with the smallest of its group.
-    anchors = reps.select("id", "n", "bits", F.explode(F.slice("prefix", 1, ANCHORS)).alias("key"))
+    common = common_hashes(docs, words, num, is_word)
+    known = stored(profiles(texts, common, words, num, is_word), "jaccard-profiles")
+    some = known.where("n > 0")
+    classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
+    classes = small(stored(classes.select("n", "s1", "s2", "rep"), "jaccard-classes"), 48)
+    copies = stored(some.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).where("id <> rep").select("id", "n", "s1", "s2", "rep"), "jaccard-copies")
+    reps = some.join(small(copies, 48), ["id", "n", "s1", "s2"], "left_anti").select("id", "n", "bits", "prefix")
+
+    # Round 1: by the first hashes, each class with the smallest of its group.
+    anchors = stored(reps.select("id", F.explode(F.slice("prefix", 1, ANCHORS)).alias("key")), "jaccard-anchors")
     least = stored(anchors.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b <> most").select("key", "b"), "jaccard-least")
-    stars = anchors.select("id", "key").join(small(least, 32), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    stars = anchors.join(small(least, 32), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     stars = _filtered(stored(stars, "jaccard-stars"), reps, num)
     links = verified(texts, stars, words, num, is_word)
-    comp = stored(connected(links), "jaccard-components-1")
-    placed = reps.join(small(comp, 32), reps["id"] == comp["node"], "left").select("id", "n", "bits", "prefix", F.coalesce("component", "id").alias("component"))
-    placed = stored(placed, "jaccard-placed")
+    comp = small(stored(connected(links), "jaccard-components-1"), 32)
+    placed = reps.join(comp, reps["id"] == comp["node"], "left").select("id", "n", "bits", "prefix", F.coalesce("component", "id").alias("component"))
 
     # Round 2: prefix hashes that lie in several components.
     keys = placed.select("id", "component", F.explode("prefix").alias("key"))
     groups = keys.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
-    groups = stored(groups, "jaccard-groups")
-    rows = placed.select("id", "component", "n", "bits", F.explode("prefix").alias("key")).join(small(groups, 40), "key")
+    rows = stored(keys.join(small(stored(groups, "jaccard-groups"), 40), "key"), "jaccard-rows")
+    rows = rows.join(reps.select("id", "n", "bits"), "id")
     second = stored(_open_pairs(rows, num), "jaccard-pairs")
     more = verified(texts, second, words, num, is_word)
     # A class is named by its smallest id, so the smallest id of a component is a class's name too.
-    whole = links.unionByName(more).unionByName(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    whole = links.unionByName(more).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     final = stored(connected(whole), "jaccard-components")
     out = known.select("id", F.col("n").cast("long").alias("n_shingles")).join(small(final, 32), F.col("id") == F.col("node"), "left")
     out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    lost = profiles(docs.where("id is null"), words, num, is_word).select("id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    lost = profiles(docs.where("id is null"), common, words, num, is_word).select("id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lost)
 
 
@@ -283,7 +320,7 @@ def _filtered(pairs: DataFrame, reps: DataFrame, num: int) -> DataFrame:
         for batch in batches:
             keep = []
             for m, n, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("ba").to_pylist(), batch.column("bb").to_pylist()):
-                keep.append(len(may_link(np.array([m, n]), [x, y], 0, np.array([1]), num)) > 0)
+                keep.append(any(True for _ in may_link(np.array([m, n]), [x, y], num)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long"), "jaccard-filtered")
