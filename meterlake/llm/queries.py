@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, jaccardjoin, langid, linededup, quality, secrets, suffixdedup, topk, urlfilter
+from . import decontaminate, jaccardjoin, langid, linededup, mixing, quality, secrets, suffixdedup, topk, urlfilter
 
 QUERIES = {
     "op1_urlfilter": urlfilter.op1_urlfilter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_linededup": linededup.op5_linededup,
     "op6_quality": quality.op6_quality,
+    "op7_mixing": mixing.op7_mixing,
     "op8_suffixdedup": suffixdedup.op8_suffixdedup,
     "op9_jaccardjoin": jaccardjoin.op9_jaccardjoin,
     "op10_topk": topk.op10_topk,
