@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of a table (as estimated from its row count) up to which it is broadcast;
@@ -79,3 +80,14 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def held_out(doc_id: str = "doc_id"):
     """Rows whose crc32 of the id as text leaves no remainder mod 5."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
+
+
+def hashed_sample(df: DataFrame, key: str, most: int, h: str = "h") -> DataFrame:
+    """The rows of each key with the `most` smallest hashes, in a column k their rank from 1.
+
+    Rows that can't be among them are left out before the shuffle, by the key's count: on average
+    no more than four times `most` rows of a key come together in a task.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
+    low = df.join(small(counts, 64), key).where(F.col(h) / 2.0**64 + 0.5 <= 4.0 * most / F.col("__n")).drop("__n")
+    return low.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(h, "doc_id"))).where(F.col("k") <= most)

@@ -22,10 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, held_out, slices, table
+from .common import flat_bytes, hashed_sample, held_out, slices, table
 
 SAMPLE_DOCS = 256
 SAMPLE_BYTES = 32_000
@@ -112,9 +111,8 @@ def train(docs: DataFrame, labels_col: str = "lang") -> dict[str, bytes]:
     """Bounded training text per language, from rows that are not held out."""
     n = F.length("text")
     usable = docs.where(~held_out() & F.col(labels_col).isNotNull() & (n > 0) & (n <= SAMPLE_TEXT)).select(F.col(labels_col).alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    # Ids are ranked without their texts; each map task passes on no more than the rank limit.
-    ranked = usable.select("lang", "doc_id", "h").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= SAMPLE_DOCS)
-    chosen = ranked.select("lang", "doc_id").distinct()
+    # Ids are ranked without their texts.
+    chosen = hashed_sample(usable.select("lang", "doc_id", "h"), "lang", SAMPLE_DOCS).select("lang", "doc_id").distinct()
     rows = usable.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"])
     out = {}
     for lang, texts in rows.groupby("lang")["text"]:

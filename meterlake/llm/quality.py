@@ -24,15 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, held_out, slices, table
+from .common import flat_bytes, hashed_sample, held_out, slices, table
 from .hashing import RangeHash, mix, spans
 
 TERMS = 1_024
 RANK = 48
-#: At most the rank limit that Spark applies before its shuffle.
 SAMPLE_PER_LABEL = 1_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
@@ -81,8 +79,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | None:
     """The model from a bounded labelled sample; None without usable labels."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    ranked = known.withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(W.partitionBy("y").orderBy("h", "doc_id")))
-    sample = ranked.where(F.col("k") <= SAMPLE_PER_LABEL).select("doc_id", "y", "h")
+    sample = hashed_sample(known.withColumn("h", F.xxhash64("doc_id")), "y", SAMPLE_PER_LABEL).select("doc_id", "y", "h")
     texts = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.first("h").alias("h"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
