@@ -54,14 +54,14 @@ def hot_windows(text: str, size: int, bits: float) -> list[tuple[int, int]]:
     limit = (math.log2(size) - bits) * size + 1e-9
     out: list[tuple[int, int]] = []
     for i, ch in enumerate(text):
-        c = counts.get(ch, 0)
-        total += term[c + 1] - term[c]
-        counts[ch] = c + 1
         if i >= size:
             old = text[i - size]
             c = counts[old]
             total += term[c - 1] - term[c]
             counts[old] = c - 1
+        c = counts.get(ch, 0)
+        total += term[c + 1] - term[c]
+        counts[ch] = c + 1
         if i >= size - 1 and total <= limit:
             start = i - size + 1
             if out and start <= out[-1][1]:
