@@ -1,11 +1,12 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
-Vectors are quantised to integers. Rows are dealt into blocks by a hash of their id; in a block every
-dimension has a posting list ordered by impact and cut into segments. A query takes the segments of
-all dimensions by descending impact (its own component times the segment's largest one), adds their
-exact products to accumulators, and stops only when bounds prove which rows can still be members:
-what is unprocessed adds to a row at most `more` and at least `less`. The possible members are then
-scored again, exactly, from their vectors. Each block's best k are merged per query.
+Vectors are quantised to integers. Rows are dealt into blocks by a hash of their id. A block's index
+splits every impact (a row's component in a dimension) into digits of descending quanta; a posting
+segment holds the digits of one quantum in one dimension. Queries take the segments by descending
+quantum and add their products to accumulators. After each quantum the part not yet taken is bounded,
+row by row, by the length of what is left (Cauchy-Schwarz); a query stops only when these bounds prove
+which few rows can still be members. They are then scored again, exactly, from their vectors. Each
+block's best k are merged per query.
 
 Scale: queries are dealt into blocks of their own; each (query block, row block) pair is one task
 that holds QUERY_BLOCK queries and ROW_BLOCK rows at most on average, whatever the input. Rows are
@@ -36,12 +37,10 @@ SCALE = 256
 QUERY_EVERY = 50
 QUERY_BLOCK = 2_048
 ROW_BLOCK = 16_384
-#: Segments of a posting list; each holds as many rows as the others.
-LEVELS = 8
-#: Segments taken between two looks at the bounds.
-STRIDE = 32
+#: Queries scored at a time against a block's segments.
+CHUNK = 64
 #: Possible members at which rescoring is cheaper than more segments.
-FEW = 256
+FEW = 512
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -51,54 +50,61 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("long")).alias("v"))
 
 
+def _exact_dtype(most: int):
+    """The fastest number type that holds every integer up to `most`."""
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+
+
 class ImpactIndex:
-    """Posting segments of one block of rows, by dimension and impact."""
+    """Posting segments of one block of rows: a dimension's impacts as digits of descending quanta.
+
+    Segment (quantum, dimension) holds what the rows' impacts have of that quantum; all segments of one
+    quantum are a matrix, and what the quanta not yet taken hold of a row is known by its length.
+    """
 
     def __init__(self, matrix: np.ndarray):
         self.matrix = matrix
-        n, dims = matrix.shape
-        order = np.argsort(-matrix, axis=0, kind="stable").astype(np.int32)
-        cuts = np.linspace(0, n, min(LEVELS, n) + 1).astype(int)
-        self.dim, self.rows, self.high, self.low = [], [], [], []
-        for d in range(dims):
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    rows = order[a:b, d]
-                    self.dim.append(d)
-                    self.rows.append(rows)
-                    self.high.append(matrix[rows[0], d])
-                    self.low.append(matrix[rows[-1], d])
-        self.dim, self.high, self.low = (np.array(x) for x in (self.dim, self.high, self.low))
-
-    def possible(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the k best; rows proven not to be are left out."""
+        bits = int(np.abs(matrix).max(initial=1)).bit_length()
+        self.quanta = sorted({1 << max(bits - 3, 0), 1 << max(bits - 5, 0), 1}, reverse=True)
+        self.digits, self.left = [], []
+        rest = matrix.copy()
+        for quantum in self.quanta:
+            digit = rest // quantum
+            rest = rest - digit * quantum
+            self.digits.append(digit * quantum)
+            # The rest lies in 0 .. quantum - 1; it is measured from the middle.
+            self.left.append(np.linalg.norm(rest - (quantum - 1) / 2, axis=1))
+
+    def possible(self, queries: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows that may be among its k best; others are proven not to be."""
         n = len(self.matrix)
-        if n <= max(k, FEW):
-            return np.arange(n)
-        q = query[self.dim]
-        top = np.maximum(q * self.high, q * self.low)
-        bottom = np.minimum(q * self.high, q * self.low)
-        order = np.argsort(-top, kind="stable")
-        dims = len(query)
-        score = np.zeros(n, np.int64)
-        for at in range(0, len(order), STRIDE):
-            for s in order[at : at + STRIDE]:
-                if query[self.dim[s]]:
-                    rows = self.rows[s]
-                    score[rows] += query[self.dim[s]] * self.matrix[rows, self.dim[s]]
-            left = order[at + STRIDE :]
-            more, less = np.zeros(dims, np.int64), np.zeros(dims, np.int64)
-            np.maximum.at(more, self.dim[left], top[left])
-            np.minimum.at(less, self.dim[left], bottom[left])
-            # A row may have passed a dimension already, so 0 is always possible for it.
-            more, less = int(np.maximum(more, 0).sum()), int(np.minimum(less, 0).sum())
-            if at + STRIDE < len(order) and more - less > 2 * (int(score.max()) - int(np.median(score))):
-                continue
-            sure = np.partition(score, n - k)[n - k] + less
-            alive = np.flatnonzero(score + more >= sure)
-            if len(alive) <= FEW:
-                return alive
-        return np.flatnonzero(score >= np.partition(score, n - k)[n - k])
+        if n <= max(int(k.max()), FEW):
+            return [np.arange(n)] * len(queries)
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(queries)
+        dtype = _exact_dtype(int(np.abs(queries).max(initial=0)) * int(np.abs(self.matrix).max(initial=0) + self.quanta[0]) * self.matrix.shape[1])
+        running = np.arange(len(queries))
+        score = np.zeros((len(queries), n), np.float64 if dtype is not np.int64 else np.int64)
+        for quantum, digit, left in zip(self.quanta, self.digits, self.left):
+            score[running] += queries[running].astype(dtype) @ digit.T.astype(dtype)
+            middle = queries.sum(axis=1) * ((quantum - 1) / 2)
+            length = np.linalg.norm(queries, axis=1)
+            again = []
+            for i in running:
+                if quantum == 1:
+                    sure, best = np.partition(score[i], n - k[i])[n - k[i]], score[i]
+                else:
+                    slack = left * length[i] * (1 + 1e-9) + 1
+                    about = score[i] + middle[i]
+                    sure, best = np.partition(about - slack, n - k[i])[n - k[i]], about + slack
+                alive = np.flatnonzero(best >= sure)
+                if quantum == 1 or len(alive) <= FEW:
+                    out[i] = alive
+                else:
+                    again.append(i)
+            running = np.array(again, int)
+            if not len(running):
+                break
+        return out
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -114,14 +120,16 @@ def block_top(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, r
     order = np.argsort(row_ids, kind="stable")
     row_ids, rows = row_ids[order], rows[order]
     index, out = ImpactIndex(rows), []
-    for query_id, q in zip(query_ids, queries):
-        # Its own rows may be members, so as many more are asked for.
-        own = int((row_ids == query_id).sum())
-        alive = index.possible(q, min(k + own, len(rows)))
-        alive = alive[row_ids[alive] != query_id]
-        exact = rows[alive] @ q
-        best = np.lexsort((row_ids[alive], -exact))[:k]
-        out += [(int(query_id), int(row_ids[alive[b]]), int(exact[b])) for b in best]
+    # Its own rows may be members, so as many more are asked for.
+    own = np.searchsorted(row_ids, query_ids, "right") - np.searchsorted(row_ids, query_ids, "left")
+    for lo in range(0, len(query_ids), CHUNK):
+        ids, part = query_ids[lo : lo + CHUNK], queries[lo : lo + CHUNK]
+        possible = index.possible(part, np.minimum(k + own[lo : lo + CHUNK], len(rows)))
+        for query_id, q, alive in zip(ids, part, possible):
+            alive = alive[row_ids[alive] != query_id]
+            exact = rows[alive] @ q
+            best = np.lexsort((row_ids[alive], -exact))[:k]
+            out += [(int(query_id), int(row_ids[alive[b]]), int(exact[b])) for b in best]
     return out
 
 
