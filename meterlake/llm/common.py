@@ -91,3 +91,33 @@ def hashed_sample(df: DataFrame, key: str, most: int, h: str = "h") -> DataFrame
     counts = df.groupBy(key).agg(F.count("*").alias("__n"))
     low = df.join(small(counts, 64), key).where(F.col(h) / 2.0**64 + 0.5 <= 4.0 * most / F.col("__n")).drop("__n")
     return low.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(h, "doc_id"))).where(F.col("k") <= most)
+
+
+#: Bits of a membership filter, however many keys it holds; with very many keys it lets all pass.
+FILTER_BITS = 1 << 26
+
+
+def membership(keys: DataFrame, *cols: str):
+    """A broadcast bitmap of FILTER_BITS bits that holds the hash of each key; 8 MB at most."""
+    bit = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    words = keys.groupBy((bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(cols)}), 64) as int))")).alias("b")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+
+def held_rows(held, hashes: pa.Array) -> np.ndarray:
+    """Which hashes (xxhash64 of a key) may be in the bitmap; all that are in it are among them."""
+    at = hashes.to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
+    return (held.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def only_held(df: DataFrame, held, *cols: str) -> DataFrame:
+    """The rows of df whose key may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held_rows(held, batch.column("__key"))))
+
+    keyed = df.withColumn("__key", F.xxhash64(*cols))
+    return keyed.mapInArrow(run, keyed.schema).drop("__key")

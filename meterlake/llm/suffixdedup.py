@@ -9,22 +9,23 @@ The arrays are sparse and sorted by fingerprint. Of the suffixes of every LENGTH
 8 bytes hash smallest (the last of equals) among the first LENGTH - CORE + 1 is an anchor; equal
 strings have the same anchor at the same place, so any repeated string shows as two anchors that agree
 in their first CORE bytes. An entry holds 64-bit fingerprints of these CORE bytes (the sort key) and
-of the anchor's whole context, LENGTH - CORE bytes more on either side. Full lexicographic arrays over
+of the anchor's context, i.e. of all that the strings with this anchor reach. Full lexicographic arrays over
 every byte would move each suffix's bytes through the shuffle, over a hundred times the input.
 
 Long matches are then exact: anchors whose context repeats are covered whole. Where anchors agree in
-their core but not in the context, one of each distinct context is refined in two steps, CELL shifts
-at a time and then shift by shift, by 128-bit fingerprints of the strings themselves; only shifts
-whose common part repeats reach the second step. The refined shifts go back to all members.
+their core but not in the context, one of each distinct context is refined by 128-bit fingerprints of the
+strings themselves, first CELL shifts at a time: a cell whose whole reach repeats is covered, one
+whose windows have nothing repeated in common is done. The others, one for each distinct reach, are
+compared shift by shift. A context that repeats is covered anyway and only lends its shifts.
 
 Scale: what is shuffled is a few dozen bytes per LENGTH/3 bytes of text, plus refined shifts at the
 edges of matches. Counting is by fingerprint with partial aggregation; no group's members meet each
-other. Texts are scanned three times and stay where they are while the tables joined to them are
-proven small; else they are shuffled by document.
+other. Texts are scanned again for refining and cutting; a bitmap of fixed size lets only those be
+shuffled that may have something to refine or to cut.
 
 Defined results: null texts are empty; strings never cross documents; occurrences may overlap, also
 with themselves; texts shorter than LENGTH are kept whole; rows that repeat id and text are two
-documents whose strings all repeat; null ids are ids of their own per text; an empty table gives no
+documents whose strings all repeat; rows with a null id are told apart by their texts; an empty table gives no
 rows; extra columns are not read.
 """
 
@@ -38,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, flat_bytes, small, slices, stored, table
+from .common import flat_bytes, held_rows, membership, only_held, slices, small, stored, table
 from .hashing import RangeHash, mix
 
 LENGTH = 400
-CORE = 128
+CORE = 64
 #: Shifts between a window and its anchor run from 0 to SHIFTS - 1.
 SHIFTS = LENGTH - CORE + 1
-CELL = 34
-BATCHES = 4
+CELL = 48
+BATCHES = 3
 BATCH_BYTES = 2 << 20
 _POSITION = np.uint64((1 << 26) - 1)
 
@@ -63,66 +64,73 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place in data) of each row's anchors; rows shorter than `length` have none."""
-    shifts, found = length - core + 1, []
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
+    """(row, place in data, first, last) of each row's anchors; rows shorter than `length` have none.
+
+    first and last: the starts of the strings of `length` bytes whose anchor it is; they are a run.
+    """
+    shifts, chosen, began = length - core + 1, [], []
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     for lo in range(0, max(len(data) - length + 1, 0), int(_POSITION) - length):
         hi = min(lo + int(_POSITION) - length, len(data) - length + 1)  # windows lo .. hi - 1
-        part = np.ndarray((hi - lo + shifts - 1,), "<u8", padded[lo:].tobytes(), strides=(1,)).copy()
+        part = np.ndarray((hi - lo + shifts - 1,), "<u8", padded[lo : hi + shifts + 8].tobytes(), strides=(1,)).copy()
         place = _POSITION - np.arange(len(part), dtype=np.uint64)  # of equal hashes the last one wins
         least = window_minima((mix(part) & ~_POSITION) | place, shifts)
-        whole = np.searchsorted(offsets, np.arange(lo, hi), "right") == np.searchsorted(offsets, np.arange(lo, hi) + length - 1, "right")
-        found.append(np.unique((_POSITION - (least[whole] & _POSITION)).astype(np.int64)) + lo)
-    places = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return np.searchsorted(offsets, places, "right") - 1, places
+        start = np.arange(lo, hi)
+        whole = np.searchsorted(offsets, start, "right") == np.searchsorted(offsets, start + length - 1, "right")
+        chosen.append((_POSITION - (least[whole] & _POSITION)).astype(np.int64) + lo)
+        began.append(start[whole])
+    if not chosen or not sum(map(len, chosen)):
+        return (np.zeros(0, np.int64),) * 4
+    places, starts = np.concatenate(chosen), np.concatenate(began)
+    at = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    last = np.concatenate([at[1:] - 1, [len(places) - 1]])
+    return np.searchsorted(offsets, places[at], "right") - 1, places[at], starts[at], starts[last]
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key (d, t) of the row that is the same whenever the row is read again."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.hash("text").alias("t"))
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """d, t, p (anchor), core, context, left, right: an entry of the sparse suffix array per anchor.
+    """d, t, place, core, context: an entry of the sparse suffix array per anchor.
 
-    `left` and `right` are the bytes of the context on both sides, less at a document's ends.
+    `place` packs the anchor and how many bytes its context, all that its own strings reach, has
+    before it and from it on: anchor * 2**20 + before * 2**10 + from.
     """
-    reach = LENGTH - CORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_bytes(batch.column("text"))
             for lo, hi in slices(offsets, BATCH_BYTES):
                 part, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                row, at = anchors(part, bounds)
-                begin, end = np.maximum(at - reach, bounds[row]), np.minimum(at + LENGTH, bounds[row + 1])
+                row, at, begin, last = anchors(part, bounds)
+                end = last + LENGTH
                 hashed = RangeHash(part)
                 core, context = hashed(at, at + CORE), hashed(begin, end)
+                place = ((at - bounds[row]) << 20) + ((at - begin) << 10) + (end - at)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("d")[lo:hi].take(take), batch.column("t")[lo:hi].take(take), pa.array((at - bounds[row]).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(context.view(np.int64)), pa.array((at - begin).astype(np.int16)), pa.array((end - at).astype(np.int16))],
-                    names=["d", "t", "p", "core", "context", "left", "right"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("d")[lo:hi].take(take), batch.column("t")[lo:hi].take(take), pa.array(place), pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], names=["d", "t", "place", "core", "context"])
 
-    return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, p int, core long, context long, left short, right short")
+    return docs.select("d", "t", "text").mapInArrow(run, "d long, t int, place long, core long, context long")
 
 
 def _suffix_array(part: DataFrame, name: str) -> DataFrame:
-    return stored(part.repartition("core").sortWithinPartitions("core"), name)
+    # Salted, so that a suffix that is everywhere is spread over several runs of the array.
+    return stored(part.repartition(F.col("core"), F.pmod(F.xxhash64("d", "place"), F.lit(16))).sortWithinPartitions("core"), name)
 
 
 def indexed(docs: DataFrame, batches: int = BATCHES) -> tuple[list[DataFrame], DataFrame]:
     """(levels of the index over docs, cores that occur twice at least)."""
-    every = stored(entries(docs).withColumn("b", F.pmod(F.xxhash64("d", "t"), F.lit(batches)).cast("int")), "suffix-entries")
     levels: list[tuple[int, DataFrame]] = []
     repeated = None
     for b in range(batches):
-        new = _suffix_array(every.where(F.col("b") == b).drop("b"), f"suffix-batch-{b}")
-        counted = new.groupBy("core").agg(F.count("*").alias("n"))
+        new = _suffix_array(entries(docs.where(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == b)), f"suffix-batch-{b}")
+        counted = new.select("core")
         for _, level in levels:  # merge-scan: cores of the batch that a level has
-            counted = counted.unionByName(level.groupBy("core").agg(F.count("*").alias("n")))
-        scan = counted.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
+            counted = counted.unionByName(level.select("core"))
+        scan = counted.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
         repeated = scan if repeated is None else repeated.unionByName(scan)
         levels.append((1, new))
         while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
@@ -131,14 +139,17 @@ def indexed(docs: DataFrame, batches: int = BATCHES) -> tuple[list[DataFrame], D
     return [level for _, level in levels], repeated.distinct()
 
 
-def _refined(texts: DataFrame, wanted: DataFrame, step: str) -> DataFrame:
-    """d, t, p, x, h1, h2: fingerprints of the strings at the shifts `x` of anchors p.
+def _by_document(cells: DataFrame) -> DataFrame:
+    """(d, t, at) of (d, t, p, x, low, high) rows."""
+    return stored(cells.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("p", "x", "low", "high"))).alias("at")), "suffix-wanted")
+
+
+def _refined(texts: DataFrame, wanted: DataFrame, cell: bool) -> DataFrame:
+    """Fingerprints of strings around anchors p, for cells of shifts x .. x + CELL - 1, of which low .. high count.
 
-    step "cell": what the CELL windows from shift x on have in common; "shift": the window at shift x.
+    cell: wanted's rows with h1, h2 of what the whole cell's strings have in common, u1, u2 of all
+    that low .. high reach. Else a row for each shift y from low to high, with h1, h2 of its string.
     """
-    n = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("at")).alias("n")).first()
-    wanted = F.broadcast(wanted) if n["rows"] * 64 + (n["n"] or 0) * 8 <= BROADCAST_BYTES else wanted
-    cell = step == "cell"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,53 +157,83 @@ def _refined(texts: DataFrame, wanted: DataFrame, step: str) -> DataFrame:
             at = batch.column("at")
             for i in range(batch.num_rows):
                 part = data[offsets[i] : offsets[i + 1]]
-                flat = at[i].values.flatten()
-                p, x = (a.to_numpy().astype(np.int64) for a in flat)
-                last = np.minimum(x + CELL - 1, SHIFTS - 1) if cell else x
-                # Windows inside the document; where there is one, what the cell has in common is inside too.
-                ok = np.maximum(x, p + LENGTH - len(part)) <= np.minimum(last, p)
-                p, x, last = p[ok], x[ok], last[ok]
-                if not len(p):
-                    continue
-                h1, h2 = RangeHash(part, 0)(p - x, p - last + LENGTH), RangeHash(part, 1)(p - x, p - last + LENGTH)
-                one = pa.array(np.full(len(p), i))
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(one), batch.column("t").take(one), pa.array(p.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["d", "t", "p", "x", "h1", "h2"])
-
-    joined = texts.join(wanted, ["d", "t"]).select("d", "t", "text", "at")
-    return joined.mapInArrow(run, "d long, t long, p int, x int, h1 long, h2 long")
+                p, x, low, high = (a.to_numpy().astype(np.int64) for a in at[i].values.flatten())
+                one, two = RangeHash(part, 0), RangeHash(part, 1)
+                if cell:
+                    # Where one string of a cell lies in the document, so does the common part.
+                    begin, end = p - high, p - low + LENGTH
+                    own = mix((low * 1024 + high).astype(np.uint64))
+                    more = [pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), *(pa.array((h(begin, end) ^ own).view(np.int64)) for h in (one, two))]
+                    begin, end = p - x, p - np.minimum(x + CELL - 1, SHIFTS - 1) + LENGTH
+                else:
+                    each = high - low + 1
+                    y = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - low, each)
+                    p, x = np.repeat(p, each), np.repeat(x, each)
+                    more = [pa.array(y.astype(np.int16))]
+                    begin, end = p - y, p - y + LENGTH
+                row = pa.array(np.full(len(p), i))
+                yield pa.RecordBatch.from_arrays([batch.column("d").take(row), batch.column("t").take(row), pa.array(p.astype(np.int32)), pa.array(x.astype(np.int16)), pa.array(one(begin, end).view(np.int64)), pa.array(two(begin, end).view(np.int64)), *more], names=["d", "t", "p", "x", "h1", "h2", *(["low", "high", "u1", "u2"] if cell else ["y"])])
+
+    # Only texts that may have something wanted are shuffled; the hash table is of the wanted side.
+    some = only_held(texts, membership(wanted, "d", "t"), "d", "t")
+    joined = some.join(wanted.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "at")
+    return joined.mapInArrow(run, "d long, t int, p int, x short, h1 long, h2 long, " + ("low short, high short, u1 long, u2 long" if cell else "y short"))
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """d, t, spans: unmerged byte spans (start, end) of repeated strings, by document."""
+    """d, t, starts, ends: unmerged byte spans of repeated strings, a row per document that has any."""
+    texts = docs.select("d", "t", "text")
     levels, repeated = indexed(docs, batches)
     repeated = small(stored(repeated, "suffix-repeated"), 16)
     candidates = levels[0]
     for level in levels[1:]:
         candidates = candidates.unionByName(level)
-    candidates = stored(candidates.join(repeated, "core", "left_semi"), "suffix-candidates")
+    p, left, right = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023), F.col("place").bitwiseAND(1023)
+    candidates = candidates.join(repeated, "core", "left_semi").select("core", "context", "d", "t", p.cast("int").alias("p"), left.cast("short").alias("left"), right.cast("short").alias("right"))
+    candidates = stored(candidates, "suffix-candidates")
     # One member of each distinct context stands for all of them.
     kind = ["core", "context", "left", "right"]
     contexts = candidates.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "p")).alias("who")).select(*kind, "n", "who.*")
     contexts = stored(contexts, "suffix-contexts")
-    several = small(stored(contexts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "suffix-several"), 16)
-    # Contexts that stand once need their shifts refined; those that repeat are covered, but lend their shifts to the others.
-    open_ = contexts.join(several, "core", "left_semi")
-    texts = docs.select("d", "t", "text")
-    cells = open_.select("d", "t", "p", F.explode(F.array(*(F.lit(x) for x in range(0, SHIFTS, CELL)))).alias("x"))
-    by_doc = lambda df: df.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("at"))
-    cells = stored(_refined(texts, stored(by_doc(cells), "suffix-cells-in"), "cell").distinct(), "suffix-cells")
-    alive = cells.groupBy("x", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("x", "h1", "h2")
-    alive = small(stored(alive, "suffix-alive"), 32)
-    shifts = cells.join(alive, ["x", "h1", "h2"], "left_semi").select("d", "t", "p", F.explode(F.sequence("x", F.least(F.col("x") + CELL, F.lit(SHIFTS)) - 1)).alias("x"))
-    shifts = stored(_refined(texts, stored(by_doc(shifts), "suffix-shifts-in"), "shift").distinct(), "suffix-shifts")
-    twice = small(stored(shifts.groupBy("x", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("x", "h1", "h2"), "suffix-twice"), 32)
-    # Windows of lone contexts; a context that repeats is covered anyway.
-    refined = shifts.join(twice, ["x", "h1", "h2"], "left_semi").select("d", "t", (F.col("p") - F.col("x")).alias("s"), (F.col("p") - F.col("x") + LENGTH).alias("e"))
     again = small(stored(contexts.where("n > 1").select(*kind), "suffix-again"), 40)
-    covered = candidates.join(again, kind, "left_semi").where(F.col("left") + F.col("right") >= LENGTH).select("d", "t", (F.col("p") - F.col("left")).alias("s"), (F.col("p") + F.col("right")).alias("e"))
-    spans = refined.unionByName(covered).groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
-    starts = F.transform("spans", lambda x: x["s"])
-    return spans.select("d", "t", starts.alias("starts"), F.transform("spans", lambda x: x["e"]).alias("ends"))
+    covered = candidates.join(again, kind, "left_semi").select("d", "t", (F.col("p") - F.col("left")).alias("s"), (F.col("p") + F.col("right")).alias("e"), F.lit(-1).cast("long").alias("mask"))
+
+    # Cells of shifts of contexts that share their core with another context.
+    several = small(stored(contexts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "suffix-several"), 16)
+    cells = contexts.join(several, "core", "left_semi").select("d", "t", "p", (F.lit(LENGTH) - F.col("right")).alias("first"), F.col("left").alias("last"), F.explode(F.array(*(F.lit(x).cast("short") for x in range(0, SHIFTS, CELL)))).alias("x"))
+    cells = cells.select("d", "t", "p", "x", F.greatest("x", "first").cast("short").alias("low"), F.least(F.col("x") + CELL - 1, "last").cast("short").alias("high")).where("low <= high")
+    cells = stored(_refined(texts, _by_document(cells), True), "suffix-cells")
+    # reach: all that a cell's strings reach; it is known by its place, so repeated rows count once
+    reaches = cells.groupBy("x", "low", "high", "h1", "h2", "u1", "u2").agg(F.min(F.struct("d", "t", "p")).alias("a"), F.max(F.struct("d", "t", "p")).alias("b"))
+    reaches = stored(reaches.select("x", "low", "high", "h1", "h2", "u1", "u2", "a.*", (F.col("a") != F.col("b")).alias("twice")), "suffix-reaches")
+    full = small(stored(reaches.where("twice").select("x", "u1", "u2"), "suffix-full"), 32)
+    filled = cells.join(full, ["x", "u1", "u2"], "left_semi").select("d", "t", (F.col("p") - F.col("high")).alias("s"), (F.col("p") - F.col("low") + LENGTH).alias("e"), F.lit(-1).cast("long").alias("mask"))
+
+    # Shift by shift: one cell of each distinct reach, where what the strings share has several.
+    mixed = small(stored(reaches.groupBy("x", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("x", "h1", "h2"), "suffix-mixed"), 32)
+    whole = reaches.join(mixed, ["x", "h1", "h2"], "left_semi").select("d", "t", "p", "x", "low", "high")
+    shifts = stored(_refined(texts, _by_document(whole), False), "suffix-shifts")
+    place = F.xxhash64("d", "t", "p")
+    twice = shifts.groupBy("y", "h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("y", "h1", "h2")
+    hit = shifts.join(small(stored(twice, "suffix-twice"), 32), ["y", "h1", "h2"], "left_semi")
+    bits = hit.groupBy("d", "t", "p", "x").agg(F.bit_or(F.expr("shiftleft(1L, y - x)")).alias("mask"))
+    bits = bits.select("d", "t", (F.col("p") - F.col("x")).alias("s"), F.lit(0).alias("e"), "mask")
+    spans = covered.unionByName(filled).unionByName(bits).groupBy("d", "t").agg(F.collect_set(F.struct("s", "e", "mask")).alias("spans"))
+
+    def expand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            runs = []
+            for one in part.column("spans"):
+                s, e, mask = (a.to_numpy().astype(np.int64) for a in one.values.flatten())
+                plain = mask < 0  # a mask has CELL bits: bit k is the window that starts k bytes before s
+                k, at = np.nonzero((mask[~plain] >> np.arange(CELL)[:, None]) & 1)
+                windows = s[~plain][at] - k
+                starts, ends = np.concatenate([s[plain], windows]), np.concatenate([e[plain], windows + LENGTH])
+                order = np.argsort(starts, kind="stable")
+                runs.append(merged(starts[order], ends[order]))
+            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array([[s for s, _ in r] for r in runs], pa.list_(pa.int32())), pa.array([[e for _, e in r] for r in runs], pa.list_(pa.int32()))], names=["d", "t", "starts", "ends"])
+
+    return spans.mapInArrow(expand, "d long, t int, starts array<int>, ends array<int>")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -207,23 +248,21 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def cut(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): a row per document."""
     keyed = _documents(docs)
-    # Compact merged runs first: what is joined to the texts is two numbers per run.
-    spans = repeated_spans(keyed, batches)
-
-    def compact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            runs = [merged(s.values.to_numpy(), e.values.to_numpy()) for s, e in zip(part.column("starts"), part.column("ends"))]
-            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array([[s for s, _ in r] for r in runs], pa.list_(pa.int32())), pa.array([[e for _, e in r] for r in runs], pa.list_(pa.int32()))], names=["d", "t", "starts", "ends"])
-
-    spans = stored(spans.mapInArrow(compact, "d long, t long, starts array<int>, ends array<int>"), "suffix-spans")
-    size = spans.agg((F.count("*") * 64 + F.coalesce(F.sum(F.size("starts")), F.lit(0)) * 8).alias("n")).first()["n"]
-    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
-    both = keyed.join(spans, ["d", "t"], "left").select("doc_id", "text", "starts", "ends")
+    spans = stored(repeated_spans(keyed, batches), "suffix-spans")
+    held = membership(spans, "d", "t")
+    # A text that the filter does not hold has no span and is done where it lies.
+    some = only_held(keyed, held, "d", "t").join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "text", "starts", "ends")
+    plain = keyed.select("doc_id", "text", F.xxhash64("d", "t").alias("__key"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, starts, ends in zip(part.column("text"), part.column("starts").to_pylist(), part.column("ends").to_pylist()):
+            if "__key" in part.schema.names:
+                part = part.filter(pa.array(~held_rows(held, part.column("__key"))))
+                spans = [(None, None)] * part.num_rows
+            else:
+                spans = zip(part.column("starts").to_pylist(), part.column("ends").to_pylist())
+            for text, (starts, ends) in zip(part.column("text"), spans):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 out, at = [], 0
                 for s, e in zip(starts or (), ends or ()):
@@ -236,7 +275,8 @@ def cut(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 n_spans.append(len(starts or ()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    return plain.mapInArrow(run, schema).unionByName(some.mapInArrow(run, schema))
 
 
 def op8_suffixdedup(spark, sf_dir: str) -> DataFrame:
@@ -245,10 +285,8 @@ def op8_suffixdedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-with raw as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-spot as (
-  select doc_id, i, hash(substr(x, 2 * i + 1, 800)) as h
-  from raw, unnest(range(0, cast(length(x) / 2 as bigint) - 399)) t(i)),
+with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
+spot as (select doc_id, i, hash(b[i + 1:i + 400]) as h from raw, unnest(range(0, octet_length(b) - 399)) t(i)),
 twice as (select h from spot group by h having count(*) > 1),
 hit as (select doc_id, i from spot semi join twice using (h)),
 edge as (
@@ -256,12 +294,10 @@ edge as (
 grp as (select doc_id, i, sum(jump) over (partition by doc_id order by i) as g from edge),
 span as (select doc_id, g, min(i) as s, max(i) + 400 as e from grp group by doc_id, g),
 gap as (
-  select doc_id, coalesce(lag(e) over (partition by doc_id order by s), 0) as a, s as b from span
+  select doc_id, coalesce(lag(e) over (partition by doc_id order by s), 0) as a, s as z from span
   union all select doc_id, max(e), 1000000000 from span group by doc_id),
-kept as (
-  select doc_id, string_agg(substr(x, 2 * a + 1, 2 * least(b, cast(length(x) / 2 as bigint)) - 2 * a), '' order by a) as k from gap join raw using (doc_id) group by doc_id),
+kept as (select doc_id, string_agg(hex(b[a + 1:least(z, octet_length(b))]), '' order by a) as k from gap join raw using (doc_id) group by doc_id),
 num as (select doc_id, sum(e - s) as n, count(*) as c from span group by doc_id)
-select doc_id, cast(length(x) / 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(c, 0) as n_spans,
-  sha256(unhex(coalesce(k, x))) as kept_sha256
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(c, 0) as n_spans, sha256(coalesce(unhex(k), b)) as kept_sha256
 from raw left join num using (doc_id) left join kept using (doc_id)
 """
