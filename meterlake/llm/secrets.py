@@ -38,8 +38,9 @@ CLASSES = {
 #: Candidates that are no secrets: UUIDs, paths and identifiers of plain words, rulers, one-case words.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z][a-z]*(?:[/_=-]+[A-Za-z]?[a-z]*)*"),
-    re.compile(r"[A-Z]+(?:[/_=-]+[A-Z]*)*"),
+    # A word follows each run of separators but the last: one way to match, so time is linear.
+    re.compile(r"[A-Za-z][a-z]*(?:[/_=-]+(?:[A-Z][a-z]*|[a-z]+))*[/_=-]*"),
+    re.compile(r"[A-Z]+(?:[/_=-]+[A-Z]+)*[/_=-]*"),
     re.compile(r"[0-9/_=+-]+"),
 )
 
