@@ -1,6 +1,6 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
-Vectors are quantised to integers. Rows are dealt into blocks by a hash of their id. A block's index
+Vectors are quantised to integers. Rows are dealt into blocks by a hash of their number. A block's index
 splits every impact (a row's component in a dimension) into digits of descending quanta; a posting
 segment holds the digits of one quantum in one dimension. Queries take the segments by descending
 quantum and add their products to accumulators. After each quantum the part not yet taken is bounded,
@@ -10,13 +10,13 @@ block's best k are merged per query.
 
 Scale: queries are dealt into blocks of their own; each (query block, row block) pair is one task
 that holds QUERY_BLOCK queries and ROW_BLOCK rows at most on average, whatever the input. Rows are
-copied once per query block: the work of a stated query set against all rows, in blocks. Only
+stored once with their numbers and copied once per query block: the work of a stated query set against all rows, in blocks. Only
 k rows per query and row block are shuffled again.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part,
 nor do rows with a null id; a dimension one vector has and another lacks counts as 0; ties go to
 the smaller vec_id; a row that repeats an id is a candidate for other ids only (a query's own id is
-never its candidate) and repeated query rows are one query, the one with the smallest vector; an
+never its candidate), each copy of a row is a candidate and takes a rank, and repeated query rows are one query, the one with the smallest vector; an
 empty table gives no rows; extra columns are not read.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 K = 5
 SCALE = 256
@@ -136,13 +136,14 @@ def block_top(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, r
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for (id, v) queries against (id, v) rows."""
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
+    # A row's number is stored once, so that copies spread over the blocks and a task that runs again deals alike.
+    rows = stored(rows.select("id", "v", F.monotonically_increasing_id().alias("row")), "topk-rows")
     counts = rows.select(F.lit(0).alias("q"), F.size("v").alias("d")).unionByName(queries.select(F.lit(1).alias("q"), F.size("v").alias("d"))).groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect()
     n = {r["q"]: r["n"] for r in counts}
     dims = max([r["d"] for r in counts], default=1)
     row_blocks, query_blocks = -(-n.get(0, 0) // ROW_BLOCK) or 1, -(-n.get(1, 0) // QUERY_BLOCK) or 1
-    # (dealt by a hash and the row's own content, so copies of one id spread as well)
     left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    right = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(row_blocks)).cast("int").alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = rows.select("id", "v", F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         found = []
@@ -153,7 +154,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     tasks = row_blocks * query_blocks
     both = left.repartition(tasks, "qb", "rb").groupBy("qb", "rb").cogroup(right.repartition(tasks, "qb", "rb").groupBy("qb", "rb")).applyInArrow(best, "query_id long, vec_id long, score long")
-    ranked = both.distinct().withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
