@@ -6,15 +6,15 @@ sources alike) to 1 (as they are), is the smallest for which no source repeats m
 budget is what the scarcest source of that mix needs to be read once, so every document is taken at
 least once, unless a smaller budget is given.
 
-Weights are realised as permutations of blocks: a source's documents are dealt into blocks by hash;
-each pass over the source (an epoch) takes its blocks in an order of its own, and within a block the
+Weights are realised as permutations of blocks: a source's documents are dealt into blocks of about
+BLOCK_DOCS by hash, the same in every pass; each pass over the source (an epoch) takes its blocks in an order of its own, and within a block the
 documents in an order of their own, until the source's tokens are spent. A document is taken in the
 last pass when the tokens before it in that order are less than what is left.
 
 Scale: texts are scanned twice and never shuffled; what is ordered are ids with token counts, and as
 what the last pass takes is a beginning of its order, the texts only need each source's cut. Order and running sums never bring a
-source together: documents sum up within blocks of about BLOCK_DOCS, blocks within groups of about
-BLOCK_DOCS blocks, and so on, level by level until a source is a single group; a task sees one group
+source together: documents sum up within groups of about BLOCK_DOCS (whole blocks), those within groups of about
+BLOCK_DOCS groups, and so on, level by level until a source is a single group; a task sees one group
 of one level. The driver holds the sums of the sources, one row each.
 
 Defined results: a null source is a source of its own; tokens are runs of what is no whitespace; null
@@ -121,23 +121,25 @@ def allotted(tokens: dict, max_repeats: float = MAX_REPEATS, target_entropy: flo
     return {s: max(n if budget is None else 0, round(spend * w[s])) if n else 0 for s, n in tokens.items()}
 
 
-def _running(docs: DataFrame, keys: list[str], order: list, value: str, name: str, group_rows: int) -> DataFrame:
+def _running(docs: DataFrame, keys: list[str], order: list, value: str, name: str, group_rows: int, level: int = 0) -> DataFrame:
     """docs with `before`: the sum of `value` over the rows of the same keys that stand before.
 
     `docs` holds h, the place in the order as a long (equal ones further ordered by `order`). Its
-    leading bits deal the rows into groups; group sums run through the same function.
+    leading bits deal the rows into groups; group sums run through the same function, where the group
+    of the level below is a column of the rows, so each level names its own.
     """
+    own = f"__g{level}"
     count = docs.groupBy(*keys).agg(F.count("*").alias("__n"))
     most = count.agg(F.max("__n")).first()[0] or 0
     if most <= 4 * group_rows:
         return docs.withColumn("before", F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy("h", *order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     bits = min(62, math.ceil(math.log2(most / group_rows)))
-    dealt = stored(docs.withColumn("__g", F.shiftright("h", 64 - bits)), f"mixing-{name}")
-    sums = dealt.groupBy(*keys, "__g").agg(F.sum(value).alias("__v")).withColumn("h", F.shiftleft(F.col("__g"), 64 - bits))
-    above = _running(stored(sums, f"mixing-{name}-sums"), keys, ["__g"], "__v", name + "-up", group_rows).select(*keys, "__g", F.col("before").alias("__a"))
-    inner = F.coalesce(F.sum(value).over(W.partitionBy(*keys, "__g").orderBy("h", *order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    on = [*keys, "__g"]
-    return dealt.withColumn("before", inner).join(small(above, 64), on).withColumn("before", F.col("before") + F.col("__a")).drop("__g", "__a")
+    dealt = stored(docs.withColumn(own, F.shiftright("h", 64 - bits)), f"mixing-{name}")
+    sums = dealt.groupBy(*keys, own).agg(F.sum(value).alias("__v")).withColumn("h", F.shiftleft(F.col(own), 64 - bits))
+    above = _running(stored(sums, f"mixing-{name}-sums"), keys, [own], "__v", name + "-up", group_rows, level + 1).select(*keys, own, F.col("before").alias("__a"))
+    inner = F.coalesce(F.sum(value).over(W.partitionBy(*keys, own).orderBy("h", *order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    on = [*keys, own]
+    return dealt.withColumn("before", inner).join(small(above, 64), on).withColumn("before", F.col("before") + F.col("__a")).drop(own, "__a")
 
 
 def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -145,18 +147,22 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float
     spark, columns = docs.sparkSession, docs.columns
     named = {"s": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "t": F.xxhash64(F.lit(seed), "text")}
     slim = stored(with_tokens(docs.select(*(v.alias(k) for k, v in named.items()), "text")), "mixing-slim")
-    sums = {r["s"]: r["n"] for r in slim.groupBy("s").agg(F.sum("tokens").alias("n")).collect()}
-    take = allotted(sums, max_repeats, target_entropy, budget)
-    plan = small(spark.createDataFrame([(s, take[s] // n if n else 1, take[s] % n if n else 0) for s, n in sums.items()], "s string, passes long, rest long"), 64)
-    place = F.xxhash64(F.lit(seed), "s", F.col("passes").cast("string"), "id", "t")
+    sums = {r["s"]: r for r in slim.groupBy("s").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()}
+    take = allotted({s: r["n"] for s, r in sums.items()}, max_repeats, target_entropy, budget)
+    plan = small(spark.createDataFrame([(s, take[s] // r["n"] if r["n"] else 1, take[s] % r["n"] if r["n"] else 0, -(-r["docs"] // block_docs)) for s, r in sums.items()], "s string, passes long, rest long, blocks long"), 64)
+    # Blocks are the same in every pass; their order and that of the documents in them are the pass's.
+    block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "s", "id", "t"), "blocks")
+    a_pass = F.col("passes").cast("string")
+    placed = lambda df: df.withColumn("b", block).withColumns({"h": F.xxhash64(F.lit(seed), "s", a_pass, "b"), "o": F.xxhash64(F.lit(seed), "s", a_pass, "id", "t")})
+    place = ["h", "b", "o", "id", "t"]
     # The last pass, where a source has a part of one left: what is taken are the first in its order.
-    last = slim.join(plan, "s").where("rest > 0").withColumn("h", place).groupBy("s", "id", "t", "h", "rest").agg(F.sum("tokens").alias("tokens"))
-    last = _running(last, ["s"], ["id", "t"], "tokens", "last", block_docs).where("before < rest")
-    until = stored(last.groupBy("s").agg(F.max(F.struct("h", "id", "t")).alias("until")), "mixing-until")
-    plan = stored(plan.join(small(until, 64), "s", "left"), "mixing-plan")
+    last = placed(slim.join(plan, "s").where("rest > 0")).groupBy("s", *place, "rest").agg(F.sum("tokens").alias("tokens"))
+    last = _running(last, ["s"], place[1:], "tokens", "last", max(block_docs, 2)).where("before < rest")
+    until = stored(last.groupBy("s").agg(F.max(F.struct(*place)).alias("until")), "mixing-until")
+    plan = stored(plan.join(small(until, 80), "s", "left"), "mixing-plan")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *(v.alias(k) for k, v in named.items()))
-    both = whole.join(small(plan, 128), "s").withColumn("h", place)
-    copies = F.col("passes") + F.when(F.struct("h", "id", "t") <= F.col("until"), 1).otherwise(0)
+    both = placed(whole.join(small(plan, 144), "s"))
+    copies = F.col("passes") + F.when(F.struct(*place) <= F.col("until"), 1).otherwise(0)
     return both.where(copies > 0).select(*(F.col("row").getField(c).alias(c) for c in columns), copies.cast("long").alias("copies"))
 
 
