@@ -89,8 +89,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, core: i
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key (d, t) of the row that is the same whenever the row is read again."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.hash("text").alias("t"))
+    """doc_id, text and a key (d, t) of the row that is the same whenever the row is read again.
+
+    t is a 64-bit hash of the text; rows without an id, however many, have another one as d.
+    """
+    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(17), "text")).alias("d"), F.xxhash64("text").alias("t"))
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def entries(docs: DataFrame) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column("d")[lo:hi].take(take), batch.column("t")[lo:hi].take(take), pa.array(place), pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], names=["d", "t", "place", "core", "context"])
 
-    return docs.select("d", "t", "text").mapInArrow(run, "d long, t int, place long, core long, context long")
+    return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, place long, core long, context long")
 
 
 def _suffix_array(part: DataFrame, name: str) -> DataFrame:
@@ -177,7 +180,7 @@ def _refined(texts: DataFrame, wanted: DataFrame, cell: bool) -> DataFrame:
     # Only texts that may have something wanted are shuffled; the hash table is of the wanted side.
     some = only_held(texts, membership(wanted, "d", "t"), "d", "t")
     joined = some.join(wanted.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "at")
-    return joined.mapInArrow(run, "d long, t int, p int, x short, h1 long, h2 long, " + ("low short, high short, u1 long, u2 long" if cell else "y short"))
+    return joined.mapInArrow(run, "d long, t long, p int, x short, h1 long, h2 long, " + ("low short, high short, u1 long, u2 long" if cell else "y short"))
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -233,7 +236,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 runs.append(merged(starts[order], ends[order]))
             yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array([[s for s, _ in r] for r in runs], pa.list_(pa.int32())), pa.array([[e for _, e in r] for r in runs], pa.list_(pa.int32()))], names=["d", "t", "starts", "ends"])
 
-    return spans.mapInArrow(expand, "d long, t int, starts array<int>, ends array<int>")
+    return spans.mapInArrow(expand, "d long, t long, starts array<int>, ends array<int>")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
