@@ -5,8 +5,9 @@ phrases, each the longest match that occurs in the training text; the language w
 the fewest bits per byte (phrases * log2 of the positions a phrase can point at) wins.
 
 Scale: one map over the documents, no shuffle. Fitting reads a bounded sample: for each language at
-most `SAMPLE_DOCS` labelled rows with the smallest hashes, of whose normalised text SAMPLE_BYTES are
-taken. Only that text is broadcast. Documents are cut into pieces of PIECE bytes that are parsed side
+most `SAMPLE_DOCS` labelled rows with the smallest hashes, whatever their length. Of a long text a
+piece at a hashed offset is read; SAMPLE_BYTES of normalised text are shared out evenly among the rows,
+and what short ones leave goes to longer ones. Only that text is broadcast. Documents are cut into pieces of PIECE bytes that are parsed side
 by side as numpy vectors, so a very long text costs what many short ones cost; each piece starts a
 phrase anew, in every language alike, and every byte is parsed.
 
@@ -17,18 +18,19 @@ every document is `und`; repeated rows are judged alike; extra columns are not r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import flat_bytes, hashed_sample, held_out, slices, table
 
 SAMPLE_DOCS = 256
 SAMPLE_BYTES = 32_000
-#: Sampled rows are no longer than this, so that a sample holds many texts.
+#: Of a longer text a piece of this length is read, or of what SAMPLE_BYTES makes a row if rows are few.
 SAMPLE_TEXT = 8_000
 PIECE = 2_048
 BATCH_BYTES = 4 << 20
@@ -109,16 +111,27 @@ class ByteAutomaton:
 
 def train(docs: DataFrame, labels_col: str = "lang") -> dict[str, bytes]:
     """Bounded training text per language, from rows that are not held out."""
-    n = F.length("text")
-    usable = docs.where(~held_out() & F.col(labels_col).isNotNull() & (n > 0) & (n <= SAMPLE_TEXT)).select(F.col(labels_col).alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    usable = docs.where(~held_out() & F.col(labels_col).isNotNull() & (F.length("text") > 0)).select(F.col(labels_col).alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h"), "text")
     # Ids are ranked without their texts.
     chosen = hashed_sample(usable.select("lang", "doc_id", "h"), "lang", SAMPLE_DOCS).select("lang", "doc_id").distinct()
-    rows = usable.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"])
-    out = {}
-    for lang, texts in rows.groupby("lang")["text"]:
-        raw = np.frombuffer(" ".join(texts).encode(), np.uint8)
-        out[lang] = normalise(raw, np.array([0, len(raw)]))[0][:SAMPLE_BYTES].tobytes()
-    return out
+    room = F.greatest(F.lit(SAMPLE_TEXT), F.ceil(SAMPLE_BYTES / F.count("*").over(W.partitionBy("lang")))).cast("int")
+    chosen = chosen.withColumn("room", room)
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.col("room") + 1, F.lit(1))).cast("int") + 1
+    pieces = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "h", "doc_id").agg(F.min(F.substring(F.col("text"), at, F.col("room"))).alias("text"))
+    rows = pieces.toPandas().sort_values(["lang", "h", "text"])
+    return {lang: shared_out(part["text"], part["h"]) for lang, part in rows.groupby("lang")}
+
+
+def shared_out(texts: Iterable[str], hashes: Iterable[int], most: int = SAMPLE_BYTES) -> bytes:
+    """`most` bytes of normalised texts, as evenly of each as their lengths allow, from hashed offsets."""
+    data = [normalise(raw, np.array([0, len(raw)]))[0] for raw in (np.frombuffer(t.encode(), np.uint8) for t in texts)]
+    sizes = np.array([len(d) for d in data])
+    low, high = 0, int(sizes.max(initial=0))
+    while low < high:  # the largest share that fits, with a space after each
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if (np.minimum(sizes, mid) + 1).sum() <= most + 1 else (low, mid - 1)
+    begins = [h % (max(len(d) - low, 0) + 1) for h, d in zip(hashes, data)]
+    return b" ".join(d[b : b + low].tobytes() for b, d in zip(begins, data))
 
 
 _cache: dict[tuple, list[tuple[str, ByteAutomaton]]] = {}
