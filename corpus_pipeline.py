@@ -28,8 +28,8 @@ def good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def once(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut; documents that were nothing else go."""
-    cut = linededup.dedup_lines(docs)
+    """Later repeats of runs of lines, and of long passages on fewer lines, are cut; documents that were nothing else go."""
+    cut = linededup.dedup_lines(docs, words=linededup.LONG_WORDS)
     return _measured(cut.where("n_removed = 0 or n_removed < n_lines").select(*docs.columns))
 
 

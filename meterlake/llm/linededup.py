@@ -5,7 +5,9 @@ equal ones) as fingerprint. Two equal runs of WINDOW lines select the same line,
 repeats shares a fingerprint for certain. Positions whose fingerprint stands at one place only are
 done. Around every other one the match is extended line by line to both sides: all runs of WINDOW
 lines that hold the fingerprint are compared with the first place of the same run, and a run that
-has an earlier place is deleted. Runs that overlap or touch are one deleted span.
+has an earlier place is deleted. Runs that overlap or touch are one deleted span. With `words`, shorter
+runs (one line up to WINDOW - 1) of at least that many words are runs too, found and joined alike; the
+registered query is what its SQL says, runs of WINDOW lines, and the pipeline asks for LONG_WORDS.
 
 Scale: only DataFrame functions. Texts are read twice and not shuffled as long as the table of
 deleted spans is proven small, else joined by document. Fingerprints and runs are counted before they
@@ -13,7 +15,7 @@ are joined; positions are joined to the first place of their run, never to each
 joins have a plain exchange on both sides, so that Spark splits a run that is everywhere.
 
 Defined results: lines are what newlines separate, compared without spaces around them; null text
-has no lines and stays null; documents of fewer than WINDOW lines are left alone; earlier means
+has no lines and stays null; documents of fewer than WINDOW lines are left alone, unless they hold a run of `words`; earlier means
 smaller doc_id (null first), then position; rows that repeat id and text are one document and get
 one decision; an empty table gives no rows; other columns are carried along unread.
 """
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, small, stored, table
 
 WINDOW = 3
+#: Words from which on a single line or two lines are a run as well, where asked for.
+LONG_WORDS = 50
 _LOWEST = -(2**63)
 
 
@@ -34,24 +38,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)), "__t": F.xxhash64("text")})
 
 
-def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """d, t, i (first line), m (fingerprint's line), fp and a 128-bit key of every run of `window` lines."""
-    lines = F.transform(F.split("text", "\n", -1), F.trim)
-    hashed = _keyed(docs).select(F.col("__d").alias("d"), F.col("__t").alias("t"), lines.alias("l")).where(F.size("l") >= window).select("d", "t", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.xxhash64(F.lit(17), x)).alias("g"))
+def _runs(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
+    """d, t, i (first line), m (fingerprint's line), fp, a 128-bit key and w (lines) of every run."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))  # F.trim itself would take the place as what to trim
+    hashed = _keyed(docs).select(F.col("__d").alias("d"), F.col("__t").alias("t"), lines.alias("l")).where(F.size("l") >= (1 if words else window))
+    n_words = [F.transform("l", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+")))).alias("c")] if words else []
+    hashed = hashed.select("d", "t", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.xxhash64(F.lit(17), x)).alias("g"), *n_words)
 
-    def run(i):
-        part = F.slice(F.col("h"), i + 1, window)
+    def run(i, w):
+        part = F.slice(F.col("h"), i + 1, w)
         fp = F.array_min(part)
         # Counted from the end: the last of equal minima.
-        m = i + window - F.array_position(F.reverse(part), fp)
-        return F.struct(i.alias("i"), m.cast("int").alias("m"), fp.alias("fp"), F.xxhash64(part).alias("k1"), F.xxhash64(F.slice(F.col("g"), i + 1, window)).alias("k2"))
+        m = i + w - F.array_position(F.reverse(part), fp)
+        return F.struct(i.alias("i"), m.cast("int").alias("m"), fp.alias("fp"), F.xxhash64(part).alias("k1"), F.xxhash64(F.slice(F.col("g"), i + 1, w)).alias("k2"), F.lit(w).alias("w"))
 
-    return hashed.select("d", "t", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - window), run)).alias("r")).select("d", "t", "r.*")
+    def short(w):
+        # A fingerprint is of runs of one length.
+        long = lambda i: F.aggregate(F.slice(F.col("c"), i + 1, w), F.lit(0), lambda a, x: a + x) >= words
+        starts = F.filter(F.sequence(F.lit(0), F.size("h") - w), long)
+        return F.when(F.size("h") >= w, F.transform(starts, lambda i: run(i, w).withField("fp", F.xxhash64(F.lit(w), run(i, w)["fp"]))))
 
+    whole = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: run(i, window))
+    if words:
+        none = F.filter(F.transform(F.sequence(F.lit(0), F.lit(0)), lambda i: run(i, window)), lambda _: F.lit(False))
+        whole = F.concat(F.when(F.size("h") >= window, whole).otherwise(none), *(F.coalesce(short(w), none) for w in range(1, window)))
+    return hashed.select("d", "t", F.explode(whole).alias("r")).select("d", "t", "r.*")
 
-def deleted_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def deleted_spans(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """d, t, starts, ends: the merged spans of lines to delete, a row per document that has any."""
-    runs = stored(_runs(docs, window), "linededup-runs")
+    runs = stored(_runs(docs, window, words), "linededup-runs")
     # fp selected at two different places at least; places are told apart by min and max
     place = F.struct("d", "t", "m")
     again = runs.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
@@ -61,15 +77,19 @@ def deleted_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = near.groupBy("k1", "k2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("k1", "k2", "a")
     first = small(stored(first, "linededup-first"), 64)
     later = near.join(first, ["k1", "k2"]).where(F.struct("d", "t", "i") > F.col("a"))
-    found = later.groupBy("d", "t").agg(F.array_sort(F.collect_set("i")).alias("s"))
+    gone = F.collect_set("i")
+    if words:  # runs of several lengths: line by line
+        gone = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("i", "w")), lambda x: F.sequence(x["i"], x["i"] + x["w"] - 1))))
+        window = 1
+    found = later.groupBy("d", "t").agg(F.array_sort(gone).alias("s"))
     starts = F.filter("s", lambda x, k: (k == 0) | (x > F.get("s", k - 1) + window))
     ends = F.filter("s", lambda x, k: (k == F.size("s") - 1) | (F.get("s", k + 1) > x + window))
     return found.select("d", "t", starts.alias("starts"), F.transform(ends, lambda x: x + window).alias("ends"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """docs, all columns, with the later repeated runs cut from text; adds n_lines and n_removed."""
-    spans = stored(deleted_spans(docs, window), "linededup-spans")
+    spans = stored(deleted_spans(docs, window, words), "linededup-spans")
     size = spans.agg((F.count("*") * 48 + F.coalesce(F.sum(F.size("starts")), F.lit(0)) * 16).alias("n")).first()["n"]
     spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     columns = docs.columns
