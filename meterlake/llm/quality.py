@@ -1,8 +1,9 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
 A text becomes counts of hashed terms: trigrams of its character-class outline (letters of a run
-count once) and whether words repeat the word before. Log counts, weighted by inverse document
-frequency and scaled to length one, are projected on the leading singular vectors of a bounded
+count once), whether words repeat the word before, and its vocabulary: words and the byte trigrams in
+them, in lower case. Log counts, weighted by inverse document frequency and scaled so that outline and
+vocabulary are of one length, as is the whole, are projected on the leading singular vectors of a bounded
 labelled sample. The sample's vectors are broadcast; every document takes exact cosine products with
 all of them, in blocks, and its NEIGHBOURS nearest vote with their labels, weighted by similarity.
 
@@ -29,14 +30,16 @@ from pyspark.sql import functions as F
 from .common import flat_bytes, hashed_sample, held_out, slices, table
 from .hashing import RangeHash, mix, spans
 
-TERMS = 1_024
+#: Terms of the outline, of words and of trigrams in words.
+OUTLINES, WORDS, GRAMS = 1_024, 2_048, 1_024
+TERMS = OUTLINES + WORDS + GRAMS
 RANK = 48
 SAMPLE_PER_LABEL = 1_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 SHARPNESS = 8
 BATCH_BYTES = 4 << 20
-BLOCK = 512
+BLOCK = 128
 
 #: Character classes: letter runs are outlines, each symbol is a class of its own.
 _CLASS = np.array([1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b == 32 else b + 8 for b in range(256)], np.uint64)
@@ -53,22 +56,32 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         first[1:] = (kinds[1:] != kinds[:-1]) | (row[1:] != row[:-1]) | (kinds[1:] > 3)
         kinds, owner = kinds[first], row[first]
         if len(kinds) > 2:
-            gram = mix(kinds[:-2] * np.uint64(1 << 20) + kinds[1:-1] * np.uint64(1 << 10) + kinds[2:]) % np.uint64(TERMS - 4)
+            gram = mix(kinds[:-2] * np.uint64(1 << 20) + kinds[1:-1] * np.uint64(1 << 10) + kinds[2:]) % np.uint64(OUTLINES - 4)
             same = owner[:-2] == owner[2:]
             counts += np.bincount(owner[:-2][same] * TERMS + gram[same].astype(np.int64), minlength=n * TERMS)
         starts, ends = spans(_CLASS[data] < 4, offsets)
         if len(starts):
             word, of = RangeHash(data)(starts, ends), row[starts]
-            counts += np.bincount(of * TERMS + TERMS - 4, minlength=n * TERMS)
+            counts += np.bincount(of * TERMS + OUTLINES - 4, minlength=n * TERMS)
             again = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
-            counts += 4 * np.bincount(of[1:][again] * TERMS + TERMS - 3, minlength=n * TERMS)
+            counts += 4 * np.bincount(of[1:][again] * TERMS + OUTLINES - 3, minlength=n * TERMS)
             capital = _CLASS[data[ends - 1]] == 2
-            counts += np.bincount(of[capital] * TERMS + TERMS - 2, minlength=n * TERMS)
+            counts += np.bincount(of[capital] * TERMS + OUTLINES - 2, minlength=n * TERMS)
+            lower = np.where(_CLASS[data] == 2, data | 32, data).astype(np.uint8)
+            word = RangeHash(lower)(starts, ends) % np.uint64(WORDS)
+            counts += np.bincount(of * TERMS + OUTLINES + word.astype(np.int64), minlength=n * TERMS)
+            inside = _CLASS[data] < 4
+            at = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:] & (row[:-2] == row[2:]))
+            a, b, c = (lower[at + k].astype(np.uint64) for k in range(3))
+            gram = mix(a * np.uint64(1 << 16) + b * np.uint64(1 << 8) + c) % np.uint64(GRAMS)
+            counts += np.bincount(row[at] * TERMS + OUTLINES + WORDS + gram.astype(np.int64), minlength=n * TERMS)
     return counts.reshape(n, TERMS)
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts) * idf
+    for part in (x[:, :OUTLINES], x[:, OUTLINES:]):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
@@ -86,8 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | No
         for batch in batches:
             data, offsets = flat_bytes(batch.column("text"))
             for lo, hi in slices(offsets, BATCH_BYTES):
-                counts = term_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column("h")[lo:hi], batch.column("doc_id")[lo:hi].cast(pa.string()), batch.column("y")[lo:hi].cast(pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["h", "id", "y", "counts"])
+                for a in range(lo, hi, BLOCK):
+                    b = min(a + BLOCK, hi)
+                    counts = term_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("doc_id")[a:b].cast(pa.string()), batch.column("y")[a:b].cast(pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["h", "id", "y", "counts"])
 
     rows = sorted(texts.mapInArrow(features, "h long, id string, y int, counts binary").collect())
     if not rows:
