@@ -33,12 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+#: What holds while a table is written: its shuffle files go when it is complete, since nothing reads
+#: them any more, and Arrow batches are bounded by bytes, whatever the length of a row.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df once to the shared folder, in a folder for each value of `by`, and read it back.
+
+    That cuts the lineage and survives lost executors.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        at = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -112,12 +137,16 @@ def held_rows(held, hashes: pa.Array) -> np.ndarray:
     return (held.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def only_held(df: DataFrame, held, *cols: str) -> DataFrame:
-    """The rows of df whose key may be in the bitmap."""
+def only_held(df: DataFrame, held, *cols: str, once: bool = False) -> DataFrame:
+    """The rows of df whose key may be in the bitmap; `once`: each key once a batch, for keys that very many rows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(held_rows(held, batch.column("__key"))))
+            batch = batch.filter(pa.array(held_rows(held, batch.column("__key"))))
+            if once and batch.num_rows:
+                key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols], axis=1)
+                batch = batch.take(pa.array(np.sort(np.unique(key, axis=0, return_index=True)[1])))
+            yield batch
 
     keyed = df.withColumn("__key", F.xxhash64(*cols))
     return keyed.mapInArrow(run, keyed.schema).drop("__key")

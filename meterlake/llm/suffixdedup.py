@@ -1,27 +1,32 @@
 """Suffix-array dedup: byte strings of LENGTH bytes that also start elsewhere go, all of them.
 
-Method: a logarithmic family of suffix arrays. Documents come in batches. A batch's suffixes are
-sorted into an array, merge-scanned against the arrays of the existing levels for suffixes with equal
-beginnings, and stored as a level; two levels of one size merge into one of twice that size, so a
-suffix is rewritten a logarithmic number of times.
-
-The arrays are sparse and sorted by fingerprint. Of the suffixes of every LENGTH bytes, the one whose
-8 bytes hash smallest (the last of equals) among the first LENGTH - CORE + 1 is an anchor; equal
-strings have the same anchor at the same place, so any repeated string shows as two anchors that agree
-in their first CORE bytes. An entry holds 64-bit fingerprints of these CORE bytes (the sort key) and
-of the anchor's context, i.e. of all that the strings with this anchor reach. Full lexicographic arrays over
-every byte would move each suffix's bytes through the shuffle, over a hundred times the input.
-
-Long matches are then exact: anchors whose context repeats are covered whole. Where anchors agree in
-their core but not in the context, one of each distinct context is refined by 128-bit fingerprints of the
-strings themselves, first CELL shifts at a time: a cell whose whole reach repeats is covered, one
-whose windows have nothing repeated in common is done. The others, one for each distinct reach, are
-compared shift by shift. A context that repeats is covered anyway and only lends its shifts.
-
-Scale: what is shuffled is a few dozen bytes per LENGTH/3 bytes of text, plus refined shifts at the
-edges of matches. Counting is by fingerprint with partial aggregation; no group's members meet each
-other. Texts are scanned again for refining and cutting; a bitmap of fixed size lets only those be
-shuffled that may have something to refine or to cut.
+Method: a logarithmic family of suffix arrays. Documents come in batches. A batch's suffixes are sorted
+into an array, a level of size one; while two levels have one size, they and the batch are merged into one array
+of twice that size, so a suffix is rewritten a logarithmic number of times. The levels that are left
+are merge-scanned together: in the order of all suffixes, what a suffix shares with any other it
+shares with a neighbour.
+
+The arrays are sparse. Of the suffixes of every LENGTH bytes, the one whose 16 bytes hash smallest (the
+last of equals) among the first SHIFTS is an anchor; equal strings have the same anchor at the same
+place, so any repeated string shows as two anchors that agree in their first CORE bytes. An entry is
+an anchor with the first 16 bytes of its suffix, by which the array is ordered, then a fingerprint of
+its first CORE bytes, then one of its context, i.e. of all that the strings with this anchor reach
+before and after it. So a neighbour's common prefix is known to be CORE or not, and an equal
+context to be one, from the entries alone. Full arrays over every byte would move each suffix's bytes through the shuffle.
+
+An array is range-partitioned over all columns of an entry: a suffix that is everywhere is split
+over as many partitions as its share needs, and only the first and last entry of each partition are compared across.
+
+Long matches are then exact. Anchors whose neighbour has the same context are covered whole. Where
+neighbours agree in their core but not in the context, both are refined: the bytes of their contexts are
+stored once and compared by 128-bit fingerprints, first CELL shifts at a time: a cell whose whole reach
+repeats is covered, one whose windows have nothing repeated in common is done. The others, one for each
+distinct reach, are compared shift by shift. A context that repeats is covered anyway and only lends its shifts.
+
+Scale: what is sorted are 56 bytes per anchor. Texts are read twice again, for the contexts to be
+refined and for cutting, and shuffled only where the text may hold such a thing, by a bitmap of fixed size. Counting is by
+fingerprint with partial aggregation; no group's members meet each other. Very long texts are taken
+in pieces that overlap by LENGTH - 1 bytes.
 
 Defined results: null texts are empty; strings never cross documents; occurrences may overlap, also
 with themselves; texts shorter than LENGTH are kept whole; rows that repeat id and text are two
@@ -31,15 +36,16 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, held_rows, membership, only_held, slices, small, stored, table
+from .common import discarded, flat_bytes, held_rows, membership, only_held, slices, stored, table
 from .hashing import RangeHash, mix
 
 LENGTH = 400
@@ -47,9 +53,17 @@ CORE = 64
 #: Shifts between a window and its anchor run from 0 to SHIFTS - 1.
 SHIFTS = LENGTH - CORE + 1
 CELL = 48
-BATCHES = 3
-BATCH_BYTES = 2 << 20
+BATCHES = 4
+#: Bytes of texts hashed at a time; longer texts are taken in pieces.
+BATCH_BYTES = 1 << 19
+#: Contexts of a text emitted at a time.
+CONTEXTS = 2_048
 _POSITION = np.uint64((1 << 26) - 1)
+_SIGN = np.uint64(1 << 63)
+#: An entry; `place` packs the anchor and how many bytes its context has before it and from it on:
+#: anchor * 2**20 + before * 2**10 + from.
+ENTRY = "b0 long, b1 long, core long, context long, reach int, d long, t long, place long"
+ORDER = ["b0", "b1", "core", "context", "reach", "d", "t", "place"]
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -64,30 +78,45 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def _words(data: np.ndarray, big: bool = False) -> np.ndarray:
+    """The 8 bytes from each place of data on as a number; data ends with 8 bytes more."""
+    return np.ndarray((max(len(data) - 8, 0),), ">u8" if big else "<u8", data.tobytes(), strides=(1,)).astype(np.uint64)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
     """(row, place in data, first, last) of each row's anchors; rows shorter than `length` have none.
 
     first and last: the starts of the strings of `length` bytes whose anchor it is; they are a run.
+    data holds no more than 2**26 bytes.
     """
-    shifts, chosen, began = length - core + 1, [], []
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for lo in range(0, max(len(data) - length + 1, 0), int(_POSITION) - length):
-        hi = min(lo + int(_POSITION) - length, len(data) - length + 1)  # windows lo .. hi - 1
-        part = np.ndarray((hi - lo + shifts - 1,), "<u8", padded[lo : hi + shifts + 8].tobytes(), strides=(1,)).copy()
-        place = _POSITION - np.arange(len(part), dtype=np.uint64)  # of equal hashes the last one wins
-        least = window_minima((mix(part) & ~_POSITION) | place, shifts)
-        start = np.arange(lo, hi)
-        whole = np.searchsorted(offsets, start, "right") == np.searchsorted(offsets, start + length - 1, "right")
-        chosen.append((_POSITION - (least[whole] & _POSITION)).astype(np.int64) + lo)
-        began.append(start[whole])
-    if not chosen or not sum(map(len, chosen)):
+    shifts, n = length - core + 1, len(data) - length + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 4
+    words = _words(np.concatenate([data, np.zeros(16, np.uint8)]))
+    hashed = mix(words[: n + shifts - 1] * np.uint64(0x9E3779B97F4A7C15) + mix(words[8 : n + shifts + 7]))
+    place = _POSITION - np.arange(len(hashed), dtype=np.uint64)  # of equal hashes the last one wins
+    least = window_minima((hashed & ~_POSITION) | place, shifts)
+    start = np.arange(n)
+    whole = np.searchsorted(offsets, start, "right") == np.searchsorted(offsets, start + length - 1, "right")
+    places, starts = (_POSITION - (least[whole] & _POSITION)).astype(np.int64), start[whole]
+    if not len(places):
         return (np.zeros(0, np.int64),) * 4
-    places, starts = np.concatenate(chosen), np.concatenate(began)
     at = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
     last = np.concatenate([at[1:] - 1, [len(places) - 1]])
     return np.searchsorted(offsets, places[at], "right") - 1, places[at], starts[at], starts[last]
 
 
+def pieces(offsets: np.ndarray, most: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
+    """(lo, hi, begin, end): rows lo .. hi - 1 are the bytes begin .. end, or row lo has a piece there."""
+    for lo, hi in slices(offsets, most):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        if hi - lo > 1 or end - begin <= most:
+            yield lo, hi, begin, end
+        else:
+            for at in range(begin, end - overlap, most):
+                yield lo, hi, at, min(at + most + overlap, end)
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key (d, t) of the row that is the same whenever the row is read again.
 
@@ -97,130 +126,211 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """d, t, place, core, context: an entry of the sparse suffix array per anchor.
-
-    `place` packs the anchor and how many bytes its context, all that its own strings reach, has
-    before it and from it on: anchor * 2**20 + before * 2**10 + from.
-    """
+    """ENTRY columns: an entry of the sparse suffix array per anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_bytes(batch.column("text"))
-            for lo, hi in slices(offsets, BATCH_BYTES):
-                part, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                row, at, begin, last = anchors(part, bounds)
-                end = last + LENGTH
+            for lo, hi, begin, end in pieces(offsets, BATCH_BYTES, LENGTH - 1):
+                part, bounds = data[begin:end], np.clip(offsets[lo : hi + 1] - begin, 0, end - begin)
+                row, at, first, last = anchors(part, bounds)
+                stop = last + LENGTH
                 hashed = RangeHash(part)
-                core, context = hashed(at, at + CORE), hashed(begin, end)
-                place = ((at - bounds[row]) << 20) + ((at - begin) << 10) + (end - at)
+                core, context = hashed(at, at + CORE), hashed(first, stop)
+                head = _words(np.concatenate([part, np.zeros(16, np.uint8)]), big=True)
+                reach = ((at - first) << 10) + (stop - at)
+                place = ((at + begin - offsets[lo:hi][row]) << 20) + reach
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("d")[lo:hi].take(take), batch.column("t")[lo:hi].take(take), pa.array(place), pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], names=["d", "t", "place", "core", "context"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.view(np.int64)) for x in (head[at] ^ _SIGN, head[at + 8] ^ _SIGN, core, context)), pa.array(reach.astype(np.int32)), batch.column("d")[lo:hi].take(take), batch.column("t")[lo:hi].take(take), pa.array(place)],
+                    names=ORDER,
+                )
+
+    return docs.select("d", "t", "text").mapInArrow(run, ENTRY)
 
-    return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, place long, core long, context long")
 
+def _array(*parts: DataFrame) -> DataFrame:
+    """The entries of all parts in the order of their suffixes, each compared with its neighbours.
 
-def _suffix_array(part: DataFrame, name: str) -> DataFrame:
-    # Salted, so that a suffix that is everywhere is spread over several runs of the array.
-    return stored(part.repartition(F.col("core"), F.pmod(F.xxhash64("d", "place"), F.lit(16))).sortWithinPartitions("core"), name)
+    `same`: a neighbour has the same context, too; `apart`: a neighbour has the core but another
+    context; `edge`: the first or last entry of partition `part`, not compared to the outside.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, began = TaskContext.get().partitionId(), None, True
+
+        def compared(rows: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+            key = [rows.column(c).to_numpy() for c in ORDER[:5]]
+            core = np.logical_and.reduce([k[1:] == k[:-1] for k in key[:3]])
+            kind = core & (key[3][1:] == key[3][:-1]) & (key[4][1:] == key[4][:-1])
+            same, apart = (np.concatenate([[False], x]) | np.concatenate([x, [False]]) for x in (kind, core & ~kind))
+            if held is not None:  # the first row is the last of the batch before
+                same[0] |= held.column("same")[0].as_py()
+                apart[0] |= held.column("apart")[0].as_py()
+            edge = np.zeros(rows.num_rows, bool)
+            edge[0] |= began
+            edge[-1] |= last
+            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ORDER), pa.array(same), pa.array(apart), pa.array(edge), pa.array(np.full(rows.num_rows, part, np.int32))], names=[*ORDER, "same", "apart", "edge", "part"])
 
-def indexed(docs: DataFrame, batches: int = BATCHES) -> tuple[list[DataFrame], DataFrame]:
-    """(levels of the index over docs, cores that occur twice at least)."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = compared(batch if held is None else pa.concat_batches([held.select(ORDER), batch]), False)
+            held = rows.slice(rows.num_rows - 1)
+            if rows.num_rows > 1:
+                yield rows.slice(0, rows.num_rows - 1)
+                began = False
+        if held is not None:
+            yield compared(held.select(ORDER), True)
+
+    whole = parts[0].select(ORDER)
+    for part in parts[1:]:
+        whole = whole.unionByName(part.select(ORDER))
+    return whole.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, ENTRY + ", same boolean, apart boolean, edge boolean, part int")
+
+
+def family(docs: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
+    """The levels of the index over docs, which come in `batches` batches."""
+    batch = F.pmod(F.xxhash64("d", "t"), F.lit(batches)).cast("int")
+    every = stored(entries(docs).withColumn("batch", batch), "suffix-entries", "batch")
     levels: list[tuple[int, DataFrame]] = []
-    repeated = None
     for b in range(batches):
-        new = _suffix_array(entries(docs.where(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == b)), f"suffix-batch-{b}")
-        counted = new.select("core")
-        for _, level in levels:  # merge-scan: cores of the batch that a level has
-            counted = counted.unionByName(level.select("core"))
-        scan = counted.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-        repeated = scan if repeated is None else repeated.unionByName(scan)
-        levels.append((1, new))
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
-            (size, one), (_, two) = levels.pop(), levels.pop()
-            levels.append((2 * size, _suffix_array(one.unionByName(two), f"suffix-level-{2 * size}")))
-    return [level for _, level in levels], repeated.distinct()
+        size, equal = 1, [every.where(F.col("batch") == b)]
+        while levels and levels[-1][0] == size:  # the carry of a binary counter
+            size *= 2
+            equal.append(levels.pop()[1])
+        levels.append((size, stored(_array(*equal), f"suffix-level-{size}")))
+        discarded(*equal[1:])
+    discarded(every)
+    return [level for _, level in levels]
+
+
+def matched(levels: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries whose context a neighbour shares, those of which a neighbour shares the core only, their table)."""
+    whole = levels[0]
+    if len(levels) > 1:
+        whole = stored(_array(*levels), "suffix-levels")
+        discarded(*levels)
+    # Two entries a partition; a partition's last one is compared with the next one's first.
+    edges: dict[int, list] = {}
+    for r in sorted(whole.where("edge").select(*ORDER, "part").collect()):
+        edges.setdefault(r["part"], []).append(r)
+    across = {"same": [], "apart": []}
+    ordered = [edges[p] for p in sorted(edges)]
+    for one, two in zip(ordered, ordered[1:]):
+        a, b = one[-1], two[0]
+        if a[:3] == b[:3]:
+            across["same" if a[:5] == b[:5] else "apart"] += [tuple(a[:8]), tuple(b[:8])]
+    return tuple(whole.where(k).select(ORDER).unionByName(whole.sparkSession.createDataFrame(across[k], ENTRY)) for k in ("same", "apart")) + (whole,)
+
+
+def contexts(texts: DataFrame, apart: DataFrame) -> DataFrame:
+    """d, t, place, s: the bytes of the contexts of entries."""
+    wanted = stored(apart.groupBy("d", "t").agg(F.array_sort(F.collect_set("place")).alias("at")), "suffix-wanted")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, t, text, at in zip(batch.column("d"), batch.column("t"), batch.column("text"), batch.column("at")):
+                raw, at = text.as_buffer(), at.values.to_numpy()
+                for k in range(0, len(at), CONTEXTS):
+                    some = at[k : k + CONTEXTS]
+                    begin, end = (some >> 20) - ((some >> 10) & 1023), (some >> 20) + (some & 1023)
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(d, n), pa.repeat(t, n), pa.array(some), pa.array([raw[b:e].to_pybytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())], names=["d", "t", "place", "s"])
 
-def _by_document(cells: DataFrame) -> DataFrame:
-    """(d, t, at) of (d, t, p, x, low, high) rows."""
-    return stored(cells.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("p", "x", "low", "high"))).alias("at")), "suffix-wanted")
+    # Only texts that may have something wanted are shuffled; the hash table is of the wanted side.
+    some = only_held(texts, membership(wanted, "d", "t"), "d", "t", once=True)
+    out = stored(some.join(wanted.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "at").mapInArrow(run, "d long, t long, place long, s binary"), "suffix-contexts")
+    discarded(wanted)
+    return out
 
 
-def _refined(texts: DataFrame, wanted: DataFrame, cell: bool) -> DataFrame:
-    """Fingerprints of strings around anchors p, for cells of shifts x .. x + CELL - 1, of which low .. high count.
+def cells_of(strings: DataFrame) -> DataFrame:
+    """Cells of shifts x .. x + CELL - 1 of each context, of which low .. high count.
 
-    cell: wanted's rows with h1, h2 of what the whole cell's strings have in common, u1, u2 of all
-    that low .. high reach. Else a row for each shift y from low to high, with h1, h2 of its string.
+    h1, h2 are of what the whole cell's strings have in common, u1, u2 of all that low .. high reach.
     """
+    first = np.arange(0, SHIFTS, CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat_bytes(batch.column("text"))
-            at = batch.column("at")
-            for i in range(batch.num_rows):
-                part = data[offsets[i] : offsets[i + 1]]
-                p, x, low, high = (a.to_numpy().astype(np.int64) for a in at[i].values.flatten())
-                one, two = RangeHash(part, 0), RangeHash(part, 1)
-                if cell:
-                    # Where one string of a cell lies in the document, so does the common part.
-                    begin, end = p - high, p - low + LENGTH
-                    own = mix((low * 1024 + high).astype(np.uint64))
-                    more = [pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), *(pa.array((h(begin, end) ^ own).view(np.int64)) for h in (one, two))]
-                    begin, end = p - x, p - np.minimum(x + CELL - 1, SHIFTS - 1) + LENGTH
-                else:
-                    each = high - low + 1
-                    y = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - low, each)
-                    p, x = np.repeat(p, each), np.repeat(x, each)
-                    more = [pa.array(y.astype(np.int16))]
-                    begin, end = p - y, p - y + LENGTH
-                row = pa.array(np.full(len(p), i))
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(row), batch.column("t").take(row), pa.array(p.astype(np.int32)), pa.array(x.astype(np.int16)), pa.array(one(begin, end).view(np.int64)), pa.array(two(begin, end).view(np.int64)), *more], names=["d", "t", "p", "x", "h1", "h2", *(["low", "high", "u1", "u2"] if cell else ["y"])])
+            data, offsets = flat_bytes(batch.column("s"))
+            for lo, hi in slices(offsets, BATCH_BYTES):
+                place = batch.column("place")[lo:hi].to_numpy()
+                left, right = (place >> 10) & 1023, place & 1023
+                low, high = np.maximum(first, (LENGTH - right)[:, None]), np.minimum(first + CELL - 1, left[:, None])
+                row, c = np.nonzero(low <= high)
+                low, high, x = low[row, c], high[row, c], first[c]
+                p = (offsets[lo:hi] - offsets[lo] + left)[row]
+                part = data[offsets[lo] : offsets[hi]]
+                hashes = [RangeHash(part, 0), RangeHash(part, 1)]
+                own = mix((low * 1024 + high).astype(np.uint64))
+                # Where one string of a cell lies in the document, so does the common part.
+                common = [h(p - x, p - np.minimum(x + CELL - 1, SHIFTS - 1) + LENGTH) for h in hashes]
+                reach = [h(p - high, p - low + LENGTH) ^ own for h in hashes]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k)[lo:hi].take(take) for k in ("d", "t", "place")), *(pa.array(v.astype(np.int16)) for v in (x, low, high)), *(pa.array(h.view(np.int64)) for h in (*common, *reach))],
+                    names=["d", "t", "place", "x", "low", "high", "h1", "h2", "u1", "u2"],
+                )
 
-    # Only texts that may have something wanted are shuffled; the hash table is of the wanted side.
-    some = only_held(texts, membership(wanted, "d", "t"), "d", "t")
-    joined = some.join(wanted.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "at")
-    return joined.mapInArrow(run, "d long, t long, p int, x short, h1 long, h2 long, " + ("low short, high short, u1 long, u2 long" if cell else "y short"))
+    return strings.mapInArrow(run, "d long, t long, place long, x short, low short, high short, h1 long, h2 long, u1 long, u2 long")
+
+
+def shifts_of(strings: DataFrame) -> DataFrame:
+    """A row for each shift y from low to high of the cells `at`, with h1, h2 of its string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat_bytes(batch.column("s"))
+            for lo, hi in slices(offsets, BATCH_BYTES // 4):
+                at = batch.column("at")[lo:hi]
+                row = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(at).to_numpy())
+                x, low, high = (a.to_numpy().astype(np.int64) for a in at.flatten().flatten())
+                each = high - low + 1
+                y = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - low, each)
+                row, x = np.repeat(row, each), np.repeat(x, each)
+                p = (offsets[lo:hi] - offsets[lo] + ((batch.column("place")[lo:hi].to_numpy() >> 10) & 1023))[row]
+                part = data[offsets[lo] : offsets[hi]]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k)[lo:hi].take(take) for k in ("d", "t", "place")), pa.array(x.astype(np.int16)), pa.array(y.astype(np.int16)), *(pa.array(RangeHash(part, k)(p - y, p - y + LENGTH).view(np.int64)) for k in (0, 1))],
+                    names=["d", "t", "place", "x", "y", "h1", "h2"],
+                )
+
+    return strings.mapInArrow(run, "d long, t long, place long, x short, y short, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """d, t, starts, ends: unmerged byte spans of repeated strings, a row per document that has any."""
+    """d, t, starts, ends: byte spans of repeated strings, merged, a row per document that has any; a stored table."""
     texts = docs.select("d", "t", "text")
-    levels, repeated = indexed(docs, batches)
-    repeated = small(stored(repeated, "suffix-repeated"), 16)
-    candidates = levels[0]
-    for level in levels[1:]:
-        candidates = candidates.unionByName(level)
+    same, apart, found = matched(family(texts, batches))
     p, left, right = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023), F.col("place").bitwiseAND(1023)
-    candidates = candidates.join(repeated, "core", "left_semi").select("core", "context", "d", "t", p.cast("int").alias("p"), left.cast("short").alias("left"), right.cast("short").alias("right"))
-    candidates = stored(candidates, "suffix-candidates")
-    # One member of each distinct context stands for all of them.
-    kind = ["core", "context", "left", "right"]
-    contexts = candidates.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "p")).alias("who")).select(*kind, "n", "who.*")
-    contexts = stored(contexts, "suffix-contexts")
-    again = small(stored(contexts.where("n > 1").select(*kind), "suffix-again"), 40)
-    covered = candidates.join(again, kind, "left_semi").select("d", "t", (F.col("p") - F.col("left")).alias("s"), (F.col("p") + F.col("right")).alias("e"), F.lit(-1).cast("long").alias("mask"))
+    whole = F.lit(-1).cast("long").alias("mask")
+    covered = same.select("d", "t", (p - left).cast("int").alias("s"), (p + right).cast("int").alias("e"), whole)
 
     # Cells of shifts of contexts that share their core with another context.
-    several = small(stored(contexts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "suffix-several"), 16)
-    cells = contexts.join(several, "core", "left_semi").select("d", "t", "p", (F.lit(LENGTH) - F.col("right")).alias("first"), F.col("left").alias("last"), F.explode(F.array(*(F.lit(x).cast("short") for x in range(0, SHIFTS, CELL)))).alias("x"))
-    cells = cells.select("d", "t", "p", "x", F.greatest("x", "first").cast("short").alias("low"), F.least(F.col("x") + CELL - 1, "last").cast("short").alias("high")).where("low <= high")
-    cells = stored(_refined(texts, _by_document(cells), True), "suffix-cells")
-    # reach: all that a cell's strings reach; it is known by its place, so repeated rows count once
-    reaches = cells.groupBy("x", "low", "high", "h1", "h2", "u1", "u2").agg(F.min(F.struct("d", "t", "p")).alias("a"), F.max(F.struct("d", "t", "p")).alias("b"))
-    reaches = stored(reaches.select("x", "low", "high", "h1", "h2", "u1", "u2", "a.*", (F.col("a") != F.col("b")).alias("twice")), "suffix-reaches")
-    full = small(stored(reaches.where("twice").select("x", "u1", "u2"), "suffix-full"), 32)
-    filled = cells.join(full, ["x", "u1", "u2"], "left_semi").select("d", "t", (F.col("p") - F.col("high")).alias("s"), (F.col("p") - F.col("low") + LENGTH).alias("e"), F.lit(-1).cast("long").alias("mask"))
+    strings = contexts(texts, apart)
+    cells = stored(cells_of(strings), "suffix-cells")
+    # Reach: all that a cell's strings reach. An anchor is known by its place in its document.
+    spot = F.struct("d", "t", "place")
+    reaches = cells.groupBy("x", "low", "high", "h1", "h2", "u1", "u2").agg(F.min(spot).alias("a"), F.max(spot).alias("b"))
+    other = (F.col("a.d") != F.col("b.d")) | (F.col("a.t") != F.col("b.t")) | (F.shiftright("a.place", 20) != F.shiftright("b.place", 20))
+    reaches = stored(reaches.select("x", "low", "high", "h1", "h2", "u1", "u2", "a.*", other.alias("twice")), "suffix-reaches")
+    full = reaches.where("twice").select("x", "u1", "u2").distinct()
+    filled = cells.join(full, ["x", "u1", "u2"], "left_semi").select("d", "t", (p - F.col("high")).cast("int").alias("s"), (p - F.col("low") + LENGTH).cast("int").alias("e"), whole)
 
     # Shift by shift: one cell of each distinct reach, where what the strings share has several.
-    mixed = small(stored(reaches.groupBy("x", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("x", "h1", "h2"), "suffix-mixed"), 32)
-    whole = reaches.join(mixed, ["x", "h1", "h2"], "left_semi").select("d", "t", "p", "x", "low", "high")
-    shifts = stored(_refined(texts, _by_document(whole), False), "suffix-shifts")
-    place = F.xxhash64("d", "t", "p")
-    twice = shifts.groupBy("y", "h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("y", "h1", "h2")
-    hit = shifts.join(small(stored(twice, "suffix-twice"), 32), ["y", "h1", "h2"], "left_semi")
-    bits = hit.groupBy("d", "t", "p", "x").agg(F.bit_or(F.expr("shiftleft(1L, y - x)")).alias("mask"))
-    bits = bits.select("d", "t", (F.col("p") - F.col("x")).alias("s"), F.lit(0).alias("e"), "mask")
+    mixed = reaches.groupBy("x", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("x", "h1", "h2")
+    single = reaches.join(mixed, ["x", "h1", "h2"], "left_semi").groupBy("d", "t", "place").agg(F.array_sort(F.collect_set(F.struct("x", "low", "high"))).alias("at"))
+    single = stored(single, "suffix-single")
+    held = only_held(strings, membership(single, "d", "t", "place"), "d", "t", "place")
+    shifts = stored(shifts_of(held.join(single.hint("shuffle_hash"), ["d", "t", "place"]).select("d", "t", "place", "s", "at")), "suffix-shifts")
+    anchor = F.xxhash64("d", "t", p)
+    twice = shifts.groupBy("y", "h1", "h2").agg(F.min(anchor).alias("a"), F.max(anchor).alias("b")).where("a <> b").select("y", "h1", "h2")
+    hit = shifts.join(twice, ["y", "h1", "h2"], "left_semi")
+    bits = hit.groupBy("d", "t", p.alias("p"), "x").agg(F.bit_or(F.expr("shiftleft(1L, y - x)")).alias("mask"))
+    bits = bits.select("d", "t", (F.col("p") - F.col("x")).cast("int").alias("s"), F.lit(0).alias("e"), "mask")
     spans = covered.unionByName(filled).unionByName(bits).groupBy("d", "t").agg(F.collect_set(F.struct("s", "e", "mask")).alias("spans"))
 
     def expand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +346,9 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 runs.append(merged(starts[order], ends[order]))
             yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array([[s for s, _ in r] for r in runs], pa.list_(pa.int32())), pa.array([[e for _, e in r] for r in runs], pa.list_(pa.int32()))], names=["d", "t", "starts", "ends"])
 
-    return spans.mapInArrow(expand, "d long, t long, starts array<int>, ends array<int>")
+    out = stored(spans.mapInArrow(expand, "d long, t long, starts array<int>, ends array<int>"), "suffix-spans")
+    discarded(found, strings, cells, reaches, single, shifts)
+    return out
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -251,7 +363,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def cut(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary): a row per document."""
     keyed = _documents(docs)
-    spans = stored(repeated_spans(keyed, batches), "suffix-spans")
+    spans = repeated_spans(keyed, batches)
     held = membership(spans, "d", "t")
     # A text that the filter does not hold has no span and is done where it lies.
     some = only_held(keyed, held, "d", "t").join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "text", "starts", "ends")
