@@ -3,8 +3,9 @@
 Alternating large-star and small-star steps: every node's larger neighbours, then its smaller ones,
 are linked to the smallest node known. The number of edges never grows, each round is two
 aggregations, and paths shorten geometrically. A round's edges are written to the shared folder, so a
-lost executor costs one round. A node with very many neighbours is aggregated before the shuffle, and
-the joins to the minima have a plain exchange on both sides, so that Spark can split its rows.
+lost executor costs one round, and those of the round before deleted. A node with very many
+neighbours is aggregated before the shuffle, and the joins to the minima are left to Spark: broadcast
+where its statistics show them small, else with a plain exchange on both sides, whose large partitions it can split.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import discarded, stored
 
 
-def _to_minimum(edges: DataFrame, name: str) -> DataFrame:
-    """(u, v) rows each with m, the smallest of u and its v's."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), name)
-    return edges.join(small(least, 64), "u")
+def _minima(edges: DataFrame, name: str) -> DataFrame:
+    """(u, m), the smallest of u and its v's; stored, so that a join to it has exchanges Spark can split."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), name)
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,12 +31,14 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step += 1
         # Large star: both directions; the larger neighbours of u go to u's minimum.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_minimum(both, f"components-{step}-large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, f"components-{step}-a")
+        lows = _minima(both, f"components-{step}-large")
+        large = stored(both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"components-{step}-a")
         # Small star: u and its smaller neighbours go to the smallest of them.
-        least = _to_minimum(large, f"components-{step}-small")
+        least_lows = _minima(large, f"components-{step}-small")
+        least = large.join(least_lows, "u")
         small_ = least.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = stored(small_, f"components-{step}-b")
+        discarded(now, lows, large, least_lows)
         # At rest when no node is both a root and a child, i.e. every edge goes straight to a root.
         done = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
         now = after

@@ -41,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, small, slices, stored, table
+from .common import discarded, flat_bytes, membership, only_held, slices, stored, table
 from .components import connected
-from .hashing import RangeHash, mix, spans
+from .hashing import mix, word_hashes
 
 WORDS = 3
 NUM = 90
@@ -57,7 +57,9 @@ COMMON = 64
 MOST_COMMON = 1_000_000
 #: Inverted lists longer than this share of the candidates are set aside, if there are so many.
 LONG_SHARE = 0.5
-BATCH_BYTES = 2 << 20
+#: Candidates of a query that are judged in one place.
+CANDIDATES = 256
+BATCH_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -67,10 +69,7 @@ _IS_WORD[[32, *range(9, 14)]] = False
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, is_word: np.ndarray = _IS_WORD) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (uint64) of each row."""
-    data = _LOWER[data]
-    starts, ends = spans(is_word[data], offsets)
-    hashed = RangeHash(data)(starts, ends)
-    bounds = np.searchsorted(starts, offsets)
+    hashed, bounds = word_hashes(data, offsets, is_word, _LOWER)
     n = len(hashed)
     full = np.zeros(max(n - words + 1, 0), np.uint64)
     for k in range(words):
@@ -219,9 +218,8 @@ def profiles(docs: DataFrame, common: np.ndarray, words: int = WORDS, num: int =
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarray = _IS_WORD) -> DataFrame:
-    """The candidate pairs (a, b) that link. `docs` (id, text) has one row for each id that occurs."""
+    """The candidate pairs (a, b) that link, a stored table. `docs` (id, text) has one row for each id that occurs."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = small(stored(ids, "jaccard-wanted"), 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,25 +228,43 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = N
                 sets = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, is_word)
                 yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "s"])
 
-    sets = stored(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s binary"), "jaccard-sets")
+    # Texts become sets where they lie; only sets that may be wanted are shuffled.
+    some = only_held(docs.select("id", "text"), membership(ids, "id"), "id")
+    sets = stored(some.mapInArrow(run, "id long, s binary").join(ids, "id", "left_semi"), "jaccard-sets")
+
+    # A query is a row with a null b and a's set, followed by its candidates. A class with very many
+    # candidates is several queries, which meet in different places.
+    many = stored(pairs.groupBy("a").agg(F.count("*").alias("c")), "jaccard-many")
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / float(CANDIDATES))).alias("salt"))
+    right = salted.join(sets.select(F.col("id").alias("b"), F.col("s")), "b").select("a", "salt", "b", "s")
+    left = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("s")), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "s")
 
-    # A query is a class and its candidates; a class with very many candidates is several queries.
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, name = None, None
         for batch in batches:
             found_a, found_b = [], []
-            for a, q, bs, xs in zip(batch.column("a").to_pylist(), batch.column("q"), batch.column("bs").to_pylist(), batch.column("xs").to_pylist()):
-                for k in t_occurrence(np.frombuffer(q.as_py(), np.uint64), [np.frombuffer(x, np.uint64) for x in xs], num):
-                    found_a.append(a)
-                    found_b.append(bs[k])
+            a, salt, b = (batch.column(k).to_pylist() for k in ("a", "salt", "b"))
+            sets = batch.column("s")
+            raw = lambda i: np.frombuffer(sets[i].as_buffer(), np.uint64)
+            at = 0
+            while at < len(a):
+                if b[at] is None:
+                    query, name, at = raw(at), (a[at], salt[at]), at + 1
+                    continue
+                end = at
+                while end < len(a) and (a[end], salt[end]) == name and b[end] is not None:
+                    end += 1
+                for k in t_occurrence(query, [raw(i) for i in range(at, end)], num):
+                    found_a.append(a[at + k])
+                    found_b.append(b[at + k])
+                at = end
+            query = None if query is None else query.copy()
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    # Salted by hash, so that a hub's queries hold some dozens of candidates each, not all.
-    many = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / 64.0)).alias("salt"))
-    right = salted.join(sets.select(F.col("id").alias("b"), F.col("s").alias("x")), "b")
-    queries = right.groupBy("a", "salt").agg(F.collect_list(F.struct("b", "x")).alias("c"))
-    full = queries.join(sets.select(F.col("id").alias("a"), F.col("s").alias("q")), "a")
-    return stored(full.select("a", "q", F.col("c.b").alias("bs"), F.col("c.x").alias("xs")).mapInArrow(search, "a long, b long"), "jaccard-links")
+    queries = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    links = stored(queries.mapInArrow(search, "a long, b long"), "jaccard-links")
+    discarded(sets, many)
+    return links
 
 
 def _open_pairs(opened: DataFrame, num: int) -> DataFrame:
@@ -281,31 +297,33 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarra
     known = stored(profiles(texts, common, words, num, is_word), "jaccard-profiles")
     some = known.where("n > 0")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
-    classes = small(stored(classes.select("n", "s1", "s2", "rep"), "jaccard-classes"), 48)
+    classes = stored(classes.select("n", "s1", "s2", "rep"), "jaccard-classes")
     copies = stored(some.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).where("id <> rep").select("id", "n", "s1", "s2", "rep"), "jaccard-copies")
-    reps = some.join(small(copies, 48), ["id", "n", "s1", "s2"], "left_anti").select("id", "n", "bits", "prefix")
+    reps = stored(some.join(copies, ["id", "n", "s1", "s2"], "left_anti").select("id", "n", "bits", "prefix"), "jaccard-reps")
 
     # Round 1: by the first hashes, each class with the smallest of its group.
     anchors = stored(reps.select("id", F.explode(F.slice("prefix", 1, ANCHORS)).alias("key")), "jaccard-anchors")
     least = stored(anchors.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b <> most").select("key", "b"), "jaccard-least")
-    stars = anchors.join(small(least, 32), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    stars = anchors.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     stars = _filtered(stored(stars, "jaccard-stars"), reps, num)
     links = verified(texts, stars, words, num, is_word)
-    comp = small(stored(connected(links), "jaccard-components-1"), 32)
-    placed = reps.join(comp, reps["id"] == comp["node"], "left").select("id", "n", "bits", "prefix", F.coalesce("component", "id").alias("component"))
+    comp = connected(links)
+    placed = reps.join(comp, reps["id"] == comp["node"], "left").select("id", "prefix", F.coalesce("component", "id").alias("component"))
 
     # Round 2: prefix hashes that lie in several components.
     keys = placed.select("id", "component", F.explode("prefix").alias("key"))
     groups = keys.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
-    rows = stored(keys.join(small(stored(groups, "jaccard-groups"), 40), "key"), "jaccard-rows")
-    rows = rows.join(reps.select("id", "n", "bits"), "id")
+    groups = stored(groups, "jaccard-groups")
+    rows = only_held(keys, membership(groups, "key"), "key").join(groups, "key")
+    rows = stored(rows, "jaccard-rows").join(reps.select("id", "n", "bits"), "id")
     second = stored(_open_pairs(rows, num), "jaccard-pairs")
     more = verified(texts, second, words, num, is_word)
     # A class is named by its smallest id, so the smallest id of a component is a class's name too.
     whole = links.unionByName(more).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    final = stored(connected(whole), "jaccard-components")
-    out = known.select("id", F.col("n").cast("long").alias("n_shingles")).join(small(final, 32), F.col("id") == F.col("node"), "left")
-    out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    final = connected(whole)
+    out = known.select("id", F.col("n").cast("long").alias("n_shingles")).join(final, F.col("id") == F.col("node"), "left")
+    out = stored(out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "jaccard-found")
+    discarded(known, classes, copies, reps, anchors, least, stars, links, groups, second, more)
     lost = profiles(docs.where("id is null"), common, words, num, is_word).select("id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lost)
 

@@ -317,17 +317,18 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     reaches = cells.groupBy("x", "low", "high", "h1", "h2", "u1", "u2").agg(F.min(spot).alias("a"), F.max(spot).alias("b"))
     other = (F.col("a.d") != F.col("b.d")) | (F.col("a.t") != F.col("b.t")) | (F.shiftright("a.place", 20) != F.shiftright("b.place", 20))
     reaches = stored(reaches.select("x", "low", "high", "h1", "h2", "u1", "u2", "a.*", other.alias("twice")), "suffix-reaches")
-    full = reaches.where("twice").select("x", "u1", "u2").distinct()
+    full = stored(reaches.where("twice").select("x", "u1", "u2").distinct(), "suffix-full")
     filled = cells.join(full, ["x", "u1", "u2"], "left_semi").select("d", "t", (p - F.col("high")).cast("int").alias("s"), (p - F.col("low") + LENGTH).cast("int").alias("e"), whole)
 
     # Shift by shift: one cell of each distinct reach, where what the strings share has several.
-    mixed = reaches.groupBy("x", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("x", "h1", "h2")
+    mixed = stored(reaches.groupBy("x", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("x", "h1", "h2"), "suffix-mixed")
     single = reaches.join(mixed, ["x", "h1", "h2"], "left_semi").groupBy("d", "t", "place").agg(F.array_sort(F.collect_set(F.struct("x", "low", "high"))).alias("at"))
     single = stored(single, "suffix-single")
     held = only_held(strings, membership(single, "d", "t", "place"), "d", "t", "place")
     shifts = stored(shifts_of(held.join(single.hint("shuffle_hash"), ["d", "t", "place"]).select("d", "t", "place", "s", "at")), "suffix-shifts")
     anchor = F.xxhash64("d", "t", p)
     twice = shifts.groupBy("y", "h1", "h2").agg(F.min(anchor).alias("a"), F.max(anchor).alias("b")).where("a <> b").select("y", "h1", "h2")
+    twice = stored(twice, "suffix-twice")
     hit = shifts.join(twice, ["y", "h1", "h2"], "left_semi")
     bits = hit.groupBy("d", "t", p.alias("p"), "x").agg(F.bit_or(F.expr("shiftleft(1L, y - x)")).alias("mask"))
     bits = bits.select("d", "t", (F.col("p") - F.col("x")).cast("int").alias("s"), F.lit(0).alias("e"), "mask")
@@ -347,7 +348,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array([[s for s, _ in r] for r in runs], pa.list_(pa.int32())), pa.array([[e for _, e in r] for r in runs], pa.list_(pa.int32()))], names=["d", "t", "starts", "ends"])
 
     out = stored(spans.mapInArrow(expand, "d long, t long, starts array<int>, ends array<int>"), "suffix-spans")
-    discarded(found, strings, cells, reaches, single, shifts)
+    discarded(found, strings, cells, reaches, full, mixed, single, shifts, twice)
     return out
 
 
