@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontaminate, jaccardjoin, linededup, mixing, quality
-from meterlake.llm.common import small, stored, table
+from meterlake.llm.common import free, stored, table
 
 #: Near duplicates: word shingles and percent of similarity.
 NEAR_WORDS, NEAR_NUM = 5, 80
@@ -29,15 +29,16 @@ def good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def once(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines, and of long passages on fewer lines, are cut; documents that were nothing else go."""
-    cut = linededup.dedup_lines(docs, words=linededup.LONG_WORDS)
-    return _measured(cut.where("n_removed = 0 or n_removed < n_lines").select(*docs.columns))
+    cut = linededup.dedup_lines(docs, words=linededup.LONG_WORDS, n_lines=free(docs, "n_lines"), n_removed=free(docs, "n_removed"))
+    lines, removed = cut.columns[-2:]
+    return _measured(cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(lines))).drop(lines, removed))
 
 
 def unlike(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; null ids stay."""
     found = jaccardjoin.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), NEAR_WORDS, NEAR_NUM)
-    copies = small(stored(found.where("component_id < id").select(F.col("id").alias("doc_id")).distinct(), "pipeline-copies"), 16)
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = stored(found.where("component_id < id").select(F.col("id").alias("doc_id")).distinct(), "pipeline-copies")
+    return docs.join(copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: What holds while a table is written: its shuffle files go when it is complete, since nothing reads
-#: them any more, and Arrow batches are bounded by bytes, whatever the length of a row.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: Bytes of an Arrow batch between the JVM and Python, whatever the length of a row, where the session says nothing else.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: Holds while a table is written: its shuffle files go when it is complete, since nothing reads them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_default_bytes: dict[str, str] = {}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches bounded by ARROW_BYTES if it still has Spark's own bound."""
+    key, most = ARROW_BYTES
+    if not _default_bytes:
+        _default_bytes[key] = spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(key)
+    if spark.conf.get(key) == _default_bytes[key]:
+        spark.conf.set(key, most)
+    return spark
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -43,16 +55,14 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
 
     That cuts the lineage and survives lost executors.
     """
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.partitionBy(*by).parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -72,6 +82,19 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() <= most else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it as long as df has a column of that name."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with names that any function takes: `text` as it is, the other columns by number; toDF(*df.columns) names them again."""
+    return df.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(df.columns)))
+
+
 def byte_views(column: pa.Array) -> Iterator[memoryview]:
     """Each value of a string column as UTF-8 bytes; null is empty."""
     for value in column:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discarded, flat_bytes, membership, only_held, slices, stored, table
+from .common import discarded, flat_bytes, held_rows, membership, only_held, slices, stored, table
 from .components import connected
 from .hashing import mix, word_hashes
 
@@ -221,16 +221,20 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = N
     """The candidate pairs (a, b) that link, a stored table. `docs` (id, text) has one row for each id that occurs."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
+    held = membership(ids, "id")
+
+    # Texts become sets where they lie; only sets that may be wanted are shuffled. The filter is a part
+    # of the same map, as a chain of maps would hold twice as many Python workers.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(held_rows(held, batch.column("key"))))
             data, offsets = flat_bytes(batch.column("text"))
             for lo, hi in slices(offsets, BATCH_BYTES):
                 sets = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], words, is_word)
                 yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "s"])
 
-    # Texts become sets where they lie; only sets that may be wanted are shuffled.
-    some = only_held(docs.select("id", "text"), membership(ids, "id"), "id")
-    sets = stored(some.mapInArrow(run, "id long, s binary").join(ids, "id", "left_semi"), "jaccard-sets")
+    made = docs.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(run, "id long, s binary")
+    sets = stored(made.join(ids, "id", "left_semi"), "jaccard-sets")
 
     # A query is a row with a null b and a's set, followed by its candidates. A class with very many
     # candidates is several queries, which meet in different places.
