@@ -61,7 +61,7 @@ def test_url_rules_and_aliases(spark):
 
 def brute_lines(docs, window):
     seen, gone = {}, {k: set() for k in range(len(docs))}
-    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0))
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0))
     for k in order:
         lines = [x.strip(" ") for x in docs[k][1].split("\n")] if docs[k][1] is not None else []
         for i in range(len(lines) - window + 1):
