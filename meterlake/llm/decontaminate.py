@@ -7,10 +7,12 @@ its own and is found through the suffix links.
 
 Scale: documents are never shuffled. Items are cut into blocks of at most `block_words` words; the
 automaton of a block is what a task holds, so its size is bounded by a parameter however large the
-benchmark is, and further blocks are further passes whose hits are merged.
+benchmark is. The driver holds one block at a time; further blocks are further passes, each a stored
+table whose broadcast is released, and their hits are merged.
 
 Defined results: null and empty texts have no words and are not hit; an item without words, null or
-not, is never matched; repeated items all count; an empty benchmark leaves every document clean;
+not, is never matched; repeated items all count; items without an id hit like any other: together
+they are one item of n_items, which the digest of the ids leaves out; an empty benchmark leaves every document clean;
 rows with a null doc_id are kept and judged on their own; extra columns are not read.
 """
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discarded, plain, stored, table
 
 WINDOW = 13
 #: Words of benchmark items in one block, hence in one automaton in a task's memory.
@@ -155,9 +157,15 @@ def _automaton(block, window: int) -> WordAutomaton:
     return _cache[key, window]
 
 
-def _broadcast_blocks(benchmark: DataFrame, block_words: int) -> list:
+def _passes(benchmark: DataFrame, block_words: int) -> Iterator[tuple]:
+    """(broadcast block, whether it is the last) for each block of items; one block at least."""
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast((uuid.uuid4().hex, b)) for b in item_blocks(benchmark, block_words)] or [sc.broadcast(("none", []))]
+    blocks = item_blocks(benchmark, block_words)
+    now = next(blocks, [])
+    while now is not None:
+        after = next(blocks, None)
+        yield sc.broadcast((uuid.uuid4().hex, now)), after is None
+        now = after
 
 
 def _hits(docs: DataFrame, block, window: int) -> DataFrame:
@@ -183,9 +191,12 @@ def _hits(docs: DataFrame, block, window: int) -> DataFrame:
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items with words, streamed to the driver in blocks of at most `block_words` words (one item at least)."""
+    """Items with words, streamed to the driver in blocks of at most `block_words` words (one item at least).
+
+    An item is named "i" and its id; all that have no id are named "".
+    """
     block, held = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.coalesce(F.concat(F.lit("i"), F.col("item_id").cast("string")), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null").toLocalIterator():
         words = words_of(row["t"].encode())
         if not words:
             continue
@@ -209,23 +220,27 @@ def merge_spans(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, starts, ends (merged hit word spans), items (sorted ids): a row per document."""
-    texts = docs.select("doc_id", "text")
-    blocks = _broadcast_blocks(benchmark, block_words)
-    if len(blocks) == 1:
-        return _hits(texts, blocks[0], window)
-    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
-    parts = _hits(texts, blocks[0], window)
-    for block in blocks[1:]:
-        parts = parts.unionByName(_hits(texts, block, window))
-    merged = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    """doc_id, n_words, starts, ends (merged hit word spans), items (sorted ids, null first for those without): a row per document."""
+    ids = F.transform("items", lambda x: F.when(x != "", F.substring(x, 2, 2**31 - 1))).alias("items")
+    texts, parts = docs.select("doc_id", "text"), []
+    for block, last in _passes(benchmark, block_words):
+        if last and not parts:
+            return _hits(texts, block, window).withColumn("items", ids)
+        if not parts:
+            texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+        parts.append(stored(_hits(texts, block, window), "decontaminate-hits"))
+        block.destroy()
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    merged = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def join_spans(batches):
         for batch in batches:
             spans = [merge_spans(s, e) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([[s for s, _ in x] for x in spans], pa.list_(pa.int32())), pa.array([[e for _, e in x] for x in spans], pa.list_(pa.int32())), batch.column("items")], names=["doc_id", "n_words", "starts", "ends", "items"])
 
-    return merged.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(join_spans, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, starts array<int>, ends array<int>, items array<string>")
+    return merged.select("doc_id", "n_words", "starts", "ends", ids).mapInArrow(join_spans, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, starts array<int>, ends array<int>, items array<string>")
 
 
 def digest(hits: DataFrame) -> DataFrame:
@@ -256,25 +271,32 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without contamination: those whose hits reach 1/coverage of their words go, in others the hit spans are cut.
 
-    Keeps the columns of docs. Items come in blocks; each block is one map over the documents.
+    Keeps the columns of docs, whatever their names. Items come in blocks; each block is one map over
+    the documents, all but the last a stored table.
     """
-    columns, blocks, out = docs.columns, _broadcast_blocks(benchmark, block_words), docs
+    carried, rows = "spans", plain(docs)
+    columns, out = rows.columns, rows
     # A word is judged by all blocks together, so spans are carried along until the last block.
-    for k, block in enumerate(blocks):
-        out = out.mapInArrow(_cleaner(block, window, coverage, columns, last=k == len(blocks) - 1), f"{_ddl(docs)}" + ("" if k == len(blocks) - 1 else ", `__spans` array<int>"))
-    return out
+    for block, last in _passes(benchmark, block_words):
+        before, out = out, out.mapInArrow(_cleaner(block, window, coverage, columns, carried, last), _ddl(rows) + ("" if last else f", `{carried}` array<int>"))
+        if not last:
+            out = stored(out, "decontaminate-pass")
+            block.destroy()
+            if before is not rows:
+                discarded(before)
+    return out.toDF(*docs.columns)
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _cleaner(block, window: int, coverage: int, columns: list[str], last: bool):
+def _cleaner(block, window: int, coverage: int, columns: list[str], held: str, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(block, window)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            before = batch.column("__spans").to_pylist() if "__spans" in batch.schema.names else [[]] * len(texts)
+            before = batch.column(held).to_pylist() if held in batch.schema.names else [[]] * len(texts)
             keep, new, carried = [], [], []
             for text, old in zip(texts, before):
                 words = words_of(text.encode()) if text else []
@@ -288,7 +310,7 @@ def _cleaner(block, window: int, coverage: int, columns: list[str], last: bool):
             if last:
                 yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
             else:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(carried, pa.list_(pa.int32()))], names=[*columns, "__spans"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(carried, pa.list_(pa.int32()))], names=[*columns, held])
 
     return run
 
@@ -302,8 +324,8 @@ with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, row_number() over () as r
   from documents),
 items as (
-  select cast(item_id as varchar) as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from benchmark where text is not null and item_id is not null),
+  select coalesce('i' || cast(item_id as varchar), '') as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null),
 windows as (
   select distinct item, least(len(w), 13) as k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as s
   from items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(i) where len(w) > 0),
@@ -315,7 +337,7 @@ found as (select r, i, spots.k, item from spots join windows using (k, s)),
 hit as (
   select r, count(distinct p) as n from (select distinct r, i, k from found), unnest(range(i, i + k)) u(p) group by r),
 named as (
-  select r, count(distinct item) as n, array_to_string(list_sort(list(distinct item)), ',') as ids from found group by r)
+  select r, count(distinct item) as n, array_to_string(list_sort(list(distinct item[2:]) filter (item <> '')), ',') as ids from found group by r)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items,
   sha256(coalesce(named.ids, '')) as items_sha256,
   coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated

@@ -1,5 +1,6 @@
 """Operators on single texts: decontamination, secrets, language, quality, against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -161,3 +162,12 @@ def test_word_rule_matches_the_pattern():
     text = "Ab-c9 É_x z\u007f0"
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     assert [w.decode() for w in D.words_of(text.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x a b y z"), (3, "q")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b"), (None, "c d"), (7, "y z"), (None, None)], "item_id long, text string")
+    for block_words in (400_000, 2):
+        rows = {r.doc_id: r for r in D.digest(D.find_hits(docs, bench, block_words=block_words)).collect()}
+        assert [(rows[k].n_hit, rows[k].n_items) for k in (1, 2, 3)] == [(4, 1), (4, 2), (0, 0)]
+        assert rows[1].items_sha256 == rows[3].items_sha256 == hashlib.sha256(b"").hexdigest() and rows[2].items_sha256 == hashlib.sha256(b"7").hexdigest()
