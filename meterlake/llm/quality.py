@@ -15,7 +15,8 @@ Defined results: null and empty texts have no terms and get the share of label 1
 most alike, here all equally distant, rows, i.e. the sample's prior; labels other than 0 and 1 and
 null labels teach nothing; a document labelled twice teaches its larger label; with no usable label
 every score is 0.5; ties between neighbours go to the earlier in the sample's order; repeated rows
-score alike; extra columns are not read.
+score alike; a text of more than BATCH_BYTES bytes is counted in pieces that end after a space, and an
+outline across such an end doesn't count; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, hashed_sample, held_out, slices, table
+from .common import flat_bytes, hashed_sample, held_out, plain, slices, table
 from .hashing import RangeHash, mix, spans
 
 #: Terms of the outline, of words and of trigrams in words.
@@ -38,7 +39,7 @@ SAMPLE_PER_LABEL = 1_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 SHARPNESS = 8
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 BLOCK = 128
 
 #: Character classes: letter runs are outlines, each symbol is a class of its own.
@@ -78,6 +79,24 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return counts.reshape(n, TERMS)
 
 
+def counted(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(a, b, term counts of rows a .. b - 1), block by block; a very long row is counted in pieces."""
+    for lo, hi in slices(offsets, BATCH_BYTES):
+        if offsets[hi] - offsets[lo] > BATCH_BYTES:  # one row
+            counts, at, stop = np.zeros((1, TERMS)), int(offsets[lo]), int(offsets[hi])
+            while at < stop:
+                end = min(at + BATCH_BYTES, stop)
+                gaps = np.flatnonzero(data[at:end] == 32) if end < stop else ()
+                end = at + int(gaps[-1]) + 1 if len(gaps) else end
+                counts += term_counts(data[at:end], np.array([0, end - at]))
+                at = end
+            yield lo, hi, counts
+        else:
+            for a in range(lo, hi, BLOCK):
+                b = min(a + BLOCK, hi)
+                yield a, b, term_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts) * idf
     for part in (x[:, :OUTLINES], x[:, OUTLINES:]):
@@ -98,11 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | No
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_bytes(batch.column("text"))
-            for lo, hi in slices(offsets, BATCH_BYTES):
-                for a in range(lo, hi, BLOCK):
-                    b = min(a + BLOCK, hi)
-                    counts = term_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("doc_id")[a:b].cast(pa.string()), batch.column("y")[a:b].cast(pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["h", "id", "y", "counts"])
+            for a, b, counts in counted(data, offsets):
+                packed = pa.array([x.tobytes() for x in counts.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("doc_id")[a:b].cast(pa.string()), batch.column("y")[a:b].cast(pa.int32()), packed], names=["h", "id", "y", "counts"])
 
     rows = sorted(texts.mapInArrow(features, "h long, id string, y int, counts binary").collect())
     if not rows:
@@ -140,10 +157,8 @@ def _scores(texts: pa.Array, model: dict | None) -> np.ndarray:
         return np.full(len(texts), 0.5)
     data, offsets = flat_bytes(texts)
     out = np.empty(len(offsets) - 1)
-    for lo, hi in slices(offsets, BATCH_BYTES):
-        for a in range(lo, hi, BLOCK):
-            b = min(a + BLOCK, hi)
-            out[a:b] = vote(term_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), model)
+    for a, b, counts in counted(data, offsets):
+        out[a:b] = vote(counts, model)
     return out
 
 
@@ -168,7 +183,8 @@ def keep_good(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column("text"), held.value) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = plain(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
