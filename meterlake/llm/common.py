@@ -145,13 +145,25 @@ def hashed_sample(df: DataFrame, key: str, most: int, h: str = "h") -> DataFrame
 FILTER_BITS = 1 << 26
 
 
+#: Words of 64 bits of a filter that come to the driver as one row.
+FILTER_WORDS = 1 << 14
+
+
 def membership(keys: DataFrame, *cols: str):
-    """A broadcast bitmap of FILTER_BITS bits that holds the hash of each key; 8 MB at most."""
+    """A broadcast bitmap of FILTER_BITS bits that holds the hash of each key; 8 MB, however many keys."""
     bit = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
-    words = keys.groupBy((bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(cols)}), 64) as int))")).alias("b")).toPandas()
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    bitmap[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64)
-    return keys.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    words = keys.groupBy((bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(cols)}), 64) as int))")).alias("b"))
+
+    def packed(part: pa.Table) -> pa.Table:
+        w = part["w"].to_numpy()
+        out = np.zeros(FILTER_WORDS, np.int64)
+        out[w % FILTER_WORDS] = part["b"].to_numpy()
+        return pa.table({"k": pa.array([int(w[0]) // FILTER_WORDS], pa.int32()), "b": pa.array([out.tobytes()], pa.binary())})
+
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in words.groupBy((F.col("w") / FILTER_WORDS).cast("int")).applyInArrow(packed, "k int, b binary").collect():
+        bitmap[r["k"] * FILTER_WORDS : (r["k"] + 1) * FILTER_WORDS] = np.frombuffer(r["b"], np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def held_rows(held, hashes: pa.Array) -> np.ndarray:

@@ -11,8 +11,8 @@ earlier one the run is a repeat. Repeats that overlap or touch are one maximal r
 own, found and joined alike; the registered query is what its SQL says, runs of WINDOW lines, and the
 pipeline asks for LONG_WORDS.
 
-Scale: only DataFrame functions. Texts are read twice and shuffled only to join them to deleted spans
-(not where Spark's statistics show these small). Fingerprints and runs are counted before they are
+Scale: only DataFrame functions. Texts are read twice and not shuffled as long as the table of
+deleted spans is measured small, else joined by document. Fingerprints and runs are counted before they are
 joined; positions are joined to the first place of their run, never to each other, and these
 joins have a plain exchange on both sides, so that Spark splits a run that is everywhere.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discarded, stored, table
+from .common import BROADCAST_BYTES, discarded, small, stored, table
 
 WINDOW = 3
 #: Words from which on a single line or two lines are a run as well, where asked for.
@@ -82,11 +82,11 @@ def deleted_spans(docs: DataFrame, window: int = WINDOW, words: int | None = Non
     # fp selected at two different places at least; places are told apart by min and max
     place = F.struct("d", "t", "i")
     again = stored(every.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp"), "linededup-again")
-    extended = every.join(again, "fp", "left_semi").select("d", "t", "w", "i", "h", "g", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    extended = every.join(small(again, 48), "fp", "left_semi").select("d", "t", "w", "i", "h", "g", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     part = lambda c: F.xxhash64(F.slice(c, F.col("o") + 1, F.col("w")))
     runs = stored(extended.select("d", "t", (F.col("i") + F.col("o")).alias("i"), "w", part("h").alias("k1"), part("g").alias("k2")), "linededup-runs")
     first = stored(runs.groupBy("k1", "k2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("k1", "k2", "a"), "linededup-first")
-    later = runs.join(first, ["k1", "k2"]).where(place > F.col("a"))
+    later = runs.join(small(first, 128), ["k1", "k2"]).where(place > F.col("a"))
     reach = F.array_sort(F.collect_set(F.struct("i", (F.col("i") + F.col("w")).alias("e"))))
     found = later.groupBy("d", "t").agg(reach.alias("s"))
     if words:  # runs of several lengths: line by line
@@ -102,6 +102,8 @@ def deleted_spans(docs: DataFrame, window: int = WINDOW, words: int | None = Non
 def dedup_lines(docs: DataFrame, window: int = WINDOW, words: int | None = None, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """docs, all columns, with the later repeated runs cut from text; adds the counts n_lines and n_removed."""
     spans = deleted_spans(docs, window, words)
+    size = spans.agg((F.count("*") * 96 + F.coalesce(F.sum(F.size("starts")), F.lit(0)) * 16).alias("n")).first()["n"]
+    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     own = {n_lines.lower(), n_removed.lower()}
     columns = [c for c in docs.columns if c.lower() not in own]
     d, t = _key()
