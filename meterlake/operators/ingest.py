@@ -7,16 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_zero
+from .sequence import folded
 
 COUNTERS = ("input", "output", "cache_read", "cache_creation", "reasoning")
 
 
 def dedup_first_wins(usage: DataFrame) -> DataFrame:
-    """The first arrival of each (provider, message, request); rows without a whole key all pass."""
+    """The first arrival of each (provider, message, request); rows without a whole key all pass.
+
+    The first row is an aggregate, so repeats are dropped before the shuffle too; keyless rows aren't shuffled.
+    """
     keyed = F.col("message").isNotNull() & F.col("request").isNotNull()
-    # Keyless rows are spread by their place of arrival: each is a group of its own.
-    key = [F.col("provider"), F.coalesce(F.when(keyed, F.col("message")), F.concat(F.lit("\0"), F.col("seq").cast("string"))), F.when(keyed, F.col("request"))]
-    return usage.withColumn("__rn", F.row_number().over(W.partitionBy(*key).orderBy("seq"))).where("__rn = 1").drop("__rn")
+    rest = [c for c in usage.columns if c not in ("provider", "message", "request")]
+    first = usage.where(keyed).groupBy("provider", "message", "request").agg(F.min_by(F.struct(*rest), "seq").alias("x"))
+    return first.select("provider", "message", "request", *(F.col(f"x.{c}") for c in rest)).select(*usage.columns).unionByName(usage.where(~keyed))
 
 
 def attribute_sessions(usage: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -29,33 +33,27 @@ def attribute_sessions(usage: DataFrame, sessions: DataFrame) -> DataFrame:
     return both.withColumn("__k", known).where("__s is null").withColumn("project", F.coalesce("project", F.col("__k.project"))).select(*cols)
 
 
-def cumulative_deltas(totals: DataFrame) -> DataFrame:
-    """Accepted increments of running totals per session, in order of arrival.
+def next_delta(prev: dict | None, row: dict) -> tuple[dict | None, tuple | None]:
+    """(baseline, increment or None) after a reading of a session's running totals.
 
     A row is dropped if it is older than the accepted one before, or as old without growing in every
-    counter. A total below the one before means the counter restarted. Acceptance is recursive, hence a
-    fold over a session's rows.
+    counter. A total below the one before means the counter restarted.
     """
-    row = F.struct("seq", "at_s", *COUNTERS)
-    folded = totals.groupBy("provider", "session").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    zero = F.struct(F.lit(None).cast("long").alias("at_s"), *(F.lit(0).cast("long").alias(c) for c in COUNTERS))
-    out_type = "array<struct<seq:bigint,at_s:bigint," + ",".join(f"{c}:bigint" for c in COUNTERS) + ">>"
-    start = F.struct(zero.alias("prev"), F.array().cast(out_type).alias("out"))
-
-    def step(acc, x):
-        p = acc["prev"]
-        same = F.lit(True)
-        grown = F.lit(True)
-        for c in COUNTERS:
-            same, grown = same & (x[c] == p[c]), grown & (x[c] >= p[c])
-        drop = p["at_s"].isNotNull() & ((x["at_s"] < p["at_s"]) | ((x["at_s"] == p["at_s"]) & (same | ~grown)))
-        sums = [sum((v[c] for c in COUNTERS[1:4]), v["input"]) for v in (x, p)]
-        on = p["at_s"].isNotNull() & (sums[0] >= sums[1])
-        delta = F.struct(x["seq"].alias("seq"), x["at_s"].alias("at_s"), *(F.when(on, F.greatest(x[c] - p[c], F.lit(0))).otherwise(x[c]).alias(c) for c in COUNTERS))
-        now = F.struct(x["at_s"].alias("at_s"), *(x[c].alias(c) for c in COUNTERS))
-        return F.when(drop, acc).otherwise(F.struct(now.alias("prev"), F.concat(acc["out"], F.array(delta)).alias("out")))
-
-    return folded.select("provider", "session", F.explode(F.aggregate("r", start, step)["out"]).alias("x")).select("provider", "session", "x.*")
+    if prev is not None and row["at_s"] <= prev["at_s"]:
+        same = all(row[c] == prev[c] for c in COUNTERS)
+        if row["at_s"] < prev["at_s"] or same or any(row[c] < prev[c] for c in COUNTERS):
+            return prev, None
+    on = prev is not None and sum(row[c] for c in COUNTERS[:4]) >= sum(prev[c] for c in COUNTERS[:4])
+    return row, (row["seq"], row["at_s"], *(max(row[c] - prev[c], 0) if on else row[c] for c in COUNTERS))
+
+
+DELTAS = "seq bigint, at_s bigint, " + ", ".join(f"{c} bigint" for c in COUNTERS)
+
+
+def cumulative_deltas(totals: DataFrame) -> DataFrame:
+    """Accepted increments of running totals per session, in order of arrival; what is accepted depends on what was."""
+    rows = totals.select("provider", "session", "seq", "at_s", *COUNTERS)
+    return folded(rows, ["provider", "session"], ["seq"], next_delta, DELTAS)
 
 
 def counted(usage: DataFrame) -> DataFrame:

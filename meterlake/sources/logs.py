@@ -7,9 +7,10 @@ and a completed line that can't be parsed is a row of `errors`, never a reason t
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.pricing import with_cost
@@ -17,20 +18,22 @@ from ..operators.pricing import with_cost
 TOKENS = ("input", "output", "cache_read", "cache_creation", "reasoning")
 
 
-def read_lines(spark: SparkSession, paths: list[str], line_gap: int = 1 << 24) -> DataFrame:
-    """path, seq, line of closed log files.
+#: Bits of seq for a line's place in its partition, and for its block of MB in its file.
+ROW_BITS, BLOCK_BITS = 28, 13
 
-    seq reproduces a cold start's order of arrival: newest file first, then path, then line. A file
-    is one row until it is split, so that its lines can be numbered; session logs are some megabytes.
-    Files are ranked (a small table), lines are not sorted.
-    """
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("m"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    from pyspark.sql import Window as W
 
-    files = raw.select("path", "m").distinct().withColumn("rank", F.row_number().over(W.orderBy(F.desc("m"), "path")))
-    lines = raw.join(F.broadcast(files.select("path", "rank")), "path")
-    line = F.regexp_replace("line", "\r$", "")
-    return lines.select("path", (F.col("rank") * line_gap + F.col("pos")).alias("seq"), line.alias("line")).where(F.length("line") > 0)
+def read_lines(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    """path, seq, line of closed log files, given as (path, modification time).
+
+    seq reproduces a cold start's order of arrival: newest file first, then path, then line. Files are
+    split like any text; a line's place is its file's rank, its block's and its own in the partition that reads it.
+    """
+    ranked = [(p, k) for k, (p, _) in enumerate(sorted(files, key=lambda x: (-x[1], x[0])))]
+    ranks = spark.createDataFrame(ranked, "path string, rank bigint")
+    place = (F.shiftright(F.col("_metadata.file_block_start"), 20), F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1))
+    rows = spark.read.option("lineSep", "\n").text([p for p, _ in files]).select(F.col("_metadata.file_path").alias("path"), place[0].alias("block"), place[1].alias("row"), F.regexp_replace("value", "\r$", "").alias("line"))
+    seq = F.shiftleft("rank", ROW_BITS + BLOCK_BITS) + F.shiftleft("block", ROW_BITS) + F.col("row")
+    return rows.where(F.length("line") > 0).join(ranks, "path").select("path", seq.alias("seq"), "line")
 
 
 def file_stem(path: Column) -> Column:
@@ -49,14 +52,27 @@ def _at(text: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(text))
 
 
-def _parsed(lines: DataFrame, schema: str, markers: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows with struct r, errors): lines without a marker are neither."""
+def _parsed(lines: DataFrame, schema: str, markers: tuple[str, ...], counters: tuple[str, ...] = (), times: tuple[str, ...] = (), more: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows with struct r, errors): lines without a marker are neither.
+
+    A line is refused whole if it is no JSON, repeats a key, has a counter that is null, negative or
+    no whole number, or a time that can't be read. The last line of a file may be unfinished and is no error.
+    """
     hit = F.lit(False)
     for marker in markers:
         hit = hit | F.col("line").contains(marker)
-    rows = lines.where(hit).withColumn("r", F.from_json("line", schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    return rows.where(~bad), rows.where(bad).select("path", "seq", F.concat(F.lit("malformed record in "), F.col("path")).alias("message"))
+    rows = lines.where(hit).withColumn("r", F.from_json("line", schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).withColumn("v", F.try_parse_json("line"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col("v").isNull()
+    for c in counters:
+        bad = bad | F.coalesce(F.is_variant_null(F.try_variant_get("v", f"$.{c}", "variant")), F.lit(False)) | F.coalesce(F.col(f"r.{c}") < 0, F.lit(False))
+    for c in times:
+        bad = bad | (F.col(f"r.{c}").isNotNull() & _at(F.col(f"r.{c}")).isNull())
+    bad = bad | F.coalesce(more, F.lit(False)) if more is not None else bad
+    rows = rows.withColumn("bad", bad).drop("v")
+    refused = rows.where("bad").select("path", "seq")
+    ends = lines.join(F.broadcast(refused.select("path").distinct()), "path").groupBy("path").agg(F.max("seq").alias("end"))
+    errors = refused.join(ends, "path").where(F.col("seq") < F.col("end")).select("path", "seq", F.concat(F.lit("malformed record in "), F.col("path")).alias("message"))
+    return rows.where(~F.col("bad")).drop("bad"), errors
 
 
 def _count(c: str) -> Column:
@@ -86,7 +102,8 @@ def claude_code(lines: DataFrame) -> Records:
         "type STRING, timestamp STRING, at STRING, requestId STRING, sessionId STRING, cwd STRING, message STRUCT<id:STRING, model:STRING, usage:STRUCT<input_tokens:BIGINT, output_tokens:BIGINT, cache_read_input_tokens:BIGINT,"
         " cache_creation_input_tokens:BIGINT, cache_creation:STRUCT<ephemeral_5m_input_tokens:BIGINT, ephemeral_1h_input_tokens:BIGINT>>>, rate_limits STRUCT<five_hour:STRUCT<used_percentage:FLOAT, resets_at:BIGINT>, seven_day:STRUCT<used_percentage:FLOAT, resets_at:BIGINT>>"
     )
-    rows, errors = _parsed(lines, schema, ('"usage"', '"rate_limits"'))
+    spent = tuple(f"message.usage.{c}" for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens"))
+    rows, errors = _parsed(lines, schema, ('"usage"', '"rate_limits"'), spent, ("timestamp", "at"))
     u, tier = "r.message.usage.", F.col("r.message.usage.cache_creation")
     five = F.when(tier.isNotNull(), _count(u + "cache_creation.ephemeral_5m_input_tokens")).otherwise(_count(u + "cache_creation_input_tokens"))
     hour = F.when(tier.isNotNull(), _count(u + "cache_creation.ephemeral_1h_input_tokens")).otherwise(F.lit(0).cast("long"))
@@ -106,7 +123,11 @@ def codex(lines: DataFrame) -> Records:
     tokens = "STRUCT<total_tokens:BIGINT, input_tokens:BIGINT, cached_input_tokens:BIGINT, cache_write_input_tokens:BIGINT, output_tokens:BIGINT, reasoning_output_tokens:BIGINT>"
     window = "STRUCT<used_percent:FLOAT, window_minutes:BIGINT, resets_at:BIGINT>"
     schema = f"timestamp STRING, type STRING, payload STRUCT<type:STRING, cwd:STRING, info:STRUCT<total_token_usage:{tokens}, last_token_usage:{tokens}>, rate_limits:STRUCT<limit_id:STRING, primary:{window}, secondary:{window}>>"
-    rows, errors = _parsed(lines, schema, ('"token_count"', '"session_meta"'))
+    kinds = ("total_tokens", "input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens")
+    spent = tuple(f"payload.info.{t}.{c}" for t in ("total_token_usage", "last_token_usage") for c in kinds)
+    partial = [F.col(f"r.payload.rate_limits.{w}") for w in ("primary", "secondary")]
+    partial = [w.isNotNull() & (w["used_percent"].isNull() | w["window_minutes"].isNull()) for w in partial]
+    rows, errors = _parsed(lines, schema, ('"token_count"', '"session_meta"'), spent, ("timestamp",), F.col("r.timestamp").isNull() | partial[0] | partial[1])
     rows = rows.withColumn("at_s", _at(F.col("r.timestamp")))
     stem, u = file_stem(F.col("path")), "r.payload.info.last_token_usage."
     counts = rows.where("r.payload.type = 'token_count' and r.payload.info.last_token_usage is not null")
@@ -123,7 +144,10 @@ def codex(lines: DataFrame) -> Records:
 def copilot_cli(lines: DataFrame) -> Records:
     metric = "STRUCT<totalNanoAiu:BIGINT, requests:STRUCT<cost:DOUBLE>, usage:STRUCT<inputTokens:BIGINT, outputTokens:BIGINT, cacheReadTokens:BIGINT, cacheWriteTokens:BIGINT, reasoningTokens:BIGINT>>"
     schema = f"type STRING, id STRING, timestamp STRING, data STRUCT<totalPremiumRequests:DOUBLE, errorCode:STRING, context:STRUCT<cwd:STRING>, modelMetrics:MAP<STRING,{metric}>>"
-    rows, errors = _parsed(lines, schema, ('"session.',))
+    kinds = ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens", "reasoningTokens")
+    below = F.exists(F.map_values("r.data.modelMetrics"), lambda m: sum(((m["usage"][k] < 0).cast("int") for k in kinds), (m["totalNanoAiu"] < 0).cast("int")) > 0)
+    nulls = F.col("line").rlike('"(?:' + "|".join((*kinds, "totalNanoAiu")) + r')"\s*:\s*null')
+    rows, errors = _parsed(lines, schema, ('"session.',), (), ("timestamp",), F.coalesce(below, F.lit(False)) | nulls)
     rows = rows.withColumn("at_s", _at(F.col("r.timestamp"))).withColumn("session", parent_name(F.col("path")))
     ends = rows.where("r.type = 'session.shutdown'")
     each = ends.select("path", "seq", "at_s", "session", F.col("r.id").alias("id"), F.explode("r.data.modelMetrics").alias("model", "m"))
@@ -162,12 +186,61 @@ PROVIDERS = {
 }
 
 
+def listed(spark: SparkSession, root: str, key: str) -> list[tuple[str, int]]:
+    """(path, modification time) of a provider's log files below root, each once, newest first."""
+    found = {}
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for pattern in PROVIDERS[key].globs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{pattern}")
+        found |= {str(x.getPath()): x.getModificationTime() for x in path.getFileSystem(conf).globStatus(path) or ()}
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))
+
+
+def access(spark: SparkSession, root: str) -> str:
+    """readable, denied or missing: what can't be read is never taken for absent."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        if not fs.exists(path):
+            return "missing"
+        fs.listStatus(path)
+        return "readable"
+    except Exception:  # the file system says no, in words of its own
+        return "denied"
+
+
+#: Where the tools write below the user's home.
+HOMES = {"claude-code": ".claude/projects", "codex": ".codex/sessions", "copilot-cli": ".copilot/session-state"}
+
+
+def discovered(home: str) -> dict[str, str]:
+    """provider -> log root, whether it is there or not."""
+    return {key: f"{home.rstrip('/')}/{below}" for key, below in HOMES.items()}
+
+
+def installed(spark: SparkSession, roots: dict[str, str]) -> list[str]:
+    """Providers, in registry order, whose root is there, readable or not."""
+    return [key for key in PROVIDERS if key in roots and access(spark, roots[key]) != "missing"]
+
+
 def read_provider(spark: SparkSession, root: str, key: str) -> Records:
     """All records of one provider's log root; a file that two patterns match is read once."""
-    spec, found = PROVIDERS[key], set()
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for glob in spec.globs:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{glob}")
-        found |= {str(x.getPath()) for x in path.getFileSystem(conf).globStatus(path) or ()}
-    lines = read_lines(spark, sorted(found)) if found else spark.createDataFrame([], "path string, seq bigint, line string")
-    return spec.parse(lines)
+    files = listed(spark, root, key)
+    lines = read_lines(spark, files) if files else spark.createDataFrame([], "path string, seq bigint, line string")
+    return PROVIDERS[key].parse(lines)
+
+
+def read_all(spark: SparkSession, roots: dict[str, str]) -> Records:
+    """The records of all providers that have a root, as one."""
+    parts = [read_provider(spark, root, key) for key, root in roots.items()]
+    whole = {f.name: getattr(parts[0], f.name) for f in fields(Records)}
+    for part in parts[1:]:
+        whole = {name: df.unionByName(getattr(part, name)) for name, df in whole.items()}
+    return Records(**whole)
+
+
+def last_lines(spark: SparkSession, files: list[tuple[str, int]], count: int) -> DataFrame:
+    """path, seq, line of the newest `count` lines of each file, newest first."""
+    lines = read_lines(spark, files)
+    newest = W.partitionBy("path").orderBy(F.desc("seq"))
+    return lines.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= count).drop("k").orderBy("path", F.desc("seq"))

@@ -2,8 +2,9 @@
 
 The built-in file source takes files as immutable. This one keeps, in the stream's offset, the device,
 inode and byte position of every file and reads from there up to the last newline; what stands after it
-waits for the next batch. A file that was replaced or cut short is read from its start again. Works on
-files that the driver and the executors both reach.
+waits for the next batch. A file that was replaced or cut short is read from its start again. A line that
+grows beyond LONGEST_LINE without an end is given up: it is reported once and skipped up to its end. Bytes that
+are not UTF-8 are reported too, as rows without a line. Works on files that the driver and the executors both reach.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ LONGEST_LINE = 16 << 20
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+    """Bytes begin .. end of a file; `place` is how many bytes of the batch come before, `skip` that begin is inside a line that was given up."""
+
+    def __init__(self, path: str, begin: int, end: int, place: int, skip: bool):
+        self.path, self.begin, self.end, self.place, self.skip = path, begin, end, place, skip
 
 
 def complete_end(path: str, begin: int, size: int, chunk: int = CHUNK) -> int:
@@ -39,37 +42,50 @@ def complete_end(path: str, begin: int, size: int, chunk: int = CHUNK) -> int:
     return size if size - begin > LONGEST_LINE else begin
 
 
-def read_span(path: str, begin: int, end: int) -> Iterator[tuple[str, int, str]]:
-    """(path, byte offset, line) of the non-empty valid lines of a span."""
-    with open(path, "rb") as f:
-        f.seek(begin)
-        at = begin
-        while at < end:
-            raw = f.readline(end - at)
+def read_span(span: Span) -> Iterator[tuple[str, int, int, str | None, str | None]]:
+    """(path, place in the batch, byte offset, line, problem) of the non-empty lines of a span."""
+    with open(span.path, "rb") as f:
+        f.seek(span.begin)
+        at, skip = span.begin, span.skip
+        while at < span.end:
+            raw = f.readline(span.end - at)
             if not raw:
                 return
-            if raw.endswith(b"\n"):
-                line = raw.rstrip(b"\n").removesuffix(b"\r")
+            line = raw.rstrip(b"\n").removesuffix(b"\r")
+            where = span.path, span.place + at - span.begin, at
+            if skip:
+                skip = not raw.endswith(b"\n")
+            elif not raw.endswith(b"\n"):
+                yield *where, None, "oversize line"
+            elif line:
                 try:
-                    if line:
-                        yield path, at, line.decode()
+                    yield *where, line.decode(), None
                 except UnicodeDecodeError:
-                    pass
+                    yield *where, None, "invalid UTF-8"
             at += len(raw)
 
 
 class TailReader(DataSourceStreamReader):
+    """Offsets map a path to [device, inode, read up to, begun at, inside a line that was given up]."""
+
     def __init__(self, options: dict):
         self.patterns = [os.path.join(options["root"], g) for g in options.get("globs", "*.jsonl").split(",")]
         self.most = int(options.get("maxFilesPerBatch", 1 << 30))
-        self.known: dict = {}
+        #: Of the offset before; None after a restart, until Spark has handed one in.
+        self.known: dict | None = None
 
     def initialOffset(self) -> dict:
+        self.known = {}
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        """Positions after this batch; at most `maxFilesPerBatch` files move, the newest first."""
-        files = dict(self.known)
+        """Positions after this batch; at most `maxFilesPerBatch` files move, the newest first.
+
+        After a restart the offset before is not known here, so the first batch takes every file: one
+        that were left out would be missing from the offset and be read again from its start.
+        """
+        most = 1 << 30 if self.known is None else self.most
+        files = dict(self.known or {})
         there = {}
         for p in {p for g in self.patterns for p in glob.glob(g)}:
             try:
@@ -79,28 +95,38 @@ class TailReader(DataSourceStreamReader):
         moved = 0
         for p, st in sorted(there.items(), key=lambda x: (-x[1].st_mtime, x[0])):
             old = files.get(p)
-            begin = old[2] if old and old[:2] == [st.st_dev, st.st_ino] and old[2] <= st.st_size else 0
-            if old and begin == st.st_size or moved >= self.most:
+            same = old and old[:2] == [st.st_dev, st.st_ino] and old[2] <= st.st_size
+            begin = old[2] if same else 0
+            if same and begin == st.st_size or moved >= most:
                 continue  # unchanged: not opened
             end = complete_end(p, begin, st.st_size)
             moved += end > begin
-            files[p] = [st.st_dev, st.st_ino, end, begin]
+            files[p] = [st.st_dev, st.st_ino, end, begin, bool(same and old[4]) if end == begin else not _ends_line(p, end)]
         files = {p: x for p, x in files.items() if p in there}
-        self.known = {p: x[:3] + [x[2]] for p, x in files.items()}
+        self.known = files
         return {"files": json.dumps(files, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        out = []
-        for p, (dev, ino, to, begin) in after.items():
+        self.known = after
+        out, place = [], 0
+        for p, (dev, ino, to, _, _) in after.items():
             old = before.get(p)
-            at = old[2] if old and old[:2] == [dev, ino] and old[2] <= to else 0
+            same = old and old[:2] == [dev, ino] and (old[2] <= to or os.stat(p).st_size >= old[2])
+            at = old[2] if same else 0
             if to > at:
-                out.append(Span(p, at, to))
+                out.append(Span(p, at, to, place, bool(same and old[4])))
+                place += to - at
         return out
 
-    def read(self, partition: Span) -> Iterator[tuple[str, int, str]]:
-        return read_span(partition.path, partition.begin, partition.end)
+    def read(self, partition: Span) -> Iterator[tuple[str, int, int, str | None, str | None]]:
+        return read_span(partition)
+
+
+def _ends_line(path: str, end: int) -> bool:
+    with open(path, "rb") as f:
+        f.seek(end - 1)
+        return f.read(1) == b"\n"
 
 
 class TailSource(DataSource):
@@ -111,7 +137,7 @@ class TailSource(DataSource):
         return "tail_jsonl"
 
     def schema(self) -> str:
-        return "path string, offset bigint, line string"
+        return "path string, place bigint, offset bigint, line string, problem string"
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)

@@ -23,20 +23,26 @@ def lines_of(spark: SparkSession, root: str, key: str, **options) -> DataFrame:
     return stream.load()
 
 
-def ingest(spark: SparkSession, root: str, key: str, out: str, checkpoint: str, trigger: dict | None = None):
+def ingest(spark: SparkSession, root: str, key: str, out: str, checkpoint: str, trigger: dict | None = None, **options):
     """A running query that appends a provider's records below `out`, one folder a batch and table.
 
     A batch's folder is overwritten if the batch runs again, so a restart repeats nothing. seq grows
-    with the batch, then path and byte offset.
+    with the batch, then with the place among the batch's bytes: no two lines share one. Lines that can't be read (no
+    UTF-8, too long) are rows of `errors`, like those that can't be parsed.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        seq = F.lit(number) * (1 << 44) + F.pmod(F.xxhash64("path"), F.lit(1 << 8)) * (1 << 36) + F.col("offset")
-        records = PROVIDERS[key].parse(df.select("path", seq.alias("seq"), "line").persist())
+        seq = (F.lit(number).cast("long") * (1 << 44) + F.col("place")).alias("seq")
+        held = df.select("path", seq, "line", "problem").persist()
+        records = PROVIDERS[key].parse(held.where("line is not null").select("path", "seq", "line"))
+        unread = held.where("problem is not null").select("path", "seq", F.concat("problem", F.lit(" in "), "path").alias("message"))
         for name in TABLES:
-            getattr(records, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+            rows = getattr(records, name)
+            rows = rows.unionByName(unread) if name == "errors" else rows
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        held.unpersist()
 
-    writer = lines_of(spark, root, key).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = lines_of(spark, root, key, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

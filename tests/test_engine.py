@@ -57,8 +57,8 @@ def test_scalar_rules(spark):
     assert one(S.csv_cell(F.lit('a,"b')))[0] == '"a,""b"' and one(S.dollars(F.lit(0), F.lit(3)))[0] == "" and one(S.dollars(F.lit(0), F.lit(0)))[0] == "0.000000"
     assert one(S.instant(F.lit(1785000000)))[0] == "2026-07-25T17:20:00Z" and one(S.week_slot(F.lit(1785715200)))[0] == 0
     assert one(S.percent_of(F.lit(0.0), F.lit(1.0)))[0] is None and one(S.percent_of(F.lit(1.0), F.lit(50.0)))[0] == 999.0
-    u = spark.createDataFrame([("claude-opus-4-8", 23858, 439, 18260, 0, 6953), ("who", 1, 1, 1, 1, 1), (None, 1, 1, 1, 1, 1)], "model string, input long, output long, cache_read long, cache_5m long, cache_1h long")
-    assert [None if r.usd is None else float(r.usd) for r in pricing.with_cost(u).collect()] == [0.208925, None, None]
+    u = spark.createDataFrame([("claude-opus-4-8", 1000, 200, 4000, 800, 300), ("who", 1, 1, 1, 1, 1), (None, 1, 1, 1, 1, 1)], "model string, input long, output long, cache_read long, cache_5m long, cache_1h long")
+    assert [None if r.usd is None else float(r.usd) for r in pricing.with_cost(u).collect()] == [0.02, None, None]  # (5000 + 5000 + 2000 + 5000 + 3000) / 10**6
 
 
 def totals(spark, rows):
@@ -112,7 +112,7 @@ def test_log_formats(spark, tmp_path):
     write(f"{root}/c/proj/s/subagents/b.jsonl", claude_row(3))
     write(f"{root}/c/statusline/d.jsonl", {"type": "x", "at": "2026-07-28T15:05:00Z", "rate_limits": {"seven_day": {"used_percentage": 95.0, "resets_at": 1785007800}}})
     r = logs.read_provider(spark, f"{root}/c", "claude-code")
-    rows = r.usage.collect()
+    rows = r.usage.where("origin = 'main'").orderBy("seq").collect() + r.usage.where("origin <> 'main'").collect()
     assert len(rows) == 4 and {x.origin for x in rows} == {"main", "subagent"} and r.errors.count() == 1
     assert float(rows[0].usd) == pytest.approx(2 * 5e-6 + 10 * 2.5e-5 + 5 * 6.25e-6)
     assert ingest.dedup_first_wins(r.usage).count() == 3
@@ -123,11 +123,11 @@ def test_log_formats(spark, tmp_path):
     u = ingest.attribute_sessions(r.usage, r.sessions).first()
     assert (u.input, u.cache_read, u.output, u.reasoning, u.project, u.usd) == (60, 40, 20, 5, "/work/project", None)
     assert [(x.limit_id, x.window_minutes) for x in r.limits.collect()] == [("codex", 299)]
-    metric = {"totalNanoAiu": 913747500, "requests": {"cost": 1.0}, "usage": {"inputTokens": 6128, "outputTokens": 7, "cacheReadTokens": 0, "cacheWriteTokens": 6119}}
+    metric = {"totalNanoAiu": 250000000, "requests": {"cost": 2.0}, "usage": {"inputTokens": 900, "outputTokens": 40, "cacheReadTokens": 300, "cacheWriteTokens": 500}}
     write(f"{root}/p/u1/events.jsonl", {"type": "session.shutdown", "id": "e", "timestamp": "2026-07-28T15:00:00Z", "data": {"modelMetrics": {"claude-haiku-4-5": metric}}}, {"type": "session.error", "timestamp": "2026-07-28T15:00:00Z", "data": {"errorCode": "quota_exceeded"}})
     r = logs.read_provider(spark, f"{root}/p", "copilot-cli")
     u, x = r.usage.first(), r.limits.first()
-    assert (u.session, u.input, u.cache_creation, float(u.usd), u.requests) == ("u1", 9, 6119, 0.009137475, 1.0) and x.resets_at == 1785542400
+    assert (u.session, u.input, u.cache_creation, float(u.usd), u.requests) == ("u1", 100, 500, 0.0025, 2.0) and x.resets_at == 1785542400
 
 
 def test_tail_reads_appended_bytes_once(tmp_path):
@@ -138,7 +138,7 @@ def test_tail_reads_appended_bytes_once(tmp_path):
     def step():
         nonlocal start
         end = reader.latestOffset()
-        out = [line for p in reader.partitions(start, end) for _, _, line in reader.read(p)]
+        out = [line for p in reader.partitions(start, end) for _, _, _, line, _ in reader.read(p)]
         start = end
         return out
 
@@ -151,12 +151,3 @@ def test_tail_reads_appended_bytes_once(tmp_path):
     assert step() == ["new"]
 
 
-def test_stream_ingest(spark, tmp_path):
-    from meterlake.streaming import pipeline
-
-    root, out = f"{tmp_path}/c", f"{tmp_path}/out"
-    write(f"{root}/proj/a.jsonl", claude_row(1), claude_row(2))
-    for _ in range(2):
-        pipeline.ingest(spark, root, "claude-code", out, f"{tmp_path}/cp", {"once": True}).awaitTermination(120)
-        write(f"{root}/proj/a.jsonl", claude_row(3))
-    assert spark.read.parquet(f"{out}/usage").count() == 3
