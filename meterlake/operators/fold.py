@@ -37,20 +37,49 @@ def history(series: DataFrame, begin: int, end: int) -> DataFrame:
     return resum(in_range(series, begin, end), "provider", floor_to(F.col("start"), HOUR_SECONDS).alias("hour"))
 
 
-def breakdown(usage: DataFrame) -> DataFrame:
-    """All three dimensions in one pass: provider, dimension, hour, label; a null label is a group."""
-    dims = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).alias("label")) for d, c in (("model", "model"), ("project", "project"), ("agent", "origin")))))
-    rows = usage.select("provider", "seq", floor_to(F.col("at_s"), HOUR_SECONDS).alias("hour"), *TOKENS, "usd", dims.alias("d")).select("*", "d.*").drop("d")
-    return rows.groupBy("provider", "dimension", "hour", "label").agg(*measures(False))
+#: dimension -> column of usage
+DIMENSIONS = {"model": "model", "project": "project", "agent": "origin"}
+
+
+def breakdown(usage: DataFrame, *dimensions: str) -> DataFrame:
+    """provider, dimension, hour, label with sums, records and the first seq; all dimensions, or those asked for.
+
+    One pass, in which a null label is a group.
+    """
+    chosen = [F.struct(F.lit(d).alias("dimension"), F.col(DIMENSIONS[d]).alias("label")) for d in dimensions or DIMENSIONS]
+    one = chosen[0] if len(chosen) == 1 else F.explode(F.array(*chosen))
+    rows = usage.select("provider", "seq", floor_to(F.col("at_s"), HOUR_SECONDS).alias("hour"), *TOKENS, "usd", one.alias("d")).select("*", "d.*").drop("d")
+    return rows.groupBy("provider", "dimension", "hour", "label").agg(*measures(False), F.count("*").alias("records"), F.min("seq").alias("first_seq"))
+
+
+def capped(breakdown_: DataFrame, cap: int = LABEL_CAP) -> tuple[DataFrame, DataFrame]:
+    """(breakdown of the first `cap` labels by arrival, provider, dimension, labels_dropped in records).
+
+    Labels without an hour in breakdown_ hold no place, so prune it first: what retention has dropped
+    makes room. The labels kept are at most `cap` for a dimension of a provider, hence a broadcast.
+    """
+    named = breakdown_.where(F.col("label").isNotNull())
+    first = named.groupBy("provider", "dimension", "label").agg(F.min("first_seq").alias("f"))
+    kept = first.withColumn("k", F.row_number().over(W.partitionBy("provider", "dimension").orderBy("f", "label"))).where(F.col("k") <= cap)
+    kept = F.broadcast(kept.select("provider", "dimension", "label", F.lit(True).alias("kept")))
+    marked = breakdown_.join(kept, ["provider", "dimension", "label"], "left")
+    dropped = marked.groupBy("provider", "dimension").agg(F.coalesce(F.sum(F.when(F.col("label").isNotNull() & F.col("kept").isNull(), F.col("records"))), F.lit(0)).alias("labels_dropped"))
+    return marked.where(F.col("label").isNull() | F.col("kept")).select(breakdown_.columns), dropped
 
 
 def capped_labels(usage: DataFrame, label: str, cap: int = LABEL_CAP) -> tuple[DataFrame, DataFrame]:
-    """(usage with one of the first `cap` labels by arrival, records dropped per provider)."""
-    rows = usage.where(F.col(label).isNotNull())
-    first = rows.groupBy("provider", label).agg(F.min("seq").alias("f")).withColumn("k", F.row_number().over(W.partitionBy("provider").orderBy("f")))
-    both = rows.join(first.select("provider", label, "k"), ["provider", label])
-    kept = both.where(F.col("k") <= cap).drop("k").unionByName(usage.where(F.col(label).isNull()))
-    return kept, both.groupBy("provider").agg(F.sum(F.when(F.col("k") > cap, 1).otherwise(0)).alias("labels_dropped"))
+    """(usage with one of the first `cap` labels by arrival or none, records dropped per provider)."""
+    first = usage.where(F.col(label).isNotNull()).groupBy("provider", label).agg(F.min("seq").alias("f"))
+    kept = first.withColumn("k", F.row_number().over(W.partitionBy("provider").orderBy("f"))).where(F.col("k") <= cap)
+    marked = usage.join(F.broadcast(kept.select("provider", label, F.lit(True).alias("__kept"))), ["provider", label], "left")
+    lost = F.col(label).isNotNull() & F.col("__kept").isNull()
+    dropped = marked.where(F.col(label).isNotNull()).groupBy("provider").agg(F.sum(F.when(lost, 1).otherwise(0)).alias("labels_dropped"))
+    return marked.where(~lost).select(usage.columns), dropped
+
+
+def points(breakdown_: DataFrame, begin: int, end: int) -> DataFrame:
+    """The hours of [begin, end) in order of hour and label, null first."""
+    return in_range(breakdown_, begin, end, "hour").orderBy("provider", "dimension", "hour", F.asc_nulls_first("label"))
 
 
 def latest_limits(limits: DataFrame) -> DataFrame:

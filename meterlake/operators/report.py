@@ -90,3 +90,32 @@ def export_rows(hours: DataFrame, breakdown: DataFrame, dropped: DataFrame) -> D
     drops = F.when(F.col("dimension") != "total", F.coalesce("labels_dropped", F.lit(0)))
     values = (F.col("provider"), F.col("dimension"), F.col("hour").cast("string"), instant(F.col("hour")), csv_cell(F.col("label")), *(F.col(c).cast("string") for c in TOKENS), total().cast("string"), dollars(F.col("usd"), F.col("unpriced")), F.col("unpriced").cast("string"), F.coalesce(drops.cast("string"), F.lit("")))
     return rows.select(*(v.alias(c) for v, c in zip(values, CSV_COLUMNS)))
+
+
+def ranked_labels(shares: DataFrame) -> DataFrame:
+    """Labels of breakdown_share in the order shown: by what they are measured in, then by tokens, the largest first."""
+    value = F.when(F.col("basis") == "cost", F.col("usd").cast("double")).otherwise(F.col("tokens").cast("double"))
+    return shares.orderBy("provider", "dimension", value.desc(), F.desc("tokens"), F.asc_nulls_first("label"))
+
+
+def joined_errors(errors: DataFrame, shown: int = 3) -> DataFrame:
+    """message, hidden: the first message of each of the first `shown` paths as one text, and how many paths more."""
+    first = errors.groupBy("path").agg(F.min_by("message", "seq").alias("message"))
+    total_ = first.agg(F.count("*").alias("n"))
+    text = first.orderBy("path").limit(shown).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "message"))), lambda x: x["message"]), " | ").alias("message"))
+    return text.crossJoin(total_).where("n > 0").select("message", F.greatest(F.col("n") - shown, F.lit(0)).alias("hidden"))
+
+
+def read_counters(lines: DataFrame, usage: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: files, lines, bytes read, records accepted, repeats skipped, lines refused."""
+    read = lines.agg(F.countDistinct("path").alias("files"), F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes"))
+    keyed = F.col("message").isNotNull() & F.col("request").isNotNull()
+    key = F.when(keyed, F.struct("provider", "message", "request"))
+    kept = usage.agg(F.count("*").alias("records"), (F.count(key) - F.countDistinct(key)).alias("duplicates_skipped"))
+    return read.crossJoin(kept).crossJoin(errors.agg(F.count("*").alias("parse_errors")))
+
+
+def since(before: DataFrame, now: DataFrame, counter: str, *keys: str) -> DataFrame:
+    """keys and how much a growing counter has grown between two readings of it; a key that is new starts at 0."""
+    was = before.select(*keys, F.col(counter).alias("__was"))
+    return now.join(was, list(keys), "left").select(*keys, F.greatest(F.col(counter) - F.coalesce("__was", F.lit(0)), F.lit(0)).alias(counter))

@@ -65,7 +65,3 @@ def month_to_date(series: DataFrame, measured_: DataFrame, ceilings: DataFrame,
     hit = (F.col("start") >= month_start) & (F.col("start") < now)
     spent = F.broadcast(open_).join(series, "provider", "left").groupBy("provider", "plan", "window_minutes", "ceiling_usd").agg(F.coalesce(F.sum(F.when(hit, F.col("usd"))), F.lit(0)).cast("double").alias("spent"), F.coalesce(F.sum(F.when(hit, F.col("unpriced"))), F.lit(0)).alias("open_tokens"))
     return spent.where("open_tokens = 0").select("provider", "plan", "window_minutes", percent_of(F.col("ceiling_usd"), F.col("spent")).alias("used_percent"), F.lit(next_month).cast("long").alias("resets_at"), F.lit("request-count").alias("basis"))
-
-
-def all_windows(measured_: DataFrame, derived_: DataFrame) -> DataFrame:
-    return measured_.unionByName(derived_).orderBy("provider", "window_minutes")

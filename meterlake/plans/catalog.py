@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import alerts, burst, fold, ingest, pace, pricing, report, windows
+from ..operators import alerts, burst, export, fold, ingest, pace, pricing, report, snapshot, windows
 from ..sources import adapters
 
 #: The instant all registered queries are asked at: 2024-01-31T00:00:00Z.
@@ -105,8 +105,8 @@ def hourly_history(spark, d):
 
 
 def _breakdown(spark, d, dimension):
-    rows = fold.breakdown(_attributed(spark, d)).where(F.col("dimension") == dimension)
-    return _shown(rows.drop("dimension"))
+    rows = _attributed(spark, d) if dimension == "project" else _usage(spark, d)
+    return _shown(fold.breakdown(rows, dimension).drop("dimension", "records", "first_seq"))
 
 
 @query(SQL + f"select provider, {_HOUR} as hour, model as label, {_TOK}, {_USD}, {_OPEN} from ok group by all")
@@ -144,7 +144,7 @@ v as (select *, case when priced then cast(c as double) else cast(t as double) e
 select provider, 'model' as dimension, label, cast(t as bigint) as tokens, {_D.format('c')} as usd, cast(o as bigint) as unpriced, case when priced then 'cost' else 'tokens' end as basis,
   round(x / sum(x) over (partition by provider), 6) as share from v""")
 def breakdown_share_7d(spark, d):
-    return _shown(report.breakdown_share(fold.breakdown(_attributed(spark, d)).where("dimension = 'model'"), 7, NOW))
+    return _shown(report.breakdown_share(fold.breakdown(_usage(spark, d), "model"), 7, NOW))
 
 
 @query(SQL + """, f as (select provider, session, min(seq) as f from ok group by all), r as (select *, row_number() over (partition by provider order by f) as k from f)
@@ -228,7 +228,23 @@ def _running_totals(spark, d):
     return u.select("provider", "session", "seq", "at_s", *(F.sum(c).over(w).alias(c) for c in ingest.COUNTERS))
 
 
-@query()
+@query("""with recursive """ + SQL.lstrip().removeprefix("with") + """, u as (
+  select provider, session, seq, at_s, input, output, cache_read, cache_creation, sum(case when seq % 211 = 0 then 1 else 0 end) over (partition by provider, session order by seq) as g from use0),
+t as (
+  select provider, session, seq, at_s, row_number() over (partition by provider, session order by seq) as k,
+    cast(sum(input) over w as bigint) as a, cast(sum(output) over w as bigint) as b, cast(sum(cache_read) over w as bigint) as c, cast(sum(cache_creation) over w as bigint) as e
+  from u window w as (partition by provider, session, g order by seq rows unbounded preceding)),
+walk as (
+  select provider, session, cast(0 as bigint) as k, cast(null as bigint) as was, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(0 as bigint) as c, cast(0 as bigint) as e, cast(null as bigint) as seq,
+    cast(0 as bigint) as da, cast(0 as bigint) as db, cast(0 as bigint) as dc, cast(0 as bigint) as de from (select distinct provider, session from t)
+  union all
+  select provider, session, k, case when off then was else at_s end, case when off then wa else a end, case when off then wb else b end, case when off then wc else c end, case when off then we else e end, case when off then null else seq end,
+    case when grows then greatest(a - wa, 0) else a end, case when grows then greatest(b - wb, 0) else b end, case when grows then greatest(c - wc, 0) else c end, case when grows then greatest(e - we, 0) else e end
+  from (
+    select t.*, w.was, w.a as wa, w.b as wb, w.c as wc, w.e as we, w.was is not null and t.a + t.b + t.c + t.e >= w.a + w.b + w.c + w.e as grows,
+      w.was is not null and (t.at_s < w.was or (t.at_s = w.was and ((t.a = w.a and t.b = w.b and t.c = w.c and t.e = w.e) or t.a < w.a or t.b < w.b or t.c < w.c or t.e < w.e))) as off
+    from walk w join t on t.provider = w.provider and t.session = w.session and t.k = w.k + 1))
+select walk.provider, walk.session, walk.seq, t.at_s, da as input, db as output, dc as cache_read, de as cache_creation, cast(0 as bigint) as reasoning from walk join t using (provider, session, seq)""")
 def cumulative_delta(spark, d):
     return ingest.cumulative_deltas(_running_totals(spark, d))
 
@@ -250,8 +266,13 @@ def ewma_rate(spark, d):
 
 @query()
 def pace_forecast(spark, d):
-    m = _measured(spark, d).withColumn("reported_at", F.lit(NOW - 600)).withColumn("resets_at", F.when(F.col("window_minutes") == 300, F.lit(NOW + 7200)))
-    return pace.forecasts(_series(spark, d).persist(), m, NOW)
+    """As of the last reading, so that readings are fresh and the gates see them as they are."""
+    limits = adapters.limits(spark, d)
+    now = limits.agg(F.max("observed_at")).first()[0] or NOW
+    series = _series(spark, d)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        series = series.checkpoint()  # it is read four times
+    return pace.forecasts(series, windows.measured(fold.latest_limits(limits), now), now)
 
 
 @query(SQL_1000 + f""", h as (select provider, {_HOUR} as hour, sum(total) as t, coalesce(sum(usd), 0) as u, coalesce(sum(case when usd is null then total end), 0) as o from ok where origin <> 'main' group by all),
@@ -259,7 +280,7 @@ b as (select provider, quantile_disc(t, 0.5) as m, count(*) as n from h where ho
 p as (select provider, sum(t) as t, sum(u) as u, sum(o) as o from h where hour >= {NOW - 7200} and hour < {NOW - 3600} group by all)
 select provider, cast({NOW - 7200} as bigint) as since, cast(t as bigint) as tokens, {_D.format('u')} as usd, cast(o as bigint) as unpriced, cast(t / greatest(m, 1) as float) as factor from p join b using (provider) where t >= 200000 and n >= 6 and t / greatest(m, 1) >= 1""")
 def burst_detect(spark, d):
-    return _shown(burst.detect(fold.breakdown(_usage(spark, d, 1000)), NOW - 3600, factor=1.0))
+    return _shown(burst.detect(fold.breakdown(_usage(spark, d, 1000), "agent"), NOW - 3600, factor=1.0))
 
 
 @query(SQL + f""", t as (select provider, cast(least((start - {NOW - DAY}) * 12 // {DAY}, 11) as integer) as c, sum(total) as t from bucket where start between {NOW - DAY} and {NOW} group by all),
@@ -320,21 +341,145 @@ def exit_code(spark, d):
     return report.exit_code(_measured(spark, d))
 
 
-_CSV = """select provider, dimension, cast(hour as varchar) as start, strftime(make_timestamp(hour * 1000000), '%Y-%m-%dT%H:%M:%SZ') as "startUtc", coalesce(label, '') as label, cast(i as varchar) as input, cast(o as varchar) as output,
-  cast(r as varchar) as "cacheRead", cast(c as varchar) as "cacheCreation", '0' as reasoning, cast(i + o + r + c as varchar) as "totalTokens", case when u = 0 and x > 0 then '' else cast(cast(round(u, 6) as decimal(38, 6)) as varchar) end as "costUsd",
-  cast(x as varchar) as "unpricedTokens", case when dimension = 'total' then '' else '0' end as "labelsDropped" from g"""
+#: Labels of a dimension in the exports here, few enough that some are dropped.
+CAP = 6
+_CSV = """select provider, dimension, cast(hour as varchar) as start, strftime(make_timestamp(hour * 1000000), '%Y-%m-%dT%H:%M:%SZ') as "startUtc",
+  coalesce(label, '') as label, cast(i as varchar) as input, cast(o as varchar) as output,
+  cast(r as varchar) as "cacheRead", cast(c as varchar) as "cacheCreation", '0' as reasoning, cast(i + o + r + c as varchar) as "totalTokens",
+  case when u = 0 and x > 0 then '' else cast(cast(round(u, 6) as decimal(38, 6)) as varchar) end as "costUsd",
+  cast(x as varchar) as "unpricedTokens", case when dimension = 'total' then '' else cast(coalesce(n, 0) as varchar) end as "labelsDropped" from g left join gone using (provider, dimension)"""
+_LABELLED = _PROJECT + f""", w as (select *, {_HOUR} as hour from att where at_s < {NOW}),
+e as (
+  select *, unnest(list_value(struct_pack(dimension := 'total', label := cast(null as varchar)), struct_pack(dimension := 'model', label := model),
+    struct_pack(dimension := 'project', label := proj), struct_pack(dimension := 'agent', label := origin)), recursive := true) from w),
+seen as (select provider, dimension, label, min(seq) as f, count(*) as n from e where label is not null group by all),
+lab as (select *, row_number() over (partition by provider, dimension order by f) as k from seen),
+gone as (select provider, dimension, cast(sum(n) as bigint) as n from lab where k > {CAP} group by all),
+g as (
+  select e.provider, e.dimension, hour, e.label, sum(input) as i, sum(output) as o, sum(cache_read) as r, sum(cache_creation) as c,
+    coalesce(sum(usd), cast(0 as decimal(38, 11))) as u, coalesce(sum(case when usd is null then total end), 0) as x
+  from e left join lab using (provider, dimension, label) where e.label is null or k <= {CAP} group by all) """
+
+
+def _exported(spark, d):
+    """(hours, capped breakdown, dropped) of all usage before NOW."""
+    u = _attributed(spark, d).where(F.col("at_s") < NOW)
+    return fold.history(fold.buckets(u), 0, NOW), *fold.capped(fold.breakdown(u), CAP)
 
 
-@query(SQL + _PROJECT + f""", w as (select *, {_HOUR} as hour from att where at_s < {NOW}),
-e as (select *, unnest(list_value(struct_pack(dimension := 'total', label := cast(null as varchar)), struct_pack(dimension := 'model', label := model), struct_pack(dimension := 'project', label := proj), struct_pack(dimension := 'agent', label := origin)), recursive := true) from w),
-g as (select provider, dimension, hour, label, sum(input) as i, sum(output) as o, sum(cache_read) as r, sum(cache_creation) as c, coalesce(sum(usd), cast(0 as decimal(38, 11))) as u, coalesce(sum(case when usd is null then total end), 0) as x from e group by all) """ + _CSV)
+@query(SQL + _LABELLED + _CSV)
 def export_rows_csv(spark, d):
-    u = _attributed(spark, d).where(F.col("at_s") < NOW)
-    dropped = spark.createDataFrame([], "provider string, dimension string, labels_dropped bigint")
-    return report.export_rows(fold.history(fold.buckets(u), 0, NOW), fold.breakdown(u), dropped)
+    return report.export_rows(*_exported(spark, d))
 
 
-@query()
+@query(SQL + _LABELLED + """select provider, dimension, cast(count(*) as bigint) as points, cast(count(distinct label) as bigint) as labels,
+  cast(coalesce(max(n), 0) as bigint) as labels_dropped from g left join gone using (provider, dimension) where dimension <> 'total' group by all""")
+def breakdown_capped(spark, d):
+    _, kept, dropped = _exported(spark, d)
+    counts = kept.groupBy("provider", "dimension").agg(F.count("*").alias("points"), F.countDistinct("label").alias("labels"))
+    return counts.join(dropped, ["provider", "dimension"])
+
+
+def _short_limits(spark, d):
+    """Readings without the weekly window and without the provider that counts by month: estimates fill them."""
+    return adapters.limits(spark, d).where("window_minutes <> 10080 and provider <> 'copilot-cli'")
+
+
+def _snapshot_windows(spark, d):
+    latest = fold.latest_limits(_short_limits(spark, d))
+    return snapshot.all_windows(_priced_series(spark, d), latest, _ceilings(spark), NOW, MONTH_START, NEXT_MONTH)
+
+
+_SNAPSHOT = _MEASURED + ", " + _CEIL + f""",
+m as (select * from meas where window_minutes <> 10080 and provider <> 'copilot-cli'),
+spend as (select c.provider, c.window_minutes, ceiling, cast({_SPEND.format('c', 'b.usd')} as double) as spent, {_SPEND.format('c', 'b.unpriced')} as unpriced from ceil_ c),
+factor as (
+  select provider, arg_min(spent / (cast(used_percent as double) / 100) / ceiling, row(limit_id, window_minutes)) as f from m join spend using (provider, window_minutes)
+  where confidence = 'measured' and used_percent >= 15 and used_percent < 99 and unpriced = 0 and spent > 0 and spent / (cast(used_percent as double) / 100) / ceiling between 0.1 and 10 group by provider),
+month as (
+  select cast(coalesce(sum(usd), 0) as double) as spent, coalesce(sum(unpriced), 0) as unpriced from bucket where provider = 'copilot-cli' and start >= {MONTH_START} and start < {NOW}),
+win as (
+  select provider, limit_id, kind, window_minutes, used_percent, resets_at, confidence, reported_at, cast(null as varchar) as basis from m
+  union all select provider, 'claude', {_KIND.format('window_minutes')}, cast(window_minutes as bigint), cast(least(greatest(spent / (ceiling * coalesce(f, 1)) * 100, 0), 999) as float), null, 'derived', null, 'token-window'
+  from spend left join factor using (provider) where provider = 'claude-code' and unpriced = 0 and window_minutes not in (select window_minutes from m where m.provider = 'claude-code')
+  union all select 'copilot-cli', 'copilot', 'monthly', cast(43200 as bigint), cast(least(greatest(spent / 15.0::double * 100, 0), 999) as float), cast({NEXT_MONTH} as bigint), 'derived', null, 'request-count' from month where unpriced = 0)
+"""
+
+
+@query(SQL_PRICED + _SNAPSHOT + "select provider, limit_id, kind, window_minutes, round(used_percent, 3) as used_percent, resets_at, confidence, reported_at, basis from win")
+def snapshot_windows(spark, d):
+    return _snapshot_windows(spark, d).withColumn("used_percent", F.round("used_percent", 3))
+
+
+def _known(spark):
+    return spark.createDataFrame([(p, True) for p in adapters.PROVIDERS] + [("other-tool", False)], "provider string, installed boolean")
+
+
+def _snapshot_providers(spark, d):
+    # Only one provider has windows here, so the others are without a reading.
+    win = windows.measured(fold.latest_limits(adapters.limits(spark, d).where("provider = 'codex'")), NOW)
+    return snapshot.providers(_usage(spark, d), _series(spark, d), win, _known(spark), NOW), win
+
+
+_STAND = f"""
+, day as (
+  select provider, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_read) as bigint) as cache_read, cast(sum(cache_creation) as bigint) as cache_creation,
+    cast(sum(usd) as decimal(38, 11)) as usd, cast(sum(unpriced) as bigint) as unpriced from bucket where start >= {NOW - DAY} and start < {NOW} group by all),
+act as (select provider, max(at_s) as last_activity from ok group by all),
+cnt as (select provider, cast(count(*) as bigint) as windows from latest where provider = 'codex' group by all),
+known as (select * from (values ('claude-code', true), ('codex', true), ('copilot-cli', true), ('other-tool', false)) t(provider, installed)),
+stand as (
+  select provider, installed, coalesce(input, 0) as input, coalesce(output, 0) as output, coalesce(cache_read, 0) as cache_read, coalesce(cache_creation, 0) as cache_creation,
+    coalesce(usd, 0) as usd, coalesce(unpriced, 0) as unpriced, coalesce(windows, 0) as windows, last_activity,
+    case when not installed then 'not-installed' when windows is null then 'never-reported' end as unavailable
+  from known left join day using (provider) left join act using (provider) left join cnt using (provider))
+"""
+
+
+@query(SQL + _STAND + f"""select provider, installed, input, output, cache_read, cache_creation, {_D.format('usd')} as usd, unpriced, windows, last_activity, unavailable,
+  installed as reporting, coalesce(unavailable = 'never-reported', false) and input + output + cache_read + cache_creation > 0 as awaiting_setup from stand""")
+def snapshot_providers(spark, d):
+    return _shown(_snapshot_providers(spark, d)[0].drop("reasoning"))
+
+
+_ISO = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+_QUOTED = "coalesce('\"' || {0} || '\"', 'null')"
+
+
+@query(SQL + _MEASURED + _STAND + f""", obj as (
+  select provider, '[' || string_agg('{{"windowMinutes":' || window_minutes || ',"limitId":"' || limit_id || '","kind":"' || kind || '","usedPercent":' || coalesce(cast(cast(used_percent as decimal(9, 3)) as varchar), 'null')
+    || ',"resetsAt":' || {_QUOTED.format(_ISO.format('resets_at'))} || ',"confidence":{{"level":"' || confidence || '","reportedAt":' || {_QUOTED.format(_ISO.format('reported_at'))}
+    || ',"basis":null,"ageSeconds":' || case when confidence = 'stale' then cast(greatest({NOW} - reported_at, 0) as varchar) else 'null' end || '}}}}', ',' order by window_minutes, limit_id) || ']' as windows
+  from meas where provider = 'codex' group by provider)
+select provider, '{{"id":"' || provider || '","installed":' || installed || ',"windows":' || coalesce(obj.windows, '[]') || ',"today":{{"input":' || input || ',"output":' || output || ',"cacheRead":' || cache_read
+  || ',"cacheCreation":' || cache_creation || ',"reasoning":0}},"todayCost":{{"usd":' || cast(cast(usd as decimal(38, 6)) as varchar) || ',"unpricedTokens":' || unpriced || '}},"lastActivity":' || {_QUOTED.format(_ISO.format('last_activity'))}
+  || ',"unavailable":' || {_QUOTED.format('unavailable')} || '}}' as json from stand left join obj using (provider)""")
+def export_json(spark, d):
+    providers, win = _snapshot_providers(spark, d)
+    return export.provider_objects(providers, win, NOW)
+
+
+@query(SQL + f""", spans as (select 'claude-code' as provider, 7 * {DAY} as span union all select 'codex', {DAY})
+select provider, cast(count(*) as bigint) as n, min(start) as first from bucket join spans using (provider) where start >= {NOW} - span group by all""")
+def series_trimmed(spark, d):
+    win = spark.createDataFrame([("claude-code", 300), ("claude-code", 10080), ("codex", 300)], "provider string, window_minutes bigint")
+    kept = snapshot.trimmed(_series(spark, d).where("provider <> 'copilot-cli'"), win, NOW)
+    return kept.groupBy("provider").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+
+
+@query("""with recursive """ + SQL.lstrip().removeprefix("with") + """, r as (
+  select provider, limit_id, window_minutes, seq, observed_at as at_s, cast(used_percent as double) as p, resets_at, case when used_percent >= 95 then 95 when used_percent >= 85 then 85 when used_percent >= 70 then 70 end as crossed,
+    row_number() over (partition by provider, limit_id, window_minutes order by seq) as k from lim),
+walk as (
+  select provider, limit_id, window_minutes, cast(0 as bigint) as k, cast(null as integer) as t, cast(null as bigint) as reset, cast(null as bigint) as fired from (select distinct provider, limit_id, window_minutes from r)
+  union all
+  select provider, limit_id, window_minutes, k, case when fires then crossed else held end, case when fires then resets_at when held is not null then was end, case when fires then seq end
+  from (
+    select *, crossed is not null and (held is null or held < crossed) as fires
+    from (
+      select r.*, w.reset as was, case when w.t is not null and w.reset is not distinct from r.resets_at and r.p >= w.t - 3 then w.t end as held
+      from walk w join r on r.provider = w.provider and r.limit_id = w.limit_id and r.window_minutes = w.window_minutes and r.k = w.k + 1)))
+select r.provider, r.limit_id, r.window_minutes, r.seq, r.at_s, r.p as percent, cast(r.crossed as double) as threshold from walk join r on r.seq = walk.fired""")
 def alerts_replay(spark, d):
     return alerts.replay(adapters.limits(spark, d).withColumnRenamed("observed_at", "at_s"))
 
