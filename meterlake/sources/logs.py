@@ -230,9 +230,8 @@ def read_provider(spark: SparkSession, root: str, key: str) -> Records:
     return PROVIDERS[key].parse(lines)
 
 
-def read_all(spark: SparkSession, roots: dict[str, str]) -> Records:
-    """The records of all providers that have a root, as one."""
-    parts = [read_provider(spark, root, key) for key, root in roots.items()]
+def united(parts: list[Records]) -> Records:
+    """The records of several providers as one."""
     whole = {f.name: getattr(parts[0], f.name) for f in fields(Records)}
     for part in parts[1:]:
         whole = {name: df.unionByName(getattr(part, name)) for name, df in whole.items()}
