@@ -10,11 +10,13 @@ that means an overlap of at least T = ceil(NUM * (m + n) / (100 + NUM)).
 2. Documents with equal sets are one class; the smallest id stands for it from here on.
 3. Candidates: first each class meets the smallest class of its groups by the ANCHORS smallest
    hashes; the links found join classes to components. Then prefix hashes that still lie in several
-   components are opened. A group of them is dealt into blocks, every pair of blocks is a task, and a
+   components are opened. In a group of more than LARGE classes each class meets the nearest one of another
+   component, by bitmap, again and again until that links nothing more, so that a large group of near copies
+   becomes one component by a few pairs per class. Whatever is open then is opened in full: a group of them is dealt into blocks, every pair of blocks is a task, and a
    task passes on the pairs of different components whose sizes and bitmaps allow the overlap. The
    symmetric difference of two sets is at least the Hamming distance of their bitmaps, so no pair
    that links is lost.
-4. Verification is the T-occurrence search: for each class its candidates' inverted lists, the long
+4. Verification is the T-occurrence search, the judge of every link, on what the filters have left: for each class its candidates' inverted lists, the long
    ones set aside, the short ones merged by a heap; who occurs often enough is probed in the long
    ones by binary search (DivideSkip).
 5. Links of both rounds form the components.
@@ -55,6 +57,9 @@ BLOCK = 512
 #: bound rises, and any bound gives the same result.
 COMMON = 64
 MOST_COMMON = 1_000_000
+#: Classes from which on an open group is first tried by nearest pairs, and rounds of that at most.
+LARGE = 64
+ROUNDS = 8
 #: Inverted lists longer than this share of the candidates are set aside, if there are so many.
 LONG_SHARE = 0.5
 #: Candidates of a query that are judged in one place.
@@ -104,8 +109,11 @@ def needed(m, n, num: int = NUM):
     return -(-num * (m + n) // (100 + num))
 
 
-def may_link(n: np.ndarray, maps: list[bytes], num: int = NUM) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js): sets i and those no smaller that may link with it by size and bitmap; each pair once."""
+def with_room(n: np.ndarray, maps: list[bytes], num: int = NUM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, room): sets i and those no smaller that may link with it by size and bitmap; each pair once.
+
+    room: how far their bitmaps are from ruling the link out.
+    """
     width = np.array([len(x) for x in maps])
     order = np.lexsort((width, n))
     size, wide = n[order], width[order]
@@ -122,9 +130,15 @@ def may_link(n: np.ndarray, maps: list[bytes], num: int = NUM) -> Iterator[tuple
         if end > at + 1:
             m = matrices[wide[at]]
             apart = np.bitwise_count(m[at + 1 : end] ^ m[at]).sum(axis=1, dtype=np.int64)
-            ok = apart <= size[at + 1 : end] + size[at] - 2 * needed(size[at], size[at + 1 : end], num)
+            room = size[at + 1 : end] + size[at] - 2 * needed(size[at], size[at + 1 : end], num) - apart
+            ok = room >= 0
             if ok.any():
-                yield int(order[at]), order[at + 1 : end][ok]
+                yield int(order[at]), order[at + 1 : end][ok], room[ok]
+
+
+def may_link(n: np.ndarray, maps: list[bytes], num: int = NUM) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) of with_room."""
+    return ((i, js) for i, js, _ in with_room(n, maps, num))
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], num: int = NUM) -> list[int]:
@@ -271,8 +285,11 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = N
     return links
 
 
-def _open_pairs(opened: DataFrame, num: int) -> DataFrame:
-    """Pairs (a, b) of different components that the filters let through, from blocks of open groups."""
+def _open_pairs(opened: DataFrame, num: int, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that the filters let through, from blocks of open groups.
+
+    nearest: of each class only the pair with the most room, so no more pairs than classes.
+    """
     split = F.ceil(F.col("size") / float(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("split")).cast("int")
     dealt = opened.withColumn("split", split).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
@@ -285,8 +302,10 @@ def _open_pairs(opened: DataFrame, num: int) -> DataFrame:
             for i, j, g in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("g")):
                 v = g.values
                 ids, comp, n, own = (v.field(k).to_numpy() for k in range(4))
-                for k, js in may_link(n.astype(np.int64), v.field(4).to_pylist(), num):
-                    js = js[(comp[js] != comp[k]) & ((own[js] != own[k]) | (i == j))]
+                for k, js, room in with_room(n.astype(np.int64), v.field(4).to_pylist(), num):
+                    ok = (comp[js] != comp[k]) & ((own[js] != own[k]) | (i == j))
+                    js = js[ok]
+                    js = js[np.argmax(room[ok])][None] if nearest and len(js) else js
                     out_a += np.maximum(ids[js], ids[k]).tolist()
                     out_b += np.minimum(ids[js], ids[k]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -318,9 +337,19 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarra
     keys = placed.select("id", "component", F.explode("prefix").alias("key"))
     groups = keys.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
     groups = stored(groups, "jaccard-groups")
-    rows = only_held(keys, membership(groups, "key"), "key").join(groups, "key")
-    rows = stored(rows, "jaccard-rows").join(reps.select("id", "n", "bits"), "id")
-    second = stored(_open_pairs(rows, num), "jaccard-pairs")
+    rows = stored(only_held(keys, membership(groups, "key"), "key").join(groups, "key").select("key", "id", "component", "size"), "jaccard-rows")
+    maps = reps.select("id", "n", "bits")
+    # Large groups first: each class with the nearest of another component, round by round, until that links nothing.
+    large = stored(rows.where(F.col("size") > LARGE), "jaccard-large")
+    for _ in range(ROUNDS if not large.isEmpty() else 0):
+        near = stored(_open_pairs(large.join(maps, "id"), num, nearest=True), "jaccard-near")
+        new = verified(texts, near, words, num, is_word)
+        if new.isEmpty():
+            break
+        links = stored(links.unionByName(new), "jaccard-links")
+        comp = connected(links)
+        rows, large = (stored(_placed(t, comp), "jaccard-rows") for t in (rows, large))
+    second = stored(_open_pairs(rows.join(maps, "id"), num), "jaccard-pairs")
     more = verified(texts, second, words, num, is_word)
     # A class is named by its smallest id, so the smallest id of a component is a class's name too.
     whole = links.unionByName(more).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
@@ -332,6 +361,11 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarra
     return out.unionByName(lost)
 
 
+def _placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """rows with the component that holds now."""
+    return rows.drop("component").join(comp, rows["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"), "size")
+
+
 def _filtered(pairs: DataFrame, reps: DataFrame, num: int) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps allow a link."""
     left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
