@@ -171,3 +171,79 @@ def test_items_without_an_id_hit(spark):
         rows = {r.doc_id: r for r in D.digest(D.find_hits(docs, bench, block_words=block_words)).collect()}
         assert [(rows[k].n_hit, rows[k].n_items) for k in (1, 2, 3)] == [(4, 1), (4, 2), (0, 0)]
         assert rows[1].items_sha256 == rows[3].items_sha256 == hashlib.sha256(b"").hexdigest() and rows[2].items_sha256 == hashlib.sha256(b"7").hexdigest()
+
+
+def slow_base(text):
+    """The fixed patterns by hand: a scanner without regular expressions."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    found, n = [], len(text)
+
+    def run(i, chars):
+        while i < n and text[i] in chars:
+            i += 1
+        return i
+
+    def assigned(i):
+        for w in words:
+            if low.startswith(w, i):
+                j = i + len(w)
+                for quote in (1, 0):  # an optional quote is taken if it can be
+                    k = j + 1 if quote and j < n and text[j] in "\"'" else j
+                    k = run(k, " ")
+                    if k < n and text[k] in ":=":
+                        k = run(k + 1, " ")
+                        for again in (1, 0):
+                            m = k + 1 if again and k < n and text[k] in "\"'" else k
+                            if m < n and text[m] in value:
+                                return m, run(m, value)
+        return None
+
+    i = 0
+    while i < n:
+        hit = assigned(i)
+        if hit and hit[1] > hit[0]:
+            if hit[1] - hit[0] >= 8:
+                found.append((i, 0, hit[1]))
+            i = hit[1]
+        else:
+            i += 1
+    for kind, head, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < n:
+            j = run(i + len(head), chars) if text.startswith(head, i) else i
+            if j > i + len(head):
+                if j - i >= least:
+                    found.append((i, kind, j))
+                i = j
+            else:
+                i += 1
+    return sorted(found)
+
+
+pieces = st.sampled_from(["password", "PassWD", "secret", "token", "api_key", "APIkey", "=", ":", " ", "'", '"', "abc12345", "x", "AKIA", "0123456789AB", "é", "0a1b2c3d" * 4, "-", "ſecret"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(pieces, max_size=14))
+def test_base_spans_equal_a_scanner_by_hand(parts):
+    text = "".join(parts)
+    assert S.base_spans(text) == slow_base(text)
+
+
+def test_votes_are_exact():
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.2, (40, Q.TERMS)).astype(float)
+    vectors = rng.standard_normal((30, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    model = {"idf": np.ones(Q.TERMS, np.float32), "axes": rng.standard_normal((Q.TERMS, 8)).astype(np.float32), "vectors": vectors.astype(np.float32), "y": (rng.random(30) < 0.5).astype(np.float32)}
+    got = Q.vote(counts, model)
+    for row, score in zip(counts, got):
+        z = (Q.weigh(row[None], model["idf"]).astype(np.float64) @ model["axes"].astype(np.float64))[0]
+        near = model["vectors"].astype(np.float64) @ (z / np.linalg.norm(z))
+        top = sorted(range(30), key=lambda i: -near[i])[: Q.NEIGHBOURS]
+        w = [max(near[i], 0) ** Q.SHARPNESS + 1e-9 for i in top]
+        assert score == pytest.approx(sum(a * model["y"][i] for a, i in zip(w, top)) / sum(w), abs=1e-5)
+    same = Q.vote(np.repeat(counts[:1], 5, axis=0), model)
+    assert same == pytest.approx([same[0]] * 5, abs=1e-6)  # ties and repeated rows
