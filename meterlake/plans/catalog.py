@@ -264,7 +264,57 @@ def ewma_rate(spark, d):
     return _series(spark, d).groupBy("provider").agg(F.round(pace.ewma(pace.bin_sums(S.total().cast("double"), NOW)), 6).alias("per_hour"))
 
 
-@query()
+_PACE = f""",
+u as (
+  select provider, limit_id, window_minutes, {_KIND.format('window_minutes')} as kind, cast(used_percent as double) as used, least(observed_at, t) as anchor, window_minutes * 60 as span, resets_at, t
+  from latest cross join (select max(observed_at) as t from lim)
+  where used_percent >= 5 and t - least(observed_at, t) <= 1800 and (resets_at is null or resets_at > t)),
+b as (select *, cast(usd as double) as x, cast(total as double) as y from bucket),
+sums as (
+  select u.*, coalesce(sum(x) filter (start >= anchor - span and start < anchor), 0) as a_usd, coalesce(sum(unpriced) filter (start >= anchor - span and start < anchor), 0) as a_open,
+    coalesce(sum(y) filter (start >= anchor - span and start < anchor), 0) as a_tok, coalesce(sum(x) filter (start >= t - span and start < t), 0) as n_usd, coalesce(sum(y) filter (start >= t - span and start < t), 0) as n_tok
+  from u left join b on b.provider = u.provider group by all),
+bins as (
+  select u.provider, limit_id, window_minutes, i, coalesce(sum(x), 0) as x, coalesce(sum(y), 0) as y
+  from u cross join (select unnest(range(16)) as i) left join b on b.provider = u.provider and start >= t - (16 - i) * 900 and start < t - (15 - i) * 900 group by all),
+lists as (
+  select provider, limit_id, window_minutes, list(x order by i) as lx, list(y order by i) as ly, min(i) filter (x > 0) as fx, min(i) filter (y > 0) as fy from bins group by all),
+gate as (
+  select *, a_open = 0 and a_usd > 0 as by_cost, coalesce(resets_at - t, span) as horizon,
+    coalesce(case when fx is not null then list_reduce(lx[fx + 1:], lambda p, q: 0.3 * q + 0.7 * p) end, 0) * 4 as r_usd,
+    coalesce(case when fy is not null then list_reduce(ly[fy + 1:], lambda p, q: 0.3 * q + 0.7 * p) end, 0) * 4 as r_tok
+  from sums join lists using (provider, limit_id, window_minutes)),
+fit as (
+  select *, case when by_cost then n_usd else n_tok end as spent, case when by_cost then r_usd else r_tok end as rate, case when by_cost then a_usd else a_tok end / (used / 100) as ceiling,
+    cast(floor(horizon * 1000000000 / 48) as bigint) as step
+  from gate where by_cost or a_tok > 0),
+f as (select provider, min(start) as first from b group by all),
+shape as (
+  select provider, ((start // 3600) + 72) % 168 as slot, sum(x) / ((t - first) / 604800.0::double) as x, sum(y) / ((t - first) / 604800.0::double) as y
+  from b join f using (provider) cross join (select max(observed_at) as t from lim) where t - first >= {14 * DAY} group by provider, slot, t, first),
+typ as (
+  select g.provider, limit_id, window_minutes, sum((least(t, (h + 1) * 3600) - greatest(t - span, h * 3600)) / 3600.0::double * coalesce(case when by_cost then x else y end, 0)) as typical
+  from (select *, unnest(range((t - span) // 3600, (t - 1) // 3600 + 1)) as h from fit) g left join shape on shape.provider = g.provider and slot = (h + 72) % 168 group by all),
+model as (
+  select fit.*, case when not (kind = 'session' or horizon <= 21600 or coalesce(typical, 0) <= 0) then least(greatest(spent / typical, 0.1), 10) end as scale from fit left join typ using (provider, limit_id, window_minutes)),
+steps as (select *, t * 1000000000 + (k - 1) * step as a, t * 1000000000 + k * step as z from (select *, unnest(range(1, 49)) as k from model where ceiling > 0 and step > 0)),
+come as (
+  select g.provider, limit_id, window_minutes, k, sum(floor((least(z, (h + 1) * 3600000000000) - greatest(a, h * 3600000000000)) / 1000000000) / 3600.0::double * coalesce(case when by_cost then x else y end, 0)) as expected
+  from (select *, unnest(range(a // 3600000000000, (z - 1) // 3600000000000 + 1)) as h from steps where scale is not null) g left join shape on shape.provider = g.provider and slot = (h + 72) % 168 group by all),
+leave as (
+  select provider, limit_id, window_minutes, cast(ceil((start - (t - span) + 1) * 1000000000 / step) as bigint) as k, sum(case when by_cost then x else y end) as gone
+  from model join b using (provider) where resets_at is null and start >= t - span and start < t group by all),
+walk as (
+  select s.*, spent + sum(case when scale is null then rate * floor(step / 1000000000) / 3600.0::double else coalesce(expected, 0) * scale end - coalesce(gone, 0)) over (partition by provider, limit_id, window_minutes order by k rows unbounded preceding) as running
+  from steps s left join come using (provider, limit_id, window_minutes, k) left join leave using (provider, limit_id, window_minutes, k)),
+pct as (
+  select *, cast(least(greatest(greatest(running, 0) / ceiling * 100, 0), 999) as float) as percent, cast(least(greatest(spent / ceiling * 100, 0), 999) as float) as held from walk),
+told as (
+  select provider, limit_id, window_minutes, greatest(max(held), max(percent)) as p, cast(floor(min(z) filter (percent >= 100) / 1000000000) as bigint) as exhausted_at from pct group by all)
+select provider, limit_id, window_minutes, round(p, 3) as projected_percent, case when p < 90 then 'healthy' when p <= 100 then 'at-risk' else 'over' end as risk, exhausted_at from told"""
+
+
+@query(SQL + _PACE)
 def pace_forecast(spark, d):
     """As of the last reading, so that readings are fresh and the gates see them as they are."""
     limits = adapters.limits(spark, d)
@@ -272,7 +322,8 @@ def pace_forecast(spark, d):
     series = _series(spark, d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         series = series.checkpoint()  # it is read four times
-    return pace.forecasts(series, windows.measured(fold.latest_limits(limits), now), now)
+    found = pace.forecasts(series, windows.measured(fold.latest_limits(limits), now), now)
+    return found.withColumn("projected_percent", F.round("projected_percent", 3))
 
 
 @query(SQL_1000 + f""", h as (select provider, {_HOUR} as hour, sum(total) as t, coalesce(sum(usd), 0) as u, coalesce(sum(case when usd is null then total end), 0) as o from ok where origin <> 'main' group by all),
