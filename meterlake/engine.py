@@ -40,7 +40,10 @@ class Engine:
         """The engine over log roots; those that are missing are providers that aren't installed."""
         there = logs.installed(spark, roots)
         found = {k: roots[k] if logs.access(spark, roots[k]) == "readable" else None for k in there}
-        parts = [logs.read_provider(spark, root, key) for key, root in found.items() if root] or [logs.PROVIDERS[next(iter(logs.PROVIDERS))].parse(spark.createDataFrame([], "path string, seq bigint, line string"))]
+        parts = [logs.read_provider(spark, root, key) for key, root in found.items() if root]
+        if not parts:
+            none = spark.createDataFrame([], "path string, seq bigint, line string")
+            parts = [next(iter(logs.PROVIDERS.values())).parse(none)]
         return cls(spark, logs.united(parts), now, settings, tuple(there))
 
     @classmethod

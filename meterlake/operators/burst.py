@@ -16,6 +16,8 @@ def detect(breakdown: DataFrame, now: int, factor: float = FACTOR) -> DataFrame:
     agents = breakdown.where("dimension = 'agent' and label is not null and label <> 'main'")
     hours = agents.groupBy("provider", "hour").agg(F.sum(total()).alias("t"), F.sum("usd").alias("usd"), F.sum("unpriced").alias("unpriced"))
     before = hours.where((F.col("hour") >= 0) & (F.col("hour") < since)).groupBy("provider").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by t)").alias("m"))
-    present = hours.where((F.col("hour") >= since) & (F.col("hour") < now)).groupBy("provider").agg(F.sum("t").alias("tokens"), F.sum("usd").alias("usd"), F.sum("unpriced").alias("unpriced"))
+    present = hours.where((F.col("hour") >= since) & (F.col("hour") < now)).groupBy("provider").agg(F.sum("t").alias("tokens"), F.sum("usd").alias("usd"),
+        F.sum("unpriced").alias("unpriced"))
     times = F.col("tokens") / F.greatest(F.col("m").cast("bigint"), F.lit(1))
-    return present.where(F.col("tokens") >= MIN_TOKENS).join(before.where(F.col("n") >= MIN_HOURS), "provider").where(times >= factor).select("provider", F.lit(since).cast("long").alias("since"), "tokens", "usd", "unpriced", times.cast("float").alias("factor"))
+    return present.where(F.col("tokens") >= MIN_TOKENS).join(before.where(F.col("n") >= MIN_HOURS), "provider").where(times >= factor).select("provider",
+        F.lit(since).cast("long").alias("since"), "tokens", "usd", "unpriced", times.cast("float").alias("factor"))

@@ -31,7 +31,8 @@ def profile(series: DataFrame, now: int) -> DataFrame:
     first = series.groupBy("provider").agg(F.min("start").alias("first"))
     slots = series.groupBy("provider", week_slot(F.col("start")).alias("slot")).agg(F.sum("usd").cast("double").alias("usd"), F.sum(total()).cast("double").alias("tokens"))
     weeks = (F.lit(now) - F.col("first")) / F.lit(7 * 86400.0)
-    return slots.join(F.broadcast(first), "provider").where(F.lit(now) - F.col("first") >= MIN_DAYS * 86400).select("provider", "slot", (F.col("usd") / weeks).alias("per_hour_usd"), (F.col("tokens") / weeks).alias("per_hour_tokens"))
+    return slots.join(F.broadcast(first), "provider").where(F.lit(now) - F.col("first") >= MIN_DAYS * 86400).select("provider", "slot",
+        (F.col("usd") / weeks).alias("per_hour_usd"), (F.col("tokens") / weeks).alias("per_hour_tokens"))
 
 
 def _expected(spans: DataFrame, shape: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,7 +41,9 @@ def _expected(spans: DataFrame, shape: DataFrame, keys: list[str]) -> DataFrame:
     begin = F.greatest("from_ns", F.col("hour") * 3600 * _NANO)
     end = F.least("to_ns", (F.col("hour") + 1) * 3600 * _NANO)
     hours = hours.withColumn("w", F.floor((end - begin) / _NANO) / 3600.0).withColumn("slot", week_slot(F.col("hour") * 3600))
-    return hours.join(F.broadcast(shape), ["provider", "slot"], "left").groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce(F.when(F.col("by_cost"), F.col("per_hour_usd")).otherwise(F.col("per_hour_tokens")), F.lit(0.0))).alias("expected"))
+    return hours.join(F.broadcast(shape), ["provider", "slot"],
+        "left").groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce(F.when(F.col("by_cost"), F.col("per_hour_usd")).otherwise(F.col("per_hour_tokens")),
+        F.lit(0.0))).alias("expected"))
 
 
 def forecasts(series: DataFrame, windows: DataFrame, now: int) -> DataFrame:
@@ -60,18 +63,21 @@ def forecasts(series: DataFrame, windows: DataFrame, now: int) -> DataFrame:
     at_anchor, at_now = within(F.col("anchor") - F.col("span"), F.col("anchor")), within(F.lit(now) - F.col("span"), F.lit(now))
     add = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0.0))
     sums = both.groupBy(*KEY, "kind", "used", "anchor", "span", "resets_at").agg(
-        add(at_anchor, usd).alias("a_usd"), add(at_anchor, F.col("unpriced").cast("double")).alias("a_open"), add(at_anchor, tokens).alias("a_tok"), add(at_now, usd).alias("n_usd"), add(at_now, tokens).alias("n_tok"),
+        add(at_anchor, usd).alias("a_usd"), add(at_anchor, F.col("unpriced").cast("double")).alias("a_open"), add(at_anchor, tokens).alias("a_tok"),
+            add(at_now, usd).alias("n_usd"), add(at_now, tokens).alias("n_tok"),
         ewma(bin_sums(usd, now)).alias("rate_usd"), ewma(bin_sums(tokens, now)).alias("rate_tok"),
     )
     by_cost = (F.col("a_open") == 0) & (F.col("a_usd") > 0)
     pick = lambda a, b: F.when(F.col("by_cost"), F.col(a)).otherwise(F.col(b))
     gate = sums.withColumn("by_cost", by_cost).where("by_cost or a_tok > 0").withColumn("ceiling", pick("a_usd", "a_tok") / (F.col("used") / 100)).where("ceiling > 0")
     horizon = F.coalesce(F.col("resets_at") - now, F.col("span"))
-    gate = gate.select(*KEY, "kind", "span", "by_cost", "ceiling", pick("n_usd", "n_tok").alias("spent"), pick("rate_usd", "rate_tok").alias("rate"), F.col("resets_at").isNull().alias("rolling"), horizon.alias("horizon"), F.floor(horizon * _NANO / STEPS).alias("step")).where("step > 0")
+    gate = gate.select(*KEY, "kind", "span", "by_cost", "ceiling", pick("n_usd", "n_tok").alias("spent"), pick("rate_usd", "rate_tok").alias("rate"),
+        F.col("resets_at").isNull().alias("rolling"), horizon.alias("horizon"), F.floor(horizon * _NANO / STEPS).alias("step")).where("step > 0")
     gate = gate.withColumn("current", percent_of(F.col("ceiling"), F.col("spent")))
 
     shape = profile(series, now)
-    typical = _expected(gate.select(*KEY, "by_cost", (F.lit(now * _NANO) - F.col("span") * _NANO).alias("from_ns"), F.lit(now * _NANO).alias("to_ns")), shape, KEY).withColumnRenamed("expected", "typical")
+    typical = _expected(gate.select(*KEY, "by_cost", (F.lit(now * _NANO) - F.col("span") * _NANO).alias("from_ns"), F.lit(now * _NANO).alias("to_ns")), shape,
+        KEY).withColumnRenamed("expected", "typical")
     gate = gate.join(F.broadcast(typical), KEY, "left")
     flat = (F.col("kind") == "session") | (F.col("horizon") <= SHORT_HOURS * 3600) | (F.coalesce("typical", F.lit(0.0)) <= 0)
     gate = gate.withColumn("scale", F.when(~flat, F.least(F.greatest(F.col("spent") / F.col("typical"), F.lit(MIN_SCALE)), F.lit(MAX_SCALE))))
@@ -87,5 +93,6 @@ def forecasts(series: DataFrame, windows: DataFrame, now: int) -> DataFrame:
     come = F.when(F.col("scale").isNull(), F.col("rate") * F.floor(F.col("step") / _NANO) / 3600.0).otherwise(F.coalesce("expected", F.lit(0.0)) * F.col("scale"))
     running = F.col("spent") + F.sum(come - F.coalesce("leaving", F.lit(0.0))).over(W.partitionBy(*KEY).orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
     walk = walk.withColumn("percent", percent_of(F.col("ceiling"), F.greatest(running, F.lit(0.0))))
-    out = walk.groupBy(*KEY).agg(F.greatest(F.max("current"), F.max("percent")).alias("projected_percent"), F.floor(F.min(F.when(F.col("percent") >= 100, F.col("to_ns"))) / _NANO).cast("long").alias("exhausted_at"))
+    out = walk.groupBy(*KEY).agg(F.greatest(F.max("current"), F.max("percent")).alias("projected_percent"),
+        F.floor(F.min(F.when(F.col("percent") >= 100, F.col("to_ns"))) / _NANO).cast("long").alias("exhausted_at"))
     return out.select(*KEY, "projected_percent", pace_risk(F.col("projected_percent")).alias("risk"), "exhausted_at")

@@ -23,7 +23,8 @@ def horizon_columns(series: DataFrame, span: int, now: int, count: int) -> DataF
     most = F.max("tokens").over(W.partitionBy("provider"))
     height = F.when(F.col("tokens") == 0, 0.0).otherwise(F.greatest(F.col("tokens") / most, F.lit(0.06)))
     at = lambda k: F.lit(begin) + F.floor(k * span / F.lit(count))
-    return full.select("provider", "column", at(F.col("column")).cast("long").alias("start"), (at(F.col("column") + 1) - at(F.col("column"))).cast("long").alias("seconds"), "tokens", F.round(height, 6).alias("height"))
+    return full.select("provider", "column", at(F.col("column")).cast("long").alias("start"),
+        (at(F.col("column") + 1) - at(F.col("column"))).cast("long").alias("seconds"), "tokens", F.round(height, 6).alias("height"))
 
 
 def breakdown_share(breakdown: DataFrame, days: int, now: int) -> DataFrame:
@@ -37,7 +38,8 @@ def breakdown_share(breakdown: DataFrame, days: int, now: int) -> DataFrame:
 
 
 def range_totals(hours: DataFrame, days: int, now: int) -> DataFrame:
-    return hours.where((F.col("hour") >= now - days * 86400) & (F.col("hour") <= now)).groupBy("provider").agg(F.sum(total()).alias("tokens"), F.sum("usd").alias("usd"), F.sum("unpriced").alias("unpriced"))
+    return hours.where((F.col("hour") >= now - days * 86400) & (F.col("hour") <= now)).groupBy("provider").agg(F.sum(total()).alias("tokens"),
+        F.sum("usd").alias("usd"), F.sum("unpriced").alias("unpriced"))
 
 
 def daily_heatmap(hours: DataFrame, days: int, now: int, zone: str) -> DataFrame:
@@ -55,7 +57,8 @@ def daily_heatmap(hours: DataFrame, days: int, now: int, zone: str) -> DataFrame
 def shortened_paths(paths: DataFrame) -> DataFrame:
     """path, short: each path's shortest tail of whole segments that no other path has."""
     parts = paths.select("path").distinct().withColumn("p", F.filter(F.split("path", r"[/\\]"), lambda x: x != ""))
-    tails = parts.select("path", F.size("p").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1))), lambda k: F.array_join(F.reverse(F.slice(F.reverse("p"), F.lit(1), k)), "/"))).alias("k", "tail"))
+    tails = parts.select("path", F.size("p").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1))),
+        lambda k: F.array_join(F.reverse(F.slice(F.reverse("p"), F.lit(1), k)), "/"))).alias("k", "tail"))
     alone = tails.withColumn("c", F.count("*").over(W.partitionBy("tail")))
     return alone.groupBy("path").agg(F.coalesce(F.min_by("tail", F.when(F.col("c") == 1, F.col("k"))), F.max_by("tail", "k")).alias("short"))
 
@@ -79,7 +82,8 @@ def exit_code(windows: DataFrame, scanning: bool = False) -> DataFrame:
 
 
 #: The published column order.
-CSV_COLUMNS = ("provider", "dimension", "start", "startUtc", "label", "input", "output", "cacheRead", "cacheCreation", "reasoning", "totalTokens", "costUsd", "unpricedTokens", "labelsDropped")
+CSV_COLUMNS = ("provider", "dimension", "start", "startUtc", "label", "input", "output", "cacheRead", "cacheCreation", "reasoning", "totalTokens", "costUsd",
+    "unpricedTokens", "labelsDropped")
 
 
 def export_rows(hours: DataFrame, breakdown: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -88,7 +92,9 @@ def export_rows(hours: DataFrame, breakdown: DataFrame, dropped: DataFrame) -> D
     cols = ["provider", "hour", "dimension", "label", *TOKENS, "usd", "unpriced"]
     rows = whole.select(*cols).unionByName(breakdown.select(*cols)).join(F.broadcast(dropped), ["provider", "dimension"], "left")
     drops = F.when(F.col("dimension") != "total", F.coalesce("labels_dropped", F.lit(0)))
-    values = (F.col("provider"), F.col("dimension"), F.col("hour").cast("string"), instant(F.col("hour")), csv_cell(F.col("label")), *(F.col(c).cast("string") for c in TOKENS), total().cast("string"), dollars(F.col("usd"), F.col("unpriced")), F.col("unpriced").cast("string"), F.coalesce(drops.cast("string"), F.lit("")))
+    values = (F.col("provider"), F.col("dimension"), F.col("hour").cast("string"), instant(F.col("hour")), csv_cell(F.col("label")),
+        *(F.col(c).cast("string") for c in TOKENS), total().cast("string"), dollars(F.col("usd"), F.col("unpriced")), F.col("unpriced").cast("string"),
+        F.coalesce(drops.cast("string"), F.lit("")))
     return rows.select(*(v.alias(c) for v, c in zip(values, CSV_COLUMNS)))
 
 

@@ -33,7 +33,8 @@ def rolling_spend(series: DataFrame, windows: DataFrame, now: int, *keys: str) -
     span = F.col("window_minutes") * 60
     hit = (F.col("start") >= F.lit(now) - span) & (F.col("start") < now)
     both = F.broadcast(windows).join(series.select("provider", "start", F.col("usd"), "unpriced"), "provider", "left")
-    return both.groupBy("provider", "window_minutes", *keys).agg(F.coalesce(F.sum(F.when(hit, F.col("usd"))), F.lit(0)).cast("double").alias("spent"), F.coalesce(F.sum(F.when(hit, F.col("unpriced"))), F.lit(0)).alias("spent_unpriced"))
+    return both.groupBy("provider", "window_minutes", *keys).agg(F.coalesce(F.sum(F.when(hit, F.col("usd"))), F.lit(0)).cast("double").alias("spent"),
+        F.coalesce(F.sum(F.when(hit, F.col("unpriced"))), F.lit(0)).alias("spent_unpriced"))
 
 
 def calibration(measured_: DataFrame, series: DataFrame, ceilings: DataFrame, now: int) -> DataFrame:
@@ -63,5 +64,8 @@ def month_to_date(series: DataFrame, measured_: DataFrame, ceilings: DataFrame,
     current = measured_.where(F.col("reported_at") >= month_start)
     open_ = ceilings.join(current.select("provider").distinct(), "provider", "left_anti")
     hit = (F.col("start") >= month_start) & (F.col("start") < now)
-    spent = F.broadcast(open_).join(series, "provider", "left").groupBy("provider", "plan", "window_minutes", "ceiling_usd").agg(F.coalesce(F.sum(F.when(hit, F.col("usd"))), F.lit(0)).cast("double").alias("spent"), F.coalesce(F.sum(F.when(hit, F.col("unpriced"))), F.lit(0)).alias("open_tokens"))
-    return spent.where("open_tokens = 0").select("provider", "plan", "window_minutes", percent_of(F.col("ceiling_usd"), F.col("spent")).alias("used_percent"), F.lit(next_month).cast("long").alias("resets_at"), F.lit("request-count").alias("basis"))
+    spent = F.broadcast(open_).join(series, "provider", "left").groupBy("provider", "plan", "window_minutes",
+        "ceiling_usd").agg(F.coalesce(F.sum(F.when(hit, F.col("usd"))), F.lit(0)).cast("double").alias("spent"),
+        F.coalesce(F.sum(F.when(hit, F.col("unpriced"))), F.lit(0)).alias("open_tokens"))
+    return spent.where("open_tokens = 0").select("provider", "plan", "window_minutes", percent_of(F.col("ceiling_usd"), F.col("spent")).alias("used_percent"),
+        F.lit(next_month).cast("long").alias("resets_at"), F.lit("request-count").alias("basis"))

@@ -81,7 +81,8 @@ def dedup_first_wins(spark, d):
 @query(SQL + f", a as (select provider, count(*) as n from use0 group by all), b as (select provider, count(*) as n from ok group by all) select provider, cast(a.n - b.n as bigint) as duplicates_skipped from a join b using (provider)")
 def duplicates_skipped(spark, d):
     raw = adapters.usage(spark, d)
-    return raw.groupBy("provider").agg(F.count("*").alias("a")).join(ingest.dedup_first_wins(raw).groupBy("provider").agg(F.count("*").alias("b")), "provider").select("provider", (F.col("a") - F.col("b")).alias("duplicates_skipped"))
+    return raw.groupBy("provider").agg(F.count("*").alias("a")).join(ingest.dedup_first_wins(raw).groupBy("provider").agg(F.count("*").alias("b")),
+        "provider").select("provider", (F.col("a") - F.col("b")).alias("duplicates_skipped"))
 
 
 @query(SQL + f"select provider, start, input, output, cache_read, cache_creation, cast(0 as bigint) as reasoning, cast(0 as double) as requests, {_D.format('usd')} as usd, unpriced from bucket")
@@ -96,7 +97,8 @@ def rolling_tokens_24h(spark, d):
 
 @query(SQL + f"select provider, {_D.format('sum(usd)')} as usd, cast(sum(unpriced) as bigint) as unpriced, sum(unpriced) = 0 as complete from bucket where start >= {NOW - DAY} and start < {NOW} group by all")
 def rolling_cost_24h(spark, d):
-    return _shown(fold.in_range(_series(spark, d), NOW - DAY, NOW).groupBy("provider").agg(F.sum("usd").alias("usd"), F.sum("unpriced").alias("unpriced"))).withColumn("complete", F.col("unpriced") == 0)
+    return _shown(fold.in_range(_series(spark, d), NOW - DAY, NOW).groupBy("provider").agg(F.sum("usd").alias("usd"),
+        F.sum("unpriced").alias("unpriced"))).withColumn("complete", F.col("unpriced") == 0)
 
 
 @query(SQL + f"select provider, cast(start // 3600 * 3600 as bigint) as hour, {_TOK}, {_D.format('sum(usd)')} as usd, cast(sum(unpriced) as bigint) as unpriced from bucket where start >= {NOW - 7 * DAY} and start < {NOW} group by provider, hour")
@@ -148,7 +150,8 @@ def breakdown_share_7d(spark, d):
 
 
 @query(SQL + """, f as (select provider, session, min(seq) as f from ok group by all), r as (select *, row_number() over (partition by provider order by f) as k from f)
-select provider, cast(sum(case when k <= 40 then 1 else 0 end) as bigint) as kept, cast(sum(case when k > 40 then 1 else 0 end) as bigint) as labels_dropped from ok join r using (provider, session) group by all""")
+select provider, cast(sum(case when k <= 40 then 1 else 0 end) as bigint) as kept, cast(sum(case when k > 40 then 1 else 0 end) as bigint) as labels_dropped
+    from ok join r using (provider, session) group by all""")
 def label_cap(spark, d):
     kept, dropped = fold.capped_labels(_usage(spark, d), "session", 40)
     return kept.groupBy("provider").agg(F.count("*").alias("kept")).join(dropped, "provider")
@@ -162,14 +165,16 @@ def latest_limits(spark, d):
 _AGE = f"greatest({NOW} - observed_at, 0)"
 _MEASURED = f"""
 , meas as (
-  select provider, limit_id, {_KIND.format('window_minutes')} as kind, window_minutes, used_percent, resets_at, case when {_AGE} > 1800 then 'stale' else 'measured' end as confidence, observed_at as reported_at from latest)
+  select provider, limit_id, {_KIND.format('window_minutes')} as kind, window_minutes, used_percent, resets_at, case when {_AGE} > 1800 then 'stale' else
+      'measured' end as confidence, observed_at as reported_at from latest)
 """
 
 
 @query(SQL + _MEASURED + f"select provider, limit_id, kind, window_minutes, used_percent, confidence, cast(greatest({NOW} - reported_at, 0) as bigint) as age, cast(case when resets_at > {NOW} then resets_at - {NOW} end as bigint) as resets_in from meas")
 def windows_classified(spark, d):
     m = _measured(spark, d)
-    return m.select("provider", "limit_id", "kind", "window_minutes", "used_percent", "confidence", S.age_seconds(F.col("reported_at"), NOW).alias("age"), S.resets_in(F.col("resets_at"), NOW).alias("resets_in"))
+    return m.select("provider", "limit_id", "kind", "window_minutes", "used_percent", "confidence", S.age_seconds(F.col("reported_at"), NOW).alias("age"),
+        S.resets_in(F.col("resets_at"), NOW).alias("resets_in"))
 
 
 @query(SQL + "select model, n as normalised, pkey as price from norm left join priced using (model, n)")
@@ -183,16 +188,20 @@ _CEIL = "ceil_(provider, window_minutes, ceiling) as (values ('claude-code', 300
 _SPEND = "(select coalesce(sum({1}), 0) from bucket b where b.provider = {0}.provider and b.start >= " + str(NOW) + " - {0}.window_minutes * 60 and b.start < " + str(NOW) + ")"
 
 
-@query(SQL + ", " + _CEIL + f""", s as (select c.provider, c.window_minutes, ceiling, cast({_SPEND.format('c', 'b.usd')} as double) as spent, {_SPEND.format('c', 'b.unpriced')} as unpriced from ceil_ c)
-select provider, cast(window_minutes as bigint) as window_minutes, cast(unpriced as bigint) as unpriced, round(cast(least(greatest(spent / ceiling * 100, 0), 999) as float), 3) as used_percent from s""")
+@query(SQL + ", " + _CEIL + f""", s as (select c.provider, c.window_minutes, ceiling, cast({_SPEND.format('c', 'b.usd')} as double) as spent,
+    {_SPEND.format('c', 'b.unpriced')} as unpriced from ceil_ c)
+select provider, cast(window_minutes as bigint) as window_minutes, cast(unpriced as bigint) as unpriced, round(cast(least(greatest(spent / ceiling * 100, 0),
+    999) as float), 3) as used_percent from s""")
 def plan_percent(spark, d):
     c = _ceilings(spark).select("provider", "window_minutes", "ceiling_usd")
     s = windows.rolling_spend(_series(spark, d), c, NOW, "ceiling_usd")
     return s.select("provider", "window_minutes", F.col("spent_unpriced").alias("unpriced"), F.round(S.percent_of(F.col("ceiling_usd"), F.col("spent")), 3).alias("used_percent"))
 
 
-@query(SQL_PRICED + ", " + _CEIL + f""", x(provider, limit_id, window_minutes, used) as (values ('claude-code', 'claude', 300, 40.0::double), ('claude-code', 'claude', 10080, 30.0::double), ('copilot-cli', 'c', 43200, 20.0::double)),
-s as (select x.provider, limit_id, x.window_minutes, ceiling, used, {_SPEND.format('x', 'b.usd')} as spent, {_SPEND.format('x', 'b.unpriced')} as o from x join ceil_ c using (provider, window_minutes)),
+@query(SQL_PRICED + ", " + _CEIL + f""", x(provider, limit_id, window_minutes, used) as (values ('claude-code', 'claude', 300, 40.0::double), ('claude-code',
+    'claude', 10080, 30.0::double), ('copilot-cli', 'c', 43200, 20.0::double)),
+s as (select x.provider, limit_id, x.window_minutes, ceiling, used, {_SPEND.format('x', 'b.usd')} as spent, {_SPEND.format('x', 'b.unpriced')} as o from x join
+    ceil_ c using (provider, window_minutes)),
 f as (select *, cast(spent as double) / (used / 100) / ceiling as factor from s where o = 0 and spent > 0)
 select provider, round(arg_min(factor, row(limit_id, window_minutes)), 6) as factor from f where factor between 0.1 and 10 group by provider""")
 def calibration_factor(spark, d):
@@ -201,9 +210,11 @@ def calibration_factor(spark, d):
     return windows.calibration(read, _priced_series(spark, d), _ceilings(spark), NOW).select("provider", F.round("factor", 6).alias("factor"))
 
 
-@query(SQL_PRICED + ", " + _CEIL + f""", o as (select c.* from ceil_ c where not exists (select 1 from latest l where l.provider = c.provider and l.window_minutes = c.window_minutes and l.window_minutes <> 300)),
+@query(SQL_PRICED + ", " + _CEIL + f""", o as (select c.* from ceil_ c where not exists (select 1 from latest l where l.provider = c.provider and
+    l.window_minutes = c.window_minutes and l.window_minutes <> 300)),
 s as (select o.provider, o.window_minutes, ceiling, cast({_SPEND.format('o', 'b.usd')} as double) as spent, {_SPEND.format('o', 'b.unpriced')} as unpriced from o)
-select provider, cast(window_minutes as bigint) as window_minutes, {_KIND.format('window_minutes')} as kind, round(cast(least(greatest(spent / ceiling * 100, 0), 999) as float), 3) as used_percent, 'derived' as confidence from s where unpriced = 0""")
+select provider, cast(window_minutes as bigint) as window_minutes, {_KIND.format('window_minutes')} as kind, round(cast(least(greatest(spent / ceiling * 100,
+    0), 999) as float), 3) as used_percent, 'derived' as confidence from s where unpriced = 0""")
 def derived_windows_anti(spark, d):
     m = _measured(spark, d).where("window_minutes <> 300")
     return windows.derived(m, _priced_series(spark, d), _ceilings(spark), NOW).select("provider", "window_minutes", "kind", F.round("used_percent", 3).alias("used_percent"), "confidence")
@@ -211,7 +222,8 @@ def derived_windows_anti(spark, d):
 
 @query(SQL_PRICED + f""", c(provider, plan, ceiling) as (values ('copilot-cli', 'pro', 15.0::double), ('copilot-cli', 'pro-plus', 70.0::double), ('copilot-cli', 'max', 200.0::double)),
 s as (select provider, cast(sum(usd) as double) as spent, sum(unpriced) as o from bucket where start >= {MONTH_START} and start < {NOW} and provider = 'copilot-cli' group by all)
-select provider, plan, cast(43200 as bigint) as window_minutes, round(cast(least(greatest(coalesce(spent, 0) / ceiling * 100, 0), 999) as float), 3) as used_percent, cast({NEXT_MONTH} as bigint) as resets_at, 'request-count' as basis
+select provider, plan, cast(43200 as bigint) as window_minutes, round(cast(least(greatest(coalesce(spent, 0) / ceiling * 100, 0), 999) as float), 3) as
+    used_percent, cast({NEXT_MONTH} as bigint) as resets_at, 'request-count' as basis
 from c left join s using (provider) where coalesce(o, 0) = 0""")
 def month_to_date(spark, d):
     none = _measured(spark, d).where("false")
@@ -229,35 +241,42 @@ def _running_totals(spark, d):
 
 
 @query("""with recursive """ + SQL.lstrip().removeprefix("with") + """, u as (
-  select provider, session, seq, at_s, input, output, cache_read, cache_creation, sum(case when seq % 211 = 0 then 1 else 0 end) over (partition by provider, session order by seq) as g from use0),
+  select provider, session, seq, at_s, input, output, cache_read, cache_creation, sum(case when seq % 211 = 0 then 1 else 0 end) over (partition by provider,
+      session order by seq) as g from use0),
 t as (
   select provider, session, seq, at_s, row_number() over (partition by provider, session order by seq) as k,
     cast(sum(input) over w as bigint) as a, cast(sum(output) over w as bigint) as b, cast(sum(cache_read) over w as bigint) as c, cast(sum(cache_creation) over w as bigint) as e
   from u window w as (partition by provider, session, g order by seq rows unbounded preceding)),
 walk as (
-  select provider, session, cast(0 as bigint) as k, cast(null as bigint) as was, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(0 as bigint) as c, cast(0 as bigint) as e, cast(null as bigint) as seq,
+  select provider, session, cast(0 as bigint) as k, cast(null as bigint) as was, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(0 as bigint) as c, cast(0
+      as bigint) as e, cast(null as bigint) as seq,
     cast(0 as bigint) as da, cast(0 as bigint) as db, cast(0 as bigint) as dc, cast(0 as bigint) as de from (select distinct provider, session from t)
   union all
-  select provider, session, k, case when off then was else at_s end, case when off then wa else a end, case when off then wb else b end, case when off then wc else c end, case when off then we else e end, case when off then null else seq end,
-    case when grows then greatest(a - wa, 0) else a end, case when grows then greatest(b - wb, 0) else b end, case when grows then greatest(c - wc, 0) else c end, case when grows then greatest(e - we, 0) else e end
+  select provider, session, k, case when off then was else at_s end, case when off then wa else a end, case when off then wb else b end, case when off then wc
+      else c end, case when off then we else e end, case when off then null else seq end,
+    case when grows then greatest(a - wa, 0) else a end, case when grows then greatest(b - wb, 0) else b end, case when grows then greatest(c - wc, 0) else c
+        end, case when grows then greatest(e - we, 0) else e end
   from (
     select t.*, w.was, w.a as wa, w.b as wb, w.c as wc, w.e as we, w.was is not null and t.a + t.b + t.c + t.e >= w.a + w.b + w.c + w.e as grows,
       w.was is not null and (t.at_s < w.was or (t.at_s = w.was and ((t.a = w.a and t.b = w.b and t.c = w.c and t.e = w.e) or t.a < w.a or t.b < w.b or t.c < w.c or t.e < w.e))) as off
     from walk w join t on t.provider = w.provider and t.session = w.session and t.k = w.k + 1))
-select walk.provider, walk.session, walk.seq, t.at_s, da as input, db as output, dc as cache_read, de as cache_creation, cast(0 as bigint) as reasoning from walk join t using (provider, session, seq)""")
+select walk.provider, walk.session, walk.seq, t.at_s, da as input, db as output, dc as cache_read, de as cache_creation, cast(0 as bigint) as reasoning from
+    walk join t using (provider, session, seq)""")
 def cumulative_delta(spark, d):
     return ingest.cumulative_deltas(_running_totals(spark, d))
 
 
 @query(SQL + f""", f as (select provider, min(start) as first from bucket group by all),
 s as (select provider, cast(((start // 3600) + 72) % 168 as integer) as slot, cast(sum(usd) as double) as u, cast(sum(total) as double) as t from bucket group by all)
-select provider, slot, round(u / (({NOW} - first) / 604800.0::double), 6) as per_hour_usd, round(t / (({NOW} - first) / 604800.0::double), 6) as per_hour_tokens from s join f using (provider) where {NOW} - first >= {14 * DAY}""")
+select provider, slot, round(u / (({NOW} - first) / 604800.0::double), 6) as per_hour_usd, round(t / (({NOW} - first) / 604800.0::double), 6) as per_hour_tokens
+    from s join f using (provider) where {NOW} - first >= {14 * DAY}""")
 def hour_of_week_profile(spark, d):
     return pace.profile(_series(spark, d), NOW).select("provider", "slot", F.round("per_hour_usd", 6).alias("per_hour_usd"), F.round("per_hour_tokens", 6).alias("per_hour_tokens"))
 
 
 @query(SQL + f""", i as (select unnest(range(0, 16)) as i), p as (select distinct provider from bucket),
-b as (select p.provider, i.i, cast(coalesce(sum(total), 0) as double) as x from p cross join i left join bucket k on k.provider = p.provider and k.start >= {NOW - 16 * 900} + i.i * 900 and k.start < {NOW - 16 * 900} + (i.i + 1) * 900 group by all),
+b as (select p.provider, i.i, cast(coalesce(sum(total), 0) as double) as x from p cross join i left join bucket k on k.provider = p.provider and k.start >=
+    {NOW - 16 * 900} + i.i * 900 and k.start < {NOW - 16 * 900} + (i.i + 1) * 900 group by all),
 s as (select provider, list(x order by i) as l, min(case when x > 0 then i end) as f from b group by all)
 select provider, round(coalesce(case when f is not null then list_reduce(l[f + 1:], lambda a, x: 0.3 * x + 0.7 * a) end, 0) * 4, 6) as per_hour from s""")
 def ewma_rate(spark, d):
@@ -266,13 +285,15 @@ def ewma_rate(spark, d):
 
 _PACE = f""",
 u as (
-  select provider, limit_id, window_minutes, {_KIND.format('window_minutes')} as kind, cast(used_percent as double) as used, least(observed_at, t) as anchor, window_minutes * 60 as span, resets_at, t
+  select provider, limit_id, window_minutes, {_KIND.format('window_minutes')} as kind, cast(used_percent as double) as used, least(observed_at, t) as anchor,
+      window_minutes * 60 as span, resets_at, t
   from latest cross join (select max(observed_at) as t from lim)
   where used_percent >= 5 and t - least(observed_at, t) <= 1800 and (resets_at is null or resets_at > t)),
 b as (select *, cast(usd as double) as x, cast(total as double) as y from bucket),
 sums as (
   select u.*, coalesce(sum(x) filter (start >= anchor - span and start < anchor), 0) as a_usd, coalesce(sum(unpriced) filter (start >= anchor - span and start < anchor), 0) as a_open,
-    coalesce(sum(y) filter (start >= anchor - span and start < anchor), 0) as a_tok, coalesce(sum(x) filter (start >= t - span and start < t), 0) as n_usd, coalesce(sum(y) filter (start >= t - span and start < t), 0) as n_tok
+    coalesce(sum(y) filter (start >= anchor - span and start < anchor), 0) as a_tok, coalesce(sum(x) filter (start >= t - span and start < t), 0) as n_usd,
+        coalesce(sum(y) filter (start >= t - span and start < t), 0) as n_tok
   from u left join b on b.provider = u.provider group by all),
 bins as (
   select u.provider, limit_id, window_minutes, i, coalesce(sum(x), 0) as x, coalesce(sum(y), 0) as y
@@ -296,16 +317,20 @@ typ as (
   select g.provider, limit_id, window_minutes, sum((least(t, (h + 1) * 3600) - greatest(t - span, h * 3600)) / 3600.0::double * coalesce(case when by_cost then x else y end, 0)) as typical
   from (select *, unnest(range((t - span) // 3600, (t - 1) // 3600 + 1)) as h from fit) g left join shape on shape.provider = g.provider and slot = (h + 72) % 168 group by all),
 model as (
-  select fit.*, case when not (kind = 'session' or horizon <= 21600 or coalesce(typical, 0) <= 0) then least(greatest(spent / typical, 0.1), 10) end as scale from fit left join typ using (provider, limit_id, window_minutes)),
+  select fit.*, case when not (kind = 'session' or horizon <= 21600 or coalesce(typical, 0) <= 0) then least(greatest(spent / typical, 0.1), 10) end as scale
+      from fit left join typ using (provider, limit_id, window_minutes)),
 steps as (select *, t * 1000000000 + (k - 1) * step as a, t * 1000000000 + k * step as z from (select *, unnest(range(1, 49)) as k from model where ceiling > 0 and step > 0)),
 come as (
-  select g.provider, limit_id, window_minutes, k, sum(floor((least(z, (h + 1) * 3600000000000) - greatest(a, h * 3600000000000)) / 1000000000) / 3600.0::double * coalesce(case when by_cost then x else y end, 0)) as expected
-  from (select *, unnest(range(a // 3600000000000, (z - 1) // 3600000000000 + 1)) as h from steps where scale is not null) g left join shape on shape.provider = g.provider and slot = (h + 72) % 168 group by all),
+  select g.provider, limit_id, window_minutes, k, sum(floor((least(z, (h + 1) * 3600000000000) - greatest(a, h * 3600000000000)) / 1000000000) / 3600.0::double
+      * coalesce(case when by_cost then x else y end, 0)) as expected
+  from (select *, unnest(range(a // 3600000000000, (z - 1) // 3600000000000 + 1)) as h from steps where scale is not null) g left join shape on shape.provider =
+      g.provider and slot = (h + 72) % 168 group by all),
 leave as (
   select provider, limit_id, window_minutes, cast(ceil((start - (t - span) + 1) * 1000000000 / step) as bigint) as k, sum(case when by_cost then x else y end) as gone
   from model join b using (provider) where resets_at is null and start >= t - span and start < t group by all),
 walk as (
-  select s.*, spent + sum(case when scale is null then rate * floor(step / 1000000000) / 3600.0::double else coalesce(expected, 0) * scale end - coalesce(gone, 0)) over (partition by provider, limit_id, window_minutes order by k rows unbounded preceding) as running
+  select s.*, spent + sum(case when scale is null then rate * floor(step / 1000000000) / 3600.0::double else coalesce(expected, 0) * scale end - coalesce(gone,
+      0)) over (partition by provider, limit_id, window_minutes order by k rows unbounded preceding) as running
   from steps s left join come using (provider, limit_id, window_minutes, k) left join leave using (provider, limit_id, window_minutes, k)),
 pct as (
   select *, cast(least(greatest(greatest(running, 0) / ceiling * 100, 0), 999) as float) as percent, cast(least(greatest(spent / ceiling * 100, 0), 999) as float) as held from walk),
@@ -326,17 +351,21 @@ def pace_forecast(spark, d):
     return found.withColumn("projected_percent", F.round("projected_percent", 3))
 
 
-@query(SQL_1000 + f""", h as (select provider, {_HOUR} as hour, sum(total) as t, coalesce(sum(usd), 0) as u, coalesce(sum(case when usd is null then total end), 0) as o from ok where origin <> 'main' group by all),
+@query(SQL_1000 + f""", h as (select provider, {_HOUR} as hour, sum(total) as t, coalesce(sum(usd), 0) as u, coalesce(sum(case when usd is null then total end),
+    0) as o from ok where origin <> 'main' group by all),
 b as (select provider, quantile_disc(t, 0.5) as m, count(*) as n from h where hour < {NOW - 7200} group by all),
 p as (select provider, sum(t) as t, sum(u) as u, sum(o) as o from h where hour >= {NOW - 7200} and hour < {NOW - 3600} group by all)
-select provider, cast({NOW - 7200} as bigint) as since, cast(t as bigint) as tokens, {_D.format('u')} as usd, cast(o as bigint) as unpriced, cast(t / greatest(m, 1) as float) as factor from p join b using (provider) where t >= 200000 and n >= 6 and t / greatest(m, 1) >= 1""")
+select provider, cast({NOW - 7200} as bigint) as since, cast(t as bigint) as tokens, {_D.format('u')} as usd, cast(o as bigint) as unpriced, cast(t /
+    greatest(m, 1) as float) as factor from p join b using (provider) where t >= 200000 and n >= 6 and t / greatest(m, 1) >= 1""")
 def burst_detect(spark, d):
     return _shown(burst.detect(fold.breakdown(_usage(spark, d, 1000), "agent"), NOW - 3600, factor=1.0))
 
 
-@query(SQL + f""", t as (select provider, cast(least((start - {NOW - DAY}) * 12 // {DAY}, 11) as integer) as c, sum(total) as t from bucket where start between {NOW - DAY} and {NOW} group by all),
+@query(SQL + f""", t as (select provider, cast(least((start - {NOW - DAY}) * 12 // {DAY}, 11) as integer) as c, sum(total) as t from bucket where start between
+    {NOW - DAY} and {NOW} group by all),
 a as (select distinct provider, unnest(range(0, 12)) as c from bucket), x as (select provider, c, coalesce(t, 0) as t from a left join t using (provider, c))
-select provider, cast(c as integer) as "column", cast({NOW - DAY} + c * 7200 as bigint) as start, cast(7200 as bigint) as seconds, cast(t as bigint) as tokens, round(case when t = 0 then 0 else greatest(t / max(t) over (partition by provider), 0.06) end, 6) as height from x""")
+select provider, cast(c as integer) as "column", cast({NOW - DAY} + c * 7200 as bigint) as start, cast(7200 as bigint) as seconds, cast(t as bigint) as tokens,
+    round(case when t = 0 then 0 else greatest(t / max(t) over (partition by provider), 0.06) end, 6) as height from x""")
 def horizon_columns(spark, d):
     return report.horizon_columns(_series(spark, d), DAY, NOW, 12)
 
@@ -344,7 +373,8 @@ def horizon_columns(spark, d):
 @query(SQL + f""", x as (select provider, cast(to_timestamp(start) at time zone 'America/New_York' as date) as day, sum(total) as t from bucket group by all),
 a as (select distinct provider, cast(unnest(range(timestamp '2024-01-17', timestamp '2024-01-31', interval 1 day)) as date) as day from bucket),
 f as (select provider, day, coalesce(t, 0) as t from a left join x using (provider, day)), s as (select *, t / nullif(max(t) over (partition by provider), 0) as s from f)
-select provider, cast(day as varchar) as day, cast(t as bigint) as tokens, case when t = 0 then 0 when s > 0.75 then 4 when s > 0.5 then 3 when s > 0.25 then 2 else 1 end as intensity from s""")
+select provider, cast(day as varchar) as day, cast(t as bigint) as tokens, case when t = 0 then 0 when s > 0.75 then 4 when s > 0.5 then 3 when s > 0.25 then 2
+    else 1 end as intensity from s""")
 def daily_heatmap(spark, d):
     return report.daily_heatmap(fold.history(_series(spark, d), 0, NOW), 14, NOW, "America/New_York")
 
@@ -398,7 +428,8 @@ _CSV = """select provider, dimension, cast(hour as varchar) as start, strftime(m
   coalesce(label, '') as label, cast(i as varchar) as input, cast(o as varchar) as output,
   cast(r as varchar) as "cacheRead", cast(c as varchar) as "cacheCreation", '0' as reasoning, cast(i + o + r + c as varchar) as "totalTokens",
   case when u = 0 and x > 0 then '' else cast(cast(round(u, 6) as decimal(38, 6)) as varchar) end as "costUsd",
-  cast(x as varchar) as "unpricedTokens", case when dimension = 'total' then '' else cast(coalesce(n, 0) as varchar) end as "labelsDropped" from g left join gone using (provider, dimension)"""
+  cast(x as varchar) as "unpricedTokens", case when dimension = 'total' then '' else cast(coalesce(n, 0) as varchar) end as "labelsDropped" from g left join
+      gone using (provider, dimension)"""
 _LABELLED = _PROJECT + f""", w as (select *, {_HOUR} as hour from att where at_s < {NOW}),
 e as (
   select *, unnest(list_value(struct_pack(dimension := 'total', label := cast(null as varchar)), struct_pack(dimension := 'model', label := model),
@@ -446,14 +477,17 @@ m as (select * from meas where window_minutes <> 10080 and provider <> 'copilot-
 spend as (select c.provider, c.window_minutes, ceiling, cast({_SPEND.format('c', 'b.usd')} as double) as spent, {_SPEND.format('c', 'b.unpriced')} as unpriced from ceil_ c),
 factor as (
   select provider, arg_min(spent / (cast(used_percent as double) / 100) / ceiling, row(limit_id, window_minutes)) as f from m join spend using (provider, window_minutes)
-  where confidence = 'measured' and used_percent >= 15 and used_percent < 99 and unpriced = 0 and spent > 0 and spent / (cast(used_percent as double) / 100) / ceiling between 0.1 and 10 group by provider),
+  where confidence = 'measured' and used_percent >= 15 and used_percent < 99 and unpriced = 0 and spent > 0 and spent / (cast(used_percent as double) / 100) /
+      ceiling between 0.1 and 10 group by provider),
 month as (
   select cast(coalesce(sum(usd), 0) as double) as spent, coalesce(sum(unpriced), 0) as unpriced from bucket where provider = 'copilot-cli' and start >= {MONTH_START} and start < {NOW}),
 win as (
   select provider, limit_id, kind, window_minutes, used_percent, resets_at, confidence, reported_at, cast(null as varchar) as basis from m
-  union all select provider, 'claude', {_KIND.format('window_minutes')}, cast(window_minutes as bigint), cast(least(greatest(spent / (ceiling * coalesce(f, 1)) * 100, 0), 999) as float), null, 'derived', null, 'token-window'
+  union all select provider, 'claude', {_KIND.format('window_minutes')}, cast(window_minutes as bigint), cast(least(greatest(spent / (ceiling * coalesce(f, 1))
+      * 100, 0), 999) as float), null, 'derived', null, 'token-window'
   from spend left join factor using (provider) where provider = 'claude-code' and unpriced = 0 and window_minutes not in (select window_minutes from m where m.provider = 'claude-code')
-  union all select 'copilot-cli', 'copilot', 'monthly', cast(43200 as bigint), cast(least(greatest(spent / 15.0::double * 100, 0), 999) as float), cast({NEXT_MONTH} as bigint), 'derived', null, 'request-count' from month where unpriced = 0)
+  union all select 'copilot-cli', 'copilot', 'monthly', cast(43200 as bigint), cast(least(greatest(spent / 15.0::double * 100, 0), 999) as float),
+      cast({NEXT_MONTH} as bigint), 'derived', null, 'request-count' from month where unpriced = 0)
 """
 
 
@@ -474,7 +508,8 @@ def _snapshot_providers(spark, d):
 
 _STAND = f"""
 , day as (
-  select provider, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_read) as bigint) as cache_read, cast(sum(cache_creation) as bigint) as cache_creation,
+  select provider, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_read) as bigint) as cache_read,
+      cast(sum(cache_creation) as bigint) as cache_creation,
     cast(sum(usd) as decimal(38, 11)) as usd, cast(sum(unpriced) as bigint) as unpriced from bucket where start >= {NOW - DAY} and start < {NOW} group by all),
 act as (select provider, max(at_s) as last_activity from ok group by all),
 cnt as (select provider, cast(count(*) as bigint) as windows from latest where provider = 'codex' group by all),
@@ -498,12 +533,16 @@ _QUOTED = "coalesce('\"' || {0} || '\"', 'null')"
 
 
 @query(SQL + _MEASURED + _STAND + f""", obj as (
-  select provider, '[' || string_agg('{{"windowMinutes":' || window_minutes || ',"limitId":"' || limit_id || '","kind":"' || kind || '","usedPercent":' || coalesce(cast(cast(used_percent as decimal(9, 3)) as varchar), 'null')
+  select provider, '[' || string_agg('{{"windowMinutes":' || window_minutes || ',"limitId":"' || limit_id || '","kind":"' || kind || '","usedPercent":' ||
+      coalesce(cast(cast(used_percent as decimal(9, 3)) as varchar), 'null')
     || ',"resetsAt":' || {_QUOTED.format(_ISO.format('resets_at'))} || ',"confidence":{{"level":"' || confidence || '","reportedAt":' || {_QUOTED.format(_ISO.format('reported_at'))}
-    || ',"basis":null,"ageSeconds":' || case when confidence = 'stale' then cast(greatest({NOW} - reported_at, 0) as varchar) else 'null' end || '}}}}', ',' order by window_minutes, limit_id) || ']' as windows
+    || ',"basis":null,"ageSeconds":' || case when confidence = 'stale' then cast(greatest({NOW} - reported_at, 0) as varchar) else 'null' end || '}}}}', ','
+        order by window_minutes, limit_id) || ']' as windows
   from meas where provider = 'codex' group by provider)
-select provider, '{{"id":"' || provider || '","installed":' || installed || ',"windows":' || coalesce(obj.windows, '[]') || ',"today":{{"input":' || input || ',"output":' || output || ',"cacheRead":' || cache_read
-  || ',"cacheCreation":' || cache_creation || ',"reasoning":0}},"todayCost":{{"usd":' || cast(cast(usd as decimal(38, 6)) as varchar) || ',"unpricedTokens":' || unpriced || '}},"lastActivity":' || {_QUOTED.format(_ISO.format('last_activity'))}
+select provider, '{{"id":"' || provider || '","installed":' || installed || ',"windows":' || coalesce(obj.windows, '[]') || ',"today":{{"input":' || input ||
+    ',"output":' || output || ',"cacheRead":' || cache_read
+  || ',"cacheCreation":' || cache_creation || ',"reasoning":0}},"todayCost":{{"usd":' || cast(cast(usd as decimal(38, 6)) as varchar) || ',"unpricedTokens":' ||
+      unpriced || '}},"lastActivity":' || {_QUOTED.format(_ISO.format('last_activity'))}
   || ',"unavailable":' || {_QUOTED.format('unavailable')} || '}}' as json from stand left join obj using (provider)""")
 def export_json(spark, d):
     providers, win = _snapshot_providers(spark, d)
@@ -519,10 +558,12 @@ def series_trimmed(spark, d):
 
 
 @query("""with recursive """ + SQL.lstrip().removeprefix("with") + """, r as (
-  select provider, limit_id, window_minutes, seq, observed_at as at_s, cast(used_percent as double) as p, resets_at, case when used_percent >= 95 then 95 when used_percent >= 85 then 85 when used_percent >= 70 then 70 end as crossed,
+  select provider, limit_id, window_minutes, seq, observed_at as at_s, cast(used_percent as double) as p, resets_at, case when used_percent >= 95 then 95 when
+      used_percent >= 85 then 85 when used_percent >= 70 then 70 end as crossed,
     row_number() over (partition by provider, limit_id, window_minutes order by seq) as k from lim),
 walk as (
-  select provider, limit_id, window_minutes, cast(0 as bigint) as k, cast(null as integer) as t, cast(null as bigint) as reset, cast(null as bigint) as fired from (select distinct provider, limit_id, window_minutes from r)
+  select provider, limit_id, window_minutes, cast(0 as bigint) as k, cast(null as integer) as t, cast(null as bigint) as reset, cast(null as bigint) as fired
+      from (select distinct provider, limit_id, window_minutes from r)
   union all
   select provider, limit_id, window_minutes, k, case when fires then crossed else held end, case when fires then resets_at when held is not null then was end, case when fires then seq end
   from (
@@ -535,9 +576,11 @@ def alerts_replay(spark, d):
     return alerts.replay(adapters.limits(spark, d).withColumnRenamed("observed_at", "at_s"))
 
 
-@query("""with u as (select l_returnflag as model, cast(floor(epoch(l_shipdate)) as bigint) // 300 * 300 as start, cast(l_quantity as bigint) as input, cast(floor(l_extendedprice) as bigint) as output from lineitem)
+@query("""with u as (select l_returnflag as model, cast(floor(epoch(l_shipdate)) as bigint) // 300 * 300 as start, cast(l_quantity as bigint) as input,
+    cast(floor(l_extendedprice) as bigint) as output from lineitem)
 select model, start, cast(count(*) as bigint) as n, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output from u group by all""")
 def lineitem_throughput(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     at = S.floor_to(S.epoch_seconds(F.col("l_shipdate")), S.BUCKET_SECONDS)
-    return li.groupBy(F.col("l_returnflag").alias("model"), at.alias("start")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("input"), F.sum(F.floor("l_extendedprice")).alias("output"))
+    return li.groupBy(F.col("l_returnflag").alias("model"), at.alias("start")).agg(F.count("*").alias("n"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("input"), F.sum(F.floor("l_extendedprice")).alias("output"))

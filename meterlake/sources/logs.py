@@ -31,7 +31,8 @@ def read_lines(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     ranked = [(p, k) for k, (p, _) in enumerate(sorted(files, key=lambda x: (-x[1], x[0])))]
     ranks = spark.createDataFrame(ranked, "path string, rank bigint")
     place = (F.shiftright(F.col("_metadata.file_block_start"), 20), F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1))
-    rows = spark.read.option("lineSep", "\n").text([p for p, _ in files]).select(F.col("_metadata.file_path").alias("path"), place[0].alias("block"), place[1].alias("row"), F.regexp_replace("value", "\r$", "").alias("line"))
+    rows = spark.read.option("lineSep", "\n").text([p for p, _ in files]).select(F.col("_metadata.file_path").alias("path"), place[0].alias("block"),
+        place[1].alias("row"), F.regexp_replace("value", "\r$", "").alias("line"))
     seq = F.shiftleft("rank", ROW_BITS + BLOCK_BITS) + F.shiftleft("block", ROW_BITS) + F.col("row")
     return rows.where(F.length("line") > 0).join(ranks, "path").select("path", seq.alias("seq"), "line")
 
@@ -80,7 +81,8 @@ def _count(c: str) -> Column:
 
 
 def _usage(df: DataFrame, provider: str, **columns: Column) -> DataFrame:
-    base = {"message": F.lit(None).cast("string"), "request": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "project": F.lit(None).cast("string"), "origin": F.lit("main"), "requests": F.lit(0.0), "reasoning": F.lit(0).cast("long")} | columns
+    base = {"message": F.lit(None).cast("string"), "request": F.lit(None).cast("string"), "model": F.lit(None).cast("string"),
+        "project": F.lit(None).cast("string"), "origin": F.lit("main"), "requests": F.lit(0.0), "reasoning": F.lit(0).cast("long")} | columns
     out = df.select(F.lit(provider).alias("provider"), "path", "seq", *(v.alias(k) for k, v in base.items()))
     return out.where(F.col("at_s").isNotNull() & ((F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_creation") + F.col("reasoning") > 0) | (F.col("requests") != 0)))
 
@@ -102,19 +104,25 @@ def claude_code(lines: DataFrame) -> Records:
         "type STRING, timestamp STRING, at STRING, requestId STRING, sessionId STRING, cwd STRING, message STRUCT<id:STRING, model:STRING, usage:STRUCT<input_tokens:BIGINT, output_tokens:BIGINT, cache_read_input_tokens:BIGINT,"
         " cache_creation_input_tokens:BIGINT, cache_creation:STRUCT<ephemeral_5m_input_tokens:BIGINT, ephemeral_1h_input_tokens:BIGINT>>>, rate_limits STRUCT<five_hour:STRUCT<used_percentage:FLOAT, resets_at:BIGINT>, seven_day:STRUCT<used_percentage:FLOAT, resets_at:BIGINT>>"
     )
-    spent = tuple(f"message.usage.{c}" for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens"))
+    spent = tuple(f"message.usage.{c}" for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
+        "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens"))
     rows, errors = _parsed(lines, schema, ('"usage"', '"rate_limits"'), spent, ("timestamp", "at"))
     u, tier = "r.message.usage.", F.col("r.message.usage.cache_creation")
     five = F.when(tier.isNotNull(), _count(u + "cache_creation.ephemeral_5m_input_tokens")).otherwise(_count(u + "cache_creation_input_tokens"))
     hour = F.when(tier.isNotNull(), _count(u + "cache_creation.ephemeral_1h_input_tokens")).otherwise(F.lit(0).cast("long"))
     both = F.col("r.message.id").isNotNull() & F.col("r.requestId").isNotNull()
     usage = _usage(
-        rows.where("r.message.usage is not null"), "claude-code", at_s=_at(F.col("r.timestamp")), session=F.coalesce("r.sessionId", file_stem(F.col("path"))), message=F.when(both, F.col("r.message.id")), request=F.when(both, F.col("r.requestId")),
-        model=F.col("r.message.model"), project=F.col("r.cwd"), origin=origin_of(F.col("path")), input=_count(u + "input_tokens"), output=_count(u + "output_tokens"), cache_read=_count(u + "cache_read_input_tokens"), cache_creation=five + hour, cache_5m=five, cache_1h=hour,
+        rows.where("r.message.usage is not null"), "claude-code", at_s=_at(F.col("r.timestamp")), session=F.coalesce("r.sessionId", file_stem(F.col("path"))),
+            message=F.when(both, F.col("r.message.id")), request=F.when(both, F.col("r.requestId")),
+        model=F.col("r.message.model"), project=F.col("r.cwd"), origin=origin_of(F.col("path")), input=_count(u + "input_tokens"),
+            output=_count(u + "output_tokens"), cache_read=_count(u + "cache_read_input_tokens"), cache_creation=five + hour, cache_5m=five, cache_1h=hour,
     )
-    read = lambda key, minutes: F.struct(F.lit(minutes).cast("long").alias("window_minutes"), F.col(f"r.rate_limits.{key}.used_percentage").alias("used_percent"), F.col(f"r.rate_limits.{key}.resets_at").alias("resets_at"))
-    limits = rows.where("r.rate_limits is not null").select("path", "seq", F.coalesce(_at(F.col("r.at")), _at(F.col("r.timestamp"))).alias("observed_at"), F.explode(F.array(read("five_hour", 300), read("seven_day", 10080))).alias("x"))
-    limits = limits.where("x.used_percent is not null and observed_at is not null").select(F.lit("claude-code").alias("provider"), "path", "seq", F.lit("claude").alias("limit_id"), "observed_at", "x.window_minutes", "x.used_percent", "x.resets_at")
+    read = lambda key, minutes: F.struct(F.lit(minutes).cast("long").alias("window_minutes"),
+        F.col(f"r.rate_limits.{key}.used_percentage").alias("used_percent"), F.col(f"r.rate_limits.{key}.resets_at").alias("resets_at"))
+    limits = rows.where("r.rate_limits is not null").select("path", "seq", F.coalesce(_at(F.col("r.at")), _at(F.col("r.timestamp"))).alias("observed_at"),
+        F.explode(F.array(read("five_hour", 300), read("seven_day", 10080))).alias("x"))
+    limits = limits.where("x.used_percent is not null and observed_at is not null").select(F.lit("claude-code").alias("provider"), "path", "seq",
+        F.lit("claude").alias("limit_id"), "observed_at", "x.window_minutes", "x.used_percent", "x.resets_at")
     none = rows.where("false").select(F.lit("").alias("provider"), "path", "seq", F.lit(0).cast("long").alias("at_s"), F.lit("").alias("session"), F.lit("").alias("project"))
     return Records(with_cost(usage).drop("cache_5m", "cache_1h"), limits.select(*LIMITS), none.select(*SESSIONS), errors)
 
@@ -132,12 +140,17 @@ def codex(lines: DataFrame) -> Records:
     stem, u = file_stem(F.col("path")), "r.payload.info.last_token_usage."
     counts = rows.where("r.payload.type = 'token_count' and r.payload.info.last_token_usage is not null")
     usage = _usage(
-        counts, "codex", at_s=F.col("at_s"), session=stem, message=F.concat(stem, F.lit(":"), _count("r.payload.info.total_token_usage.total_tokens").cast("string")), request=_count(u + "total_tokens").cast("string"),
-        input=F.greatest(_count(u + "input_tokens") - _count(u + "cached_input_tokens"), F.lit(0)), output=_count(u + "output_tokens"), cache_read=_count(u + "cached_input_tokens"), cache_creation=_count(u + "cache_write_input_tokens"), reasoning=_count(u + "reasoning_output_tokens"),
+        counts, "codex", at_s=F.col("at_s"), session=stem, message=F.concat(stem, F.lit(":"),
+            _count("r.payload.info.total_token_usage.total_tokens").cast("string")), request=_count(u + "total_tokens").cast("string"),
+        input=F.greatest(_count(u + "input_tokens") - _count(u + "cached_input_tokens"), F.lit(0)), output=_count(u + "output_tokens"),
+            cache_read=_count(u + "cached_input_tokens"), cache_creation=_count(u + "cache_write_input_tokens"), reasoning=_count(u + "reasoning_output_tokens"),
     ).withColumn("usd", F.lit(None).cast("decimal(38,11)"))
-    limits = rows.where("r.payload.rate_limits is not null").select("path", "seq", "at_s", F.coalesce("r.payload.rate_limits.limit_id", F.lit("codex")).alias("limit_id"), F.explode(F.array("r.payload.rate_limits.primary", "r.payload.rate_limits.secondary")).alias("x")).where("x.window_minutes is not null and x.used_percent is not null")
+    limits = rows.where("r.payload.rate_limits is not null").select("path", "seq", "at_s",
+        F.coalesce("r.payload.rate_limits.limit_id", F.lit("codex")).alias("limit_id"),
+        F.explode(F.array("r.payload.rate_limits.primary", "r.payload.rate_limits.secondary")).alias("x")).where("x.window_minutes is not null and x.used_percent is not null")
     limits = limits.select(F.lit("codex").alias("provider"), "path", "seq", "limit_id", F.col("at_s").alias("observed_at"), "x.window_minutes", "x.used_percent", "x.resets_at")
-    sessions = rows.where("r.type = 'session_meta' and r.payload.cwd is not null").select(F.lit("codex").alias("provider"), "path", "seq", "at_s", stem.alias("session"), F.col("r.payload.cwd").alias("project"))
+    sessions = rows.where("r.type = 'session_meta' and r.payload.cwd is not null").select(F.lit("codex").alias("provider"), "path", "seq", "at_s",
+        stem.alias("session"), F.col("r.payload.cwd").alias("project"))
     return Records(usage, limits.select(*LIMITS), sessions.select(*SESSIONS), errors)
 
 
@@ -154,17 +167,24 @@ def copilot_cli(lines: DataFrame) -> Records:
     u = "m.usage."
     fresh = F.greatest(F.greatest(_count(u + "inputTokens") - _count(u + "cacheReadTokens"), F.lit(0)) - _count(u + "cacheWriteTokens"), F.lit(0))
     usage = _usage(
-        each.withColumnRenamed("session", "s").withColumnRenamed("model", "k"), "copilot-cli", at_s=F.col("at_s"), session=F.col("s"), message=F.when(F.col("id").isNotNull(), F.concat("s", F.lit(":"), "id")), request=F.when(F.col("id").isNotNull(), F.col("k")), model=F.col("k"),
-        input=fresh, output=_count(u + "outputTokens"), cache_read=_count(u + "cacheReadTokens"), cache_creation=_count(u + "cacheWriteTokens"), reasoning=_count(u + "reasoningTokens"), requests=F.coalesce("m.requests.cost", F.lit(0.0)),
+        each.withColumnRenamed("session", "s").withColumnRenamed("model", "k"), "copilot-cli", at_s=F.col("at_s"), session=F.col("s"),
+            message=F.when(F.col("id").isNotNull(), F.concat("s", F.lit(":"), "id")), request=F.when(F.col("id").isNotNull(), F.col("k")), model=F.col("k"),
+        input=fresh, output=_count(u + "outputTokens"), cache_read=_count(u + "cacheReadTokens"), cache_creation=_count(u + "cacheWriteTokens"),
+            reasoning=_count(u + "reasoningTokens"), requests=F.coalesce("m.requests.cost", F.lit(0.0)),
         usd=(F.col("m.totalNanoAiu").cast("decimal(20,0)") * F.lit("0.00000000001").cast("decimal(12,11)")).cast("decimal(38,11)"),
     )
     zero = F.lit(0).cast("long")
     only = ends.where("coalesce(cardinality(r.data.modelMetrics), 0) <= 0 and r.data.totalPremiumRequests <> 0")
-    only = _usage(only.withColumnRenamed("session", "s"), "copilot-cli", at_s=F.col("at_s"), session=F.col("s"), message=F.col("r.id"), request=F.lit("premium"), input=zero, output=zero, cache_read=zero, cache_creation=zero, requests=F.col("r.data.totalPremiumRequests"), usd=F.lit(None).cast("decimal(38,11)"))
+    only = _usage(only.withColumnRenamed("session", "s"), "copilot-cli", at_s=F.col("at_s"), session=F.col("s"), message=F.col("r.id"),
+        request=F.lit("premium"), input=zero, output=zero, cache_read=zero, cache_creation=zero, requests=F.col("r.data.totalPremiumRequests"),
+        usd=F.lit(None).cast("decimal(38,11)"))
     month = F.add_months(F.trunc(F.timestamp_seconds("at_s").cast("date"), "month"), 1)
     full = rows.where("r.type = 'session.error' and r.data.errorCode = 'quota_exceeded'")
-    limits = full.select(F.lit("copilot-cli").alias("provider"), "path", "seq", F.lit("copilot").alias("limit_id"), F.col("at_s").alias("observed_at"), F.lit(43200).cast("long").alias("window_minutes"), F.lit(100.0).cast("float").alias("used_percent"), (F.datediff(month, F.lit("1970-01-01").cast("date")) * 86400).cast("long").alias("resets_at"))
-    sessions = rows.where("r.type = 'session.start' and r.data.context.cwd is not null").select(F.lit("copilot-cli").alias("provider"), "path", "seq", "at_s", "session", F.col("r.data.context.cwd").alias("project"))
+    limits = full.select(F.lit("copilot-cli").alias("provider"), "path", "seq", F.lit("copilot").alias("limit_id"), F.col("at_s").alias("observed_at"),
+        F.lit(43200).cast("long").alias("window_minutes"), F.lit(100.0).cast("float").alias("used_percent"),
+        (F.datediff(month, F.lit("1970-01-01").cast("date")) * 86400).cast("long").alias("resets_at"))
+    sessions = rows.where("r.type = 'session.start' and r.data.context.cwd is not null").select(F.lit("copilot-cli").alias("provider"), "path", "seq", "at_s",
+        "session", F.col("r.data.context.cwd").alias("project"))
     return Records(usage.unionByName(only), limits.select(*LIMITS), sessions.select(*SESSIONS), errors)
 
 

@@ -54,4 +54,5 @@ def bucket_stream(usage: DataFrame, retention: str = "32 days") -> DataFrame:
     marked = usage.withWatermark("at", retention)
     keyed = marked.where("message is not null and request is not null").dropDuplicatesWithinWatermark(["provider", "message", "request"])
     every = keyed.unionByName(marked.where("message is null or request is null"))
-    return every.groupBy("provider", F.window("at", "5 minutes")).agg(*(F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_creation"))).select("provider", F.unix_seconds("window.start").alias("start"), "input", "output", "cache_read", "cache_creation")
+    return every.groupBy("provider", F.window("at", "5 minutes")).agg(*(F.sum(c).alias(c) for c in ("input", "output", "cache_read",
+        "cache_creation"))).select("provider", F.unix_seconds("window.start").alias("start"), "input", "output", "cache_read", "cache_creation")

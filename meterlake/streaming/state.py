@@ -54,7 +54,8 @@ def alerts(readings: DataFrame, thresholds=rules.DEFAULT_THRESHOLDS) -> DataFram
     """Announced crossings of fresh readings (provider, limit_id, window_minutes, seq, at_s, used_percent, resets_at)."""
     fresh = readings.where(F.col("used_percent").isNotNull() & ~F.isnan("used_percent"))
     fresh = fresh.select(*rules.KEYS, "seq", "at_s", F.col("used_percent").cast("double").alias("used_percent"), F.col("resets_at").cast("bigint").alias("resets_at"))
-    return _remembering(fresh, rules.KEYS, rules.next_alert(thresholds), rules.ALERTS, "threshold double, resets_at bigint", lambda s: (float(s[0]), None if s[1] is None else int(s[1])), tuple)
+    return _remembering(fresh, rules.KEYS, rules.next_alert(thresholds), rules.ALERTS, "threshold double, resets_at bigint",
+        lambda s: (float(s[0]), None if s[1] is None else int(s[1])), tuple)
 
 
 def next_project(state: tuple | None, row: dict) -> tuple[tuple | None, tuple | None]:

@@ -57,7 +57,8 @@ def test_scalar_rules(spark):
     assert one(S.csv_cell(F.lit('a,"b')))[0] == '"a,""b"' and one(S.dollars(F.lit(0), F.lit(3)))[0] == "" and one(S.dollars(F.lit(0), F.lit(0)))[0] == "0.000000"
     assert one(S.instant(F.lit(1785000000)))[0] == "2026-07-25T17:20:00Z" and one(S.week_slot(F.lit(1785715200)))[0] == 0
     assert one(S.percent_of(F.lit(0.0), F.lit(1.0)))[0] is None and one(S.percent_of(F.lit(1.0), F.lit(50.0)))[0] == 999.0
-    u = spark.createDataFrame([("claude-opus-4-8", 1000, 200, 4000, 800, 300), ("who", 1, 1, 1, 1, 1), (None, 1, 1, 1, 1, 1)], "model string, input long, output long, cache_read long, cache_5m long, cache_1h long")
+    u = spark.createDataFrame([("claude-opus-4-8", 1000, 200, 4000, 800, 300), ("who", 1, 1, 1, 1, 1), (None, 1, 1, 1, 1, 1)],
+        "model string, input long, output long, cache_read long, cache_5m long, cache_1h long")
     assert [None if r.usd is None else float(r.usd) for r in pricing.with_cost(u).collect()] == [0.02, None, None]  # (5000 + 5000 + 2000 + 5000 + 3000) / 10**6
 
 
@@ -76,7 +77,8 @@ def test_cumulative_totals(spark):
 
 def test_alert_state(spark):
     def fired(rows):
-        df = spark.createDataFrame([("p", "l", 300, i, i, float(p), r) for i, (p, r) in enumerate(rows)], "provider string, limit_id string, window_minutes long, seq long, at_s long, used_percent double, resets_at long")
+        df = spark.createDataFrame([("p", "l", 300, i, i, float(p), r) for i, (p, r) in enumerate(rows)],
+            "provider string, limit_id string, window_minutes long, seq long, at_s long, used_percent double, resets_at long")
         return [(r.seq, r.threshold) for r in alerts.replay(df).orderBy("seq").collect()]
 
     assert fired([(50, 1), (71, 1), (72, 1), (86, 1), (84, 1), (86, 1), (96, 1)]) == [(1, 70.0), (3, 85.0), (6, 95.0)]
@@ -103,7 +105,8 @@ def write(path, *records, end="\n"):
 
 
 def claude_row(i, out=10, **more):
-    return {"timestamp": "2026-07-28T15:00:00Z", "sessionId": "s1", "requestId": f"r{i}", "cwd": "/work/project", "message": {"id": f"m{i}", "model": "claude-opus-5", "usage": {"input_tokens": 2, "output_tokens": out, "cache_creation_input_tokens": 5}}} | more
+    return {"timestamp": "2026-07-28T15:00:00Z", "sessionId": "s1", "requestId": f"r{i}", "cwd": "/work/project",
+        "message": {"id": f"m{i}", "model": "claude-opus-5", "usage": {"input_tokens": 2, "output_tokens": out, "cache_creation_input_tokens": 5}}} | more
 
 
 def test_log_formats(spark, tmp_path):
@@ -118,13 +121,16 @@ def test_log_formats(spark, tmp_path):
     assert ingest.dedup_first_wins(r.usage).count() == 3
     assert [(x.window_minutes, x.used_percent) for x in r.limits.collect()] == [(10080, 95.0)]
     count = {"total_tokens": 120, "input_tokens": 100, "cached_input_tokens": 40, "output_tokens": 20, "reasoning_output_tokens": 5}
-    write(f"{root}/x/2026/07/28/rollout-1.jsonl", {"timestamp": "2026-07-28T15:00:00Z", "type": "session_meta", "payload": {"cwd": "/work/project"}}, {"timestamp": "2026-07-28T15:01:00Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": count, "last_token_usage": count}, "rate_limits": {"primary": {"used_percent": 12.5, "window_minutes": 299}, "secondary": None}}})
+    write(f"{root}/x/2026/07/28/rollout-1.jsonl", {"timestamp": "2026-07-28T15:00:00Z", "type": "session_meta", "payload": {"cwd": "/work/project"}},
+        {"timestamp": "2026-07-28T15:01:00Z", "type": "event_msg", "payload": {"type": "token_count",
+        "info": {"total_token_usage": count, "last_token_usage": count}, "rate_limits": {"primary": {"used_percent": 12.5, "window_minutes": 299}, "secondary": None}}})
     r = logs.read_provider(spark, f"{root}/x", "codex")
     u = ingest.attribute_sessions(r.usage, r.sessions).first()
     assert (u.input, u.cache_read, u.output, u.reasoning, u.project, u.usd) == (60, 40, 20, 5, "/work/project", None)
     assert [(x.limit_id, x.window_minutes) for x in r.limits.collect()] == [("codex", 299)]
     metric = {"totalNanoAiu": 250000000, "requests": {"cost": 2.0}, "usage": {"inputTokens": 900, "outputTokens": 40, "cacheReadTokens": 300, "cacheWriteTokens": 500}}
-    write(f"{root}/p/u1/events.jsonl", {"type": "session.shutdown", "id": "e", "timestamp": "2026-07-28T15:00:00Z", "data": {"modelMetrics": {"claude-haiku-4-5": metric}}}, {"type": "session.error", "timestamp": "2026-07-28T15:00:00Z", "data": {"errorCode": "quota_exceeded"}})
+    write(f"{root}/p/u1/events.jsonl", {"type": "session.shutdown", "id": "e", "timestamp": "2026-07-28T15:00:00Z",
+        "data": {"modelMetrics": {"claude-haiku-4-5": metric}}}, {"type": "session.error", "timestamp": "2026-07-28T15:00:00Z", "data": {"errorCode": "quota_exceeded"}})
     r = logs.read_provider(spark, f"{root}/p", "copilot-cli")
     u, x = r.usage.first(), r.limits.first()
     assert (u.session, u.input, u.cache_creation, float(u.usd), u.requests) == ("u1", 100, 500, 0.0025, 2.0) and x.resets_at == 1785542400

@@ -30,7 +30,8 @@ def at(seconds):
 
 
 def spent(i, ago, model="claude-opus-5", **usage):
-    return {"timestamp": at(ago), "sessionId": "s", "requestId": f"r{i}", "cwd": "/w/x", "message": {"id": f"m{i}", "model": model, "usage": {"input_tokens": 100_000, "output_tokens": 2_000} | usage}}
+    return {"timestamp": at(ago), "sessionId": "s", "requestId": f"r{i}", "cwd": "/w/x",
+        "message": {"id": f"m{i}", "model": model, "usage": {"input_tokens": 100_000, "output_tokens": 2_000} | usage}}
 
 
 @pytest.fixture
@@ -88,7 +89,8 @@ def test_settings(tmp_path, spark):
 
 def test_records_that_are_refused(spark, tmp_path):
     good = json.dumps(spent(1, 60))
-    bad = [good.replace("100000", "null"), good.replace("100000", "-1"), good.replace("100000", "1.5"), good.replace(at(60), "yesterday"), good.replace('"input_tokens"', '"output_tokens": 1, "input_tokens"')]
+    bad = [good.replace("100000", "null"), good.replace("100000", "-1"), good.replace("100000", "1.5"), good.replace(at(60), "yesterday"),
+        good.replace('"input_tokens"', '"output_tokens": 1, "input_tokens"')]
     put(f"{tmp_path}/p/a.jsonl", *bad, good, good.replace("m1", "m2")[:-9], end="")
     found = logs.read_provider(spark, str(tmp_path), "claude-code")
     assert found.usage.count() == 1 and found.errors.count() == len(bad)  # the last line is unfinished

@@ -17,7 +17,8 @@ def put(path, text):
 
 
 def usage_line(i):
-    return json.dumps({"timestamp": "2026-02-03T04:05:06Z", "sessionId": "s", "requestId": f"r{i}", "message": {"id": f"m{i}", "model": "claude-opus-5", "usage": {"input_tokens": 3, "output_tokens": i}}}) + "\n"
+    return json.dumps({"timestamp": "2026-02-03T04:05:06Z", "sessionId": "s", "requestId": f"r{i}",
+        "message": {"id": f"m{i}", "model": "claude-opus-5", "usage": {"input_tokens": 3, "output_tokens": i}}}) + "\n"
 
 
 class Stream:
@@ -91,7 +92,8 @@ def replayed(spark, tmp_path, name, make, batches):
     for k, batch in enumerate(batches):
         batch.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
         stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/{name}")
-        query = make(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation", f"{tmp_path}/{name}-cp").outputMode("append").trigger(availableNow=True).start()
+        query = make(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}-out").option("checkpointLocation",
+            f"{tmp_path}/{name}-cp").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination(240)
     return spark.read.parquet(f"{tmp_path}/{name}-out").orderBy("seq").collect() + rows
 
@@ -109,7 +111,8 @@ def test_running_totals_go_on_after_a_restart(spark, tmp_path):
 
 def test_alerts_and_episodes_are_announced_once(spark, tmp_path):
     def readings(*rows):
-        return spark.createDataFrame([("p", "l", 300, seq, seq, float(p), r) for seq, p, r in rows], "provider string, limit_id string, window_minutes long, seq long, at_s long, used_percent double, resets_at long")
+        return spark.createDataFrame([("p", "l", 300, seq, seq, float(p), r) for seq, p, r in rows],
+            "provider string, limit_id string, window_minutes long, seq long, at_s long, used_percent double, resets_at long")
 
     got = replayed(spark, tmp_path, "readings", state.alerts, [readings((1, 71, None), (2, 80, None)), readings((3, 72, None), (4, 86, None)), readings((5, 60, None), (6, 70, 9))])
     assert [(r.seq, r.threshold) for r in got] == [(1, 70.0), (4, 85.0), (6, 70.0)]
@@ -119,7 +122,8 @@ def test_alerts_and_episodes_are_announced_once(spark, tmp_path):
 
 def test_a_session_keeps_its_project(spark, tmp_path):
     schema = "provider string, session string, seq long, at_s long, project string, seen boolean"
-    parts = [[("p", "s", 1, 10, "/one", True), ("p", "s", 2, 5, None, False)], [("p", "s", 3, 8, "/old", True), ("p", "s", 4, 9, None, False), ("p", "s", 5, 9, "/own", False), ("p", "t", 6, 9, None, False)]]
+    parts = [[("p", "s", 1, 10, "/one", True), ("p", "s", 2, 5, None, False)],
+        [("p", "s", 3, 8, "/old", True), ("p", "s", 4, 9, None, False), ("p", "s", 5, 9, "/own", False), ("p", "t", 6, 9, None, False)]]
     make = lambda df: state.projects(df.where("not seen"), df.where("seen"))
     got = replayed(spark, tmp_path, "sessions", make, [spark.createDataFrame(p, schema) for p in parts])
     assert [(r.seq, r.project) for r in got] == [(2, "/one"), (4, "/one"), (5, "/own"), (6, None)]
@@ -127,7 +131,8 @@ def test_a_session_keeps_its_project(spark, tmp_path):
 
 def test_five_minute_sums_of_a_stream(spark, tmp_path):
     rows = [(0, "m", "r", 1), (10, "m", "r", 1), (400, None, None, 2), (401, None, None, 2)]
-    df = spark.createDataFrame(rows, "at_s long, message string, request string, input long").select(F.timestamp_seconds("at_s").alias("at"), F.lit("p").alias("provider"), "message", "request", "input", *(F.lit(0).cast("long").alias(c) for c in ("output", "cache_read", "cache_creation")))
+    df = spark.createDataFrame(rows, "at_s long, message string, request string, input long").select(F.timestamp_seconds("at_s").alias("at"),
+        F.lit("p").alias("provider"), "message", "request", "input", *(F.lit(0).cast("long").alias(c) for c in ("output", "cache_read", "cache_creation")))
     df.write.parquet(f"{tmp_path}/u")
     stream = pipeline.bucket_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/u"))
     query = stream.writeStream.format("memory").queryName("five").outputMode("complete").trigger(availableNow=True).start()
