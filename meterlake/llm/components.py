@@ -40,6 +40,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = stored(small_, f"components-{step}-b")
         discarded(now, lows, large, least_lows)
         # At rest when no node is both a root and a child, i.e. every edge goes straight to a root.
-        done = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        done = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u",
+            "left_semi").isEmpty() and after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

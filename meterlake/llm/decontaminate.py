@@ -182,7 +182,8 @@ def _hits(docs: DataFrame, block, window: int) -> DataFrame:
                 ends.append([e for _, e in spans])
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
+                    pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
                 names=[*(c for c in batch.schema.names if c != "text"), "n_words", "starts", "ends", "items"],
             )
 
@@ -233,19 +234,25 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    merged = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def join_spans(batches):
         for batch in batches:
             spans = [merge_spans(s, e) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([[s for s, _ in x] for x in spans], pa.list_(pa.int32())), pa.array([[e for _, e in x] for x in spans], pa.list_(pa.int32())), batch.column("items")], names=["doc_id", "n_words", "starts", "ends", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"),
+                pa.array([[s for s, _ in x] for x in spans], pa.list_(pa.int32())), pa.array([[e for _, e in x] for x in spans], pa.list_(pa.int32())),
+                batch.column("items")], names=["doc_id", "n_words", "starts", "ends", "items"])
 
-    return merged.select("doc_id", "n_words", "starts", "ends", ids).mapInArrow(join_spans, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, starts array<int>, ends array<int>, items array<string>")
+    return merged.select("doc_id", "n_words", "starts", "ends", ids).mapInArrow(join_spans,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, starts array<int>, ends array<int>, items array<string>")
 
 
 def digest(hits: DataFrame) -> DataFrame:
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words")))
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words")))
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -321,10 +328,12 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 with words as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, row_number() over () as r
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, row_number() over () as r
   from documents),
 items as (
-  select coalesce('i' || cast(item_id as varchar), '') as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  select coalesce('i' || cast(item_id as varchar), '') as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
   from benchmark where text is not null),
 windows as (
   select distinct item, least(len(w), 13) as k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as s

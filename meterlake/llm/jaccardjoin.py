@@ -226,7 +226,8 @@ def profiles(docs: DataFrame, common: np.ndarray, words: int = WORDS, num: int =
                     s1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                     s2 = np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                 prefix = pa.array([prefix_of(x, held.value, num).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array([len(x) for x in sets], pa.int32()), pa.array(s1), pa.array(s2), pa.array([bitmap(x) for x in sets], pa.binary()), prefix], names=["id", "n", "s1", "s2", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array([len(x) for x in sets], pa.int32()), pa.array(s1), pa.array(s2),
+                    pa.array([bitmap(x) for x in sets], pa.binary()), prefix], names=["id", "n", "s1", "s2", "bits", "prefix"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n int, s1 long, s2 long, bits binary, prefix array<long>")
 
@@ -294,7 +295,8 @@ def _open_pairs(opened: DataFrame, num: int, nearest: bool = False) -> DataFrame
     own = F.pmod(F.xxhash64("id"), F.col("split")).cast("int")
     dealt = opened.withColumn("split", split).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "bits")
-    groups = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "component", "n", "own", "bits")).alias("g"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    groups = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "component", "n", "own", "bits")).alias("g"), F.min("component").alias("c0"),
+        F.max("component").alias("c1")).where("c0 <> c1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -190,7 +190,8 @@ def identify(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
                 for lo, hi in slices(offsets, BATCH_BYTES):
                     pred[lo:hi], score[lo:hi] = score_batch(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], automata)
             pred[~letters], score[~letters] = len(automata), 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[pred], pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[pred], pa.string()), pa.array(score)],
+                names=["doc_id", "held_out", "lang_pred", "score"])
 
     return inputs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 

@@ -52,7 +52,8 @@ def positions(docs: DataFrame, window: int = WINDOW, words: int | None = None) -
     hashed = hashed.select("d", "t", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.xxhash64(F.lit(17), x)).alias("g"), *n_words)
 
     def position(w, fp, i, k):
-        return F.struct(F.lit(w).alias("w"), fp.alias("fp"), i.cast("int").alias("i"), k.cast("int").alias("k"), F.slice("h", i + 1, k + w - 1).alias("h"), F.slice("g", i + 1, k + w - 1).alias("g"))
+        return F.struct(F.lit(w).alias("w"), fp.alias("fp"), i.cast("int").alias("i"), k.cast("int").alias("k"), F.slice("h", i + 1, k + w - 1).alias("h"),
+            F.slice("g", i + 1, k + w - 1).alias("g"))
 
     def selected(i):
         part = F.slice("h", i + 1, window)

@@ -185,7 +185,8 @@ def _running(docs: DataFrame, keys: list[str], order: list, value: str, name: st
     return dealt.withColumn("before", inner).join(stored(above, f"mixing-{name}-above"), on).withColumn("before", F.col("before") + F.col("__a")).drop(own, "__a")
 
 
-def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS, places: bool = False) -> DataFrame:
+def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED,
+    block_docs: int = BLOCK_DOCS, places: bool = False) -> DataFrame:
     """Rows of docs, all columns, with `copies`, the times a document is taken; rows not taken go.
 
     places: with `places` too, for each copy its pass, block_order (its block's place in the pass) and
@@ -213,7 +214,8 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float
     taken = both.withColumn("copies", copies.cast("long")).where("copies > 0")
     out = [*(F.col("row").getField(c).alias(c) for c in columns), F.col("copies")]
     if places:
-        each = F.transform(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")), lambda k: F.struct(k.alias("pass"), *(x.alias(n) for x, n in zip(orders(k), ("block_order", "doc_order")))))
+        each = F.transform(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")),
+            lambda k: F.struct(k.alias("pass"), *(x.alias(n) for x, n in zip(orders(k), ("block_order", "doc_order")))))
         out.append(each.alias("places"))
     return taken.select(*out)
 

@@ -112,14 +112,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | No
     """The model from a bounded labelled sample; None without usable labels."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
     sample = hashed_sample(known.withColumn("h", F.xxhash64("doc_id")), "y", SAMPLE_PER_LABEL).select("doc_id", "y", "h")
-    texts = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.first("h").alias("h"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"),
+        F.first("h").alias("h"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_bytes(batch.column("text"))
             for a, b, counts in counted(data, offsets):
                 packed = pa.array([x.tobytes() for x in counts.astype(np.float32)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("doc_id")[a:b].cast(pa.string()), batch.column("y")[a:b].cast(pa.int32()), packed], names=["h", "id", "y", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("doc_id")[a:b].cast(pa.string()),
+                    batch.column("y")[a:b].cast(pa.int32()), packed], names=["h", "id", "y", "counts"])
 
     rows = sorted(texts.mapInArrow(features, "h long, id string, y int, counts binary").collect())
     if not rows:
@@ -170,7 +172,8 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = _scores(batch.column("text"), held.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
 
     return inputs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 

@@ -142,7 +142,8 @@ def entries(docs: DataFrame) -> DataFrame:
                 place = ((at + begin - offsets[lo:hi][row]) << 20) + reach
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in (head[at] ^ _SIGN, head[at + 8] ^ _SIGN, core, context)), pa.array(reach.astype(np.int32)), batch.column("d")[lo:hi].take(take), batch.column("t")[lo:hi].take(take), pa.array(place)],
+                    [*(pa.array(x.view(np.int64)) for x in (head[at] ^ _SIGN, head[at + 8] ^ _SIGN, core, context)), pa.array(reach.astype(np.int32)),
+                        batch.column("d")[lo:hi].take(take), batch.column("t")[lo:hi].take(take), pa.array(place)],
                     names=ORDER,
                 )
 
@@ -170,7 +171,8 @@ def _array(*parts: DataFrame) -> DataFrame:
             edge = np.zeros(rows.num_rows, bool)
             edge[0] |= began
             edge[-1] |= last
-            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ORDER), pa.array(same), pa.array(apart), pa.array(edge), pa.array(np.full(rows.num_rows, part, np.int32))], names=[*ORDER, "same", "apart", "edge", "part"])
+            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ORDER), pa.array(same), pa.array(apart), pa.array(edge),
+                pa.array(np.full(rows.num_rows, part, np.int32))], names=[*ORDER, "same", "apart", "edge", "part"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -236,7 +238,8 @@ def contexts(texts: DataFrame, apart: DataFrame) -> DataFrame:
                     some = at[k : k + CONTEXTS]
                     begin, end = (some >> 20) - ((some >> 10) & 1023), (some >> 20) + (some & 1023)
                     n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(d, n), pa.repeat(t, n), pa.array(some), pa.array([raw[b:e].to_pybytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())], names=["d", "t", "place", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(d, n), pa.repeat(t, n), pa.array(some),
+                        pa.array([raw[b:e].to_pybytes() for b, e in zip(begin.tolist(), end.tolist())], pa.binary())], names=["d", "t", "place", "s"])
 
     # Only texts that may have something wanted are shuffled; the hash table is of the wanted side.
     some = only_held(texts, membership(wanted, "d", "t"), "d", "t", once=True)
@@ -270,7 +273,8 @@ def cells_of(strings: DataFrame) -> DataFrame:
                 reach = [h(p - high, p - low + LENGTH) ^ own for h in hashes]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k)[lo:hi].take(take) for k in ("d", "t", "place")), *(pa.array(v.astype(np.int16)) for v in (x, low, high)), *(pa.array(h.view(np.int64)) for h in (*common, *reach))],
+                    [*(batch.column(k)[lo:hi].take(take) for k in ("d", "t", "place")), *(pa.array(v.astype(np.int16)) for v in (x, low, high)),
+                        *(pa.array(h.view(np.int64)) for h in (*common, *reach))],
                     names=["d", "t", "place", "x", "low", "high", "h1", "h2", "u1", "u2"],
                 )
 
@@ -294,7 +298,8 @@ def shifts_of(strings: DataFrame) -> DataFrame:
                 part = data[offsets[lo] : offsets[hi]]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k)[lo:hi].take(take) for k in ("d", "t", "place")), pa.array(x.astype(np.int16)), pa.array(y.astype(np.int16)), *(pa.array(RangeHash(part, k)(p - y, p - y + LENGTH).view(np.int64)) for k in (0, 1))],
+                    [*(batch.column(k)[lo:hi].take(take) for k in ("d", "t", "place")), pa.array(x.astype(np.int16)), pa.array(y.astype(np.int16)),
+                        *(pa.array(RangeHash(part, k)(p - y, p - y + LENGTH).view(np.int64)) for k in (0, 1))],
                     names=["d", "t", "place", "x", "y", "h1", "h2"],
                 )
 
@@ -345,7 +350,8 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 starts, ends = np.concatenate([s[plain], windows]), np.concatenate([e[plain], windows + LENGTH])
                 order = np.argsort(starts, kind="stable")
                 runs.append(merged(starts[order], ends[order]))
-            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array([[s for s, _ in r] for r in runs], pa.list_(pa.int32())), pa.array([[e for _, e in r] for r in runs], pa.list_(pa.int32()))], names=["d", "t", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), pa.array([[s for s, _ in r] for r in runs], pa.list_(pa.int32())),
+                pa.array([[e for _, e in r] for r in runs], pa.list_(pa.int32()))], names=["d", "t", "starts", "ends"])
 
     out = stored(spans.mapInArrow(expand, "d long, t long, starts array<int>, ends array<int>"), "suffix-spans")
     discarded(found, strings, cells, reaches, full, mixed, single, shifts, twice)
@@ -389,7 +395,8 @@ def cut(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 n_bytes.append(len(raw))
                 n_removed.append(len(raw) - len(kept[-1]))
                 n_spans.append(len(starts or ()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()),
+                pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     return plain.mapInArrow(run, schema).unionByName(some.mapInArrow(run, schema))

@@ -49,7 +49,8 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """(id, v): whole vectors as integers, rows that take part only."""
     x = F.col(vector_col)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("long")).alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad,
+        F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("long")).alias("v"))
 
 
 def _exact_dtype(most: int):
@@ -181,7 +182,8 @@ def _round(rows: DataFrame, block: list, dims: int, k: int) -> DataFrame:
         for lo in range(0, len(ids), CHUNK):
             part, n = best[lo : lo + CHUNK], counts[lo : lo + CHUNK]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[lo : lo + CHUNK], n)), pa.array(np.repeat(np.array(keys[lo : lo + CHUNK], np.int64), n)), pa.array(np.concatenate([i for i, _ in part])), pa.array(np.concatenate([s for _, s in part]))],
+                [pa.array(np.repeat(ids[lo : lo + CHUNK], n)), pa.array(np.repeat(np.array(keys[lo : lo + CHUNK], np.int64), n)),
+                    pa.array(np.concatenate([i for i, _ in part])), pa.array(np.concatenate([s for _, s in part]))],
                 names=["query_id", "query", "vec_id", "score"],
             )
 

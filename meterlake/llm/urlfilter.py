@@ -76,9 +76,12 @@ def _resolved(base: Column, target: Column) -> Column:
 def declared_edges(pages: DataFrame) -> DataFrame:
     """(a, b): nodes of pages and of the canonical links and meta redirects in their html."""
     tags = F.concat(F.regexp_extract_all("html", F.lit(r"(?is)(<link\b[^>]*>)"), 1), F.regexp_extract_all("html", F.lit(r"(?is)(<meta\b[^>]*>)"), 1))
-    quoted = lambda tag, name: F.coalesce(F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1), F.lit("")), F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*([^\s\"'>]+)", 1))
+    quoted = lambda tag, name: F.coalesce(F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*\"([^\"]*)\"", 1), F.lit("")),
+        F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1), F.lit("")), F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*([^\s\"'>]+)", 1))
     tag = F.col("tag")
-    target = F.when(tag.rlike(r"(?is)^<link\b") & F.lower(quoted(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)"), quoted(tag, "href")).when(tag.rlike(r"(?is)^<meta\b") & (F.lower(F.trim(quoted(tag, "http-equiv"))) == "refresh"), F.trim(F.translate(F.regexp_extract(quoted(tag, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1), "'\"", "")))
+    target = F.when(tag.rlike(r"(?is)^<link\b") & F.lower(quoted(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)"),
+        quoted(tag, "href")).when(tag.rlike(r"(?is)^<meta\b") & (F.lower(F.trim(quoted(tag, "http-equiv"))) == "refresh"),
+        F.trim(F.translate(F.regexp_extract(quoted(tag, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1), "'\"", "")))
     some = pages.select("url", "html").where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh"))
     found = some.select("url", F.explode(tags).alias("tag")).select("url", target.alias("target")).where("target is not null and target <> ''")
     return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("url"), F.col("target"))).alias("b")).where("a is not null and b is not null and a <> b")
@@ -98,7 +101,8 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> Data
     judged = judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("node", _node(F.col("url")))
     judged = judged.join(tainted.select("node", F.lit(True).alias("hit")), "node", "left")
     inherited = F.col("r").isNull() & F.coalesce("hit", F.lit(False))
-    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(inherited, "block").otherwise("allow")).alias("verdict"), inherited.alias("inherited"))
+    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"),
+        F.coalesce("r.verdict", F.when(inherited, "block").otherwise("allow")).alias("verdict"), inherited.alias("inherited"))
 
 
 def op1_urlfilter(spark, sf_dir: str) -> DataFrame:
@@ -134,7 +138,8 @@ node as (
   select a as url from edge union
   select lower(regexp_extract(url, '^(.*?://[^/?#]*)', 1)) || regexp_extract(regexp_replace(url, '#.*$', ''), '^.*?://[^/?#]*(.*)$', 1) from pages where contains(url, '://')),
 parts as (
-  select url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  select url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url,
+      '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
   from (select url from node union select url from pages where url is not null)),
 ruled as (
   select url, rule, verdict from parts join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
@@ -143,6 +148,7 @@ reach(url) as (
   select edge.a from edge join ruled on edge.a = ruled.url and verdict = 'block'
   union select edge.b from reach join edge on edge.a = reach.url)
 select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule,
-  coalesce(verdict, case when lower(regexp_extract(pages.url, '^(.*?://[^/?#]*)', 1)) || regexp_extract(regexp_replace(pages.url, '#.*$', ''), '^.*?://[^/?#]*(.*)$', 1) in (select url from reach) then 'block' else 'allow' end) as verdict
+  coalesce(verdict, case when lower(regexp_extract(pages.url, '^(.*?://[^/?#]*)', 1)) || regexp_extract(regexp_replace(pages.url, '#.*$', ''),
+      '^.*?://[^/?#]*(.*)$', 1) in (select url from reach) then 'block' else 'allow' end) as verdict
 from pages left join parts using (url) left join ruled using (url)
 """

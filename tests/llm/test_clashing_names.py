@@ -12,7 +12,8 @@ LINES = "one\ntwo\nthree"
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(1, LINES, "a"), (2, f"zero\n{LINES}", "a"), (3, None, None), (None, "", "b")]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as N_lines", "5 as n_removed", "7 as copies", "8 as places", "9 as spans", "1 as __d", "2 as row", "3 as b", "4 as `a.b`")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as N_lines", "5 as n_removed", "7 as copies",
+        "8 as places", "9 as spans", "1 as __d", "2 as row", "3 as b", "4 as `a.b`")
 
 
 def test_line_dedup(spark, docs):

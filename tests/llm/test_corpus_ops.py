@@ -46,7 +46,8 @@ def test_url_rules_and_aliases(spark):
     rows = [
         (1, "http://a.com/de/x", None), (2, "http://b.net/1#f", link.format("http://a.com/de/x")), (3, "http://c.net/2", refresh.format("http://b.net/1")),
         (4, "http://d.org/y", link.format("http://b.net/1")), (5, "https://Sub.EXAMPLE.org/en/12?q", None), (6, None, None), (7, "nothing", link.format("http://a.com/de/x")),
-        (8, "http://e.net/q/p?z", link.format("../r")), (9, "http://com/fr/", ""), (10, "http://xcom/fr/", None), (2, "http://b.net/1#f", link.format("http://a.com/de/x")), (11, "http://f.net", link.format("/k")),
+        (8, "http://e.net/q/p?z", link.format("../r")), (9, "http://com/fr/", ""), (10, "http://xcom/fr/", None),
+            (2, "http://b.net/1#f", link.format("http://a.com/de/x")), (11, "http://f.net", link.format("/k")),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as rule", "'y' as host")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge(pages).collect()}
@@ -170,7 +171,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 8)).astype(np.float32) * 0.3
     v[50:60] = v[50]
-    rows = [(i, x.tolist(), "r") for i, x in enumerate(v)] + [(1000, None, "r"), (1050, [1.0, None], "r"), (1100, [float("nan")] * 8, "r"), (1150, [], "r"), (None, [1.0] * 8, "r"), (1200, [0.5, 0.25], "r")]
+    rows = [(i, x.tolist(), "r") for i, x in enumerate(v)] + [(1000, None, "r"), (1050, [1.0, None], "r"), (1100, [float("nan")] * 8, "r"), (1150, [], "r"),
+        (None, [1.0] * 8, "r"), (1200, [0.5, 0.25], "r")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
     x = T.quantised(df)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in T.top_k(x, x.where("id % 50 = 0")).collect()}

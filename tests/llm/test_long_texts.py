@@ -68,4 +68,5 @@ def test_terms_of_pieces_add_up(monkeypatch):
     monkeypatch.setattr(Q, "BATCH_BYTES", 27)
     rows = np.concatenate([c for _, _, c in Q.counted(*flat(texts))])
     outline = Q.OUTLINES - 4  # but for outlines across the ends of pieces and a word like the one before
-    assert (rows[:, Q.OUTLINES - 4] == whole[:, Q.OUTLINES - 4]).all() and (rows[:, Q.OUTLINES :] == whole[:, Q.OUTLINES :]).all() and (rows[:, :outline].sum(axis=1) <= whole[:, :outline].sum(axis=1)).all()
+    assert (rows[:, Q.OUTLINES - 4] == whole[:, Q.OUTLINES - 4]).all() and (rows[:, Q.OUTLINES :] == whole[:, Q.OUTLINES :]).all() and (rows[:,
+        :outline].sum(axis=1) <= whole[:, :outline].sum(axis=1)).all()

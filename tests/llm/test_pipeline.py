@@ -19,7 +19,8 @@ def test_stages(spark, tmp_path):
     near = good[0].split()
     near[-1] = "changed"
     rows = [(i, t) for i, t in enumerate(good)] + [(100 + i, t) for i, t in enumerate(bad)]
-    rows += [(200, " ".join(near)), (201, item + " tail"), (202, text(rng, 600) + " " + item), (203, run + "\nfirst own"), (204, "own line\n" + run), (205, run), (206, None), (207, ""), (None, good[1])]
+    rows += [(200, " ".join(near)), (201, item + " tail"), (202, text(rng, 600) + " " + item), (203, run + "\nfirst own"), (204, "own line\n" + run),
+        (205, run), (206, None), (207, ""), (None, good[1])]
     docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, tokens int")
     d = str(tmp_path)
     docs.write.parquet(f"{d}/documents.parquet")

@@ -237,7 +237,8 @@ def test_votes_are_exact():
     counts = rng.poisson(0.2, (40, Q.TERMS)).astype(float)
     vectors = rng.standard_normal((30, 8))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    model = {"idf": np.ones(Q.TERMS, np.float32), "axes": rng.standard_normal((Q.TERMS, 8)).astype(np.float32), "vectors": vectors.astype(np.float32), "y": (rng.random(30) < 0.5).astype(np.float32)}
+    model = {"idf": np.ones(Q.TERMS, np.float32), "axes": rng.standard_normal((Q.TERMS, 8)).astype(np.float32), "vectors": vectors.astype(np.float32),
+        "y": (rng.random(30) < 0.5).astype(np.float32)}
     got = Q.vote(counts, model)
     for row, score in zip(counts, got):
         z = (Q.weigh(row[None], model["idf"]).astype(np.float64) @ model["axes"].astype(np.float64))[0]
