@@ -11,8 +11,10 @@ from meterlake import __main__ as cli
 from meterlake import settings
 from meterlake.engine import Engine, month_bounds
 from meterlake.functions import formats
-from meterlake.operators import fold, report, snapshot
+from meterlake.functions import scalars as S
+from meterlake.operators import fold, ingest, report, snapshot
 from meterlake.sources import logs
+from meterlake.streaming import pipeline
 
 NOW = 1_770_000_000  # 2026-02-02T02:40:00Z
 
@@ -125,3 +127,22 @@ def test_formats(spark):
     assert [one(formats.factor(F.lit(x))) for x in (12.4, 4.0, 4.25)] == ["12", "4", "4.2"] and one(formats.percent(F.lit(84.5))) == "85%"
     assert one(formats.relative(F.lit(100), 130)) == "just now" and one(formats.relative(F.lit(None).cast("long"), 5)) is None
     assert one(formats.alert_text(F.lit("codex"), F.lit("weekly"), F.lit(85.0), F.lit(7_200))) == "codex: weekly window at 85%, resets in 2h 00m"
+
+
+def test_state_is_bounded_by_the_newest(spark):
+    state = spark.createDataFrame([("p", f"s{i}", i) for i in range(5)] + [("q", "s0", 0)], "provider string, session string, at_s long")
+    assert {(r.provider, r.session) for r in ingest.evict_oldest(state, 2, ["session"]).collect()} == {("p", "s4"), ("p", "s3"), ("q", "s0")}
+    assert [spark.range(1).select(S.level(F.lit(x))).first()[0] for x in (59.9, 60.0, 85.0, 85.1)] == ["ample", "tight", "tight", "critical"]
+    rows = spark.createDataFrame([("p", 0, 0, 0.0), ("p", 1, 0, 0.0), ("p", 0, 0, 2.0)], "provider string, input long, output long, requests double")
+    rows = rows.selectExpr("*", "0L as cache_read", "0L as cache_creation", "0L as reasoning")
+    assert ingest.counted(rows).count() == 2
+
+
+def test_what_a_stream_has_stored_is_read_back(spark, home, tmp_path):
+    out = f"{tmp_path}/store"
+    pipeline.ingest(spark, f"{home}/.claude/projects", "claude-code", out, f"{tmp_path}/cp", {"once": True}).awaitTermination(240)
+    stored = Engine.from_store(spark, out, NOW)
+    read = Engine.open(spark, {"claude-code": f"{home}/.claude/projects"}, NOW)
+    spent_ = lambda e: [(r.start, r.input, r.usd) for r in e.series().orderBy("start").collect()]
+    assert spent_(stored) == spent_(read) and len(spent_(read)) > 0
+    assert stored.windows().count() == 1
