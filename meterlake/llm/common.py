@@ -22,14 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is set."""
+    """The folder all executors share: the session's, or where none is set the warehouse; in local mode one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="meterlake-")
-        spark.sparkContext.setCheckpointDir(found)
+    if found:
+        return found
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/meterlake"
+    found = tempfile.mkdtemp(prefix="meterlake-")
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
