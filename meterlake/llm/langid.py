@@ -13,7 +13,8 @@ phrase anew, in every language alike, and every byte is parsed.
 
 Defined results: null texts and texts without letters are `und` with score 0; equal costs go to the
 language whose name sorts first; rows with a null lang teach nothing; with no labelled row at all
-every document is `und`; repeated rows are judged alike; extra columns are not read.
+every document is `und`; rows with a null doc_id count as held out and so teach nothing; repeated rows are judged
+alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ SAMPLE_BYTES = 32_000
 #: Of a longer text a piece of this length is read, or of what SAMPLE_BYTES makes a row if rows are few.
 SAMPLE_TEXT = 8_000
 PIECE = 2_048
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: ASCII letters and all bytes of longer characters stay, anything else is a space.
 _KEEP = np.array([b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)

@@ -14,8 +14,8 @@ is SAMPLE rows x RANK numbers. The vote is exact over that sample.
 Defined results: null and empty texts have no terms and get the share of label 1 among the sample's
 most alike, here all equally distant, rows, i.e. the sample's prior; labels other than 0 and 1 and
 null labels teach nothing; a document labelled twice teaches its larger label; with no usable label
-every score is 0.5; ties between neighbours go to the earlier in the sample's order; repeated rows
-score alike; a text of more than BATCH_BYTES bytes is counted in pieces that end after a space, and an
+every score is 0.5; ties between neighbours go to the earlier in the sample's order; rows with a null doc_id count as held out and so
+teach nothing; repeated rows score alike; a text of more than BATCH_BYTES bytes is counted in pieces that end after a space, and an
 outline across such an end doesn't count; extra columns are not read.
 """
 
