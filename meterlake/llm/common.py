@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch between the JVM and Python, whatever the length of a row, where the session says nothing else.
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 #: Holds while a table is written: its shuffle files go when it is complete, since nothing reads them any more.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _default_bytes: dict[str, str] = {}

@@ -343,14 +343,18 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarra
     maps = reps.select("id", "n", "bits")
     # Large groups first: each class with the nearest of another component, round by round, until that links nothing.
     large = stored(rows.where(F.col("size") > LARGE), "jaccard-large")
+    first = links
     for _ in range(ROUNDS if not large.isEmpty() else 0):
         near = stored(_open_pairs(large.join(maps, "id"), num, nearest=True), "jaccard-near")
         new = verified(texts, near, words, num, is_word)
+        discarded(near)
         if new.isEmpty():
             break
         links = stored(links.unionByName(new), "jaccard-links")
         comp = connected(links)
-        rows, large = (stored(_placed(t, comp), "jaccard-rows") for t in (rows, large))
+        before, large = large, stored(_placed(large, comp), "jaccard-large")
+        discarded(before)
+    rows = rows if links is first else _placed(rows, comp)
     second = stored(_open_pairs(rows.join(maps, "id"), num), "jaccard-pairs")
     more = verified(texts, second, words, num, is_word)
     # A class is named by its smallest id, so the smallest id of a component is a class's name too.
