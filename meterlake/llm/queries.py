@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, filteraudit, jaccardjoin, langid, linededup, mixing, packing, quality, secrets, suffixdedup, topk, urlfilter
+from . import conversations, decontaminate, filteraudit, jaccardjoin, langid, linededup, mixing, packing, quality, secrets, suffixdedup, topk, urlfilter
 
 QUERIES = {
     "op1_urlfilter": urlfilter.op1_urlfilter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffixdedup": suffixdedup.op8_suffixdedup,
     "op9_jaccardjoin": jaccardjoin.op9_jaccardjoin,
     "op10_topk": topk.op10_topk,
+    "op11_conversations": conversations.op11_conversations,
     "op12_filteraudit": filteraudit.op12_filteraudit,
     "op13_packing": packing.op13_packing,
 }
