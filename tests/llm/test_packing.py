@@ -46,7 +46,7 @@ def checked(rows, docs, ids_of, capacity):
 
 def texts(n, seed=3):
     rng = random.Random(seed)
-    parts = ["a", "Bcd", "don't", "'s", "12", "3", ",", ".", "é", "ßtraße", "語彙", "😀", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x1c", " ", "​", "\x85", "<|endoftext|>", "!!", "᠎", "﻿", "\0"]
+    parts = ["a", "Bcd", "don't", "'s", "12", "3", ",", ".", "é", "ßtraße", "²", "x\u0301", "_", "Ж", "'", "語彙", "😀", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x1c", " ", "​", "\x85", "<|endoftext|>", "!!", "᠎", "﻿", "\0"]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(n)]
 
 
@@ -57,12 +57,17 @@ def test_ids_of_parts_are_ids_of_the_text(whole):
         assert b"".join(encode(text)) == want and b"".join(encode(text, 7)) == want
 
 
-def test_a_full_cache_changes_nothing(whole, monkeypatch):
-    monkeypatch.setattr(P, "CACHE", 20)
-    encode = P.Ids(PATH)
-    for text in texts(300, 4):
-        assert b"".join(encode(text)) == b"".join(i.to_bytes(4, "little") for i in whole(text))
-        assert len(encode.known) <= 20
+def test_every_kind_of_character(whole):
+    encode, rng = P.Ids(PATH), random.Random(9)
+    for code in [*range(0x3100), *(rng.randrange(0x3100, 0xD800) for _ in range(2000)), *(rng.randrange(0xE000, 0x110000) for _ in range(3000))]:
+        c = chr(code)
+        text = f"a{c}b1{c}2!{c}? {c}  {c}"
+        assert b"".join(encode(text)) == b"".join(i.to_bytes(4, "little") for i in whole(text)), hex(code)
+
+
+def test_very_much_white_space(whole):
+    for text in (" " * 1_200_000 + "a", "a" + "\n" * 1_200_000):
+        assert b"".join(P.Ids(PATH)(text)) == b"".join(i.to_bytes(4, "little") for i in whole(text))
 
 
 def test_classes():
