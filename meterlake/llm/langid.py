@@ -7,7 +7,8 @@ the fewest bits per byte (phrases * log2 of the positions a phrase can point at)
 Scale: one map over the documents, no shuffle. Fitting reads a bounded sample: for each language at
 most `SAMPLE_DOCS` labelled rows with the smallest hashes, whatever their length. Of a long text a
 piece at a hashed offset is read; SAMPLE_BYTES of normalised text are shared out evenly among the rows,
-and what short ones leave goes to longer ones. Only that text is broadcast. Documents are cut into pieces of PIECE bytes that are parsed side
+and what short ones leave goes to longer ones. So the driver gathers SAMPLE_DOCS * SAMPLE_TEXT characters at most for each language
+there is, of which SAMPLE_BYTES are broadcast. Texts that teach and texts that are judged are lower-cased alike, by Spark. Documents are cut into pieces of PIECE bytes that are parsed side
 by side as numpy vectors, so a very long text costs what many short ones cost; each piece starts a
 phrase anew, in every language alike, and every byte is parsed.
 
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels_col: str = "lang") -> dict[str, bytes]:
     room = F.greatest(F.lit(SAMPLE_TEXT), F.ceil(SAMPLE_BYTES / F.count("*").over(W.partitionBy("lang")))).cast("int")
     chosen = chosen.withColumn("room", room)
     at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.col("room") + 1, F.lit(1))).cast("int") + 1
-    pieces = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "h", "doc_id").agg(F.min(F.substring(F.col("text"), at, F.col("room"))).alias("text"))
+    pieces = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "h", "doc_id").agg(F.min(F.lower(F.substring(F.col("text"), at, F.col("room")))).alias("text"))
     rows = pieces.toPandas().sort_values(["lang", "h", "text"])
     return {lang: shared_out(part["text"], part["h"]) for lang, part in rows.groupby("lang")}
 
