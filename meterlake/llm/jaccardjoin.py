@@ -28,8 +28,9 @@ group's pairs are all written: pairs of one component are skipped, the rest must
 
 Defined results: null and empty texts, or texts without words, have no shingles and link with nothing;
 with fewer words than a shingle the whole sequence is one; rows that repeat an id are one document,
-which links where any of its texts does, and one row each in the result; a row with a null id is its own component,
-null; an empty table gives no rows; extra columns are not read.
+which links where any of its texts does, and one row each in the result, with the set size of the row's own text (if texts
+of an id differ, rows are numbered in a written table, joined by number, and components that share an id become one); a
+row with a null id is its own component, null; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -315,10 +316,44 @@ def _open_pairs(opened: DataFrame, num: int, nearest: bool = False) -> DataFrame
     return groups.select("i", "j", "g").mapInArrow(run, "a long, b long").distinct()
 
 
+def torn(docs: DataFrame) -> bool:
+    """Whether an id (not null) stands at different texts."""
+    twice = stored(docs.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "jaccard-repeated")
+    h = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))), F.crc32(F.coalesce("text", F.lit(""))))
+    found = not twice.isEmpty() and not docs.join(twice, "id", "left_semi").groupBy("id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").isEmpty()
+    discarded(twice)
+    return found
+
+
 def join(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarray = _IS_WORD) -> DataFrame:
     """id, n_shingles, component_id for docs (id long, text): a row per row of docs."""
-    texts = docs.where("id is not null").select("id", "text")
-    common = common_hashes(docs, words, num, is_word)
+    lost = profiles(docs.where("id is null"), np.zeros(0, np.uint64), words, num, is_word)
+    lost = lost.select("id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    named = docs.where("id is not null").select("id", "text")
+    if not torn(named):
+        return join_once(named, words, num, is_word).unionByName(lost)
+    rows = numbered(named)
+    found = join_once(rows.select(F.col("row").alias("id"), "text"), words, num, is_word).toDF("row", "n_shingles", "c")
+    found = stored(rows.select("row", "id").join(found, "row"), "jaccard-placed")
+    # Components of rows that share an id are one.
+    least = stored(found.groupBy("id").agg(F.min("c").alias("b"), F.max("c").alias("most")).where("b <> most").select("id", "b"), "jaccard-shared")
+    merged = connected(found.join(least, "id").select(F.col("c").alias("a"), "b").where("a <> b").distinct())
+    whole = stored(found.join(merged, F.col("c") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "c").alias("c")), "jaccard-merged")
+    names = stored(whole.groupBy("c").agg(F.min("id").alias("component_id")), "jaccard-names")
+    out = stored(whole.join(names, "c").select("id", "n_shingles", "component_id"), "jaccard-found")
+    discarded(rows, found, least, whole, names)
+    return out.unionByName(lost)
+
+
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a number of each row in a column `name`; a stored table, so that it stays a row's own."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "jaccard-numbered")
+
+
+def join_once(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarray = _IS_WORD) -> DataFrame:
+    """join() of docs without null ids where an id has one text; a stored table."""
+    texts = docs.select("id", "text")
+    common = common_hashes(texts, words, num, is_word)
     known = stored(profiles(texts, common, words, num, is_word), "jaccard-profiles")
     some = known.where("n > 0")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
@@ -363,8 +398,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.ndarra
     out = known.select("id", F.col("n").cast("long").alias("n_shingles")).join(final, F.col("id") == F.col("node"), "left")
     out = stored(out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "jaccard-found")
     discarded(known, classes, copies, reps, anchors, least, stars, links, groups, second, more)
-    lost = profiles(docs.where("id is null"), common, words, num, is_word).select("id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lost)
+    return out
 
 
 def _placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
