@@ -35,10 +35,22 @@ def once(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; null ids stay."""
-    found = jaccardjoin.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), NEAR_WORDS, NEAR_NUM)
-    copies = stored(found.where("component_id < id").select(F.col("id").alias("doc_id")).distinct(), "pipeline-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The document with the smallest id of each group of near duplicates; null ids stay.
+
+    Where ids repeat, each row is a document of its own: one row of a group stays, the smallest by id, then by its text's hash.
+    """
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        found = jaccardjoin.join(named.select(F.col("doc_id").cast("long").alias("id"), "text"), NEAR_WORDS, NEAR_NUM)
+        copies = stored(found.where("component_id < id").select(F.col("id").alias("doc_id")).distinct(), "pipeline-copies")
+        return docs.join(copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = free(docs, "row")
+    rows = jaccardjoin.numbered(named, row)
+    found = jaccardjoin.join_once(rows.select(F.col(row).alias("id"), "text"), NEAR_WORDS, NEAR_NUM).select(F.col("id").alias("k"), F.col("component_id").alias("g"))
+    order = F.struct(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col(row))
+    first = stored(rows.join(found, F.col(row) == F.col("k")).groupBy("g").agg(F.min(order).alias("o")).select(F.col(f"o.{row}").alias("k")), "pipeline-first")
+    kept = rows.join(first, F.col(row) == F.col("k"), "left_semi").drop(row)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
