@@ -42,7 +42,7 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> int:
     roots = logs.discovered(args.home)
     if args.command == "list":
         for key, root in roots.items():
-            print(f"{key}\t{logs.access(spark, root)}\t{root}", file=out)
+            print(f"{key}\t{logs.access(root)}\t{root[0]}", file=out)
         return EXIT_CODES["ok"]
     if args.command == "debug" or args.provider:
         roots = {args.provider: roots[args.provider]}
@@ -51,8 +51,9 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> int:
         engine = engine.set_plan(args.provider, args.plan) if args.plan else engine
         for r in engine.windows().orderBy("window_minutes").collect():
             print(f"{r.limit_id}\t{r.window_minutes}\t{r.used_percent}\t{r.confidence}\t{r.resets_at}\t{r.projected_percent}", file=out)
-        for r in engine.records.errors.orderBy("path", "seq").limit(3).collect():
+        for r in engine.store.errors().orderBy("path", "seq").limit(3).collect():
             print(r.message, file=sys.stderr)
+        engine.close()
         return EXIT_CODES["ok"]
     if args.csv:
         # Rows are written as they come, sorted by Spark; the cells are escaped already.
@@ -61,7 +62,9 @@ def run(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> int:
             print(",".join(r), file=out)
     else:
         print(engine.json(), file=out)
-    return engine.exit_code()
+    code = engine.exit_code()
+    engine.close()
+    return code
 
 
 def main() -> None:

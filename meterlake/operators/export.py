@@ -40,13 +40,41 @@ def window_objects(windows_: DataFrame, now: int) -> DataFrame:
     return windows_.groupBy("provider").agg(F.array_sort(F.collect_list(one)).alias("windows"))
 
 
-def provider_objects(providers: DataFrame, windows_: DataFrame, now: int) -> DataFrame:
-    """provider, json: the snapshot of a provider."""
-    none = F.array().cast(window_objects(windows_, now).schema["windows"].dataType)
-    both = providers.drop("windows").join(window_objects(windows_, now), "provider", "left").withColumn("windows", F.coalesce("windows", none))
+def series_objects(series: DataFrame) -> DataFrame:
+    """provider, series: an array of buckets in order of their start; a snapshot's series is trimmed, which bounds it."""
+    one = F.struct(
+        F.col("start").alias("start"), _tokens().alias("tokens"), F.col("requests").cast("decimal(18,6)").alias("requests"),
+        F.col("usd").cast("decimal(38,6)").alias("costUsd"), F.col("unpriced").alias("unpricedTokens"),
+    )
+    return series.groupBy("provider").agg(F.array_sort(F.collect_list(one)).alias("series"))
+
+
+def pace_objects(windows_: DataFrame) -> DataFrame:
+    """provider, pace: the forecasts of its windows that have one, in order of limit and length."""
+    one = F.struct(
+        F.col("limit_id").alias("limitId"), F.col("window_minutes").alias("windowMinutes"), F.col("projected_percent").cast("decimal(9,3)").alias("projectedPercent"), "risk",
+        _instant("exhausted_at").alias("exhaustedAt"),
+    )
+    return windows_.where("projected_percent is not null").groupBy("provider").agg(F.array_sort(F.collect_list(one)).alias("pace"))
+
+
+def _burst() -> Column:
+    b = F.col("burst")
+    cost = F.struct(b["usd"].cast("decimal(38,6)").alias("usd"), b["unpriced"].alias("unpricedTokens"))
+    return F.when(b.isNotNull(), F.struct(instant(b["since"]).alias("since"), b["tokens"].alias("tokens"), cost.alias("cost"), b["factor"].cast("decimal(9,3)").alias("factor")))
+
+
+def provider_objects(providers: DataFrame, windows_: DataFrame, series: DataFrame, now: int) -> DataFrame:
+    """provider, json: the snapshot of a provider.
+
+    providers has a column burst; windows_ their forecasts (with_pace); series is trimmed to what is shown.
+    """
+    both = providers.drop("windows")
+    for name, part in (("windows", window_objects(windows_, now)), ("series", series_objects(series)), ("pace", pace_objects(windows_))):
+        both = both.join(part, "provider", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
     whole = F.struct(
-        F.col("provider").alias("id"), "installed", "windows", _tokens().alias("today"), _cost().alias("todayCost"),
-        _instant("last_activity").alias("lastActivity"), "unavailable",
+        F.col("provider").alias("id"), "installed", "windows", _tokens().alias("today"), _cost().alias("todayCost"), "series", "pace",
+        _instant("last_activity").alias("lastActivity"), "unavailable", F.col("read_error").alias("readError"), _burst().alias("burst"),
     )
     return both.select("provider", F.to_json(whole, _NULLS).alias("json"))
 

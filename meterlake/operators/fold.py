@@ -19,8 +19,9 @@ def measures(requests: bool = True) -> list[Column]:
     return [*out, F.coalesce(F.sum("usd"), F.lit(0)).cast("decimal(38,11)").alias("usd"), F.coalesce(F.sum(F.when(F.col("usd").isNull(), total())), F.lit(0)).cast("long").alias("unpriced")]
 
 
-def buckets(usage: DataFrame) -> DataFrame:
-    return usage.groupBy("provider", floor_to(F.col("at_s"), BUCKET_SECONDS).alias("start")).agg(*measures())
+def buckets(usage: DataFrame, *more: Column) -> DataFrame:
+    """The five-minute series, with `more` aggregates of a bucket's rows."""
+    return usage.groupBy("provider", floor_to(F.col("at_s"), BUCKET_SECONDS).alias("start")).agg(*measures(), *more)
 
 
 def in_range(series: DataFrame, begin: int, end: int, col: str = "start") -> DataFrame:

@@ -104,21 +104,19 @@ def ranked_labels(shares: DataFrame) -> DataFrame:
     return shares.orderBy("provider", "dimension", value.desc(), F.desc("tokens"), F.asc_nulls_first("label"))
 
 
-def joined_errors(errors: DataFrame, shown: int = 3) -> DataFrame:
-    """message, hidden: the first message of each of the first `shown` paths as one text, and how many paths more."""
-    first = errors.groupBy("path").agg(F.min_by("message", "seq").alias("message"))
-    total_ = first.agg(F.count("*").alias("n"))
-    text = first.orderBy("path").limit(shown).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "message"))), lambda x: x["message"]), " | ").alias("message"))
-    return text.crossJoin(total_).where("n > 0").select("message", F.greatest(F.col("n") - shown, F.lit(0)).alias("hidden"))
-
-
-def read_counters(lines: DataFrame, usage: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row: files, lines, bytes read, records accepted, repeats skipped, lines refused."""
-    read = lines.agg(F.countDistinct("path").alias("files"), F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes"))
-    keyed = F.col("message").isNotNull() & F.col("request").isNotNull()
-    key = F.when(keyed, F.struct("provider", "message", "request"))
-    kept = usage.agg(F.count("*").alias("records"), (F.count(key) - F.countDistinct(key)).alias("duplicates_skipped"))
-    return read.crossJoin(kept).crossJoin(errors.agg(F.count("*").alias("parse_errors")))
+def provider_errors(errors: DataFrame, cap: int, shown: int = 3) -> DataFrame:
+    """provider, read_error: the first message of each of the first `shown` paths, and how many paths more have one.
+
+    Of the paths only the `cap` whose errors came first can be shown, so no list grows beyond that.
+    """
+    first = errors.groupBy("provider", "path").agg(F.min_by("message", "seq").alias("message"), F.min("seq").alias("seq"))
+    n = first.groupBy("provider").agg(F.count("*").alias("n"))
+    kept = first.withColumn("k", F.row_number().over(W.partitionBy("provider").orderBy("seq", "path"))).where(F.col("k") <= cap)
+    texts = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("path", "message"))), 1, shown), lambda x: x["message"])
+    both = kept.groupBy("provider").agg(texts.alias("texts")).join(n, "provider")
+    hidden = F.col("n") - F.size("texts")
+    more = F.when(hidden > 0, F.array(F.concat(hidden.cast("string"), F.lit(" more log files with errors")))).otherwise(F.array().cast("array<string>"))
+    return both.select("provider", F.array_join(F.concat("texts", more), " | ").alias("read_error"))
 
 
 def since(before: DataFrame, now: DataFrame, counter: str, *keys: str) -> DataFrame:

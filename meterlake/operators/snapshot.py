@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import total, window_kind
-from . import burst, fold, pace, windows
+from . import fold, pace, windows
 
 DAY = 86_400
 #: How a provider's missing windows are filled: from rolling spend, from the month's spend, or not at all.
@@ -48,25 +48,26 @@ def trimmed(series: DataFrame, windows_: DataFrame, now: int) -> DataFrame:
     return both.where(F.col("start") >= F.lit(now) - F.greatest(F.coalesce("span", F.lit(DAY)), F.lit(DAY))).drop("span")
 
 
-def providers(usage: DataFrame, series: DataFrame, windows_: DataFrame, known: DataFrame, now: int) -> DataFrame:
-    """A row per provider of `known` (provider, installed): today's spend, last activity, and why there is no reading, if so.
+def providers(series: DataFrame, windows_: DataFrame, known: DataFrame, now: int, errors: DataFrame | None = None) -> DataFrame:
+    """A row per provider of `known` (provider, installed, maybe closed): today's spend, last activity, and why there is no reading, if so.
 
+    series has last_at, a bucket's newest record. closed: why the logs can't be read. errors: provider, read_error.
     awaiting_setup: installed, spending today, but never told a limit.
     """
+    known = known if "closed" in known.columns else known.withColumn("closed", F.lit(None).cast("string"))
     today = fold.in_range(series, now - DAY, now).groupBy("provider").agg(*(F.sum(c).alias(c) for c in (*fold.TOKENS, "usd", "unpriced")))
-    last = usage.groupBy("provider").agg(F.max("at_s").alias("last_activity"))
+    last = series.groupBy("provider").agg(F.max("last_at").alias("last_activity"))
     count = windows_.groupBy("provider").agg(F.count("*").alias("windows"))
     both = known.join(today, "provider", "left").join(last, "provider", "left").join(count, "provider", "left")
-    both = both.select("provider", "installed", *(F.coalesce(c, F.lit(0)).alias(c) for c in (*fold.TOKENS, "usd", "unpriced", "windows")), "last_activity")
-    why = F.when(~F.col("installed"), "not-installed").when(F.col("windows") == 0, "never-reported")
-    both = both.withColumn("unavailable", why).withColumn("reporting", F.col("installed"))
+    both = both.join(errors, "provider", "left") if errors is not None else both.withColumn("read_error", F.lit(None).cast("string"))
+    both = both.select("provider", "installed", "closed", *(F.coalesce(c, F.lit(0)).alias(c) for c in (*fold.TOKENS, "usd", "unpriced", "windows")), "last_activity", "read_error")
+    nothing = (F.col("windows") == 0) & F.col("last_activity").isNull()
+    why = F.when(~F.col("installed"), "not-installed").when(nothing & F.col("closed").isNotNull(), F.col("closed"))
+    why = why.when(nothing & F.col("read_error").isNotNull(), "read-error").when(F.col("windows") == 0, "never-reported")
+    both = both.withColumn("unavailable", why).withColumn("reporting", F.col("installed")).drop("closed")
     return both.withColumn("awaiting_setup", F.coalesce(F.col("unavailable") == "never-reported", F.lit(False)) & (total() > 0))
 
 
-def bursts(breakdown_: DataFrame, now: int) -> DataFrame:
-    return burst.detect(breakdown_, now)
-
-
 def ranked(windows_: DataFrame) -> DataFrame:
     """Windows of each provider in order of their length."""
     return windows_.withColumn("place", F.row_number().over(W.partitionBy("provider").orderBy("window_minutes", "limit_id")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import alerts, burst, export, fold, ingest, pace, pricing, report, snapshot, windows
 from ..sources import adapters
+from ..sources.store import ERROR_PATHS
 
 #: The instant all registered queries are asked at: 2024-01-31T00:00:00Z.
 NOW = 1_706_659_200
@@ -501,9 +502,10 @@ def _known(spark):
 
 
 def _snapshot_providers(spark, d):
-    # Only one provider has windows here, so the others are without a reading.
-    win = windows.measured(fold.latest_limits(adapters.limits(spark, d).where("provider = 'codex'")), NOW)
-    return snapshot.providers(_usage(spark, d), _series(spark, d), win, _known(spark), NOW), win
+    # One provider has no windows here, so it is without a reading.
+    win = windows.measured(fold.latest_limits(adapters.limits(spark, d).where("provider <> 'copilot-cli'")), NOW)
+    series = fold.buckets(_usage(spark, d), F.max("at_s").alias("last_at"))
+    return snapshot.providers(series, win, _known(spark), NOW), win
 
 
 _STAND = f"""
@@ -512,7 +514,7 @@ _STAND = f"""
       cast(sum(cache_creation) as bigint) as cache_creation,
     cast(sum(usd) as decimal(38, 11)) as usd, cast(sum(unpriced) as bigint) as unpriced from bucket where start >= {NOW - DAY} and start < {NOW} group by all),
 act as (select provider, max(at_s) as last_activity from ok group by all),
-cnt as (select provider, cast(count(*) as bigint) as windows from latest where provider = 'codex' group by all),
+cnt as (select provider, cast(count(*) as bigint) as windows from latest where provider <> 'copilot-cli' group by all),
 known as (select * from (values ('claude-code', true), ('codex', true), ('copilot-cli', true), ('other-tool', false)) t(provider, installed)),
 stand as (
   select provider, installed, coalesce(input, 0) as input, coalesce(output, 0) as output, coalesce(cache_read, 0) as cache_read, coalesce(cache_creation, 0) as cache_creation,
@@ -525,28 +527,56 @@ stand as (
 @query(SQL + _STAND + f"""select provider, installed, input, output, cache_read, cache_creation, {_D.format('usd')} as usd, unpriced, windows, last_activity, unavailable,
   installed as reporting, coalesce(unavailable = 'never-reported', false) and input + output + cache_read + cache_creation > 0 as awaiting_setup from stand""")
 def snapshot_providers(spark, d):
-    return _shown(_snapshot_providers(spark, d)[0].drop("reasoning"))
+    return _shown(_snapshot_providers(spark, d)[0].drop("reasoning", "read_error"))
 
 
 _ISO = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 _QUOTED = "coalesce('\"' || {0} || '\"', 'null')"
 
 
+_BUCKET_JSON = """'{{"start":' || start || ',"tokens":{{"input":' || input || ',"output":' || output || ',"cacheRead":' || cache_read || ',"cacheCreation":' || cache_creation
+    || ',"reasoning":0}},"requests":0.000000,"costUsd":' || cast(cast(usd as decimal(38, 6)) as varchar) || ',"unpricedTokens":' || unpriced || '}}'""".format()
+
+
 @query(SQL + _MEASURED + _STAND + f""", obj as (
   select provider, '[' || string_agg('{{"windowMinutes":' || window_minutes || ',"limitId":"' || limit_id || '","kind":"' || kind || '","usedPercent":' ||
       coalesce(cast(cast(used_percent as decimal(9, 3)) as varchar), 'null')
     || ',"resetsAt":' || {_QUOTED.format(_ISO.format('resets_at'))} || ',"confidence":{{"level":"' || confidence || '","reportedAt":' || {_QUOTED.format(_ISO.format('reported_at'))}
     || ',"basis":null,"ageSeconds":' || case when confidence = 'stale' then cast(greatest({NOW} - reported_at, 0) as varchar) else 'null' end || '}}}}', ','
         order by window_minutes, limit_id) || ']' as windows
-  from meas where provider = 'codex' group by provider)
+  from meas where provider <> 'copilot-cli' group by provider),
+span as (select provider, greatest(max(window_minutes) * 60, {DAY}) as span from latest where provider <> 'copilot-cli' group by provider),
+ser as (
+  select provider, '[' || string_agg({_BUCKET_JSON}, ',' order by start) || ']' as series from bucket left join span using (provider)
+  where start >= {NOW} - coalesce(span, {DAY}) group by provider),
+fc as ({ORACLES['pace_forecast']}),
+pac as (
+  select provider, '[' || string_agg('{{"limitId":"' || limit_id || '","windowMinutes":' || window_minutes || ',"projectedPercent":' || cast(cast(projected_percent as decimal(9, 3)) as varchar)
+    || ',"risk":"' || risk || '","exhaustedAt":' || {_QUOTED.format(_ISO.format('exhausted_at'))} || '}}', ',' order by limit_id, window_minutes) || ']' as pace
+  from fc where provider <> 'copilot-cli' group by provider),
+bur as (
+  select provider, '{{"since":' || {_QUOTED.format(_ISO.format('since'))} || ',"tokens":' || tokens || ',"cost":{{"usd":' || cast(cast(usd as decimal(38, 6)) as varchar) || ',"unpricedTokens":'
+    || unpriced || '}},"factor":' || cast(cast(factor as decimal(9, 3)) as varchar) || '}}' as burst from ({ORACLES['burst_detect']})),
+err as (select provider, coalesce(model, '-') as path, min(seq) as seq, count(*) over (partition by provider) as n from ok where usd is null group by provider, model),
+told as (
+  select provider, string_agg('no price for ' || path, ' | ' order by path) || case when max(n) > 3 then ' | ' || (max(n) - 3) || ' more log files with errors' else '' end as read_error
+  from (select *, row_number() over (partition by provider order by path) as k from err) where k <= 3 group by provider)
 select provider, '{{"id":"' || provider || '","installed":' || installed || ',"windows":' || coalesce(obj.windows, '[]') || ',"today":{{"input":' || input ||
     ',"output":' || output || ',"cacheRead":' || cache_read
   || ',"cacheCreation":' || cache_creation || ',"reasoning":0}},"todayCost":{{"usd":' || cast(cast(usd as decimal(38, 6)) as varchar) || ',"unpricedTokens":' ||
-      unpriced || '}},"lastActivity":' || {_QUOTED.format(_ISO.format('last_activity'))}
-  || ',"unavailable":' || {_QUOTED.format('unavailable')} || '}}' as json from stand left join obj using (provider)""")
+      unpriced || '}},"series":' || coalesce(series, '[]') || ',"pace":' || coalesce(pace, '[]') || ',"lastActivity":' || {_QUOTED.format(_ISO.format('last_activity'))}
+  || ',"unavailable":' || {_QUOTED.format('unavailable')} || ',"readError":' || {_QUOTED.format('read_error')} || ',"burst":' || coalesce(burst, 'null') || '}}' as json
+from stand left join obj using (provider) left join ser using (provider) left join pac using (provider) left join bur using (provider) left join told using (provider)""")
 def export_json(spark, d):
-    providers, win = _snapshot_providers(spark, d)
-    return export.provider_objects(providers, win, NOW)
+    """The snapshot objects, with forecasts as of the last reading, a burst of the hour before last, and models without a price as what couldn't be read."""
+    state, win = _snapshot_providers(spark, d)
+    used = _usage(spark, d)
+    model = F.coalesce("model", F.lit("-"))
+    errors = used.where("usd is null").select("provider", model.alias("path"), "seq", F.concat(F.lit("no price for "), model).alias("message"))
+    state = state.drop("read_error").join(report.provider_errors(errors, ERROR_PATHS), "provider", "left")
+    bursts = burst_detect(spark, d).select("provider", F.struct("since", "tokens", "usd", "unpriced", "factor").alias("burst"))
+    win = snapshot.with_pace(win, pace_forecast(spark, d))
+    return export.provider_objects(state.join(bursts, "provider", "left"), win, snapshot.trimmed(fold.buckets(used), win, NOW), NOW)
 
 
 @query(SQL + f""", spans as (select 'claude-code' as provider, 7 * {DAY} as span union all select 'codex', {DAY})

@@ -1,40 +1,37 @@
-"""Session logs: batch lines with their place of arrival, and the three log formats as DataFrames.
+"""Session logs: the three log formats as DataFrames of records.
 
-Lines are read once; a marker filter stands before the JSON parse, schemas are explicit and pruned,
-and a completed line that can't be parsed is a row of `errors`, never a reason to drop its neighbours.
+A marker filter stands before the JSON parse, schemas are explicit and pruned, and a finished line that
+can't be read or parsed is a row of `errors`, never a reason to drop its neighbours. Decoding (lines to
+structs) and reading the structs are apart, so whoever needs several kinds of records decodes once and keeps that.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.pricing import with_cost
+from ..operators.snapshot import ESTIMATES
+from ..operators.windows import DEFAULT_LIMIT, PLANS
+from . import tail
 
 TOKENS = ("input", "output", "cache_read", "cache_creation", "reasoning")
 
 
-#: Bits of seq for a line's place in its partition, and for its block of MB in its file.
-ROW_BITS, BLOCK_BITS = 28, 13
+def lines(spark: SparkSession, key: str, roots: str | list[str], tail_bytes: int = 0, least_modified: int | None = None) -> DataFrame:
+    """path, seq, line, problem, modified of a provider's finished log lines: newest file first, then path, then line.
 
-
-def read_lines(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
-    """path, seq, line of closed log files, given as (path, modification time).
-
-    seq reproduces a cold start's order of arrival: newest file first, then path, then line. Files are
-    split like any text; a line's place is its file's rank, its block's and its own in the partition that reads it.
+    tail_bytes: only the lines of so many bytes at the end of each file. least_modified: only files changed since then.
     """
-    ranked = [(p, k) for k, (p, _) in enumerate(sorted(files, key=lambda x: (-x[1], x[0])))]
-    ranks = spark.createDataFrame(ranked, "path string, rank bigint")
-    place = (F.shiftright(F.col("_metadata.file_block_start"), 20), F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1))
-    rows = spark.read.option("lineSep", "\n").text([p for p, _ in files]).select(F.col("_metadata.file_path").alias("path"), place[0].alias("block"),
-        place[1].alias("row"), F.regexp_replace("value", "\r$", "").alias("line"))
-    seq = F.shiftleft("rank", ROW_BITS + BLOCK_BITS) + F.shiftleft("block", ROW_BITS) + F.col("row")
-    return rows.where(F.length("line") > 0).join(ranks, "path").select("path", seq.alias("seq"), "line")
+    tail.register(spark)
+    source = spark.read.format(tail.LogSource.name()).option("places", places(key, roots))
+    source = source.option("tailBytes", tail_bytes).load()
+    source = source if least_modified is None else source.where(F.col("modified") >= least_modified)
+    return source.select("path", F.col("place").alias("seq"), "line", "problem", "modified")
 
 
 def file_stem(path: Column) -> Column:
@@ -53,27 +50,34 @@ def _at(text: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(text))
 
 
-def _parsed(lines: DataFrame, schema: str, markers: tuple[str, ...], counters: tuple[str, ...] = (), times: tuple[str, ...] = (), more: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows with struct r, errors): lines without a marker are neither.
+def _decoded(lines: DataFrame, schema: str, markers: tuple[str, ...], counters: tuple[str, ...] = (), times: tuple[str, ...] = (), more: Column | None = None) -> DataFrame:
+    """path, seq, r (the parsed struct), problem, and offset if it is there: a row for each line that has a marker or couldn't be read.
 
     A line is refused whole if it is no JSON, repeats a key, has a counter that is null, negative or
-    no whole number, or a time that can't be read. The last line of a file may be unfinished and is no error.
+    no whole number, or a time that can't be read.
     """
     hit = F.lit(False)
     for marker in markers:
         hit = hit | F.col("line").contains(marker)
-    rows = lines.where(hit).withColumn("r", F.from_json("line", schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).withColumn("v", F.try_parse_json("line"))
+    unread = F.col("problem").isNotNull() if "problem" in lines.columns else F.lit(False)
+    rows = lines.where(hit | unread).withColumn("r", F.from_json("line", schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).withColumn("v", F.try_parse_json("line"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col("v").isNull()
     for c in counters:
         bad = bad | F.coalesce(F.is_variant_null(F.try_variant_get("v", f"$.{c}", "variant")), F.lit(False)) | F.coalesce(F.col(f"r.{c}") < 0, F.lit(False))
     for c in times:
         bad = bad | (F.col(f"r.{c}").isNotNull() & _at(F.col(f"r.{c}")).isNull())
     bad = bad | F.coalesce(more, F.lit(False)) if more is not None else bad
-    rows = rows.withColumn("bad", bad).drop("v")
-    refused = rows.where("bad").select("path", "seq")
-    ends = lines.join(F.broadcast(refused.select("path").distinct()), "path").groupBy("path").agg(F.max("seq").alias("end"))
-    errors = refused.join(ends, "path").where(F.col("seq") < F.col("end")).select("path", "seq", F.concat(F.lit("malformed record in "), F.col("path")).alias("message"))
-    return rows.where(~F.col("bad")).drop("bad"), errors
+    why = F.when(unread, F.col("problem") if "problem" in lines.columns else F.lit("")).when(bad, "malformed record")
+    return rows.select("path", "seq", "r", why.alias("problem"), *(c for c in ("offset",) if c in lines.columns))
+
+
+def _sound(decoded: DataFrame) -> DataFrame:
+    return decoded.where("problem is null").select("path", "seq", "r")
+
+
+def _errors(decoded: DataFrame) -> DataFrame:
+    told = F.col("problem").isNotNull() & ~F.col("problem").isin(*tail.EVENTS)
+    return decoded.where(told).select("path", "seq", F.concat("problem", F.lit(" in "), "path").alias("message"))
 
 
 def _count(c: str) -> Column:
@@ -99,14 +103,20 @@ LIMITS = ["provider", "path", "seq", "limit_id", "observed_at", "window_minutes"
 SESSIONS = ["provider", "path", "seq", "at_s", "session", "project"]
 
 
-def claude_code(lines: DataFrame) -> Records:
+def claude_code_lines(lines: DataFrame) -> DataFrame:
     schema = (
         "type STRING, timestamp STRING, at STRING, requestId STRING, sessionId STRING, cwd STRING, message STRUCT<id:STRING, model:STRING, usage:STRUCT<input_tokens:BIGINT, output_tokens:BIGINT, cache_read_input_tokens:BIGINT,"
         " cache_creation_input_tokens:BIGINT, cache_creation:STRUCT<ephemeral_5m_input_tokens:BIGINT, ephemeral_1h_input_tokens:BIGINT>>>, rate_limits STRUCT<five_hour:STRUCT<used_percentage:FLOAT, resets_at:BIGINT>, seven_day:STRUCT<used_percentage:FLOAT, resets_at:BIGINT>>"
     )
     spent = tuple(f"message.usage.{c}" for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens",
         "cache_creation.ephemeral_5m_input_tokens", "cache_creation.ephemeral_1h_input_tokens"))
-    rows, errors = _parsed(lines, schema, ('"usage"', '"rate_limits"'), spent, ("timestamp", "at"))
+    read = [F.col(f"r.rate_limits.{w}") for w in ("five_hour", "seven_day")]
+    partial = [w.isNotNull() & w["used_percentage"].isNull() for w in read]
+    return _decoded(lines, schema, ('"usage"', '"rate_limits"'), spent, ("timestamp", "at"), partial[0] | partial[1])
+
+
+def claude_code(decoded: DataFrame) -> Records:
+    rows, errors = _sound(decoded), _errors(decoded)
     u, tier = "r.message.usage.", F.col("r.message.usage.cache_creation")
     five = F.when(tier.isNotNull(), _count(u + "cache_creation.ephemeral_5m_input_tokens")).otherwise(_count(u + "cache_creation_input_tokens"))
     hour = F.when(tier.isNotNull(), _count(u + "cache_creation.ephemeral_1h_input_tokens")).otherwise(F.lit(0).cast("long"))
@@ -127,7 +137,7 @@ def claude_code(lines: DataFrame) -> Records:
     return Records(with_cost(usage).drop("cache_5m", "cache_1h"), limits.select(*LIMITS), none.select(*SESSIONS), errors)
 
 
-def codex(lines: DataFrame) -> Records:
+def codex_lines(lines: DataFrame) -> DataFrame:
     tokens = "STRUCT<total_tokens:BIGINT, input_tokens:BIGINT, cached_input_tokens:BIGINT, cache_write_input_tokens:BIGINT, output_tokens:BIGINT, reasoning_output_tokens:BIGINT>"
     window = "STRUCT<used_percent:FLOAT, window_minutes:BIGINT, resets_at:BIGINT>"
     schema = f"timestamp STRING, type STRING, payload STRUCT<type:STRING, cwd:STRING, info:STRUCT<total_token_usage:{tokens}, last_token_usage:{tokens}>, rate_limits:STRUCT<limit_id:STRING, primary:{window}, secondary:{window}>>"
@@ -135,7 +145,11 @@ def codex(lines: DataFrame) -> Records:
     spent = tuple(f"payload.info.{t}.{c}" for t in ("total_token_usage", "last_token_usage") for c in kinds)
     partial = [F.col(f"r.payload.rate_limits.{w}") for w in ("primary", "secondary")]
     partial = [w.isNotNull() & (w["used_percent"].isNull() | w["window_minutes"].isNull()) for w in partial]
-    rows, errors = _parsed(lines, schema, ('"token_count"', '"session_meta"'), spent, ("timestamp",), F.col("r.timestamp").isNull() | partial[0] | partial[1])
+    return _decoded(lines, schema, ('"token_count"', '"session_meta"'), spent, ("timestamp",), F.col("r.timestamp").isNull() | partial[0] | partial[1])
+
+
+def codex(decoded: DataFrame) -> Records:
+    rows, errors = _sound(decoded), _errors(decoded)
     rows = rows.withColumn("at_s", _at(F.col("r.timestamp")))
     stem, u = file_stem(F.col("path")), "r.payload.info.last_token_usage."
     counts = rows.where("r.payload.type = 'token_count' and r.payload.info.last_token_usage is not null")
@@ -154,13 +168,17 @@ def codex(lines: DataFrame) -> Records:
     return Records(usage, limits.select(*LIMITS), sessions.select(*SESSIONS), errors)
 
 
-def copilot_cli(lines: DataFrame) -> Records:
+def copilot_cli_lines(lines: DataFrame) -> DataFrame:
     metric = "STRUCT<totalNanoAiu:BIGINT, requests:STRUCT<cost:DOUBLE>, usage:STRUCT<inputTokens:BIGINT, outputTokens:BIGINT, cacheReadTokens:BIGINT, cacheWriteTokens:BIGINT, reasoningTokens:BIGINT>>"
     schema = f"type STRING, id STRING, timestamp STRING, data STRUCT<totalPremiumRequests:DOUBLE, errorCode:STRING, context:STRUCT<cwd:STRING>, modelMetrics:MAP<STRING,{metric}>>"
     kinds = ("inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens", "reasoningTokens")
     below = F.exists(F.map_values("r.data.modelMetrics"), lambda m: sum(((m["usage"][k] < 0).cast("int") for k in kinds), (m["totalNanoAiu"] < 0).cast("int")) > 0)
     nulls = F.col("line").rlike('"(?:' + "|".join((*kinds, "totalNanoAiu")) + r')"\s*:\s*null')
-    rows, errors = _parsed(lines, schema, ('"session.',), (), ("timestamp",), F.coalesce(below, F.lit(False)) | nulls)
+    return _decoded(lines, schema, ('"session.',), (), ("timestamp",), F.coalesce(below, F.lit(False)) | nulls)
+
+
+def copilot_cli(decoded: DataFrame) -> Records:
+    rows, errors = _sound(decoded), _errors(decoded)
     rows = rows.withColumn("at_s", _at(F.col("r.timestamp"))).withColumn("session", parent_name(F.col("path")))
     ends = rows.where("r.type = 'session.shutdown'")
     each = ends.select("path", "seq", "at_s", "session", F.col("r.id").alias("id"), F.explode("r.data.modelMetrics").alias("model", "m"))
@@ -190,64 +208,76 @@ def copilot_cli(lines: DataFrame) -> Records:
 
 @dataclass(frozen=True)
 class ProviderSpec:
+    """What there is to know of a tool: where it writes below the user's home, how its lines are read, what is estimated.
+
+    side: a folder of readings that counts once the tool's own is there. estimate: how missing windows are filled, from
+    rolling spend, the month's spend, or not at all.
+    """
+
     key: str
+    home: str
     globs: tuple[str, ...]
-    parse: Callable[[DataFrame], Records]
+    decode: Callable[[DataFrame], DataFrame]
+    records: Callable[[DataFrame], Records]
+    estimate: str
+    default_limit: str
+    side: str | None = None
+
+    def parse(self, lines: DataFrame) -> Records:
+        return self.records(self.decode(lines))
+
+    @property
+    def plans(self) -> list[str]:
+        return list(dict.fromkeys(plan for p, plan, *_ in PLANS if p == self.key))
 
 
-#: Where each tool writes below its root.
+#: Where each tool writes.
+_CLAUDE = ("*/*.jsonl", "*/*/subagents/*.jsonl", "*/*/subagents/workflows/*/*.jsonl")
 PROVIDERS = {
     p.key: p
     for p in (
-        ProviderSpec("claude-code", ("*/*.jsonl", "*/*/subagents/*.jsonl", "*/*/subagents/workflows/*/*.jsonl", "statusline/*.jsonl"), claude_code),
-        ProviderSpec("codex", ("*/*/*/rollout-*.jsonl",), codex),
-        ProviderSpec("copilot-cli", ("*/events.jsonl",), copilot_cli),
+        ProviderSpec("claude-code", ".claude/projects", _CLAUDE, claude_code_lines, claude_code, ESTIMATES["claude-code"], DEFAULT_LIMIT["claude-code"], ".meterlake/claude-code"),
+        ProviderSpec("codex", ".codex/sessions", ("*/*/*/rollout-*.jsonl",), codex_lines, codex, ESTIMATES["codex"], DEFAULT_LIMIT["codex"]),
+        ProviderSpec("copilot-cli", ".copilot/session-state", ("*/events.jsonl",), copilot_cli_lines, copilot_cli, ESTIMATES["copilot-cli"], DEFAULT_LIMIT["copilot-cli"]),
     )
-}
+}
+#: Of a folder of readings.
+SIDE_GLOBS = ("*.jsonl",)
 
 
-def listed(spark: SparkSession, root: str, key: str) -> list[tuple[str, int]]:
-    """(path, modification time) of a provider's log files below root, each once, newest first."""
-    found = {}
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for pattern in PROVIDERS[key].globs:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{pattern}")
-        found |= {str(x.getPath()): x.getModificationTime() for x in path.getFileSystem(conf).globStatus(path) or ()}
-    return sorted(found.items(), key=lambda x: (-x[1], x[0]))
+def places(key: str, roots: str | list[str]) -> str:
+    """The source's option `places`: a provider's log root with its globs, and further roots, of readings."""
+    first, *more = [roots] if isinstance(roots, str) else roots
+    return json.dumps([[first, PROVIDERS[key].globs], *([root, SIDE_GLOBS] for root in more)])
 
 
-def access(spark: SparkSession, root: str) -> str:
-    """readable, denied or missing: what can't be read is never taken for absent."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    try:
-        if not fs.exists(path):
-            return "missing"
-        fs.listStatus(path)
-        return "readable"
-    except Exception:  # the file system says no, in words of its own
-        return "denied"
+def discovered(home: str) -> dict[str, list[str]]:
+    """provider -> its log root, whether it is there or not, and its folder of readings, if both are."""
+    out = {}
+    for key, spec in PROVIDERS.items():
+        root, side = (f"{home.rstrip('/')}/{x}" if x else None for x in (spec.home, spec.side))
+        out[key] = [root, side] if side and tail.access(root) != "missing" and tail.access(side) == "readable" else [root]
+    return out
 
 
-#: Where the tools write below the user's home.
-HOMES = {"claude-code": ".claude/projects", "codex": ".codex/sessions", "copilot-cli": ".copilot/session-state"}
+def access(roots: str | list[str]) -> str:
+    """readable, denied or missing, of a provider's log root."""
+    return tail.access(roots if isinstance(roots, str) else roots[0])
 
 
-def discovered(home: str) -> dict[str, str]:
-    """provider -> log root, whether it is there or not."""
-    return {key: f"{home.rstrip('/')}/{below}" for key, below in HOMES.items()}
+def count_files(key: str, roots: str | list[str]) -> int:
+    """How many log files a provider has."""
+    return len({path for root, globs in json.loads(places(key, roots)) for path in tail.found(root, globs)[0]})
 
 
-def installed(spark: SparkSession, roots: dict[str, str]) -> list[str]:
+def installed(roots: dict[str, str | list[str]]) -> list[str]:
     """Providers, in registry order, whose root is there, readable or not."""
-    return [key for key in PROVIDERS if key in roots and access(spark, roots[key]) != "missing"]
+    return [key for key in PROVIDERS if key in roots and access(roots[key]) != "missing"]
 
 
-def read_provider(spark: SparkSession, root: str, key: str) -> Records:
-    """All records of one provider's log root; a file that two patterns match is read once."""
-    files = listed(spark, root, key)
-    lines = read_lines(spark, files) if files else spark.createDataFrame([], "path string, seq bigint, line string")
-    return PROVIDERS[key].parse(lines)
+def read_provider(spark: SparkSession, roots: str | list[str], key: str) -> Records:
+    """All records of one provider's logs; a file that two patterns match is read once."""
+    return PROVIDERS[key].parse(lines(spark, key, roots))
 
 
 def united(parts: list[Records]) -> Records:
@@ -258,8 +288,6 @@ def united(parts: list[Records]) -> Records:
     return Records(**whole)
 
 
-def last_lines(spark: SparkSession, files: list[tuple[str, int]], count: int) -> DataFrame:
-    """path, seq, line of the newest `count` lines of each file, newest first."""
-    lines = read_lines(spark, files)
-    newest = W.partitionBy("path").orderBy(F.desc("seq"))
-    return lines.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= count).drop("k").orderBy("path", F.desc("seq"))
+def last_lines(spark: SparkSession, key: str, roots: str | list[str], max_bytes: int = 256 << 10) -> DataFrame:
+    """path, seq, line of the finished lines in the last max_bytes of each file, newest first; no more bytes are read."""
+    return lines(spark, key, roots, max_bytes).select("path", "seq", "line").orderBy("path", F.desc("seq"))

@@ -1,7 +1,7 @@
-"""Streams: appended log lines to record tables, and event streams to five-minute series.
+"""Streams: appended log lines to a store of series, and event streams to five-minute series.
 
-Late usage is never dropped inside retention, so record tables are appended by foreachBatch and folded
-when asked; a watermark only bounds state where a stream itself keeps some.
+Late usage is never dropped inside retention, so batches are merged into stored days by foreachBatch; a
+watermark only bounds state where a stream itself keeps some.
 """
 
 from __future__ import annotations
@@ -9,40 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.logs import PROVIDERS
-from ..sources.tail import TailSource
+from ..sources.logs import places
+from ..sources.store import Store
+from ..sources.tail import LogSource, register
 
-TABLES = ("usage", "limits", "sessions", "errors")
-
-
-def lines_of(spark: SparkSession, root: str, key: str, **options) -> DataFrame:
-    spark.dataSource.register(TailSource)
-    stream = spark.readStream.format("tail_jsonl").option("root", root).option("globs", ",".join(PROVIDERS[key].globs))
+def lines_of(spark: SparkSession, roots: str | list[str], key: str, **options) -> DataFrame:
+    register(spark)
+    stream = spark.readStream.format(LogSource.name()).option("places", places(key, roots))
     for k, v in options.items():
         stream = stream.option(k, v)
     return stream.load()
 
 
-def ingest(spark: SparkSession, root: str, key: str, out: str, checkpoint: str, trigger: dict | None = None, **options):
-    """A running query that appends a provider's records below `out`, one folder a batch and table.
+def ingest(spark: SparkSession, roots: str | list[str], key: str, out: str, checkpoint: str, trigger: dict | None = None, **options):
+    """A running query that merges a provider's appended log lines into the store below `out`, batch by batch.
 
-    A batch's folder is overwritten if the batch runs again, so a restart repeats nothing. seq grows
-    with the batch, then with the place among the batch's bytes: no two lines share one. Lines that can't be read (no
-    UTF-8, too long) are rows of `errors`, like those that can't be parsed.
+    A batch that runs again replaces what it wrote, so a restart repeats nothing. seq grows
+    with the batch, then with the place among the batch's bytes: no two lines share one. With `maxFilesPerBatch` the
+    newest files come first, after a restart too; the store's backlog() tells how many wait.
     """
+    store = Store(spark, out)
 
     def batch(df: DataFrame, number: int) -> None:
         seq = (F.lit(number).cast("long") * (1 << 44) + F.col("place")).alias("seq")
-        held = df.select("path", seq, "line", "problem").persist()
-        records = PROVIDERS[key].parse(held.where("line is not null").select("path", "seq", "line"))
-        unread = held.where("problem is not null").select("path", "seq", F.concat("problem", F.lit(" in "), "path").alias("message"))
-        for name in TABLES:
-            rows = getattr(records, name)
-            rows = rows.unionByName(unread) if name == "errors" else rows
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        held.unpersist()
-
-    writer = lines_of(spark, root, key, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        store.add(key, df.select("path", seq, "line", "problem", "offset"), number)
+
+    writer = lines_of(spark, roots, key, checkpoint=checkpoint, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

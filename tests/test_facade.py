@@ -13,7 +13,8 @@ from meterlake.engine import Engine, month_bounds
 from meterlake.functions import formats
 from meterlake.functions import scalars as S
 from meterlake.operators import fold, ingest, report, snapshot
-from meterlake.sources import logs
+from meterlake.sources import logs, tail
+from meterlake.sources.store import Store
 from meterlake.streaming import pipeline
 
 NOW = 1_770_000_000  # 2026-02-02T02:40:00Z
@@ -40,7 +41,7 @@ def spent(i, ago, model="claude-opus-5", **usage):
 def home(tmp_path):
     h = str(tmp_path)
     put(f"{h}/.claude/projects/-w-x/a.jsonl", *(spent(i, 600 * (i + 1)) for i in range(3)), spent(1, 50))
-    put(f"{h}/.claude/projects/statusline/b.jsonl", {"type": "status", "at": at(300), "rate_limits": {"five_hour": {"used_percentage": 91.5, "resets_at": NOW + 3600}}})
+    put(f"{h}/.meterlake/claude-code/b.jsonl", {"type": "status", "at": at(300), "rate_limits": {"five_hour": {"used_percentage": 91.5, "resets_at": NOW + 3600}}})
     return h
 
 
@@ -55,6 +56,11 @@ def test_state_and_exports(spark, home):
     assert told["updatedAt"] == "2026-02-02T02:40:00Z" and not told["scanning"] and [p["id"] for p in told["providers"]] == ["claude-code", "codex", "copilot-cli"]
     assert [w["windowMinutes"] for w in told["providers"][0]["windows"]] == [300, 10080] and told["providers"][1]["windows"] == []
     assert told["history"][0]["model"]["hours"][0]["label"] == "claude-opus-5" and told["history"][0]["total"]["dropped"] == 0
+    first, absent = told["providers"][:2]
+    assert list(first) == ["id", "installed", "windows", "today", "todayCost", "series", "pace", "lastActivity", "unavailable", "readError", "burst"] == list(absent)
+    assert sum(b["tokens"]["input"] for b in first["series"]) == 300_000 and first["series"] == sorted(first["series"], key=lambda b: b["start"])
+    assert [p["windowMinutes"] for p in first["pace"]] == [300] and first["lastActivity"] == at(600) and first["burst"] is None and first["readError"] is None
+    assert absent["series"] == absent["pace"] == [] and absent["readError"] is None
     assert e.exit_code() == 10 and e.exit_code(scanning=True) == 20
     assert [r.threshold for r in e.alerts("claude-code").collect()] == [85.0] and e.set_mute(NOW).alerts("claude-code").count() == 0
     assert e.provider_plans("copilot-cli") == ["pro", "pro-plus", "max"]
@@ -96,14 +102,40 @@ def test_records_that_are_refused(spark, tmp_path):
     put(f"{tmp_path}/p/a.jsonl", *bad, good, good.replace("m1", "m2")[:-9], end="")
     found = logs.read_provider(spark, str(tmp_path), "claude-code")
     assert found.usage.count() == 1 and found.errors.count() == len(bad)  # the last line is unfinished
-    message = report.joined_errors(found.errors.unionByName(found.errors.selectExpr("concat(path, '2') as path", "seq", "'other' as message"))).first()
-    assert message.message.startswith("malformed record in ") and message.message.endswith(" | other") and message.hidden == 0
-    lines = logs.read_lines(spark, logs.listed(spark, str(tmp_path), "claude-code"))
-    told = report.read_counters(lines, found.usage, found.errors).first()
-    assert (told.files, told.lines, told.records, told.duplicates_skipped, told.parse_errors) == (1, 7, 1, 0, 5)
+    more = spark.createDataFrame([("claude-code", f"/{i}", 9 + i, f"other{i}") for i in range(5)], "provider string, path string, seq long, message string")
+    first = found.errors.selectExpr("'claude-code' as provider", "path", "seq", "message")
+    told = report.provider_errors(first.unionByName(more), 3).first().read_error
+    assert told.startswith("other0 | other1 | malformed record in ") and told.endswith(" | 3 more log files with errors")
+    store = Store(spark, f"{tmp_path}/store")
+    read = store.add("claude-code", logs.lines(spark, "claude-code", f"{tmp_path}"), files=1)
+    assert (read["files"], read["lines"], read["records"], read["accepted"], read["duplicates_skipped"], read["refused"]) == (1, 6, 1, 1, 0, 5)
     grown = report.since(spark.createDataFrame([("p", 3)], "k string, n long"), spark.createDataFrame([("p", 5), ("q", 2)], "k string, n long"), "n", "k")
     assert {r.k: r.n for r in grown.collect()} == {"p": 2, "q": 2}
-    assert [json.loads(r.line)["requestId"] for r in logs.last_lines(spark, logs.listed(spark, str(tmp_path), "claude-code"), 2).where("line like '%}'").collect()] == ["r1"]
+    assert [json.loads(r.line)["message"]["id"] for r in logs.last_lines(spark, "claude-code", str(tmp_path), len(good) + 9).collect()] == ["m1"]
+
+
+def test_what_else_is_refused_and_found(spark, tmp_path):
+    for folder in ("with space", "per%20cent", "ümläut"):
+        put(f"{tmp_path}/{folder}/a b.jsonl", spent(folder, 60))
+    put(f"{tmp_path}/p/s.jsonl", {"at": at(5), "rate_limits": {"five_hour": {"resets_at": NOW}}}, {"at": at(5), "rate_limits": {"five_hour": {"used_percentage": 4.0}}})
+    with open(f"{tmp_path}/p/s.jsonl", "ab") as f:
+        f.write(b'{"usage": "\xff"}\n')
+    found = logs.read_provider(spark, str(tmp_path), "claude-code")
+    assert found.usage.count() == 3 and [r.used_percent for r in found.limits.collect()] == [4.0]
+    assert sorted(r.message.split(" in ")[0] for r in found.errors.collect()) == ["invalid UTF-8", "malformed record"]
+
+
+def test_why_a_provider_is_unavailable(spark, tmp_path, monkeypatch):
+    os.makedirs(f"{tmp_path}/a")
+    put(f"{tmp_path}/b/2026/01/01/rollout-1.jsonl", '{"token_count"')
+    os.makedirs(f"{tmp_path}/c")
+    real = tail.access
+    monkeypatch.setattr(tail, "access", lambda root: "denied" if root.endswith("/c") else real(root))
+    e = Engine.open(spark, {"claude-code": f"{tmp_path}/a", "codex": f"{tmp_path}/b", "copilot-cli": f"{tmp_path}/c"}, NOW)
+    state = {r.provider: (r.unavailable, r.read_error) for r in e.providers().collect()}
+    assert state["claude-code"] == ("no-logs-found", None) and state["copilot-cli"] == ("permission-denied", None)
+    assert state["codex"][0] == "read-error" and state["codex"][1].startswith("malformed record in ")
+    assert Engine.open(spark, {"codex": f"{tmp_path}/none"}, NOW).providers().where("unavailable = 'not-installed'").count() == 3
 
 
 def test_label_cap_frees_places(spark):
@@ -139,10 +171,14 @@ def test_state_is_bounded_by_the_newest(spark):
 
 
 def test_what_a_stream_has_stored_is_read_back(spark, home, tmp_path):
-    out = f"{tmp_path}/store"
-    pipeline.ingest(spark, f"{home}/.claude/projects", "claude-code", out, f"{tmp_path}/cp", {"once": True}).awaitTermination(240)
-    stored = Engine.from_store(spark, out, NOW)
-    read = Engine.open(spark, {"claude-code": f"{home}/.claude/projects"}, NOW)
-    spent_ = lambda e: [(r.start, r.input, r.usd) for r in e.series().orderBy("start").collect()]
-    assert spent_(stored) == spent_(read) and len(spent_(read)) > 0
-    assert stored.windows().count() == 1
+    out, roots = f"{tmp_path}/store", logs.discovered(home)
+    pipeline.ingest(spark, roots["claude-code"], "claude-code", out, f"{tmp_path}/cp", {"once": True}).awaitTermination(240)
+    stored, read = Engine.from_store(spark, out, NOW), Engine.open(spark, roots, NOW)
+    assert not stored.scanning()
+    for ask in (lambda e: e.series().drop("batch"), lambda e: e.windows(), lambda e: e.csv(), lambda e: e.labels().drop("first_seq")):
+        rows = [sorted(map(str, ask(e).collect())) for e in (stored, read)]
+        assert rows[0] == rows[1] and rows[0]
+    assert json.loads(stored.json())["providers"][0] == json.loads(read.json())["providers"][0]
+    path = read.store.path
+    read.close()
+    assert not os.path.exists(path)
