@@ -23,6 +23,8 @@ from __future__ import annotations
 import datetime
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/meterlake"
 
 
+def _together(*writes: Callable[[], None]) -> None:
+    """Jobs that don't wait for each other; an error of one is raised when all have ended."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(w) for w in writes]:
+            done.result()
+
+
 def day_of(at: Column) -> Column:
     return F.timestamp_seconds(F.floor(at / DAY) * DAY).cast("date")
 
@@ -142,18 +151,23 @@ class Store:
                 self.delete(f"{name}/{'day=*/' if 'day' in by else ''}{own}")
         mark = lambda df: df.drop("provider").withColumn("provider", F.lit(key)).withColumn("batch", F.lit(batch))
         refused, seen, kept = Observation(), Observation(), Observation()
-        self._write("sessions", mark(records.sessions))
-        self._write("errors", mark(records.errors).observe(refused, F.count("*").alias("refused")))
-        self._write("limits", mark(records.limits).withColumn("day", day_of(F.col("observed_at"))))
         used = ingest.counted(records.usage).observe(seen, F.count("*").alias("records"))
-        ingest.dedup_first_wins(used).write.mode("overwrite").parquet(f"{stage}/usage")
+        _together(
+            lambda: self._write("sessions", mark(records.sessions)),
+            lambda: self._write("errors", mark(records.errors).observe(refused, F.count("*").alias("refused"))),
+            lambda: self._write("limits", mark(records.limits).withColumn("day", day_of(F.col("observed_at")))),
+            lambda: ingest.dedup_first_wins(used).write.mode("overwrite").parquet(f"{stage}/usage"),
+        )
         fresh = self._new(key, self.spark.read.parquet(f"{stage}/usage"), batch)
         fresh = mark(self._attributed(key, fresh, batch)).withColumn("day", day_of(F.col("at_s")))
         self._write("usage", fresh.observe(kept, F.count("*").alias("accepted")))
         accepted = self._batch("usage", key, batch)
         sums = fold.buckets(accepted, F.max("at_s").alias("last_at"))
-        self._write("sums", sums.withColumn("day", day_of(F.col("start"))).withColumn("batch", F.lit(batch)))
-        self._write("label_sums", fold.breakdown(accepted).withColumn("day", day_of(F.col("hour"))).withColumn("batch", F.lit(batch)))
+        labels = fold.breakdown(accepted)
+        _together(
+            lambda: self._write("sums", sums.withColumn("day", day_of(F.col("start"))).withColumn("batch", F.lit(batch))),
+            lambda: self._write("label_sums", labels.withColumn("day", day_of(F.col("hour"))).withColumn("batch", F.lit(batch))),
+        )
         touched |= {x.split("/day=")[1].split("/")[0] for x in self._matching(f"sums/day=*/{own}")}
         self.refold(key, sorted(touched))
         self.delete(f"stage/{key}-{batch}")
@@ -183,11 +197,11 @@ class Store:
         add = [F.sum(c).alias(c) for c in (*fold.TOKENS, "usd", "unpriced")]
         series = self.table("sums").where(mine).groupBy("day", "provider", "start").agg(*add, F.round(F.sum("requests"), 6).alias("requests"), F.max("last_at").alias("last_at"))
         labels = self.table("label_sums").where(mine).groupBy("day", "provider", "dimension", "hour", "label").agg(*add, F.sum("records").alias("records"), F.min("first_seq").alias("first_seq"))
-        for name, rows in (("series", series), ("labels", labels)):
-            left = {x.split("/day=")[1].split("/")[0] for x in self._matching(f"sums/day=*/provider={key}/batch=*")}
-            self._write(name, rows.repartition("day"))
-            for day in set(days) - left:
-                self.delete(f"{name}/day={day}/provider={key}")
+        left = {x.split("/day=")[1].split("/")[0] for x in self._matching(f"sums/day=*/provider={key}/batch=*")}
+        _together(lambda: self._write("series", series.repartition("day")), lambda: self._write("labels", labels.repartition("day")))
+        for day in set(days) - left:
+            self.delete(f"series/day={day}/provider={key}")
+            self.delete(f"labels/day={day}/provider={key}")
 
     def _between(self, name: str, col: str, begin: int, end: int | None, provider: str | None) -> DataFrame:
         rows = self.table(name).where((F.col("day") >= F.lit(_date(begin))) & (F.col(col) >= begin))
