@@ -1,8 +1,13 @@
 """Streams that remember: running totals, a session's project, announced alerts and bursts.
 
-Each rule is that of the batch operator, kept as state per key, so a restart goes on where the
+Each rule is that of the batch operator, kept as state, so a restart goes on where the
 checkpoint stands. Rows of a micro-batch are taken in order of seq; later batches arrive later. State has
 no timeout: a session's baseline and project outlive the retention of the series.
+
+What is kept per session is bounded: a provider's sessions are dealt into SHARDS by hash, each a map of its own
+in RocksDB, where a session is read and written alone. When a map grows beyond its share of the cap, the tenth of it
+that is oldest goes, but nothing that the batch itself has touched; so all shards work side by side, none needs
+the others, and looking for the oldest is paid once for many sessions. A session that comes back after that begins anew.
 """
 
 from __future__ import annotations
@@ -10,8 +15,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators import alerts as rules
@@ -41,13 +47,67 @@ def _remembering(stream: DataFrame, keys: list[str], step: Callable, result: str
     return ordered.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", "NoTimeout")
 
 
-def deltas(totals: DataFrame) -> DataFrame:
+#: Sessions of a provider whose running totals, and whose projects, are kept (fixed values); maps they are dealt into.
+TOTALS_CAP, PROJECTS_CAP = 100_000, 20_000
+SHARDS = 64
+
+
+class BoundedSessions(StatefulProcessor):
+    """step over the rows of each session of a shard; of its states (`value`, whose first column says how old one is) the newest stay."""
+
+    def __init__(self, step: Callable, result: StructType, value: str, pack: Callable, unpack: Callable, cap: int):
+        self.step, self.row, self.pack, self.unpack, self.cap = step, Row(*result.names), pack, unpack, cap
+        # Parsed here, as init() runs where there is no session.
+        self.schemas = [StructType.fromDDL(x) for x in ("session string", value, "n int")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        session, value, n = self.schemas
+        self.held, self.size = handle.getMapState("held", session, value), handle.getValueState("size", n)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        states, known, found = {}, set(), []
+        for row in sorted((r.asDict() for r in rows), key=lambda r: r["seq"]):
+            session = row["session"]
+            if session not in states:
+                value = self.held.getValue((session,)) if self.held.containsKey((session,)) else None
+                states[session] = None if value is None else self.unpack(value)
+                if value is not None:
+                    known.add(session)
+            states[session], out = self.step(states[session], row)
+            if out is not None:
+                found.append((key[0], session, *out))
+        states = {session: now for session, now in states.items() if now is not None}
+        for session, now in states.items():
+            self.held.updateValue((session,), self.pack(now))
+        n = (self.size.get()[0] if self.size.exists() else 0) + len(states.keys() - known)
+        if n > self.cap:
+            old = sorted((value[0], session) for (session,), value in self.held.iterator() if session not in states)
+            gone = old[: n - self.cap + self.cap // 10]
+            for _, session in gone:
+                self.held.removeKey((session,))
+            n -= len(gone)
+        self.size.update((n,))
+        yield from (self.row(*x) for x in found)
+
+    def close(self) -> None:
+        pass
+
+
+def _per_session(stream: DataFrame, step: Callable, result: str, value: str, pack: Callable, unpack: Callable, cap: int) -> DataFrame:
+    """provider, session and results of step over each session's rows, with no more than about `cap` sessions of a provider held."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    sharded = stream.withColumn("shard", F.pmod(F.xxhash64("session"), F.lit(SHARDS)).cast("int"))
+    out = StructType.fromDDL(f"provider string, session string, {result}")
+    bounded = BoundedSessions(step, out, value, pack, unpack, max(1, cap // SHARDS))
+    return sharded.groupBy("provider", "shard").transformWithState(bounded, out, "Append", "None")
+
+
+def deltas(totals: DataFrame, cap: int = TOTALS_CAP) -> DataFrame:
     """Accepted increments of running totals (provider, session, seq, at_s, counters)."""
     names = ["at_s", *COUNTERS]
-    return _remembering(
-        totals.select("provider", "session", "seq", "at_s", *COUNTERS), ["provider", "session"], next_delta, DELTAS,
-        ", ".join(f"{c} bigint" for c in names), lambda row: tuple(int(row[c]) for c in names), lambda held: dict(zip(names, held)),
-    )
+    rows = totals.where("session is not null").select("provider", "session", "seq", "at_s", *COUNTERS)
+    return _per_session(rows, next_delta, DELTAS, ", ".join(f"{c} bigint" for c in names), lambda row: tuple(int(row[c]) for c in names), lambda held: dict(zip(names, held)), cap)
 
 
 def alerts(readings: DataFrame, thresholds=rules.DEFAULT_THRESHOLDS) -> DataFrame:
@@ -66,11 +126,11 @@ def next_project(state: tuple | None, row: dict) -> tuple[tuple | None, tuple |
     return state, (row["seq"], project)
 
 
-def projects(usage: DataFrame, sessions: DataFrame) -> DataFrame:
+def projects(usage: DataFrame, sessions: DataFrame, cap: int = PROJECTS_CAP) -> DataFrame:
     """provider, session, seq, project of each usage row: its own, else its session's newest that arrived before."""
     own = usage.select("provider", "session", "seq", "project", F.lit(None).cast("bigint").alias("seen_at"))
     seen = sessions.where("project is not null").select("provider", "session", "seq", "project", F.col("at_s").cast("bigint").alias("seen_at"))
-    return _remembering(own.unionByName(seen), ["provider", "session"], next_project, "seq bigint, project string", "at bigint, project string", lambda s: (int(s[0]), s[1]), tuple)
+    return _per_session(own.unionByName(seen), next_project, "seq bigint, project string", "at bigint, project string", tuple, lambda s: (int(s[0]), s[1]), cap)
 
 
 def next_episode(state: tuple | None, row: dict) -> tuple[tuple | None, tuple | None]:

@@ -257,6 +257,22 @@ def test_running_totals_go_on_after_a_restart(spark, tmp_path):
     assert [(r.seq, r.input) for r in got] == [(r.seq, r.input) for r in whole] == [(1, 100), (2, 7), (3, 150), (5, 3)]
 
 
+def test_state_of_sessions_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "SHARDS", 1)
+
+    def totals(*rows):
+        df = spark.createDataFrame(list(rows), "seq long, session string, at_s long, input long")
+        return df.select(F.lit("p").alias("provider"), "session", "seq", "at_s", "input", *(F.lit(0).cast("long").alias(c) for c in ingest.COUNTERS[1:]))
+
+    # Ten sessions, the oldest two by time are s0 and s9; an eleventh sends both away, then s0 and s1 come back.
+    first = totals(*((i, f"s{i}", 100 + i if i < 9 else 50, 10) for i in range(10)))
+    parts = [first, totals((10, "t", 300, 10)), totals((11, "s0", 400, 15), (12, "s1", 400, 15))]
+    got = replayed(spark, tmp_path, "bounded", lambda df: state.deltas(df, cap=10), parts)
+    assert [(r.session, r.input) for r in got[10:]] == [("t", 10), ("s0", 15), ("s1", 5)] and len(got) == 13
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/bounded-cp")
+    assert held.count() == 10 and "s9" not in {r.key.session for r in held.selectExpr("user_map_key as key").collect()}
+
+
 def test_alerts_and_episodes_are_announced_once(spark, tmp_path):
     def readings(*rows):
         return spark.createDataFrame([("p", "l", 300, seq, seq, float(p), r) for seq, p, r in rows],
