@@ -183,14 +183,17 @@ def repair_one(turns: list, roles: list[str], texts: list[str], kinds: list[int]
 
 def _whole(turns: DataFrame, schema: StructType) -> DataFrame:
     """Conversations that a task takes one by one."""
-    arrow = _arrow(schema)
+    made = StructType([f for f in schema if f.name != "whole"])
+    arrow = _arrow(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((conv, rows, repair_one(*zip(*rows))) for conv, rows in _grouped(batches, ["turn", "role", "text", "kind", "blank"]))
-        yield from _batches(((conv, 0, True, *repaired) for conv, _, repaired in found), arrow)
+        yield from _batches(((conv, 0, *repaired) for conv, _, repaired in found), arrow)
 
     order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "t"]
-    return turns.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "kind", "blank").mapInArrow(run, schema)
+    rows = turns.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "kind", "blank")
+    # `whole` is a constant that Spark knows, so who asks for pieces of long conversations doesn't run this.
+    return rows.mapInArrow(run, made).withColumn("whole", F.lit(True)).select(*schema.names)
 
 
 _TABLE = "chunk long, ways array<struct<before: int, after: int, cost: long, audit: string>>, initials array<string>, turns array<long>, counts array<long>"
