@@ -105,6 +105,10 @@ class Engine:
         """(hours, breakdown with at most LABEL_CAP labels a dimension, records dropped for that)."""
         return fold.history(self.series(), 0, self.now + 1), *fold.capped(self.labels())
 
+    def shares(self, days: int) -> DataFrame:
+        """What each label had of the last days, the largest first; only labels within the cap."""
+        return report.ranked_labels(report.breakdown_share(fold.capped(self.labels())[0], days, self.now))
+
     def csv(self) -> DataFrame:
         return report.export_rows(*self.history())
 

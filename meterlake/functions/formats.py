@@ -1,4 +1,4 @@
-"""How numbers and instants are shown: durations, tokens, percents, factors, costs. Pure functions of a column."""
+"""How numbers and instants are shown: durations, tokens, percents, factors, costs, clocks and dates. Pure functions of a column."""
 
 from __future__ import annotations
 
@@ -54,6 +54,20 @@ def relative(at: Column, now: int) -> Column:
     return F.when(at.isNull(), F.lit(None).cast("string")).when(gone < 60, "just now").otherwise(duration(gone))
 
 
+def _local(at: Column, zone: str) -> Column:
+    return F.from_utc_timestamp(F.timestamp_seconds(at).cast("timestamp_ntz").cast("string"), zone)
+
+
+def clock(at: Column, zone: str = "UTC") -> Column:
+    """14:05, in a zone."""
+    return F.date_format(_local(at, zone), "HH:mm")
+
+
+def date(at: Column, zone: str = "UTC") -> Column:
+    """3 Feb, in a zone."""
+    return F.date_format(_local(at, zone), "d MMM")
+
+
 def alert_text(provider: Column, kind: Column, used: Column, left: Column) -> Column:
     """The sentence of an alert; `left` is the seconds to the reset, or null."""
     head = F.concat(provider, F.lit(": "), kind, F.lit(" window at "), percent(used))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import alerts, burst, export, fold, ingest, pace, pricing, report, snapshot, windows
-from ..sources import adapters
-from ..sources.store import ERROR_PATHS
+from ..sources import adapters, logs
+from ..sources.store import ERROR_PATHS, Store, kept
 
 #: The instant all registered queries are asked at: 2024-01-31T00:00:00Z.
 NOW = 1_706_659_200
@@ -139,6 +139,25 @@ def session_asof_project(spark, d):
     return _attributed(spark, d).select("provider", "seq", "session", "project")
 
 
+@query(SQL + _PROJECT + f"""select provider, 'total' as dimension, start as at, cast(null as varchar) as label, input, output, cache_read, cache_creation, {_D.format('usd')} as usd, unpriced
+  from bucket where start >= {NOW - 7 * DAY} and start < {NOW}
+union all select provider, 'project', {_HOUR}, proj, {_TOK.replace(', cast(0 as bigint) as reasoning', '')}, {_USD}, {_OPEN} from att
+  where {_HOUR} >= {NOW - 7 * DAY} and {_HOUR} < {NOW} group by provider, {_HOUR}, proj""")
+def store_history(spark, d):
+    """The last week as a store has it that all events were merged into, each provider's in two batches by arrival."""
+    store, used = Store.scratch(spark), adapters.usage(spark, d)
+    middle = (used.agg(F.max("seq")).first()[0] or 0) // 2
+    errors = spark.createDataFrame([], "path string, seq bigint, message string")
+    for provider in adapters.PROVIDERS:
+        for batch, part in enumerate((F.col("seq") <= middle, F.col("seq") > middle)):
+            mine = lambda df: df.where((F.col("provider") == provider) & part).withColumn("path", F.lit("events"))  # noqa: B023, E731
+            store.merge(provider, logs.Records(mine(used), mine(adapters.limits(spark, d)), mine(adapters.sessions(spark, d)), errors), batch)
+    columns = ["provider", "dimension", "at", "label", "input", "output", "cache_read", "cache_creation", "usd", "unpriced"]
+    whole = store.series(NOW - 7 * DAY, NOW).withColumns({"dimension": F.lit("total"), "at": F.col("start"), "label": F.lit(None).cast("string")})
+    projects = store.labels(NOW - 7 * DAY, NOW).where("dimension = 'project'").withColumnRenamed("hour", "at")
+    return _shown(whole.select(columns).unionByName(projects.select(columns)))
+
+
 @query(SQL + f""", h as (
   select provider, {_HOUR} as hour, model as label, sum(total) as t, coalesce(sum(usd), 0) as c, coalesce(sum(case when usd is null then total end), 0) as o from ok group by all),
 l as (select provider, label, sum(t) as t, sum(c) as c, sum(o) as o from h where hour between {NOW - 7 * DAY} and {NOW} group by all),
@@ -345,9 +364,7 @@ def pace_forecast(spark, d):
     """As of the last reading, so that readings are fresh and the gates see them as they are."""
     limits = adapters.limits(spark, d)
     now = limits.agg(F.max("observed_at")).first()[0] or NOW
-    series = _series(spark, d)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        series = series.checkpoint()  # it is read four times
+    series = kept(_series(spark, d))
     found = pace.forecasts(series, windows.measured(fold.latest_limits(limits), now), now)
     return found.withColumn("projected_percent", F.round("projected_percent", 3))
 
@@ -446,7 +463,7 @@ g as (
 
 def _exported(spark, d):
     """(hours, capped breakdown, dropped) of all usage before NOW."""
-    u = _attributed(spark, d).where(F.col("at_s") < NOW)
+    u = kept(_attributed(spark, d).where(F.col("at_s") < NOW))
     return fold.history(fold.buckets(u), 0, NOW), *fold.capped(fold.breakdown(u), CAP)
 
 
@@ -470,7 +487,7 @@ def _short_limits(spark, d):
 
 def _snapshot_windows(spark, d):
     latest = fold.latest_limits(_short_limits(spark, d))
-    return snapshot.all_windows(_priced_series(spark, d), latest, _ceilings(spark), NOW, MONTH_START, NEXT_MONTH)
+    return snapshot.all_windows(kept(_priced_series(spark, d)), latest, _ceilings(spark), NOW, MONTH_START, NEXT_MONTH)
 
 
 _SNAPSHOT = _MEASURED + ", " + _CEIL + f""",
@@ -504,8 +521,8 @@ def _known(spark):
 def _snapshot_providers(spark, d):
     # One provider has no windows here, so it is without a reading.
     win = windows.measured(fold.latest_limits(adapters.limits(spark, d).where("provider <> 'copilot-cli'")), NOW)
-    series = fold.buckets(_usage(spark, d), F.max("at_s").alias("last_at"))
-    return snapshot.providers(series, win, _known(spark), NOW), win
+    series = kept(fold.buckets(_usage(spark, d), F.max("at_s").alias("last_at")))
+    return snapshot.providers(series, win, _known(spark), NOW), win, series
 
 
 _STAND = f"""
@@ -569,14 +586,13 @@ select provider, '{{"id":"' || provider || '","installed":' || installed || ',"w
 from stand left join obj using (provider) left join ser using (provider) left join pac using (provider) left join bur using (provider) left join told using (provider)""")
 def export_json(spark, d):
     """The snapshot objects, with forecasts as of the last reading, a burst of the hour before last, and models without a price as what couldn't be read."""
-    state, win = _snapshot_providers(spark, d)
-    used = _usage(spark, d)
+    state, win, series = _snapshot_providers(spark, d)
     model = F.coalesce("model", F.lit("-"))
-    errors = used.where("usd is null").select("provider", model.alias("path"), "seq", F.concat(F.lit("no price for "), model).alias("message"))
+    errors = _usage(spark, d).where("usd is null").select("provider", model.alias("path"), "seq", F.concat(F.lit("no price for "), model).alias("message"))
     state = state.drop("read_error").join(report.provider_errors(errors, ERROR_PATHS), "provider", "left")
     bursts = burst_detect(spark, d).select("provider", F.struct("since", "tokens", "usd", "unpriced", "factor").alias("burst"))
     win = snapshot.with_pace(win, pace_forecast(spark, d))
-    return export.provider_objects(state.join(bursts, "provider", "left"), win, snapshot.trimmed(fold.buckets(used), win, NOW), NOW)
+    return export.provider_objects(state.join(bursts, "provider", "left"), win, snapshot.trimmed(series, win, NOW), NOW)
 
 
 @query(SQL + f""", spans as (select 'claude-code' as provider, 7 * {DAY} as span union all select 'codex', {DAY})

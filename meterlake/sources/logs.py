@@ -29,7 +29,7 @@ def lines(spark: SparkSession, key: str, roots: str | list[str], tail_bytes: int
     """
     tail.register(spark)
     source = spark.read.format(tail.LogSource.name()).option("places", places(key, roots))
-    source = source.option("tailBytes", tail_bytes).load()
+    source = source.option("tailBytes", tail_bytes).option("parallelism", spark.sparkContext.defaultParallelism).load()
     source = source if least_modified is None else source.where(F.col("modified") >= least_modified)
     return source.select("path", F.col("place").alias("seq"), "line", "problem", "modified")
 

@@ -69,6 +69,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/meterlake"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder: for a small table that is read several times but takes all logs to make."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _together(*writes: Callable[[], None]) -> None:
     """Jobs that don't wait for each other; an error of one is raised when all have ended."""
     with ThreadPoolExecutor(len(writes)) as pool:
@@ -77,7 +84,8 @@ def _together(*writes: Callable[[], None]) -> None:
 
 
 def day_of(at: Column) -> Column:
-    return F.timestamp_seconds(F.floor(at / DAY) * DAY).cast("date")
+    """The UTC day of an instant, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(at / DAY).cast("int"))
 
 
 def _date(at: int) -> datetime.date:

@@ -1,7 +1,7 @@
 """Log folders as a source, for batches and for streams: spans of bytes become lines, each byte read once.
 
 The built-in file source takes files as immutable. This one reads lines by their place in the file. A
-batch cuts files into spans of SPLIT bytes, each a task's; a line belongs to the span in which it begins. A
+batch cuts large files into spans and puts the spans of small ones together, SPLIT bytes a task; a line belongs to the span in which it begins. A
 stream keeps in its offset, for every file, what it is (device and inode, or on stores without them a checksum of its
 first line) and how far it was read, and goes on from there up to the last newline. In both, what
 stands behind the last newline of a file is held back until its line is finished. A file that was replaced or
@@ -33,7 +33,8 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
 CHUNK = 4 << 20
-SPLIT = 64 << 20
+#: Bytes of a task, at most; with few bytes a task has fewer, down to LEAST, so that all cores have some.
+SPLIT, LEAST = 64 << 20, 4 << 20
 LONGEST_LINE = 16 << 20
 #: Bytes of a first line by which a file is known on a store without inodes.
 HEAD = 256
@@ -104,9 +105,10 @@ class Span(InputPartition):
         self.modified, self.after, self.skip, self.held, self.event = modified, after, skip, held, event
 
 
-def split(span: Span, size: int | None = None) -> list[Span]:
-    """A span in parts of about `size` bytes."""
-    size = size or SPLIT
+def split(span: Span, size: int) -> list[Span]:
+    """A span in parts of `size` bytes; an event is one part."""
+    if span.event:
+        return [span]
     cuts = list(range(span.begin, max(span.end, span.begin + 1), size))
     common = (span.root, span.path)
     return [
@@ -115,6 +117,26 @@ def split(span: Span, size: int | None = None) -> list[Span]:
     ]
 
 
+class Group(InputPartition):
+    """Spans that a task reads one after the other."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+
+
+def grouped(spans: list[Span], parallelism: int) -> list[Group]:
+    """Spans cut and put together to about as many bytes a task, two tasks a core or SPLIT bytes."""
+    size = min(SPLIT, max(LEAST, sum(s.end - s.begin for s in spans) // (2 * parallelism)))
+    out, held = [], 0
+    for span in (part for s in spans for part in split(s, size)):
+        if not out or held >= size:
+            out.append(Group([]))
+            held = 0
+        out[-1].spans.append(span)
+        held += span.end - span.begin
+    return out
+
+
 def _batch(span: Span, offsets: list[int] | np.ndarray, lines: pa.Array, problems: pa.Array) -> pa.RecordBatch:
     n, offsets = len(lines), np.asarray(offsets, np.int64)
     columns = [pa.array([span.path] * n, pa.string()), pa.array(offsets + span.shift), pa.array(offsets), lines, problems, pa.array(np.full(n, span.modified))]
@@ -241,7 +263,7 @@ class LogReader(DataSourceReader):
     """The finished lines of all files as they are now; tailBytes: only those of the last bytes of each."""
 
     def __init__(self, options: dict):
-        self.places, self.tail_bytes = _places(options), int(options.get("tailBytes", 0))
+        self.places, self.tail_bytes, self.parallelism = _places(options), int(options.get("tailBytes", 0)), int(options.get("parallelism", 8))
         self.least, self.only = None, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -254,23 +276,23 @@ class LogReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Span]:
+    def partitions(self) -> list[Group]:
         out, place = [], 0
         for root, path, info in _listing(self.places):
             if (self.only is None or path == self.only) and (self.least is None or _seconds(info) >= self.least):
-                whole = Span(root, path, 0, info.size, info.size, place, _seconds(info), held=True)
-                out += [whole] if self.tail_bytes else split(whole)
+                out.append(Span(root, path, 0, info.size, info.size, place, _seconds(info), held=True))
             place += info.size
-        return out or [Span("", "", 0, 0, 0, 0, 0)]
-
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        if not partition.root:
-            return
         if self.tail_bytes:
-            rows = list(last_lines(partition, self.tail_bytes))
-            yield _batch(partition, [at for at, _ in rows], pa.array([x for _, x in rows], pa.string()), pa.nulls(len(rows), pa.string()))
-        else:
-            yield from read_span(partition)
+            return [Group([span]) for span in out] or [Group([])]
+        return grouped(out, self.parallelism) or [Group([])]
+
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+        for span in partition.spans:
+            if self.tail_bytes:
+                rows = list(last_lines(span, self.tail_bytes))
+                yield _batch(span, [at for at, _ in rows], pa.array([x for _, x in rows], pa.string()), pa.nulls(len(rows), pa.string()))
+            else:
+                yield from read_span(span)
 
 
 def complete_end(store: fs.FileSystem, path: str, begin: int, size: int, chunk: int | None = None) -> int:
@@ -321,7 +343,7 @@ class TailReader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.places = _places(options)
-        self.most = int(options.get("maxFilesPerBatch", 1 << 30))
+        self.parallelism, self.most = int(options.get("parallelism", 8)), int(options.get("maxFilesPerBatch", 1 << 30))
         self.first = int(options.get("firstFiles", self.most))
         #: Of the offset before; None where no checkpoint tells, until Spark has handed one in.
         self.known: dict | None = resumed(options["checkpoint"]) if "checkpoint" in options else None
@@ -361,10 +383,11 @@ class TailReader(DataSourceStreamReader):
         self.known = {p: x for p, x in files.items() if p in names}
         return {"files": json.dumps(self.known, sort_keys=True), "backlog": waiting}
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Group]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
         self.known = after
         out, place = [], 0
+
         def event(root: str, path: str, what: str, at: int = 0) -> None:
             nonlocal place
             out.append(Span(root, path, at, at, at, place - at, 0, event=what))
@@ -382,14 +405,15 @@ class TailReader(DataSourceStreamReader):
                 event(root, p, ROTATED)
                 at = 0
             if to > at:
-                out += split(Span(root, p, at, to, to, place - at, modified, skip=bool(at and old and old[4])))
+                out.append(Span(root, p, at, to, to, place - at, modified, skip=bool(at and old and old[4])))
                 place += to - at
         if start.get("backlog", 0) != end["backlog"]:
             event(self.places[0][0], "", BACKLOG, end["backlog"])
-        return out
+        return grouped(out, self.parallelism)
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        return read_span(partition)
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+        for span in partition.spans:
+            yield from read_span(span)
 
 
 class LogSource(DataSource):

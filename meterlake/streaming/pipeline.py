@@ -15,7 +15,7 @@ from ..sources.tail import LogSource, register
 
 def lines_of(spark: SparkSession, roots: str | list[str], key: str, **options) -> DataFrame:
     register(spark)
-    stream = spark.readStream.format(LogSource.name()).option("places", places(key, roots))
+    stream = spark.readStream.format(LogSource.name()).option("places", places(key, roots)).option("parallelism", spark.sparkContext.defaultParallelism)
     for k, v in options.items():
         stream = stream.option(k, v)
     return stream.load()

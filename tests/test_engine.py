@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import duckdb
 import pandas as pd
@@ -75,6 +76,35 @@ def test_cumulative_totals(spark):
     assert totals(spark, [(100, 5), (100, 5), (150, 5), (30, 9)]) == [100, 50, 30]
 
 
+@pytest.mark.parametrize("bits", [1, 3, 24])
+def test_totals_and_projects_by_chunks_equal_row_by_row(spark, bits):
+    rng = random.Random(bits)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randint(0, 12), *(rng.randint(0, 3) for _ in ingest.COUNTERS)) for k in range(300)]
+    df = spark.createDataFrame(rows, "session string, seq long, at_s long, " + ", ".join(f"{c} long" for c in ingest.COUNTERS)).withColumn("provider", F.lit("p"))
+    want, state = [], {}
+    for r in rows:
+        row = dict(zip(["session", "seq", "at_s", *ingest.COUNTERS], r))
+        state[r[0]], out = ingest.next_delta(state.get(r[0]), row)
+        want += [(r[0], *out)] if out else []
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[1:]) for r in ingest.cumulative_deltas(df, bits).collect())
+    known = df.where("seq % 7 = 3").selectExpr("provider", "session", "seq", "at_s", "if(seq % 2 = 0, null, concat('/w/', seq)) as project")
+    use = df.where("seq % 7 <> 3").selectExpr("provider", "session", "seq", "if(seq % 5 = 0, '/own', null) as project")
+    seen, shown = {}, {}
+    for r in rows:
+        if r[1] % 7 != 3:
+            shown[r[1]] = "/own" if r[1] % 5 == 0 else seen.get(r[0], (0, 0, None))[2]
+        elif r[1] % 2:
+            seen[r[0]] = max(seen.get(r[0], (-1, -1, "")), (r[2], r[1], f"/w/{r[1]}"))
+    assert {r.seq: r.project for r in ingest.attribute_sessions(use, known, bits).collect()} == shown
+
+
+def test_one_session_is_many_groups(spark):
+    df = spark.range(100).selectExpr("'p' as provider", "'s' as session", "id << 20 as seq", "id as at_s", *(f"id as {c}" for c in ingest.COUNTERS))
+    chunks = ingest.max_before(df, ["provider", "session"], F.col("at_s"), "x")
+    assert "hashpartitioning(provider" in (plan := chunks._jdf.queryExecution().executedPlan().toString()) and "__c" in plan
+    assert {(r.at_s, r.x) for r in chunks.collect()} == {(k, k - 1 if k else None) for k in range(100)}
+
+
 def test_alert_state(spark):
     def fired(rows):
         df = spark.createDataFrame([("p", "l", 300, i, i, float(p), r) for i, (p, r) in enumerate(rows)],

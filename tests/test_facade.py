@@ -61,6 +61,8 @@ def test_state_and_exports(spark, home):
     assert sum(b["tokens"]["input"] for b in first["series"]) == 300_000 and first["series"] == sorted(first["series"], key=lambda b: b["start"])
     assert [p["windowMinutes"] for p in first["pace"]] == [300] and first["lastActivity"] == at(600) and first["burst"] is None and first["readError"] is None
     assert absent["series"] == absent["pace"] == [] and absent["readError"] is None
+    shown = [(r.dimension, r.label, r.share) for r in e.shares(7).collect()]
+    assert shown == [("agent", "main", 1.0), ("model", "claude-opus-5", 1.0), ("project", "/w/x", 1.0)]
     assert e.exit_code() == 10 and e.exit_code(scanning=True) == 20
     assert [r.threshold for r in e.alerts("claude-code").collect()] == [85.0] and e.set_mute(NOW).alerts("claude-code").count() == 0
     assert e.provider_plans("copilot-cli") == ["pro", "pro-plus", "max"]
@@ -158,6 +160,7 @@ def test_formats(spark):
     assert [one(formats.cost(F.lit(x))) for x in (1234.4, 9.5, 0.004, 0.0)] == ["$1,234", "$9.50", "<$0.01", "$0"]
     assert [one(formats.factor(F.lit(x))) for x in (12.4, 4.0, 4.25)] == ["12", "4", "4.2"] and one(formats.percent(F.lit(84.5))) == "85%"
     assert one(formats.relative(F.lit(100), 130)) == "just now" and one(formats.relative(F.lit(None).cast("long"), 5)) is None
+    assert one(formats.clock(F.lit(NOW), "Asia/Tokyo")) == "11:40" and one(formats.date(F.lit(NOW), "America/New_York")) == "1 Feb"
     assert one(formats.alert_text(F.lit("codex"), F.lit("weekly"), F.lit(85.0), F.lit(7_200))) == "codex: weekly window at 85%, resets in 2h 00m"
 
 
