@@ -113,7 +113,7 @@ def test_records_that_are_refused(spark, tmp_path):
     assert (read["files"], read["lines"], read["records"], read["accepted"], read["duplicates_skipped"], read["refused"]) == (1, 6, 1, 1, 0, 5)
     grown = report.since(spark.createDataFrame([("p", 3)], "k string, n long"), spark.createDataFrame([("p", 5), ("q", 2)], "k string, n long"), "n", "k")
     assert {r.k: r.n for r in grown.collect()} == {"p": 2, "q": 2}
-    assert [json.loads(r.line)["message"]["id"] for r in logs.last_lines(spark, "claude-code", str(tmp_path), len(good) + 9).collect()] == ["m1"]
+    assert [json.loads(r.line)["message"]["id"] for r in logs.last_lines(spark, "claude-code", str(tmp_path), 2 * len(good)).collect()] == ["m1"]
 
 
 def test_what_else_is_refused_and_found(spark, tmp_path):
