@@ -46,11 +46,15 @@ def calibration(measured_: DataFrame, series: DataFrame, ceilings: DataFrame, no
     return spent.withColumn("factor", factor).where("factor is not null").groupBy("provider").agg(F.min_by("factor", F.struct("limit_id", "window_minutes")).alias("factor"))
 
 
-def derived(measured_: DataFrame, series: DataFrame, ceilings: DataFrame, now: int) -> DataFrame:
-    """Estimates for a plan's windows that nothing measured, stale readings included."""
+def derived(measured_: DataFrame, series: DataFrame, ceilings: DataFrame, now: int, calibrated: bool = True) -> DataFrame:
+    """Estimates for a plan's windows that nothing measured, stale readings included.
+
+    calibrated: a fresh reading of another window corrects the plan's ceiling, else it stands as it is.
+    """
     open_ = F.broadcast(ceilings).join(measured_.select("provider", "window_minutes").distinct(), ["provider", "window_minutes"], "left_anti")
     spent = rolling_spend(series, open_.select("provider", "window_minutes", "ceiling_usd"), now, "ceiling_usd")
-    both = spent.where("spent_unpriced = 0").join(F.broadcast(calibration(measured_, series, ceilings, now)), "provider", "left")
+    both = spent.where("spent_unpriced = 0")
+    both = both.join(F.broadcast(calibration(measured_, series, ceilings, now)), "provider", "left") if calibrated else both.withColumn("factor", F.lit(1.0))
     used = percent_of(F.col("ceiling_usd") * F.coalesce("factor", F.lit(1.0)), F.col("spent"))
     limit = F.coalesce(*(F.when(F.col("provider") == p, x) for p, x in DEFAULT_LIMIT.items()))
     return both.select(
