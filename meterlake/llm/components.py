@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discarded, stored
+from .common import discarded, empty, stored
 
 
 def _minima(edges: DataFrame, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of an edge, the smallest node reachable. Null ends link nothing."""
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now = stored(now, "components-0")
-    done = now.isEmpty()
+    done = empty(now)
     step = 0
     while not done:
         step += 1
@@ -40,7 +40,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = stored(small_, f"components-{step}-b")
         discarded(now, lows, large, least_lows)
         # At rest when no node is both a root and a child, i.e. every edge goes straight to a root.
-        done = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u",
-            "left_semi").isEmpty() and after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+        chained = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        done = empty(chained) and empty(after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1"))
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -42,9 +42,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discarded, flat_bytes, held_rows, membership, only_held, slices, stored, table
+from .common import discarded, empty, fetched, flat_bytes, held_rows, membership, only_held, slices, stored, table
 from .components import connected
 from .hashing import mix, word_hashes
 
@@ -209,7 +210,7 @@ def common_hashes(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word:
 
     counted = docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     counted = stored(counted.where(F.col("c") > COMMON), "jaccard-common")
-    total = counted.agg(F.sum("c")).first()[0] or 0
+    total = fetched(counted.agg(F.sum("c")))[0][0] or 0
     rows = counted.where(F.col("c") > max(COMMON, total // MOST_COMMON)).select("key").toPandas()
     return np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
 
@@ -251,6 +252,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = N
 
     made = docs.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(run, "id long, s binary")
     sets = stored(made.join(ids, "id", "left_semi"), "jaccard-sets")
+    held.destroy()
 
     # A query is a row with a null b and a's set, followed by its candidates. A class with very many
     # candidates is several queries, which meet in different places.
@@ -320,7 +322,7 @@ def torn(docs: DataFrame) -> bool:
     """Whether an id (not null) stands at different texts."""
     twice = stored(docs.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "jaccard-repeated")
     h = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))), F.crc32(F.coalesce("text", F.lit(""))))
-    found = not twice.isEmpty() and not docs.join(twice, "id", "left_semi").groupBy("id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").isEmpty()
+    found = not empty(twice) and not empty(docs.join(twice, "id", "left_semi").groupBy("id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y"))
     discarded(twice)
     return found
 
@@ -368,22 +370,27 @@ def join_once(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.n
     stars = _filtered(stored(stars, "jaccard-stars"), reps, num)
     links = verified(texts, stars, words, num, is_word)
     comp = connected(links)
-    placed = reps.join(comp, reps["id"] == comp["node"], "left").select("id", "prefix", F.coalesce("component", "id").alias("component"))
+    placed = reps.join(comp, reps["id"] == comp["node"], "left").select("id", "n", "prefix", F.coalesce("component", "id").alias("component"))
 
     # Round 2: prefix hashes that lie in several components.
-    keys = placed.select("id", "component", F.explode("prefix").alias("key"))
-    groups = keys.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
-    groups = stored(groups, "jaccard-groups")
-    rows = stored(only_held(keys, membership(groups, "key"), "key").join(groups, "key").select("key", "id", "component", "size"), "jaccard-rows")
+    keys = placed.select("id", "component", "n", F.posexplode("prefix").alias("at", "key"))
+    keys = keys.select("id", "component", "n", (F.col("at") < _early(num)).alias("early"), "key")
+    groups = keys.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"), F.max("early").alias("any"))
+    groups = stored(groups.where("c0 <> c1 and any").select("key", "size"), "jaccard-groups")
+    held = membership(groups, "key")
+    wide = stored(only_held(keys, held, "key").join(groups, "key").select("key", "id", "component", "n", "early", "size"), "jaccard-keys")
+    rows = stored(_partnered(wide.where(F.col("size") <= LARGE), num).unionByName(wide.where(F.col("size") > LARGE).select("key", "id", "component", "size")), "jaccard-rows")
+    held.destroy()
+    discarded(wide, groups)
     maps = reps.select("id", "n", "bits")
     # Large groups first: each class with the nearest of another component, round by round, until that links nothing.
     large = stored(rows.where(F.col("size") > LARGE), "jaccard-large")
     first = links
-    for _ in range(ROUNDS if not large.isEmpty() else 0):
+    for _ in range(ROUNDS if not empty(large) else 0):
         near = stored(_open_pairs(large.join(maps, "id"), num, nearest=True), "jaccard-near")
         new = verified(texts, near, words, num, is_word)
         discarded(near)
-        if new.isEmpty():
+        if empty(new):
             break
         links = stored(links.unionByName(new), "jaccard-links")
         comp = connected(links)
@@ -397,10 +404,31 @@ def join_once(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.n
     final = connected(whole)
     out = known.select("id", F.col("n").cast("long").alias("n_shingles")).join(final, F.col("id") == F.col("node"), "left")
     out = stored(out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")), "jaccard-found")
-    discarded(known, classes, copies, reps, anchors, least, stars, links, groups, second, more)
+    discarded(known, classes, copies, reps, anchors, least, stars, links, second, more)
     return out
 
 
+def _early(num: int):
+    """So many first hashes of a set of n: where it links with one no smaller, their first common hash is one of these."""
+    both = 2 * F.col("n").cast("long")
+    return F.col("n") - F.ceil(F.lit(num) * both / F.lit(100.0 + num)) + 1
+
+
+def _partnered(rows: DataFrame, num: int) -> DataFrame:
+    """The rows of groups of several components that have a partner by size in their group, one of the two, the smaller, with its key `early`.
+
+    A pair that links is left with both ends at its first common hash. What goes here takes no bitmap along.
+    """
+    w = W.partitionBy("key").orderBy("n", F.desc("early"), "id")
+    below = F.max(F.when(F.col("early"), F.col("n"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    above = F.when(F.col("early"), F.lead("n").over(w))
+    near = lambda m, n: F.coalesce(F.lit(100) * m.cast("long") >= F.lit(num) * n.cast("long"), F.lit(False))
+    some = rows.select("*", below.alias("below"), above.alias("above")).where(near(F.col("below"), F.col("n")) | near(F.col("n"), F.col("above")))
+    whole = W.partitionBy("key")
+    some = some.select("key", "id", "component", "size", F.min("component").over(whole).alias("c0"), F.max("component").over(whole).alias("c1"))
+    return some.where("c0 <> c1").drop("c0", "c1")
+
+
 def _placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """rows with the component that holds now."""
     return rows.drop("component").join(comp, rows["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"), "size")
