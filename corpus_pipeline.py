@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontaminate, jaccardjoin, linededup, mixing, quality
-from meterlake.llm.common import free, stored, table
+from meterlake.llm.common import empty, free, stored, table
 
 #: Near duplicates: word shingles and percent of similarity.
 NEAR_WORDS, NEAR_NUM = 5, 80
@@ -40,7 +40,7 @@ def unlike(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where ids repeat, each row is a document of its own: one row of a group stays, the smallest by id, then by its text's hash.
     """
     named = docs.where("doc_id is not null")
-    if named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+    if empty(named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")):
         found = jaccardjoin.join(named.select(F.col("doc_id").cast("long").alias("id"), "text"), NEAR_WORDS, NEAR_NUM)
         copies = stored(found.where("component_id < id").select(F.col("id").alias("doc_id")).distinct(), "pipeline-copies")
         return docs.join(copies, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, discarded, small, stored, table
+from .common import BROADCAST_BYTES, discarded, fetched, small, stored, table
 
 WINDOW = 3
 #: Words from which on a single line or two lines are a run as well, where asked for.
@@ -103,7 +103,7 @@ def deleted_spans(docs: DataFrame, window: int = WINDOW, words: int | None = Non
 def dedup_lines(docs: DataFrame, window: int = WINDOW, words: int | None = None, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """docs, all columns, with the later repeated runs cut from text; adds the counts n_lines and n_removed."""
     spans = deleted_spans(docs, window, words)
-    size = spans.agg((F.count("*") * 96 + F.coalesce(F.sum(F.size("starts")), F.lit(0)) * 16).alias("n")).first()["n"]
+    size = fetched(spans.agg((F.count("*") * 96 + F.coalesce(F.sum(F.size("starts")), F.lit(0)) * 16).alias("n")))[0]["n"]
     spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     own = {n_lines.lower(), n_removed.lower()}
     columns = [c for c in docs.columns if c.lower() not in own]

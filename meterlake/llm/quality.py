@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, hashed_sample, held_out, plain, slices, table
+from .common import fetched, flat_bytes, hashed_sample, held_out, plain, slices, table
 from .hashing import RangeHash, mix, spans
 
 #: Terms of the outline, of words and of trigrams in words.
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | No
                 yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("doc_id")[a:b].cast(pa.string()),
                     batch.column("y")[a:b].cast(pa.int32()), packed], names=["h", "id", "y", "counts"])
 
-    rows = sorted(texts.mapInArrow(features, "h long, id string, y int, counts binary").collect())
+    rows = sorted(fetched(texts.mapInArrow(features, "h long, id string, y int, counts binary")))
     if not rows:
         return None
     counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in rows])
