@@ -11,8 +11,8 @@ that means an overlap of at least T = ceil(NUM * (m + n) / (100 + NUM)).
 3. Candidates: first each class meets the smallest class of its groups by the ANCHORS smallest
    hashes; the links found join classes to components. Then prefix hashes that still lie in several
    components are opened. In a group of more than LARGE classes each class meets the nearest one of another
-   component, by bitmap, again and again until that links nothing more, so that a large group of near copies
-   becomes one component by a few pairs per class. Whatever is open then is opened in full: a group of them is dealt into blocks, every pair of blocks is a task, and a
+   component, by bitmap, again and again while classes have more than FEW open partners on average, so that a large
+   group of near copies becomes one component by a few pairs per class. Whatever is open then is opened in full: a group of them is dealt into blocks, every pair of blocks is a task, and a
    task passes on the pairs of different components whose sizes and bitmaps allow the overlap. The
    symmetric difference of two sets is at least the Hamming distance of their bitmaps, so no pair
    that links is lost.
@@ -62,6 +62,8 @@ MOST_COMMON = 1_000_000
 #: Classes from which on an open group is first tried by nearest pairs, and rounds of that at most.
 LARGE = 64
 ROUNDS = 8
+#: Open partners of a class, on average, up to which large groups are opened in full at once: no more pairs than a few rounds have.
+FEW = 4
 #: Inverted lists longer than this share of the candidates are set aside, if there are so many.
 LONG_SHARE = 0.5
 #: Candidates of a query that are judged in one place.
@@ -292,7 +294,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS, num: int = N
 def _open_pairs(opened: DataFrame, num: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of different components that the filters let through, from blocks of open groups.
 
-    nearest: of each class only the pair with the most room, so no more pairs than classes.
+    nearest: of each class only the pair with the most room, so no more pairs than classes; `met` says in how many blocks
+    the pair was chosen, `partners` how many pairs were let through there.
     """
     split = F.ceil(F.col("size") / float(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("split")).cast("int")
@@ -303,18 +306,23 @@ def _open_pairs(opened: DataFrame, num: int, nearest: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
+            out_a, out_b, partners = [], [], []
             for i, j, g in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("g")):
                 v = g.values
                 ids, comp, n, own = (v.field(k).to_numpy() for k in range(4))
                 for k, js, room in with_room(n.astype(np.int64), v.field(4).to_pylist(), num):
                     ok = (comp[js] != comp[k]) & ((own[js] != own[k]) | (i == j))
                     js = js[ok]
+                    partners += [len(js)] * (len(js) > 0)
                     js = js[np.argmax(room[ok])][None] if nearest and len(js) else js
                     out_a += np.maximum(ids[js], ids[k]).tolist()
                     out_b += np.minimum(ids[js], ids[k]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            found = [pa.array(x, pa.int64()) for x in (out_a, out_b, *[partners] * nearest)]
+            yield pa.RecordBatch.from_arrays(found, names=["a", "b", "partners"][: len(found)])
 
+    if nearest:
+        found = groups.select("i", "j", "g").mapInArrow(run, "a long, b long, partners long")
+        return found.groupBy("a", "b").agg(F.count("*").alias("met"), F.sum("partners").alias("partners"))
     return groups.select("i", "j", "g").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -383,12 +391,15 @@ def join_once(docs: DataFrame, words: int = WORDS, num: int = NUM, is_word: np.n
     held.destroy()
     discarded(wide, groups)
     maps = reps.select("id", "n", "bits")
-    # Large groups first: each class with the nearest of another component, round by round, until that links nothing.
+    # Large groups first: each class with the nearest of another component, round by round, until few pairs are open or that links nothing.
     large = stored(rows.where(F.col("size") > LARGE), "jaccard-large")
     first = links
     for _ in range(ROUNDS if not empty(large) else 0):
         near = stored(_open_pairs(large.join(maps, "id"), num, nearest=True), "jaccard-near")
-        new = verified(texts, near, words, num, is_word)
+        if fetched(near.agg(F.coalesce(F.sum("partners") <= FEW * F.sum("met"), F.lit(True))))[0][0]:
+            discarded(near)
+            break
+        new = verified(texts, near.select("a", "b"), words, num, is_word)
         discarded(near)
         if empty(new):
             break
